@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from granary.llm import langid, mixing
+from pyspark.sql import functions as F
+
+from granary.llm import ann, chat_format, langid, line_dedup, mixing
 from granary.llm.util import table
 
 
+def op1_line_dedup(spark, sf_dir):
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op2_chat_format(spark, sf_dir):
+    return chat_format.digests(chat_format.format_conversations(chat_format.with_hard_case(table(spark, sf_dir, "conversations"))))
+
+
+def op3_ann_search(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_source_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -19,4 +34,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_source_mixing": mixing.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op2_chat_format": chat_format.ORACLE, "op4_source_mixing": mixing.ORACLE}
