@@ -102,7 +102,7 @@ def search(
     vec_col: str = "embedding",
     k: int = 20,
     probes: int | None = None,
-    rerank: int = 200,
+    rerank: int = 400,
 ) -> DataFrame:
     """For each row of `queries` (None: rows of `vectors` whose id is divisible by 20), its k nearest other rows found:
     query_id, rank, vec_id, score (the inner product of the original vectors in double precision; nearest first, ties

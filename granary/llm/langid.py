@@ -105,13 +105,19 @@ def train_profiles(docs: DataFrame) -> dict[str, np.ndarray]:
     what comes to the driver is the model: one vector per language."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, totals = Encoder(), {}
+        enc, totals, waiting = Encoder(), {}, {}
+
+        def add(lang: str) -> None:
+            grams = np.concatenate(waiting.pop(lang))
+            totals[lang] = totals.get(lang, 0) + np.bincount(grams, minlength=SLOTS**3)
+
         for pdf in batches:
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-                if lang not in totals:
-                    totals[lang] = np.zeros(SLOTS**3, np.int64)
-                g = enc.trigrams(enc.symbols(text))
-                np.add.at(totals[lang], g, 1) if len(g) < 2000 else totals[lang].__iadd__(np.bincount(g, minlength=SLOTS**3))
+                waiting.setdefault(lang, []).append(enc.trigrams(enc.symbols(text)))
+                if len(waiting[lang]) >= CHUNK_DOCS:
+                    add(lang)
+        for lang in list(waiting):
+            add(lang)
         yield pd.DataFrame({"lang": list(totals), "vec": [enc.bundle_counts(c) for c in totals.values()]})
 
     def total(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
