@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.llm import ann, chat_format, langid, line_dedup, mixing
+from granary.llm import ann, chat_format, decontam, langid, line_dedup, mixing, near_dedup, substring_dedup
 from granary.llm.util import table
 
 
@@ -29,9 +29,21 @@ def op5_language_id(spark, sf_dir):
     return langid.langid(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark, sf_dir):
+    return substring_dedup.dedup_spans(table(spark, sf_dir, "documents"))
+
+
+def op9_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).drop("th")
+
+
+def op10_decontamination(spark, sf_dir):
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit() and callable(f)}
 
 
 def oracle_sql():
-    return {"op1_line_dedup": line_dedup.ORACLE, "op2_chat_format": chat_format.ORACLE, "op4_source_mixing": mixing.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op2_chat_format": chat_format.ORACLE, "op4_source_mixing": mixing.ORACLE, "op9_near_dedup": near_dedup.ORACLE}
