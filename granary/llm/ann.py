@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by inner product: an inverted file of coarse centroids with product-quantised
 residuals, asymmetric distance tables and exact reranking (Jegou, Douze and Schmid, 2011).
 
-Vectors are packed into blocks of one cell each, so a cell of any size is worked off by many tasks. Queries meet blocks
-in a join on the cell; a task scores a block by table look-ups and passes on its best few per query, never all pairs.
+Cells are packed into groups of about GROUP vectors; a cell with more is cut into several groups, so a cell of any size is
+worked off by many tasks. Queries meet the groups that hold a cell they look into; a task scores those cells by table
+look-ups and passes on its best few per query and group, never all pairs.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from granary.llm.util import shuffle_partitions, stored
 
 #: Rows that centroids and codebooks are fitted on at most. Every row is indexed.
 SAMPLE = 16_384
-#: Vectors in a block, and queries that are scored against a block at once.
-BLOCK, QUERIES = 2_048, 256
+#: Vectors in a group and queries that meet it at once; vectors scored at once; up to SMALL vectors, all cells are probed.
+GROUP, QUERIES, BLOCK, SMALL = 65_536, 512, 4_096, 2_048
 SUBSPACES, CODES, ROUNDS, SEED = 32, 256, 8, 11
 #: Of the true neighbours within the sample, at least this share must lie in the cells that a query looks into.
 REACH, TRIALS = 0.98, 256
@@ -110,7 +111,7 @@ def search(
 
     probes: cells that a query looks into, those whose centroid has the largest inner product with it; if not given,
     as many as reach 98 % of the true neighbours within the sample that the index is fitted on. rerank: candidates by
-    approximate score that get an exact one. In tables of up to BLOCK rows every cell is probed.
+    approximate score that get an exact one. In tables of up to SMALL rows every cell is probed.
     Rows with a null id, or a vector that is null, zero, of another length than most, or with null or non-finite
     components take no part. Rows that repeat an id are one row (their smallest vector counts). An empty table, or one
     without usable rows, gives no rows. Other columns are ignored.
@@ -126,7 +127,7 @@ def search(
     quant, reach = fitted
     asked = rows.filter(F.col("id") % 20 == 0) if queries is None else usable(queries, id_col, vec_col).dropDuplicates(["id"])
     dim, cells = quant.dim, len(quant.coarse)
-    probes = cells if n <= BLOCK else min(cells, probes or reach)
+    probes = cells if n <= SMALL else min(cells, probes or reach)
     rerank = max(rerank, 4 * k)
     rows, asked = rows.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
 
@@ -138,41 +139,79 @@ def search(
             cell, codes = quant.encode(to_array(pdf["v"]))
             yield pd.DataFrame({"id": pdf["id"], "cell": cell, "codes": [c.tobytes() for c in codes]})
 
+    coded = stored(rows.mapInPandas(encode, "id long, cell int, codes binary"))
+    # At most 4096 cells: their sizes and places may come to the driver and go to every task.
+    held = {r["cell"]: r["held"] for r in coded.groupBy("cell").agg(F.count("*").alias("held")).collect()}
+    place, groups, room = {}, 0, 0
+    for cell in range(cells):
+        size = held.get(cell, 0)
+        if size > room:
+            groups, room = groups + max(1, -(-size // GROUP)), GROUP if size <= GROUP else size
+        place[cell] = (groups - max(1, -(-size // GROUP)), max(1, -(-size // GROUP)))
+        room = room - size if size <= GROUP else 0
+    places = spark.createDataFrame([(c, g, k) for c, (g, k) in place.items()], "cell int, first int, parts int")
+
     def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             q = to_array(pdf["v"])
-            best = np.argsort(-(q @ quant.coarse.T), axis=1, kind="stable")[:, :probes]
-            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), best.shape[1]), "cell": best.ravel().astype(np.int32), "v": [v.tobytes() for v in np.repeat(q, best.shape[1], axis=0)]})
-
-    coded = stored(rows.mapInPandas(encode, "id long, cell int, codes binary"))
-    # Blocks: a cell with many rows is cut by a hash into groups of about BLOCK rows, each brought together by itself.
-    held = coded.groupBy("cell").agg(F.count("*").alias("held"))
-    cut = lambda df, sizes, most, name: df.join(sizes, "cell").withColumn(name, F.pmod(F.xxhash64("id"), F.ceil(F.col("held") / most)).cast("int"))
-    blocks = cut(coded, stored(held, 1), BLOCK, "block").groupBy("cell", "block").agg(F.sort_array(F.collect_list(F.struct("id", "codes"))).alias("rows"))
-    sent = asked.mapInPandas(probed, "id long, cell int, v binary")
-    wanted = sent.groupBy("cell").agg(F.count("*").alias("held"))
-    packs = cut(sent, wanted, QUERIES, "pack").groupBy("cell", "pack").agg(F.collect_list(F.struct("id", "v")).alias("asked"))
-    pairs = packs.join(blocks, "cell").repartition(shuffle_partitions(spark), "cell", "block", "pack")
+            best = np.argsort(-(q @ quant.coarse.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+            out = [
+                (i, g, v.tobytes(), cells.tobytes())
+                for i, v, cells in zip(pdf["id"], q, best, strict=True)
+                for g in sorted({place[c][0] + k for c in cells.tolist() for k in range(place[c][1])})
+            ]
+            yield pd.DataFrame(out, columns=["id", "group", "v", "cells"])
+
+    part = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int")
+    lists = coded.join(F.broadcast(places), "cell").select(part.alias("group"), "id", "cell", "codes")
+    lists = stored(lists.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("cell", "id", "codes"))).alias("rows")))
+    sent = stored(asked.mapInPandas(probed, "id long, group int, v binary, cells binary"))
+    wanted = stored(sent.groupBy("group").agg(F.count("*").alias("asking")), 1)
+    packs = sent.join(wanted, "group").withColumn("pack", F.pmod(F.xxhash64("id"), F.ceil(F.col("asking") / QUERIES)).cast("int"))
+    packs = packs.groupBy("group", "pack").agg(F.collect_list(F.struct("id", "v", "cells")).alias("asked"))
+    # A few pairs of a pack and a group in each partition, so that one batch stays small.
+    pairs_n = wanted.agg(F.sum(F.ceil(F.col("asking") / QUERIES))).first()[0] or 0
+    pairs = packs.join(lists, "group").repartition(max(shuffle_partitions(spark), int(pairs_n) // 4), "group", "pack")
+
+    def best_of(s: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each query, the rerank best of its scores; ties to the smaller id."""
+        if s.shape[1] > rerank:
+            order = np.lexsort((ids, -s), axis=1)[:, :rerank]
+            s, ids = np.take_along_axis(s, order, axis=1), np.take_along_axis(ids, order, axis=1)
+        return s, ids
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for cell, asked, held in zip(pdf["cell"], pdf["asked"], pdf["rows"], strict=True):
+            for asked, held in zip(pdf["asked"], pdf["rows"], strict=True):
                 q = np.stack([np.frombuffer(a["v"], np.float32) for a in asked])
+                own = np.array([a["id"] for a in asked], np.int64)
+                looks = np.zeros((len(own), cells), bool)
+                for r, a in enumerate(asked):
+                    looks[r, np.frombuffer(a["cells"], np.int32)] = True
                 ids = np.array([r["id"] for r in held], np.int64)
+                cell = np.array([r["cell"] for r in held], np.int64)
                 codes = np.frombuffer(b"".join(r["codes"] for r in held), np.uint8).reshape(len(ids), quant.m)
-                s = np.repeat((q @ quant.coarse[cell])[:, None], len(ids), axis=1)
-                for i, t in enumerate(quant.tables(q)):
-                    s += t[:, codes[:, i]]
-                own = np.array([a["id"] for a in asked], np.int64)
-                s[ids[None, :] == own[:, None]] = -np.inf
-                top = min(rerank, len(ids))
-                # ids are in order, so a stable sort leaves ties to the smaller id
-                best = np.argsort(-s, axis=1, kind="stable")[:, :top]
-                got = np.take_along_axis(s, best, axis=1)
-                fine = np.isfinite(got)
-                yield pd.DataFrame({"query_id": np.repeat(own, top)[fine.ravel()], "vec_id": ids[best].ravel()[fine.ravel()], "near": got.ravel()[fine.ravel()].astype(np.float64)})
-
-    found = pairs.select("cell", "asked", "rows").mapInPandas(score, "query_id long, vec_id long, near double")
+                coarse, tables = q @ quant.coarse.T, quant.tables(q)
+                top, near = np.full((len(own), 0), -np.inf, np.float32), np.zeros((len(own), 0), np.int64)
+                for at in range(0, len(ids), BLOCK):
+                    cut = slice(at, at + BLOCK)
+                    s = coarse[:, cell[cut]]
+                    for i, t in enumerate(tables):
+                        s += t[:, codes[cut, i]]
+                    s[~looks[:, cell[cut]] | (ids[None, cut] == own[:, None])] = -np.inf
+                    if s.shape[1] > 2 * rerank:  # ties at the edge all stay until they are ordered by id
+                        edge = np.partition(s, s.shape[1] - rerank, axis=1)[:, s.shape[1] - rerank]
+                        some = (s >= edge[:, None]) & (s > -np.inf)
+                        width = int(some.sum(axis=1).max())
+                        pick = np.argsort(~some, axis=1, kind="stable")[:, :width]
+                        s, here = np.where(np.take_along_axis(some, pick, axis=1), np.take_along_axis(s, pick, axis=1), -np.inf), ids[cut][pick]
+                    else:
+                        here = np.broadcast_to(ids[None, cut], s.shape)
+                    top, near = best_of(np.concatenate([top, s], axis=1), np.concatenate([near, here], axis=1))
+                fine = np.isfinite(top)
+                yield pd.DataFrame({"query_id": np.broadcast_to(own[:, None], top.shape)[fine], "vec_id": near[fine], "near": top[fine].astype(np.float64)})
+
+    found = pairs.select("asked", "rows").mapInPandas(score, "query_id long, vec_id long, near double")
     nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))
     short = found.withColumn("nth", nth).filter(F.col("nth") <= rerank).select("query_id", "vec_id")
     full = short.join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id").join(rows.select(F.col("id").alias("vec_id"), "v"), "vec_id")
