@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.llm import ann, chat_format, decontam, langid, line_dedup, mixing, near_dedup, substring_dedup
+from granary.llm import ann, chat_format, decontam, html_extract, langid, line_dedup, mixing, near_dedup, pii, substring_dedup
 from granary.llm.util import table
 
 
@@ -29,6 +29,15 @@ def op5_language_id(spark, sf_dir):
     return langid.langid(table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark, sf_dir):
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    return found.withColumn("base_sha256", F.sha2("base", 256)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+def op7_html_text(spark, sf_dir):
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_substring_dedup(spark, sf_dir):
     return substring_dedup.dedup_spans(table(spark, sf_dir, "documents"))
 
