@@ -473,7 +473,7 @@ def sliding_avg_100(spark, d):
     return E.sliding_average(events(spark, d), "value", ("user_id",)).select("event_id", F.round("avg_last", 9).alias("avg_last"))
 
 
-@query(f"with {EVENT_SQL}, a as (select *, case when epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts)) < 21600000000 then 0 else 1 end as n from ev), s as (select *, sum(n) over (partition by user_id order by ts rows unbounded preceding) as k from a) select user_id, epoch_us(min(ts)) as start_us, epoch_us(max(ts) + interval 6 hours) as end_us, count(*) as events from s group by user_id, k")
+@query(f"with {EVENT_SQL}, a as (select *, case when epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts)) < 21600000000 then 0 else 1 end as n from ev), s as (select *, sum(n) over (partition by user_id order by ts rows unbounded preceding) as grp from a) select user_id, epoch_us(min(ts)) as start_us, epoch_us(max(ts) + interval 6 hours) as end_us, count(*) as events from s group by user_id, grp")
 def session_heartbeat(spark, d):
     out = E.sessions(events(spark, d), ("user_id",), "6 hours")
     return out.select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "events")
