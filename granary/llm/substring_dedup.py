@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.util import stored
+from granary.llm.util import slices, stored
 
 #: Where a sentence ends: white space after an end mark (which may be followed by quotes or brackets), or a line's end.
 BREAK = re.compile(r"(?<=[.!?…。！？])[\"'”’)\]]*\s+|\n\s*")
@@ -69,7 +69,7 @@ def sentence_spans(docs: DataFrame, min_words: int, long_words: int) -> DataFram
     schema = pa.schema([("h", pa.int64()), ("doc_id", docs_id_type(docs)), ("th", pa.int32()), ("i", pa.int32()), ("j", pa.int32())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, ths, texts = (batch.column(c) for c in ("doc_id", "th", "text"))
             h, row, first, last = [], [], [], []
             for k in range(len(texts)):
@@ -80,7 +80,7 @@ def sentence_spans(docs: DataFrame, min_words: int, long_words: int) -> DataFram
                     row.append(k)
                     first.append(i)
                     last.append(j)
-                if len(h) >= 200_000:
+                if len(h) >= 50_000:
                     yield rows(h, row, first, last, ids, ths)
                     h, row, first, last = [], [], [], []
             yield rows(h, row, first, last, ids, ths)
@@ -120,7 +120,7 @@ def dedup_spans(docs: DataFrame, min_words: int = 20, long_words: int = 50, keep
     n = len(keep)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             count, removed, kept = [], [], []
             for text, own in zip(batch.column("__text"), batch.column("__cuts"), strict=True):
                 text, own = text.as_py(), own.as_py()

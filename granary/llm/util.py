@@ -58,6 +58,13 @@ def _clean() -> None:
             p.getFileSystem(hconf).delete(p, True)
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches cut to a few rows each, so that a Python worker holds the texts of few documents at once."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
