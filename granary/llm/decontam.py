@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm import util  # noqa: F401  (registers the package for pickling by value)
+from granary.llm.util import slices
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Bytes of item texts in a block, and so the bound on what is sent to every executor at once.
@@ -164,7 +164,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = 5, share: f
 def _judging(block, seed: int, share: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, tokens = Items(block.value, seed), Tokens()
-        for batch in batches:
+        for batch in slices(batches):
             covs, lists = [], []
             for text, cov, own in zip(*(batch.column(c) for c in ("__text", "__cov", "__items")), strict=True):
                 found, most = items.judge(tokens(text.as_py()), share)

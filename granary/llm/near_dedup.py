@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.graph import components
 from granary.llm.line_dedup import TO_LOWER
-from granary.llm.util import shuffle_partitions, stored
+from granary.llm.util import shuffle_partitions, slices, stored
 
 CHUNKS, WIDTH, ERRORS, BITS = 5, 5, 2, 16
 PLACES, LIMIT = CHUNKS * WIDTH, CHUNKS * (ERRORS + 1) - 1
@@ -86,7 +86,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch in batches:
+        for batch in slices(batches):
             size, digest, sig = [], [], []
             for text in batch.column("text"):
                 s = shingler(text.as_py())
@@ -171,7 +171,7 @@ def sets_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame, words: int) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingler(t.as_py()).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "set"])
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.nn import Adam, BiLstm, Parts, fitted
+from granary.llm.util import slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Windows of SIZE characters every STEP characters: any span of up to SIZE - STEP lies whole in one of them.
@@ -332,7 +333,7 @@ def personal_data(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[str, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.as_py() or "" for t in batch.column("__text")]
             base, found, todo = [base_spans(t) for t in texts], [[] for _ in texts], []
 
