@@ -25,7 +25,7 @@ from granary.llm.util import slices
 KINDS = ("email", "ip", "card", "phone")
 #: Windows of SIZE characters every STEP characters: any span of up to SIZE - STEP lies whole in one of them.
 SIZE, STEP = 128, 64
-HIDDEN, WIDTH, SEED, ROUNDS, BATCH = 16, 12, 5, 260, 64
+HIDDEN, WIDTH, SEED, ROUNDS, BATCH = 20, 12, 5, 500, 48
 
 # --- base patterns ---------------------------------------------------------------------------------------------------
 
