@@ -34,11 +34,26 @@ def images(spark: SparkSession, path: str, suffixes=("jpg", "jpeg", "png", "bmp"
     return files.select(path_stem(F.col("path")).alias("img"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+def listing(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """path and size of all files under a path, empty ones included: Spark's file sources leave those out, so the names
+    come from the file system's own listing (names alone, by the driver, as for any scan)."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files, found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while files.hasNext():
+        f = files.next()
+        if f.getPath().getName().endswith(suffix):
+            found.append((f.getPath().toString(), f.getLen()))
+    return spark.createDataFrame(found, "path string, size long")
+
+
 def label_files(spark: SparkSession, path: str) -> DataFrame:
-    """Label files with their number of lines, empty ones included."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
-    text = F.trim(F.col("content").cast("string"))
-    return files.select(path_stem(F.col("path")).alias("img"), "path", F.when(text == "", 0).otherwise(F.size(F.split(text, "\n"))).alias("lines"))
+    """Label files with their number of lines, empty ones included: img, path, lines."""
+    rows = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True)
+    text = F.btrim("value", F.lit(" \n\r\t"))
+    counts = rows.select(path_stem(F.col("_metadata.file_path")).alias("img"), F.when(text == "", 0).otherwise(F.size(F.split(text, "\n"))).alias("lines"))
+    files = listing(spark, path, ".txt").select(path_stem(F.col("path")).alias("img"), "path")
+    return files.join(counts, "img", "left").select("img", "path", F.coalesce("lines", F.lit(0)).alias("lines"))
 
 
 def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
