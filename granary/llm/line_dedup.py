@@ -191,7 +191,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, keep: list[str] | None = No
     """
     keep = ["doc_id"] if keep is None else keep
     rk = F.xxhash64("doc_id", "text")  # rows only meet here to read decisions about lines, so equal rk do no harm
-    hashes = docs.select(rk.alias("rk"), F.explode(line_keys(F.coalesce("text", F.lit("")))).alias("h"))
+    hashes = stored(docs.select(rk.alias("rk"), F.explode(line_keys(F.coalesce("text", F.lit("")))).alias("h")))
     index, shards = build_index(hashes.select("h"))
     drops = probe(hashes, index, shards, min_docs).groupBy("rk").agg(F.collect_set("h").alias("__drops")).withColumnRenamed("rk", "__rk")
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"), rk.alias("__rk"))
