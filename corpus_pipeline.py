@@ -13,11 +13,10 @@ from granary.llm.util import stored, table
 LEAST_SCORE = 0.10
 
 
-def shielded(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """The columns of `docs` under names that no operator uses, with doc_id and text beside them."""
+def shielded(docs: DataFrame) -> tuple[DataFrame, list[str], str]:
+    """`docs` with columns under names that no operator uses, and the text's name among them."""
     names = [f"__c{k}" for k in range(len(docs.columns))]
-    own = [F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]
-    return docs.select(*own, "doc_id", "text"), names
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]), names, names[docs.columns.index("text")]
 
 
 def restored(judged: DataFrame, names: list[str], columns: list[str], **instead) -> DataFrame:
@@ -28,15 +27,17 @@ def restored(judged: DataFrame, names: list[str], columns: list[str], **instead)
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents in which a language is found: neither `und` nor under LEAST_SCORE."""
     profiles = langid.train_profiles(docs.filter(~langid.is_held_out()))
-    inner, names = shielded(docs)
-    judged = langid.identify(inner, profiles, names)
+    inner, names, text = shielded(docs)
+    judged = langid.identify(inner, profiles, names, text)
     return restored(judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), names, docs.columns)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that stand in 10 documents or more; n_chars follows the text."""
-    inner, names = shielded(docs)
-    kept = line_dedup.dedup_lines(inner, min_docs=10, keep=names)
+    inner, names, text = shielded(docs)
+    beside = [n for n in names if n != text]
+    inner = inner.withColumnsRenamed({text: "text"}).withColumn("doc_id", F.col(names[docs.columns.index("doc_id")]))
+    kept = line_dedup.dedup_lines(inner, min_docs=10, keep=beside)
     return restored(kept, names, docs.columns, text=F.col("kept"), n_chars=F.length("kept").cast("long"))
 
 
@@ -52,8 +53,8 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that hold no item of the benchmark."""
-    inner, names = shielded(docs)
-    judged = decontam.contamination(inner, table(spark, sf_dir, "benchmark"), keep=names)
+    inner, names, text = shielded(docs)
+    judged = decontam.contamination(inner, table(spark, sf_dir, "benchmark"), keep=names, text=text)
     return restored(judged.filter(~F.col("contaminated")), names, docs.columns)
 
 

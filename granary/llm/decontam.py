@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.util import slices
+from granary.llm.util import arrow_schema, slices
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Bytes of item texts in a block, and so the bound on what is sent to every executor at once.
@@ -142,7 +142,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield [(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = 5, share: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = 5, share: float = 0.5, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """Adds to the columns `keep` (doc_id if not given): item_ids (array of the items that contaminate the document),
     coverage (the largest share of an item that was marked, of those compared to the end) and contaminated.
 
@@ -153,21 +153,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = 5, share: f
     """
     keep = ["doc_id"] if keep is None else keep
     spark = docs.sparkSession
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"), F.lit(0.0).alias("__cov"), F.array().cast("array<bigint>").alias("__items"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    own = list(dict.fromkeys([*keep, text]))
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.lit(0.0).alias("__cov"), F.array().cast("array<bigint>").alias("__items"))
+    schema = arrow_schema(rows, own, "__cov double, __items array<bigint>")
     for block in item_blocks(benchmark):
-        rows = rows.mapInArrow(_judging(spark.sparkContext.broadcast(block), seed, share), schema)
+        rows = rows.mapInArrow(_judging(spark.sparkContext.broadcast(block), text, seed, share), schema)
     ids = F.array_sort(F.array_distinct("__items"))
     return rows.select(*[F.col(f"`{c}`") for c in keep], ids.alias("item_ids"), F.col("__cov").alias("coverage"), (F.size(ids) > 0).alias("contaminated"))
 
 
-def _judging(block, seed: int, share: float):
+def _judging(block, text: str, seed: int, share: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, tokens = Items(block.value, seed), Tokens()
         for batch in slices(batches):
             covs, lists = [], []
-            for text, cov, own in zip(*(batch.column(c) for c in ("__text", "__cov", "__items")), strict=True):
-                found, most = items.judge(tokens(text.as_py()), share)
+            for said, cov, own in zip(*(batch.column(c) for c in (text, "__cov", "__items")), strict=True):
+                found, most = items.judge(tokens(said.as_py()), share)
                 covs.append(max(cov.as_py(), most))
                 lists.append(own.as_py() + found)
             n = batch.num_columns - 2

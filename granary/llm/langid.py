@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm import util  # noqa: F401  (registers the package for pickling by value)
+from granary.llm.util import arrow_schema, slices
 
 DIM, SLOTS, SEED = 1024, 128, 7
 #: Documents and letters encoded at once: bounds a task's memory, whatever the texts' lengths.
@@ -87,10 +88,10 @@ class Encoder:
             out += counts[:, i : i + 4096] @ self.vectors(codes[i : i + 4096]).astype(np.float32)
         return out
 
-    def chunks(self, texts: list) -> Iterator[list[np.ndarray]]:
+    def chunks(self, texts: pa.Array) -> Iterator[list[np.ndarray]]:
         part, chars = [], 0
         for t in texts:
-            g = self.trigrams(self.symbols(t or ""))
+            g = self.trigrams(self.symbols(t.as_py() or ""))
             part.append(g)
             chars += len(g)
             if len(part) >= CHUNK_DOCS or chars >= CHUNK_CHARS:
@@ -104,60 +105,61 @@ def train_profiles(docs: DataFrame) -> dict[str, np.ndarray]:
     """Prototypes from every row with text and lang. Each task adds up its rows and sends one vector per language;
     what comes to the driver is the model: one vector per language."""
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, totals, waiting = Encoder(), {}, {}
 
         def add(lang: str) -> None:
             grams = np.concatenate(waiting.pop(lang))
-            totals[lang] = totals.get(lang, 0) + np.bincount(grams, minlength=SLOTS**3)
+            totals[lang] = totals.get(lang, 0) + np.bincount(grams, minlength=SLOTS**3).astype(np.int64)
 
-        for pdf in batches:
-            for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-                waiting.setdefault(lang, []).append(enc.trigrams(enc.symbols(text)))
+        for batch in slices(batches):
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+                waiting.setdefault(lang, []).append(enc.trigrams(enc.symbols(text.as_py())))
                 if len(waiting[lang]) >= CHUNK_DOCS:
                     add(lang)
         for lang in list(waiting):
             add(lang)
-        yield pd.DataFrame({"lang": list(totals), "vec": [enc.bundle_counts(c) for c in totals.values()]})
+        vecs = pa.array([enc.bundle_counts(c).tolist() for c in totals.values()], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), vecs], names=["lang", "vec"])
 
     def total(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"lang": [key[0]], "vec": [np.sum(np.stack(pdf["vec"].tolist()), axis=0)]})
 
     rows = docs.select("lang", "text").filter("lang is not null and text is not null")
-    sums = rows.mapInPandas(partial, "lang string, vec array<double>").groupBy("lang").applyInPandas(total, "lang string, vec array<double>")
+    sums = rows.mapInArrow(partial, "lang string, vec array<double>").groupBy("lang").applyInPandas(total, "lang string, vec array<double>")
     return {r["lang"]: np.array(r["vec"]) for r in sums.collect()}
 
 
-def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """Adds lang_pred and score (the cosine, not under 0) to the columns `keep` (doc_id if not given) of `docs`, from
-    the text alone. Texts that are null or without letters, and all texts if there is no prototype, are `und` with
-    score 0; of equal cosines, the first language in code point order counts. A text of any length is read whole.
+    the column `text` alone. Texts that are null or without letters, and all texts if there is no prototype, are `und`
+    with score 0; of equal cosines, the first language in code point order counts. A text of any length is read whole.
     Repeated rows and ids are judged row by row; an empty table gives no rows."""
     keep = ["doc_id"] if keep is None else keep
     langs = sorted(profiles)
     norms = [np.linalg.norm(profiles[x]) or 1.0 for x in langs]
     matrix = np.array([profiles[x] / n for x, n in zip(langs, norms, strict=True)], np.float32).reshape(len(langs), DIM)
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder()
-        for pdf in batches:
+        for batch in slices(batches):
             pred, score = [], []
-            for grams in enc.chunks(pdf["__text"].tolist()):
-                b = enc.bundles(grams)
+            for grams in enc.chunks(batch.column(text)):
                 if not langs:
                     pred += ["und"] * len(grams)
                     score += [0.0] * len(grams)
                     continue
+                b = enc.bundles(grams)
                 cos = (b @ matrix.T) / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-9)
                 best = cos.argmax(axis=1)
                 some = np.array([len(g) > 0 for g in grams])
                 pred += [langs[k] if ok else "und" for k, ok in zip(best, some, strict=True)]
                 score += np.where(some, np.clip(cos[np.arange(len(best)), best], 0, 1), 0).astype(float).tolist()
-            yield pdf.drop(columns="__text").assign(lang_pred=pred, score=score)
+            cols = [*[batch.column(c) for c in keep], pa.array(pred, pa.string()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score"])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("__text").schema) + ", lang_pred string, score double"
-    return rows.mapInPandas(judge, schema)
+    rows = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])])
+    return rows.mapInArrow(judge, arrow_schema(rows, keep, "lang_pred string, score double"))
 
 
 def is_held_out() -> F.Column:

@@ -16,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.util import WHITE, shuffle_partitions, stored
+from granary.llm.util import WHITE, arrow_schema, shuffle_partitions, slices, stored
 
 #: Keys a shard holds at most on average: its arrays stay near 1 MB.
 SHARD_KEYS = 100_000
@@ -197,24 +198,19 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, keep: list[str] | None = No
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"), rk.alias("__rk"))
     rows = rows.join(drops, "__rk", "left").drop("__rk")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
             lines, dropped, kept = [], [], []
-            for text, drops in zip(pdf["__text"], pdf["__drops"], strict=True):
-                own = (text or "").split("\n")
+            for text, drops in zip(batch.column("__text"), batch.column("__drops"), strict=True):
+                own, out = (text.as_py() or "").split("\n"), set(drops.as_py() or ())
+                stay = [x for x in own if not ((key := line_key(x)) and _signed(key) in out)] if out else own
                 lines.append(len(own))
-                if drops is None or not len(drops):
-                    stay = own
-                else:
-                    out = set(map(int, drops))
-                    stay = [x for x in own if not ((key := line_key(x)) and _signed(key) in out)]
                 dropped.append(len(own) - len(stay))
                 kept.append("\n".join(stay))
-            yield pdf.drop(columns=["__text", "__drops"]).assign(n_lines=lines, n_dropped=dropped, kept=kept)
+            cols = [*[batch.column(c) for c in keep], pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "n_lines", "n_dropped", "kept"])
 
-    given = rows.select(*[F.col(f"`{c}`") for c in keep]).schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given) + ", n_lines long, n_dropped long, kept string"
-    return rows.mapInPandas(cut, schema)
+    return rows.mapInArrow(cut, arrow_schema(rows, keep, "n_lines long, n_dropped long, kept string"))
 
 
 def _signed(key: str) -> int:

@@ -65,6 +65,12 @@ def slices(batches, rows: int = 500):
             yield batch.slice(at, rows)
 
 
+def arrow_schema(df: DataFrame, columns: list[str], more: str) -> str:
+    """DDL of some columns of `df` and of what a function adds to them."""
+    own = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns]
+    return ", ".join([*own, more])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
