@@ -4,10 +4,14 @@ across the whole corpus, and sentences under any run that is not the first of it
 A run is as short as it can be while it has at least two sentences and `min_words` words; it is taken from each sentence
 forwards and from each sentence backwards, so a repeated passage is covered to its first and last sentence. A sentence
 of `long_words` words or more is a run by itself.
+
+A sentence of CLAUSE_WORDS words or more counts as its clauses, each a sentence of its own: a passage that starts or ends
+within a long sentence of its host is then covered from or to the next comma.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -21,22 +25,31 @@ from granary.llm.util import slices, stored
 
 #: Where a sentence ends: white space after an end mark (which may be followed by quotes or brackets), or a line's end.
 BREAK = re.compile(r"(?<=[.!?…。！？])[\"'”’)\]]*\s+|\n\s*")
+#: Where a long sentence is cut, and how long it must be.
+CLAUSE, CLAUSE_WORDS = re.compile(r"(?<=[,;:、，；：])\s+"), 20
 
 
 def sentences(text: str) -> tuple[list[int], list[bytes], list[int]]:
     """Starts of the sentences (each reaches to the next one's start), 8-byte hashes of their words (lower-cased, white
     space apart) and numbers of words. Parts without words belong to the sentence before."""
-    starts, hashes, sizes, at = [], [], [], 0
-    cuts = [m.end() for m in BREAK.finditer(text)]
-    if not cuts or cuts[-1] != len(text):
-        cuts.append(len(text))
-    for end in cuts:
+    starts, hashes, sizes = [], [], []
+
+    def add(at: int, end: int, cut: bool) -> None:
         words = text[at:end].lower().split()
-        if words:
+        if cut and len(words) >= CLAUSE_WORDS:
+            ends = [m.end() for m in CLAUSE.finditer(text, at, end) if m.end() < end]
+            for a, b in itertools.pairwise([at, *ends, end]):
+                add(a, b, False)
+        elif words:
             starts.append(at if starts else 0)
             hashes.append(xxhash.xxh64_digest(" ".join(words).encode("utf-8", "surrogatepass")))
             sizes.append(len(words))
-        at = end
+
+    cuts = [m.end() for m in BREAK.finditer(text)]
+    if not cuts or cuts[-1] != len(text):
+        cuts.append(len(text))
+    for at, end in itertools.pairwise([0, *cuts]):
+        add(at, end, True)
     return starts, hashes, sizes
 
 
@@ -99,7 +112,7 @@ def docs_id_type(docs: DataFrame) -> pa.DataType:
     return to_arrow_type(docs.schema["doc_id"].dataType)
 
 
-def dedup_spans(docs: DataFrame, min_words: int = 20, long_words: int = 50, keep: list[str] | None = None) -> DataFrame:
+def dedup_spans(docs: DataFrame, min_words: int = 30, long_words: int = 50, keep: list[str] | None = None) -> DataFrame:
     """Removes the sentences under every repeated run but its first (smallest doc_id, null first; then the smallest
     hash of the text, then the place in it). Repeats within a document count like those between documents.
 

@@ -42,7 +42,8 @@ def test_equals_brute_force(spark):
     rows = [(k, "".join(rng.choice(passages) if rng.random() < 0.3 else sentence(rng) for _ in range(rng.randrange(1, 12)))) for k in range(60)]
     rows += [(100, "Go on. " * 40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert {r.doc_id: (r.kept, r.n_removed) for r in S.dedup_spans(df).collect()} == brute(rows)
+    assert {r.doc_id: (r.kept, r.n_removed) for r in S.dedup_spans(df, min_words=20).collect()} == brute(rows)
+    assert {r.doc_id: (r.kept, r.n_removed) for r in S.dedup_spans(df).collect()} == brute(rows, min_words=30)
 
 
 def test_a_passage_of_over_fifty_words_goes_whole(spark):
@@ -54,6 +55,16 @@ def test_a_passage_of_over_fifty_words_goes_whole(spark):
     assert " ".join(got[2].split()) == "Quite another start. Quite another end."
 
 
+def test_a_passage_inside_long_sentences_goes_from_comma_to_comma(spark):
+    rng = random.Random(9)
+    passage = ", ".join(sentence(rng, 8)[:-2] for _ in range(9))
+    text = lambda a, b: f"{a} words that come before it on the line {passage}, {b} words that follow on the same line."
+    rows = [(1, text("First", "first")), (2, text("Other", "other"))]
+    got = {r.doc_id: r.kept for r in S.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == rows[0][1]
+    assert got[2] == "Other words that come before it on the line " + passage.split(", ")[0] + ", other words that follow on the same line."
+
+
 def test_odd_rows(odd, none):
     assert S.dedup_spans(none).count() == 0
     rows = S.dedup_spans(odd).collect()
