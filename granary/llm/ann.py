@@ -3,7 +3,8 @@ residuals, asymmetric distance tables and exact reranking (Jegou, Douze and Schm
 
 Cells are packed into groups of about GROUP vectors; a cell with more is cut into several groups, so a cell of any size is
 worked off by many tasks. Queries meet the groups that hold a cell they look into; a task scores those cells by table
-look-ups and passes on its best few per query and group, never all pairs.
+look-ups, then exactly all vectors that the quantisation error leaves in question, and passes on the k best of each query
+and group, never all pairs. So what is found is exact within the cells that a query looks into.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from granary.llm.util import shuffle_partitions, stored
 
 #: Rows that centroids and codebooks are fitted on at most. Every row is indexed.
 SAMPLE = 16_384
-#: Vectors in a group and queries that meet it at once; vectors scored at once; up to SMALL vectors, all cells are probed.
-GROUP, QUERIES, BLOCK, SMALL = 65_536, 512, 4_096, 2_048
+#: Vectors in a group and queries that meet it at once; pairs scored exactly at once; up to SMALL vectors, all cells are probed.
+GROUP, QUERIES, PAIRS, SMALL = 4_096, 512, 262_144, 2_048
 SUBSPACES, CODES, ROUNDS, SEED = 32, 256, 8, 11
 #: Of the true neighbours within the sample, at least this share must lie in the cells that a query looks into.
 REACH, TRIALS = 0.98, 256
@@ -66,11 +67,17 @@ class Quantizer:
         needed = np.take_along_axis(place, nearest(x, self.coarse)[best], axis=1)
         return int(np.quantile(needed, REACH, method="higher")) + 1
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cells, codes, and how far an approximate score may be from the exact one for a query of length 1: the length of
+        what the codes leave of the vector, and the rounding of single precision."""
+        x, exact = x.astype(np.float32), x
         cell = nearest(x, self.coarse)
         rest, step = x - self.coarse[cell], self.dim // self.m
         codes = np.stack([nearest(rest[:, i * step : (i + 1) * step], b) for i, b in enumerate(self.books)], axis=1)
-        return cell.astype(np.int32), codes.astype(np.uint8)
+        coded = np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], axis=1).astype(np.float64)
+        size = [np.linalg.norm(v, axis=1) for v in (self.coarse[cell].astype(np.float64), coded)]
+        error = np.linalg.norm(exact - self.coarse[cell] - coded, axis=1)
+        return cell.astype(np.int32), codes.astype(np.uint8), error + (self.dim + self.m + 8) * 2.0**-23 * (size[0] + size[1] + error)
 
     def tables(self, q: np.ndarray) -> list[np.ndarray]:
         """For each subspace, the queries' inner products with its codebook."""
@@ -78,6 +85,31 @@ class Quantizer:
         return [q[:, i * step : (i + 1) * step] @ b.T for i, b in enumerate(self.books)]
 
 
+def packed(x: np.ndarray) -> list[bytes]:
+    """Each row's bytes, in single precision where that loses nothing."""
+    y = x.astype(np.float32)
+    return [b.tobytes() if same else a.tobytes() for a, b, same in zip(x, y, (x == y).all(axis=1), strict=True)]
+
+
+def unpacked(rows: list[bytes], dim: int) -> np.ndarray:
+    return np.stack([np.frombuffer(b, np.float32 if len(b) == 4 * dim else np.float64) for b in rows]).astype(np.float64)
+
+
+def in_order(q: np.ndarray, x: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Inner products of q[row] and x[col], summed one component after the other: equal vectors score equal to the bit."""
+    out = np.zeros(len(row))
+    for at in range(0, len(row), PAIRS):
+        cut = slice(at, at + PAIRS)
+        for d in range(q.shape[1]):
+            out[cut] += q[row[cut], d] * x[col[cut], d]
+    return out
+
+
+def kth(s: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row, -inf if there are fewer."""
+    return np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] >= k else np.full(len(s), -np.inf)
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """Rows (id, v) whose vector is neither null nor zero and has no null or non-finite component."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
@@ -103,15 +135,14 @@ def search(
     vec_col: str = "embedding",
     k: int = 20,
     probes: int | None = None,
-    rerank: int = 400,
 ) -> DataFrame:
     """For each row of `queries` (None: rows of `vectors` whose id is divisible by 20), its k nearest other rows found:
     query_id, rank, vec_id, score (the inner product of the original vectors in double precision; nearest first, ties
     to the smaller id; all candidates if there are fewer).
 
     probes: cells that a query looks into, those whose centroid has the largest inner product with it; if not given,
-    as many as reach 98 % of the true neighbours within the sample that the index is fitted on. rerank: candidates by
-    approximate score that get an exact one. In tables of up to SMALL rows every cell is probed.
+    as many as reach 98 % of the true neighbours within the sample that the index is fitted on. Within these cells the k
+    nearest are found for certain. In tables of up to SMALL rows every cell is probed.
     Rows with a null id, or a vector that is null, zero, of another length than most, or with null or non-finite
     components take no part. Rows that repeat an id are one row (their smallest vector counts). An empty table, or one
     without usable rows, gives no rows. Other columns are ignored.
@@ -128,18 +159,18 @@ def search(
     asked = rows.filter(F.col("id") % 20 == 0) if queries is None else usable(queries, id_col, vec_col).dropDuplicates(["id"])
     dim, cells = quant.dim, len(quant.coarse)
     probes = cells if n <= SMALL else min(cells, probes or reach)
-    rerank = max(rerank, 4 * k)
     rows, asked = rows.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
 
-    def to_array(col: pd.Series) -> np.ndarray:
-        return np.stack(col.tolist()).astype(np.float32) if len(col) else np.zeros((0, dim), np.float32)
+    def to_array(col: pd.Series, kind: type = np.float32) -> np.ndarray:
+        return np.stack(col.tolist()).astype(kind) if len(col) else np.zeros((0, dim), kind)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cell, codes = quant.encode(to_array(pdf["v"]))
-            yield pd.DataFrame({"id": pdf["id"], "cell": cell, "codes": [c.tobytes() for c in codes]})
+            x = to_array(pdf["v"], np.float64)
+            cell, codes, error = quant.encode(x)
+            yield pd.DataFrame({"id": pdf["id"], "cell": cell, "codes": [c.tobytes() for c in codes], "error": error, "v": packed(x)})
 
-    coded = stored(rows.mapInPandas(encode, "id long, cell int, codes binary"))
+    coded = stored(rows.mapInPandas(encode, "id long, cell int, codes binary, error double, v binary"))
     # At most 4096 cells: their sizes and places may come to the driver and go to every task.
     held = {r["cell"]: r["held"] for r in coded.groupBy("cell").agg(F.count("*").alias("held")).collect()}
     place, groups, room = {}, 0, 0
@@ -156,15 +187,15 @@ def search(
             q = to_array(pdf["v"])
             best = np.argsort(-(q @ quant.coarse.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
             out = [
-                (i, g, v.tobytes(), cells.tobytes())
-                for i, v, cells in zip(pdf["id"], q, best, strict=True)
+                (i, g, v, cells.tobytes())
+                for i, v, cells in zip(pdf["id"], packed(to_array(pdf["v"], np.float64)), best, strict=True)
                 for g in sorted({place[c][0] + k for c in cells.tolist() for k in range(place[c][1])})
             ]
             yield pd.DataFrame(out, columns=["id", "group", "v", "cells"])
 
     part = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int")
-    lists = coded.join(F.broadcast(places), "cell").select(part.alias("group"), "id", "cell", "codes")
-    lists = stored(lists.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("cell", "id", "codes"))).alias("rows")))
+    lists = coded.join(F.broadcast(places), "cell").select(part.alias("group"), "id", "cell", "codes", "error", "v")
+    lists = stored(lists.groupBy("group").agg(F.collect_list(F.struct("cell", "id", "codes", "error", "v")).alias("rows")))
     sent = stored(asked.mapInPandas(probed, "id long, group int, v binary, cells binary"))
     wanted = stored(sent.groupBy("group").agg(F.count("*").alias("asking")), 1)
     packs = sent.join(wanted, "group").withColumn("pack", F.pmod(F.xxhash64("id"), F.ceil(F.col("asking") / QUERIES)).cast("int"))
@@ -173,49 +204,42 @@ def search(
     pairs_n = wanted.agg(F.sum(F.ceil(F.col("asking") / QUERIES))).first()[0] or 0
     pairs = packs.join(lists, "group").repartition(max(shuffle_partitions(spark), int(pairs_n) // 4), "group", "pack")
 
-    def best_of(s: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each query, the rerank best of its scores; ties to the smaller id."""
-        if s.shape[1] > rerank:
-            order = np.lexsort((ids, -s), axis=1)[:, :rerank]
-            s, ids = np.take_along_axis(s, order, axis=1), np.take_along_axis(ids, order, axis=1)
-        return s, ids
-
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for asked, held in zip(pdf["asked"], pdf["rows"], strict=True):
-                q = np.stack([np.frombuffer(a["v"], np.float32) for a in asked])
+                q = unpacked([a["v"] for a in asked], dim)
                 own = np.array([a["id"] for a in asked], np.int64)
                 looks = np.zeros((len(own), cells), bool)
                 for r, a in enumerate(asked):
                     looks[r, np.frombuffer(a["cells"], np.int32)] = True
-                ids = np.array([r["id"] for r in held], np.int64)
-                cell = np.array([r["cell"] for r in held], np.int64)
+                row, col, s, ids = [], [], [], np.array([r["id"] for r in held], np.int64)
+                x, cell = unpacked([r["v"] for r in held], dim), np.array([r["cell"] for r in held], np.int64)
+                error, length = np.array([r["error"] for r in held]), np.linalg.norm(q, axis=1)
                 codes = np.frombuffer(b"".join(r["codes"] for r in held), np.uint8).reshape(len(ids), quant.m)
-                coarse, tables = q @ quant.coarse.T, quant.tables(q)
-                top, near = np.full((len(own), 0), -np.inf, np.float32), np.zeros((len(own), 0), np.int64)
-                for at in range(0, len(ids), BLOCK):
-                    cut = slice(at, at + BLOCK)
-                    s = coarse[:, cell[cut]]
+                # Rounding of a sum in double precision, whatever its order.
+                slack = 4 * dim * 2.0**-52 * length * np.linalg.norm(x, axis=1).max()
+                coarse, tables = q.astype(np.float32) @ quant.coarse.T, quant.tables(q.astype(np.float32))
+                for at in range(0, len(ids), GROUP):  # parts of a large cell are dealt by hash and may be somewhat larger
+                    cut = np.arange(at, min(at + GROUP, len(ids)))
+                    near = coarse[:, cell[cut]]
                     for i, t in enumerate(tables):
-                        s += t[:, codes[cut, i]]
-                    s[~looks[:, cell[cut]] | (ids[None, cut] == own[:, None])] = -np.inf
-                    if s.shape[1] > 2 * rerank:  # ties at the edge all stay until they are ordered by id
-                        edge = np.partition(s, s.shape[1] - rerank, axis=1)[:, s.shape[1] - rerank]
-                        some = (s >= edge[:, None]) & (s > -np.inf)
-                        width = int(some.sum(axis=1).max())
-                        pick = np.argsort(~some, axis=1, kind="stable")[:, :width]
-                        s, here = np.where(np.take_along_axis(some, pick, axis=1), np.take_along_axis(s, pick, axis=1), -np.inf), ids[cut][pick]
-                    else:
-                        here = np.broadcast_to(ids[None, cut], s.shape)
-                    top, near = best_of(np.concatenate([top, s], axis=1), np.concatenate([near, here], axis=1))
-                fine = np.isfinite(top)
-                yield pd.DataFrame({"query_id": np.broadcast_to(own[:, None], top.shape)[fine], "vec_id": near[fine], "near": top[fine].astype(np.float64)})
-
-    found = pairs.select("asked", "rows").mapInPandas(score, "query_id long, vec_id long, near double")
-    nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))
-    short = found.withColumn("nth", nth).filter(F.col("nth") <= rerank).select("query_id", "vec_id")
-    full = short.join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id").join(rows.select(F.col("id").alias("vec_id"), "v"), "vec_id")
-    exact = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    full = full.select("query_id", "vec_id", exact.alias("score"))
+                        near += t[:, codes[cut, i]]
+                    seen, most = looks[:, cell[cut]] & (ids[None, cut] != own[:, None]), length[:, None] * error[None, cut]
+                    edge = kth(np.where(seen & np.isfinite(near), near - most, -np.inf), k)
+                    seen &= ~(near + most < edge[:, None])
+                    some = np.flatnonzero(seen.any(axis=0))
+                    exact = np.where(seen[:, some], q @ x[cut[some]].T, -np.inf)
+                    r, c = np.nonzero(seen[:, some] & (exact >= (kth(exact, k) - 2 * slack)[:, None]))
+                    row.append(r)
+                    col.append(cut[some[c]])
+                    s.append(in_order(q, x, row[-1], col[-1]))
+                row, col, s = (np.concatenate(v) for v in (row, col, s))
+                order = np.lexsort((ids[col], -s, row))
+                row, col, s = row[order], col[order], s[order]
+                first = np.searchsorted(row, row)
+                best = np.arange(len(row)) - first < k
+                yield pd.DataFrame({"query_id": own[row[best]], "vec_id": ids[col[best]], "score": s[best]})
+
+    found = pairs.select("asked", "rows").mapInPandas(score, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
-    return full.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -47,3 +47,20 @@ def test_odd_vectors(spark):
     assert got == [(0, 1, 20, 2.0), (0, 2, 5, 0.5), (20, 1, 0, 2.0), (20, 2, 5, 1.0)]
     assert ann.search(df.limit(0)).count() == 0
     assert ann.search(df.filter("vec_id = 2")).count() == 0
+
+
+def test_a_tight_cluster_with_a_third_of_the_rows(spark):
+    """Near-equal vectors, whose quantised scores are in no useful order."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(9000, 16))
+    for spread, at in ((0.01, 0), (0.001, 2)):
+        x[at::6] = rng.normal(size=16) + spread * rng.normal(size=(1500, 16))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    ids = list(range(9000))
+    want = brute(ids, x.astype(float))
+    got = {(r.query_id, r.vec_id) for r in ann.search(frame(spark, ids, x)).collect()}
+    for place in (0, 2, 4):
+        some = [q for q in want if q % 6 == place]
+        assert sum((q, v) in got for q in some for v in want[q]) >= 0.9 * 20 * len(some)
+    got = {(r.query_id, r.rank, r.vec_id) for r in ann.search(frame(spark, ids, x), probes=10_000).collect()}
+    assert got == {(q, n + 1, v) for q, vs in want.items() for n, v in enumerate(vs)}
