@@ -6,13 +6,19 @@ forwards and from each sentence backwards, so a repeated passage is covered to i
 of `long_words` words or more is a run by itself.
 
 A sentence of CLAUSE_WORDS words or more counts as its clauses, each a sentence of its own: a passage that starts or ends
-within a long sentence of its host is then covered from or to the next comma.
+within a long sentence of its host is then covered from or to the next comma. A clause that is still as long is cut at
+places set by its words, so that runs meet inside text without punctuation too. In scripts without spaces, characters
+count as words.
+
+A line end may end a sentence or be a mere wrap. Text with line ends that follow no end mark is therefore cut twice, with
+these as ends and as white space, and runs of both cuts are looked for.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,36 +29,67 @@ from pyspark.sql import functions as F
 
 from granary.llm.util import slices, stored
 
-#: Where a sentence ends: white space after an end mark (which may be followed by quotes or brackets), or a line's end.
-BREAK = re.compile(r"(?<=[.!?…。！？])[\"'”’)\]]*\s+|\n\s*")
+#: Where a sentence ends: white space after an end mark (which may be followed by quotes or brackets), an end mark that is
+#: written without white space after it, or a line's end; and the same without lines' ends but those of empty lines.
+END = r"(?<=[.!?…。！？])[\"'”’)\]]*\s+|(?<=[。！？])[」』”’）)\]]*(?![。！？」』”’）)\]\s])"
+BREAK, PARAGRAPH = re.compile(END + r"|\n\s*"), re.compile(END + r"|\n[^\S\n]*\n\s*")
+#: A line end that may be a wrap.
+WRAP = re.compile(r"[^\s.!?…。！？][^\S\n]*\n[^\S\n]*\S")
 #: Where a long sentence is cut, and how long it must be.
-CLAUSE, CLAUSE_WORDS = re.compile(r"(?<=[,;:、，；：])\s+"), 20
+CLAUSE, CLAUSE_WORDS = re.compile(r"(?<=[,;:])\s+|(?<=[、，；：])\s*"), 20
+#: One of so many places between words, picked by the two words beside it, is a cut in a clause that is still long.
+PLACES = 8
+#: Letters of scripts without spaces (Thai to Khmer, kana, Han), and words where these count one by one.
+BARE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+UNSPACED, WORD = re.compile(f"[{BARE}]"), re.compile(f"[{BARE}]|[^\\s{BARE}]+")
 
 
-def sentences(text: str) -> tuple[list[int], list[bytes], list[int]]:
+def sentences(text: str, wrapped: bool = False) -> tuple[list[int], list[bytes], list[int]]:
     """Starts of the sentences (each reaches to the next one's start), 8-byte hashes of their words (lower-cased, white
-    space apart) and numbers of words. Parts without words belong to the sentence before."""
+    space apart) and numbers of words. Parts without words belong to the sentence before. wrapped: line ends are white
+    space."""
     starts, hashes, sizes = [], [], []
+    bare = not text.isascii() and UNSPACED.search(text) is not None
+
+    def words_in(at: int, end: int) -> list[str]:
+        part = text[at:end].lower()
+        return WORD.findall(part) if bare else part.split()
+
+    def put(at: int, words: list[str]) -> None:
+        starts.append(at if starts else 0)
+        hashes.append(xxhash.xxh64_digest(" ".join(words).encode("utf-8", "surrogatepass")))
+        sizes.append(len(words))
 
-    def add(at: int, end: int, cut: bool) -> None:
-        words = text[at:end].lower().split()
-        if cut and len(words) >= CLAUSE_WORDS:
+    def add(at: int, end: int, level: int) -> None:
+        words = words_in(at, end)
+        if level == 0 and len(words) >= CLAUSE_WORDS:
             ends = [m.end() for m in CLAUSE.finditer(text, at, end) if m.end() < end]
             for a, b in itertools.pairwise([at, *ends, end]):
-                add(a, b, False)
+                add(a, b, 1)
+        elif level == 1 and len(words) >= CLAUSE_WORDS:
+            found = [(m.start(), m.group().lower()) for m in WORD.finditer(text, at, end)]
+            since, first = 0, at
+            for k in range(1, len(found)):
+                if zlib.crc32(f"{found[k - 1][1]} {found[k][1]}".encode("utf-8", "surrogatepass")) % PLACES == 0:
+                    put(first, [w for _, w in found[since:k]])
+                    since, first = k, found[k][0]
+            put(first, [w for _, w in found[since:]])
         elif words:
-            starts.append(at if starts else 0)
-            hashes.append(xxhash.xxh64_digest(" ".join(words).encode("utf-8", "surrogatepass")))
-            sizes.append(len(words))
+            put(at, words)
 
-    cuts = [m.end() for m in BREAK.finditer(text)]
+    cuts = [m.end() for m in (PARAGRAPH if wrapped else BREAK).finditer(text)]
     if not cuts or cuts[-1] != len(text):
         cuts.append(len(text))
     for at, end in itertools.pairwise([0, *cuts]):
-        add(at, end, True)
+        add(at, end, 0)
     return starts, hashes, sizes
 
 
+def ways(text: str) -> list[tuple[list[int], list[bytes], list[int]]]:
+    """The cuts of a text, one or two."""
+    return [sentences(text), sentences(text, True)] if WRAP.search(text) else [sentences(text)]
+
+
 def spans(sizes: list[int], min_words: int, long_words: int) -> list[tuple[int, int]]:
     """Runs [i, j) of sentences, as described above."""
     n = len(sizes)
@@ -78,7 +115,7 @@ def spans(sizes: list[int], min_words: int, long_words: int) -> list[tuple[int,
 
 
 def sentence_spans(docs: DataFrame, min_words: int, long_words: int) -> DataFrame:
-    """One row per run: h (its hash), doc_id, th (a hash of the text), i and j."""
+    """One row per run: h (its hash), doc_id, th (a hash of the text), i and j (where it starts and ends in the text)."""
     schema = pa.schema([("h", pa.int64()), ("doc_id", docs_id_type(docs)), ("th", pa.int32()), ("i", pa.int32()), ("j", pa.int32())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,13 +123,20 @@ def sentence_spans(docs: DataFrame, min_words: int, long_words: int) -> DataFram
             ids, ths, texts = (batch.column(c) for c in ("doc_id", "th", "text"))
             h, row, first, last = [], [], [], []
             for k in range(len(texts)):
-                _, hashes, sizes = sentences(texts[k].as_py() or "")
-                joined = b"".join(hashes)
-                for i, j in spans(sizes, min_words, long_words):
-                    h.append(xxhash.xxh64_intdigest(joined[8 * i : 8 * j]))
-                    row.append(k)
-                    first.append(i)
-                    last.append(j)
+                text = texts[k].as_py() or ""
+                cuts, known = ways(text), set()
+                for starts, hashes, sizes in cuts:
+                    joined, ends = b"".join(hashes), [*starts, len(text)]
+                    for i, j in spans(sizes, min_words, long_words):
+                        run = (xxhash.xxh64_intdigest(joined[8 * i : 8 * j]), ends[i], ends[j])
+                        if len(cuts) > 1:
+                            if run in known:
+                                continue
+                            known.add(run)
+                        h.append(run[0])
+                        row.append(k)
+                        first.append(run[1])
+                        last.append(run[2])
                 if len(h) >= 50_000:
                     yield rows(h, row, first, last, ids, ths)
                     h, row, first, last = [], [], [], []
@@ -137,7 +181,7 @@ def dedup_spans(docs: DataFrame, min_words: int = 30, long_words: int = 50, keep
             count, removed, kept = [], [], []
             for text, own in zip(batch.column("__text"), batch.column("__cuts"), strict=True):
                 text, own = text.as_py(), own.as_py()
-                starts, _, _ = sentences(text or "")
+                starts = sorted({at for cut in ways(text or "") for at in cut[0]})
                 count.append(len(starts))
                 if not own:
                     removed.append(0)
@@ -145,7 +189,7 @@ def dedup_spans(docs: DataFrame, min_words: int = 30, long_words: int = 50, keep
                     continue
                 out = np.zeros(len(starts), bool)
                 for x in own:
-                    out[x["i"] : x["j"]] = True
+                    out[np.searchsorted(starts, x["i"]) : np.searchsorted(starts, x["j"])] = True
                 ends = [*starts[1:], len(text)]
                 removed.append(int(out.sum()))
                 kept.append("".join(text[a:b] for a, b, o in zip(starts, ends, out, strict=True) if not o))

@@ -70,3 +70,50 @@ def test_odd_rows(odd, none):
     rows = S.dedup_spans(odd).collect()
     assert len(rows) == odd.count()
     assert {r.kept for r in rows if r.doc_id == 2} == {None} and all(r.n_sentences == 0 for r in rows if r.doc_id in (2, 3, 4))
+
+
+def shared_inside(spark, a, b, passage, other=None):
+    """What is left of a second text that holds `passage`, or `other` in its place, inside."""
+    rows = [(1, a[0] + passage + a[1]), (2, b[0] + (other or passage) + b[1])]
+    got = {r.doc_id: r.kept for r in S.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == rows[0][1]
+    return got[2]
+
+
+def plain(rng, n):
+    return " ".join(rng.choice("lorem ipsum dolor sit amet eros vel nam".split()) + str(rng.randrange(90)) for _ in range(n))
+
+
+def test_a_passage_inside_text_without_punctuation(spark):
+    rng = random.Random(11)
+    ends = [plain(rng, 60) for _ in range(4)]
+    left = shared_inside(spark, (ends[0] + " ", " " + ends[1]), (ends[2] + " ", " " + ends[3]), plain(rng, 300))
+    assert left.startswith(ends[2]) and left.endswith(ends[3]) and len(left.split()) < 120 + 60
+
+
+def test_a_passage_wrapped_at_other_widths(spark):
+    import textwrap
+
+    rng = random.Random(12)
+    text = plain(rng, 300)
+    left = shared_inside(spark, ("A start.\n", ""), ("Another start.\n", ""), textwrap.fill(text, 80), textwrap.fill(text, 50))
+    assert len(left.split()) < 60
+    text = "".join(sentence(rng, 12) for _ in range(20)).replace("\n", " ")
+    left = shared_inside(spark, ("", ""), ("Another start.\n", ""), textwrap.fill(text, 80), textwrap.fill(text, 50))
+    assert len(left.split()) < 30
+
+
+def test_a_passage_without_spaces(spark):
+    rng = random.Random(13)
+    signs = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    left = shared_inside(spark, (signs(60), signs(60)), (signs(60), signs(60)), signs(300))
+    assert len(left) < 120 + 60
+    passage = "".join(signs(15) + "。" for _ in range(10))
+    left = shared_inside(spark, (signs(12) + "。", signs(12)), (signs(12) + "。", signs(12)), passage)
+    assert len(left) == 25
+
+
+def test_a_sentence_of_forty_words(spark):
+    rng = random.Random(14)
+    left = shared_inside(spark, ("One start. ", ". One end."), ("Another start. ", ". Another end."), plain(rng, 45))
+    assert left == "Another start. Another end."
