@@ -87,13 +87,15 @@ def replay_size(n_new: Column | int, share: float) -> Column:
     return (F.lit(n_new) * share / max(1 - share, 0.01)).cast("long")
 
 
-def oversample_plan(boxes: DataFrame, target: int = 500, most: int = 10) -> DataFrame:
-    """Copies of each file that holds a class with fewer than target boxes: cls, instances, files, copies =
-    least(most, int(need / greatest(boxes per file * files, 1)) + 1)."""
+def oversample_plan(boxes: DataFrame, target: int | None = 500, most: int = 10) -> DataFrame:
+    """Copies of each file that holds a class with fewer than target boxes (None: than the largest class): cls, instances,
+    files, copies = least(most, int(need / greatest(boxes per file * files, 1)) + 1)."""
     per = boxes.groupBy("cls").agg(F.count("*").alias("instances"), F.count_distinct("img").alias("files"))
-    need = F.lit(target) - F.col("instances")
+    if target is None:
+        per = per.crossJoin(F.broadcast(per.agg(F.max("instances").alias("__target"))))
+    need = (F.col("__target") if target is None else F.lit(target)) - F.col("instances")
     rate = F.greatest(F.col("instances") / F.col("files") * F.col("files"), F.lit(1.0))
-    return per.filter(need > 0).withColumn("copies", F.least(F.lit(most), (need / rate).cast("int") + 1))
+    return per.filter(need > 0).withColumn("copies", F.least(F.lit(most), (need / rate).cast("int") + 1)).drop("__target")
 
 
 def oversample(images: DataFrame, boxes: DataFrame, target: int = 500, most: int = 10) -> DataFrame:

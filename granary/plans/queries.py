@@ -312,6 +312,12 @@ def oversample_plan(spark, d):
     return corpus.oversample_plan(boxes(spark, d).filter("cls < 3 or img % 40 = 0"), target=4000)
 
 
+@query(f"with {BOX_SQL}, c as (select cls, count(*) as instances, count(distinct img) as files from box group by 1), t as (select max(instances) as target from c) select cls, instances, files, least(10, ((target - instances) / greatest(instances / files * files, 1e0))::decimal(18, 6)::double // 1 + 1)::int as copies from c, t where instances < target")
+def oversample_plan_whole(spark, d):
+    """oversample_plan over all boxes, up to the size of the largest class."""
+    return corpus.oversample_plan(boxes(spark, d), target=None)
+
+
 @query(f"with {BOX_SQL}, i as (select img, bool_or(cls in (8, 9)) as h, bool_or(cls in (0, 1, 2, 5)) as t from box group by 1), s as (select img, case when h then 'holdout' when t then 'train' end as split from i where h or t) select box.img, idx as box_idx, (case when split = 'holdout' then cls else case cls when 0 then 0 when 1 then 1 when 2 then 2 when 5 then 3 end end)::int as cls, split from box join s on box.img = s.img where split = 'holdout' or cls in (0, 1, 2, 5)")
 def leave_species_out(spark, d):
     return corpus.leave_classes_out(boxes(spark, d).withColumnRenamed("idx", "box_idx"), (8, 9), (0, 1, 2, 5)).select("img", "box_idx", "cls", "split")
