@@ -9,6 +9,7 @@ Windows without a digit or an `@` are not read: a span must hold one of these to
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -49,6 +50,12 @@ def digits_of(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def at_most_255(digits: str) -> bool:
+    """Of digits of any number, leading zeros apart."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or 0) <= 255
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost, non-overlapping; from each `@`, to the left as far as the local part goes."""
     out, end, at = [], 0, text.find("@")
@@ -69,7 +76,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", i, j) for i, j in emails(text)] if "@" in text else []
     if DIGIT.search(text):
         for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if all(at_most_255(p) for p in m.group().split(".")):
                 out.append(("ip", *m.span()))
         for m in CARD.finditer(text):
             d = digits_of(m.group())
@@ -303,15 +310,23 @@ def window_spans(tags: np.ndarray, start: int, length: int) -> list[tuple[str, i
 def reconciled(text: str, base: list[tuple[str, int, int]], found: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int]]:
     """Base spans and those of the network that are valid and overlap neither a base span nor a better one. The better
     span is the longer one, then the one nearer to its window's middle, then the first."""
-    taken = sorted((i, j) for _, i, j in base)
-    out = []
+    # Places taken so far, as disjoint stretches in order, so that looking for an overlap takes a binary search.
+    starts, ends, out = [], [], []
+    for _, i, j in sorted(base, key=lambda x: x[1]):
+        if ends and i <= ends[-1]:
+            ends[-1] = max(ends[-1], j)
+        else:
+            starts.append(i)
+            ends.append(j)
     for kind, i, j, _ in sorted(set(found), key=lambda x: (x[1] - x[2], x[3], x[1], x[0])):
         while i < j and text[i] in " \n,;:(" and not (kind == "phone" and text[i] == "("):
             i += 1
         while j > i and text[j - 1] in " \n,;:.":
             j -= 1
-        if valid(kind, text[i:j]) and all(j <= a or b <= i for a, b in taken):
-            taken.append((i, j))
+        at = bisect.bisect_right(starts, i)
+        if valid(kind, text[i:j]) and (at == 0 or ends[at - 1] <= i) and (at == len(starts) or j <= starts[at]):
+            starts.insert(at, i)
+            ends.insert(at, j)
             out.append((kind, i, j))
     return sorted([*base, *out], key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -34,10 +35,45 @@ def test_base_spans_equal_the_plain_patterns():
 
 
 def test_linear_on_hostile_texts():
-    for text in ("1" * 200_000, "a" * 200_000 + "@", "1." * 100_000, "+1" + " " * 100_000, "@" * 100_000):
+    for text in ("0" * 5000 + "1.1.1.1", "9" * 5000 + ".1.1.1", "1" * 200_000, "a" * 200_000 + "@", "1." * 100_000, "+1" + " " * 100_000, "@" * 100_000):
         P.base_spans(text)
 
 
+def test_ip_parts_of_any_length():
+    text = "0" * 5000 + "1.1.1.1 and " + "9" * 5000 + ".1.1.1"
+    assert P.base_spans(text) == [("ip", 0, 5007)]
+
+
+def slow_reconciled(text, base, found):
+    """Each span against all that are taken."""
+    taken, out = [(i, j) for _, i, j in base], []
+    for kind, i, j, _ in sorted(set(found), key=lambda x: (x[1] - x[2], x[3], x[1], x[0])):
+        while i < j and text[i] in " \n,;:(" and not (kind == "phone" and text[i] == "("):
+            i += 1
+        while j > i and text[j - 1] in " \n,;:.":
+            j -= 1
+        if P.valid(kind, text[i:j]) and not any(a < j and i < b for a, b in taken):
+            taken.append((i, j))
+            out.append((kind, i, j))
+    return sorted([*base, *out], key=lambda x: (P.KINDS.index(x[0]), x[1], x[2]))
+
+
+def test_reconciling_equals_all_comparisons():
+    rng = random.Random(4)
+    for _ in range(500):
+        text = "".join(rng.choices("0123456789 ", k=120))
+        base = sorted(("card", i, i + rng.randrange(1, 9)) for i in rng.sample(range(100), 5))
+        found = [("phone", i, min(120, i + rng.randrange(9, 20)), float(rng.randrange(3))) for i in (rng.randrange(110) for _ in range(20))]
+        assert P.reconciled(text, base, found) == slow_reconciled(text, base, found)
+
+
+def test_many_spans_take_linear_time():
+    text = "123456789 " * 40_000
+    began = time.time()
+    assert len(P.reconciled(text, [], [("phone", i, i + 9, 0.0) for i in range(0, len(text), 10)])) == 40_000
+    assert time.time() - began < 10
+
+
 @pytest.fixture(scope="module")
 def tagger(spark):
     return P.trained(spark)
@@ -57,6 +93,12 @@ def test_network_on_unseen_text(tagger):
     assert good / found >= 0.9 and good / gold >= 0.85
 
 
+def test_very_long_texts_are_read_to_the_end(spark, tagger):
+    text = "wort 12 " * 60_000 + "call 679-555-3007 now"
+    row = P.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert f"phone:{len(text) - 16}:{len(text) - 4}" in row.spans
+
+
 def test_windows_are_reconciled(spark, tagger):
     pad = "wort " * 40
     text = f"{pad}call 679-555-3007 now {pad}mail max.muster@mail.example.org please {pad}"
