@@ -10,7 +10,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,45 +21,88 @@ from granary.llm.nn import Adam, BiLstm, Parts, fitted, sigmoid
 
 # --- blocks of a page ------------------------------------------------------------------------------------------------
 
-#: Elements that neither hold text nor are closed; whose content is no text; that sit inside lines.
+#: Elements that neither hold text nor are closed; whose content is no text; that sit inside lines. What
+#: stands in other elements (object, iframe, svg, math, textarea) is judged by the labeller like any text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea xmp noembed noframes".split())
+RAW = frozenset("script style noscript template".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr".split()
 )
 #: What an opening tag closes, if it is open and no element of the second set is open inside it.
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
-MARKUP = re.compile(r"<!--(?s:.*?)(?:-->|\Z)|<!\[CDATA\[(?s:.*?)(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
+MARKUP = re.compile(r"<!--(?s:.*?)(?:-->|\Z)|<!\[CDATA\[(?s:.*?)(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*)|<[!?/]")
+#: Attributes up to the tag's end, which quotes may not hide.
+ATTRIBUTES = re.compile(r"(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+>")
 NAMES = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 PARTS = re.compile(r"[A-Za-z]+")
+RAW_END = {tag: re.compile(rf"</{tag}\b", re.I) for tag in RAW}
 
-Path = tuple[tuple[str, str], ...]
+class Paths:
+    """Places in the trees of pages: a number for each path of (tag, names in its class, id and role). A path is its
+    parent's and one step more, so a deep tree takes no more room than its tags."""
 
+    def __init__(self) -> None:
+        self.known: dict[tuple[int, str, str], int] = {}
+        self.steps: list[tuple[int, str, str]] = [(-1, "", "")]
+
+    def child(self, parent: int, tag: str, names: str) -> int:
+        step = (parent, tag, names)
+        k = self.known.get(step)
+        if k is None:
+            k = self.known[step] = len(self.steps)
+            self.steps.append(step)
+        return k
+
+
+class Stack:
+    """Open elements. Knows where each tag was opened last, so that no look-up walks through the stack."""
 
-def blocks(page: str) -> list[tuple[Path, str, int, int]]:
-    """(path of (tag, names in its class, id and role), text, characters inside links, number of links)."""
-    out: list[tuple[Path, str, int, int]] = []
-    stack: list[tuple[str, str]] = []
+    def __init__(self) -> None:
+        self.open: list[tuple[str, int]] = [("", 0)]
+        self.last: dict[str, list[int]] = {}
+        self.links = 0
+
+    def push(self, tag: str, place: int) -> None:
+        self.last.setdefault(tag, []).append(len(self.open))
+        self.links += tag == "a"
+        self.open.append((tag, place))
+
+    def depth(self, tags: Iterable[str]) -> int:
+        """Where the innermost of these tags is open, 0 if none is."""
+        return max((self.last[t][-1] for t in tags if self.last.get(t)), default=0)
+
+    def cut(self, depth: int) -> None:
+        while len(self.open) > depth:
+            tag, _ = self.open.pop()
+            self.last[tag].pop()
+            self.links -= tag == "a"
+
+
+def blocks(page: str, paths: Paths) -> list[tuple[int, str, int, int]]:
+    """(path, text, characters inside links, number of links) of each leaf block. A page in which a quote is left open
+    has its tags end at the next `>` from there on. Every step looks at a part of the page once."""
+    out: list[tuple[int, str, int, int]] = []
+    stack = Stack()
     parts: list[str] = []
-    place: Path = ()
-    links = link_chars = 0
-    in_link = 0
+    place = links = link_chars = 0
     at, end = 0, len(page)
+    begun = broken = False  # whether the block has text; whether a quote was left open
+    unclosed: set[str] = set()
 
     def flush() -> None:
-        nonlocal parts, links, link_chars
+        nonlocal parts, links, link_chars, begun
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             out.append((place, text, link_chars, links))
-        parts, links, link_chars = [], 0, 0
+        parts, links, link_chars, begun = [], 0, 0, False
 
     def say(raw: str) -> None:
-        nonlocal place, link_chars
+        nonlocal place, link_chars, begun
         if raw:
             if not raw.isspace():
-                if not any(not p.isspace() for p in parts):
-                    place = tuple(stack)
-                if in_link:
+                if not begun:
+                    place, begun = stack.open[-1][1], True
+                if stack.links:
                     link_chars += len(raw)
             parts.append(raw)
 
@@ -69,43 +112,47 @@ def blocks(page: str) -> list[tuple[Path, str, int, int]]:
             say(page[at:])
             break
         say(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        at, tag = m.end(), (m[2] or "").lower()
         if not tag:
             if m.group().startswith("<![CDATA["):
                 say(html.escape(m.group()[9:].removesuffix("]]>")))
+            elif not m.group().startswith("<!--"):
+                at = page.find(">", at) + 1
+                if not at:
+                    say(page[m.start() :])
+                    break
             continue
-        closing = bool(m[1] or m[4])
+        whole = None if broken else ATTRIBUTES.match(page, at)
+        broken = broken or whole is None
+        close = whole.end() if whole else page.find(">", at) + 1
+        if not close:
+            say(page[m.start() :])
+            break
+        attrs, at = page[at : close - 1], close
         if tag not in INLINE:
             flush() if tag != "br" else parts.append(" ")
-        if closing:
-            if any(t == tag for t, _ in stack):
-                while stack:
-                    t, _ = stack.pop()
-                    in_link -= t == "a"
-                    if t == tag:
-                        break
-            continue
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
+        if m[1]:
+            if depth := stack.depth((tag,)):
+                stack.cut(depth)
             continue
+        if tag in RAW and tag not in unclosed:
+            close = RAW_END[tag].search(page, at)
+            close = page.find(">", close.end()) + 1 if close else 0
+            if close:
+                at = close
+                continue
+            unclosed.add(tag)  # then its content counts as the page's, but for that of scripts and styles
+            if tag in ("script", "style"):
+                break
         if tag in VOID:
             continue
         shuts, within = CLOSES.get(tag, ({"p"}, {"td", "th", "li", "body", "article", "div", "section"}) if tag not in INLINE else (set(), set()))
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in shuts:
-                in_link -= sum(t == "a" for t, _ in stack[k:])
-                del stack[k:]
-                break
-            if stack[k][0] in within:
-                break
-        attrs = m[3] or m[6] or ""
+        depth = stack.depth(shuts)
+        if depth and depth > stack.depth(within):
+            stack.cut(depth)
         names = " ".join(x.lower() for got in NAMES.findall(attrs) for x in PARTS.findall(" ".join(got))) if "=" in attrs else ""
-        stack.append((tag, names))
-        if tag == "a":
-            in_link += 1
-            links += 1
+        stack.push(tag, paths.child(stack.open[-1][1], tag, names))
+        links += tag == "a"
     flush()
     return out
 
@@ -128,21 +175,32 @@ class Reader:
     """Features of pages' blocks; remembers paths and words up to a bound."""
 
     def __init__(self, most: int = 200_000) -> None:
-        self.paths, self.words, self.most = {}, {}, most
-
-    def path(self, path: Path) -> np.ndarray:
-        v = self.paths.get(path)
-        if v is None:
-            if len(self.paths) > self.most:
-                self.paths.clear()
-            v = np.zeros(2 * TAGS + NAMED, np.float32)
-            for tag, names in path:
-                v[slot(tag, TAGS)] = 1
-                for name in names.split():
-                    v[2 * TAGS + slot(name, NAMED)] = 1
-            for tag, _ in path[-1:]:
-                v[TAGS + slot(tag, TAGS)] = 1
-            self.paths[path] = v
+        self.words, self.most = {}, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.paths, self.vectors = Paths(), {0: np.zeros(2 * TAGS + NAMED, np.uint8)}
+
+    def blocks(self, page: str) -> list[tuple[int, str, int, int]]:
+        """The blocks of a page. Their paths hold until the next call of `forget`."""
+        return blocks(page, self.paths)
+
+    def path(self, path: int) -> np.ndarray:
+        """All tags and names on the way to a place, and its own tag once more: the parent's features and one step."""
+        todo, steps = [], self.paths.steps
+        while path not in self.vectors:
+            todo.append(path)
+            path = steps[path][0]
+        v = self.vectors[path]
+        for k in reversed(todo):
+            _, tag, names = steps[k]
+            v = v.copy()
+            v[slot(tag, TAGS)] = 1
+            v[TAGS : 2 * TAGS] = 0
+            v[TAGS + slot(tag, TAGS)] = 1
+            for name in names.split():
+                v[2 * TAGS + slot(name, NAMED)] = 1
+            self.vectors[k] = v
         return v
 
     def word(self, w: str) -> int:
@@ -153,7 +211,7 @@ class Reader:
             k = self.words[w] = slot(w, WORDS)
         return k
 
-    def __call__(self, page: list[tuple[Path, str, int, int]]) -> np.ndarray:
+    def __call__(self, page: list[tuple[int, str, int, int]]) -> np.ndarray:
         out = np.zeros((len(page), INPUTS), np.float32)
         if not page:
             return out
@@ -351,6 +409,8 @@ class Labeller:
         return out
 
 
+#: Pages that a task reads at once.
+PAGES_AT_ONCE = 256
 #: Generated pages, how often each is read, and pages in a training step.
 PAGES, EPOCHS, BATCH = 2400, 4, 32
 
@@ -360,7 +420,7 @@ def train() -> Parts:
     model, writer, reader, adam = Labeller(), PageWriter(SEED + 1), Reader(), Adam(0.01)
     pages, labels = [], []
     for _ in range(PAGES):
-        found = blocks(writer.page())
+        found = reader.blocks(writer.page())
         labels.append(np.array([t.startswith(writer.MARK) for _, t, _, _ in found], np.float32))
         pages.append(reader([(p, t.replace(writer.MARK, "") or "-", c, k) for p, t, c, k in found]))
     rounds, order = EPOCHS * PAGES // BATCH, np.random.default_rng(SEED)
@@ -388,7 +448,8 @@ def trained(spark) -> Labeller:
 def main_text(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Adds to the columns `keep` (page_id and url if not given): text (the main blocks in page order, joined by one
     space; character references decoded, white space inside a block turned into one space) and n_chars (its code
-    points). Null html is empty and gives an empty text, as does a page without main blocks. Pages are read whole, one by
+    points). A script or style that is never closed takes the rest of the page; of other elements nothing is left out
+    without the labeller. Null html is empty and gives an empty text, as does a page without main blocks. Pages are read whole, one by
     one, so repeated rows and ids do not matter; other columns are ignored; an empty table gives no rows."""
     keep = ["page_id", "url"] if keep is None else keep
     model, n = trained(pages.sparkSession), len(keep)
@@ -398,10 +459,12 @@ def main_text(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for whole in batches:
-            for at in range(0, len(whole), 512):
-                batch = whole.slice(at, 512)
-                found = [blocks(h.as_py() or "") for h in batch.column("__html")]
+            for at in range(0, len(whole), PAGES_AT_ONCE):
+                batch = whole.slice(at, PAGES_AT_ONCE)
+                found = [reader.blocks(h.as_py() or "") for h in batch.column("__html")]
                 fine = model.label([reader(f) for f in found])
+                if len(reader.paths.steps) > reader.most:
+                    reader.forget()
                 texts = [" ".join(b[1] for b, ok in zip(f, own, strict=True) if ok) for f, own in zip(found, fine, strict=True)]
                 cols = [*batch.columns[:n], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, "text", "n_chars"])
