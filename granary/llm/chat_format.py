@@ -11,14 +11,17 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm import util  # noqa: F401  (registers the package for pickling by value)
+from granary.llm.util import slices
 
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
 #: Characters and how they are written inside texts. `\\` must be written first and read last.
 ESCAPES = {"\\": "\\b", "#": "\\h", "<": "\\l"}
+#: Characters of examples that a task makes before it passes them on.
+CHUNK_CHARS = 4_000_000
 EXAMPLE = "conv_id long, example int, target int, text string, loss_start int, loss_end int"
 
 
@@ -64,18 +67,17 @@ def format_turn(role: str, text: str) -> tuple[str, int, int]:
     return f"{head}{body}{CLOSE}", len(head), len(head) + len(body)
 
 
-def expand(turns: list[tuple[str, str]], target_role: str = "assistant") -> list[tuple[int, str, int, int]]:
-    """(turn under the loss, text up to it, start and end of the loss mask in code points) for each target turn.
-    If the last turn is no target, a last example holds the whole conversation with an empty mask (turn -1)."""
-    out, whole = [], ""
+def expand(turns: list[tuple[str, str]], target_role: str = "assistant") -> Iterator[tuple[int, str, int, int]]:
+    """(turn under the loss, text up to it, start and end of the loss mask in code points) for each target turn, one by
+    one. If the last turn is no target, a last example holds the whole conversation with an empty mask (turn -1)."""
+    whole = ""
     for k, (role, text) in enumerate(turns):
         piece, start, end = format_turn(role, text)
         if role == target_role:
-            out.append((k, whole + piece, len(whole) + start, len(whole) + end))
+            yield k, whole + piece, len(whole) + start, len(whole) + end
         whole += piece
     if not turns or turns[-1][0] != target_role:
-        out.append((-1, whole, len(whole), len(whole)))
-    return out
+        yield -1, whole, len(whole), len(whole)
 
 
 def read_back(text: str) -> list[tuple[str, str]]:
@@ -97,41 +99,60 @@ def format_conversations(conversations: DataFrame, target_role: str = "assistant
     all count. Null text or role is empty; a null conv_id is one conversation. Texts are whole, however long. A
     conversation without a target turn, or with turns after the last, ends with an example whose mask is empty, so no
     turn is lost. Other columns are ignored; an empty table gives no rows. A conversation is the unit of output: its
-    turns are brought together, and no others.
+    turns are brought together, and no others; its examples, whose lengths add up to the square of its own, are made and
+    passed on a few at a time.
     """
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     convs = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["conv_id", "example", "target", "text", "loss_start", "loss_end"]
+        frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
         for pdf in batches:
-            rows = []
+            rows, chars = [], 0
             for conv, turns in zip(pdf["conv_id"], pdf["turns"], strict=True):
                 for n, (k, text, i, j) in enumerate(expand([(t["role"], t["text"]) for t in turns], target_role)):
                     rows.append((None if pd.isna(conv) else int(conv), n, k, text, i, j))
-            yield pd.DataFrame(rows, columns=["conv_id", "example", "target", "text", "loss_start", "loss_end"]).astype({"conv_id": "Int64"})
+                    chars += len(text)
+                    if chars >= CHUNK_CHARS:
+                        yield frame(rows)
+                        rows, chars = [], 0
+            yield frame(rows)
 
     return convs.mapInPandas(work, EXAMPLE)
 
 
 def digests(examples: DataFrame) -> DataFrame:
     """What a conversation's examples hold, read back from their texts and masks. The longest example has all turns;
-    masks are read from each example. formatted_chars is the length of all examples together."""
-    convs = examples.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("example", "target", "text", "loss_start", "loss_end"))).alias("all"))
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for conv, own in zip(pdf["conv_id"], pdf["all"], strict=True):
-                turns = read_back(own[-1]["text"])
-                said = "".join(f"{role}\n{text}\n" for role, text in turns)
-                loss = "".join(unescape(x["text"][x["loss_start"] : x["loss_end"]]) for x in own)
-                sha = lambda t: hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest()
-                rows.append((None if pd.isna(conv) else int(conv), len(turns), sha(said), len(loss), sha(loss), sum(len(x["text"]) for x in own), len(own)))
-            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples"]
-            yield pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
-
-    return convs.mapInPandas(work, schema)
+    masks are read from each example. formatted_chars is the length of all examples together.
+
+    Each example is digested where it is made: what travels is its reply and a few numbers, so a conversation's row
+    never holds more than its own replies, however long its examples are together."""
+    schema = "conv_id long, example int, n_turns long, turns_sha256 string, loss string, chars long"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices([whole], 32):
+                count, digest, loss, chars = [], [], [], []
+                for text, i, j in zip(*(batch.column(c) for c in ("text", "loss_start", "loss_end")), strict=True):
+                    text = text.as_py()
+                    turns = read_back(text)
+                    said = hashlib.sha256()
+                    for role, own in turns:
+                        said.update(f"{role}\n{own}\n".encode("utf-8", "surrogatepass"))
+                    count.append(len(turns))
+                    digest.append(said.hexdigest())
+                    loss.append(unescape(text[i.as_py() : j.as_py()]))
+                    chars.append(len(text))
+                cols = [batch.column("conv_id"), batch.column("example"), pa.array(count, pa.int64()), pa.array(digest), pa.array(loss, pa.string()), pa.array(chars, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["conv_id", "example", "n_turns", "turns_sha256", "loss", "chars"])
+
+    last = F.max_by(F.struct("n_turns", "turns_sha256"), "example").alias("last")
+    replies = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("example", "loss"))), lambda x: x["loss"]), "").alias("loss")
+    convs = examples.mapInArrow(work, schema).groupBy("conv_id").agg(last, replies, F.sum("chars").alias("formatted_chars"), F.count("*").alias("n_examples"))
+    return convs.select(
+        "conv_id", "last.n_turns", "last.turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_examples"
+    )
 
 
 #: The extra conversation of the contract: its texts hold the template's own control strings.

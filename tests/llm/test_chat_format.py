@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 from granary.llm import chat_format as C
@@ -28,3 +29,21 @@ def test_one_example_for_each_reply(spark):
     d = {r.conv_id: r for r in C.digests(ex).collect()}
     assert d[1].n_turns == 6 and d[1].loss_chars == 2 and d[None].n_turns == 1
     assert C.format_conversations(df.limit(0)).count() == 0
+
+
+def test_a_long_conversation_travels_by_digest(spark):
+    """1000 turns, half of them replies: the examples hold over 60 MB together, no row of the digest over 0.25 MB."""
+    rows = [(1, k, "assistant" if k % 2 else "user", f"{k} " + "x" * 250) for k in range(1000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    d = C.digests(C.format_conversations(df)).first()
+    said = "".join(f"{r}\n{t}\n" for _, _, r, t in rows)
+    loss = "".join(t for _, _, r, t in rows if r == "assistant")
+    assert (d.n_turns, d.turns_sha256, d.n_examples) == (1000, hashlib.sha256(said.encode()).hexdigest(), 500)
+    assert (d.loss_chars, d.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert d.formatted_chars == sum(len(t) for _, t, _, _ in C.expand([(r, t) for _, _, r, t in rows]))
+
+
+def test_a_very_long_text(spark):
+    text = "\\#<é" * 300_000
+    df = spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")
+    assert C.digests(C.format_conversations(df)).first().loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
