@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +17,9 @@ from pyspark.sql import functions as F
 from granary.llm.util import arrow_schema, slices
 
 DIM, SLOTS, SEED = 1024, 128, 7
-#: Documents and letters encoded at once: bounds a task's memory, whatever the texts' lengths.
-CHUNK_DOCS, CHUNK_CHARS = 256, 2_000_000
+#: Documents and letters encoded at once, and cells of their table of documents and n-grams: bounds a task's memory,
+#: whatever the texts' lengths and scripts.
+CHUNK_DOCS, CHUNK_CHARS, CELLS = 256, 2_000_000, 4_000_000
 
 
 def slot_of(cp: int) -> int:
@@ -62,12 +62,12 @@ class Encoder:
         a, b, c = codes // SLOTS**2, codes // SLOTS % SLOTS, codes % SLOTS
         return self.place[0][a] * self.place[1][b] * self.place[2][c]
 
-    def bundle_counts(self, counts: np.ndarray) -> np.ndarray:
-        """The bundle of n-gram counts over all codes; whole numbers, so any order of adding gives the same."""
-        out, codes = np.zeros(DIM), np.flatnonzero(counts)
+    def bundle(self, grams: np.ndarray) -> np.ndarray:
+        """The bundle of all n-grams given; whole numbers, so any order of adding gives the same."""
+        codes, counts = np.unique(grams, return_counts=True)
+        out = np.zeros(DIM)
         for i in range(0, len(codes), 4096):
-            part = codes[i : i + 4096]
-            out += counts[part].astype(np.float64) @ self.vectors(part).astype(np.float64)
+            out += counts[i : i + 4096].astype(np.float64) @ self.vectors(codes[i : i + 4096]).astype(np.float64)
         return out
 
     def bundles(self, grams: list[np.ndarray]) -> np.ndarray:
@@ -78,6 +78,9 @@ class Encoder:
         seen = np.zeros(SLOTS**3, bool)
         seen[flat] = True
         codes = np.flatnonzero(seen)
+        if len(grams) > 1 and len(grams) * len(codes) > CELLS:
+            half = len(grams) // 2
+            return np.concatenate([self.bundles(grams[:half]), self.bundles(grams[half:])])
         ids = np.zeros(SLOTS**3, np.int32)
         ids[codes] = np.arange(len(codes))
         doc = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -102,32 +105,34 @@ class Encoder:
 
 
 def train_profiles(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Prototypes from every row with text and lang. Each task adds up its rows and sends one vector per language;
-    what comes to the driver is the model: one vector per language."""
+    """Prototypes from every row with text and lang. Each task adds up its rows, a bounded number of letters at a time,
+    and sends one vector per language; the vectors are added in the JVM, component by component. What comes to the driver
+    is the model: one vector per language."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, totals, waiting = Encoder(), {}, {}
+        enc, totals, waiting, letters = Encoder(), {}, {}, 0
 
-        def add(lang: str) -> None:
-            grams = np.concatenate(waiting.pop(lang))
-            totals[lang] = totals.get(lang, 0) + np.bincount(grams, minlength=SLOTS**3).astype(np.int64)
+        def add() -> None:
+            for lang, grams in waiting.items():
+                totals[lang] = totals.get(lang, 0) + enc.bundle(np.concatenate(grams))
+            waiting.clear()
 
         for batch in slices(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                waiting.setdefault(lang, []).append(enc.trigrams(enc.symbols(text.as_py())))
-                if len(waiting[lang]) >= CHUNK_DOCS:
-                    add(lang)
-        for lang in list(waiting):
-            add(lang)
-        vecs = pa.array([enc.bundle_counts(c).tolist() for c in totals.values()], pa.list_(pa.float64()))
+                grams = enc.trigrams(enc.symbols(text.as_py()))
+                waiting.setdefault(lang, []).append(grams)
+                letters += len(grams)
+                if letters >= CHUNK_CHARS:
+                    add()
+                    letters = 0
+        add()
+        vecs = pa.array([v.tolist() for v in totals.values()], pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), vecs], names=["lang", "vec"])
 
-    def total(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"lang": [key[0]], "vec": [np.sum(np.stack(pdf["vec"].tolist()), axis=0)]})
-
     rows = docs.select("lang", "text").filter("lang is not null and text is not null")
-    sums = rows.mapInArrow(partial, "lang string, vec array<double>").groupBy("lang").applyInPandas(total, "lang string, vec array<double>")
-    return {r["lang"]: np.array(r["vec"]) for r in sums.collect()}
+    parts = rows.mapInArrow(partial, "lang string, vec array<double>").select("lang", F.posexplode("vec").alias("k", "v"))
+    sums = parts.groupBy("lang", "k").agg(F.sum("v").alias("v")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("all"))
+    return {r["lang"]: np.array(r["vec"]) for r in sums.select("lang", F.transform("all", lambda x: x["v"]).alias("vec")).collect()}
 
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str] | None = None, text: str = "text") -> DataFrame:

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -17,6 +18,47 @@ def test_bundles_are_sums_of_bound_letters():
     assert (enc.bundles([grams])[0] == by_hand).all()
 
 
+def test_many_letters_take_bounded_memory():
+    """256 documents of 2000 random Han letters hold over 400 000 trigrams: their table would take over 1 GB."""
+    rng, enc = np.random.default_rng(1), G.Encoder()
+    docs = ["".join(map(chr, rng.integers(0x4E00, 0x9FFF, 2000))) for _ in range(256)]
+    grams = [enc.trigrams(enc.symbols(t)) for t in docs]
+    tracemalloc.start()
+    got = enc.bundles(grams)
+    assert tracemalloc.get_traced_memory()[1] < 250e6
+    tracemalloc.stop()
+    assert all((got[k] == enc.bundle(grams[k])).all() for k in (0, 100, 255))
+
+
+def triples(enc, text):
+    s = enc.symbols(text).tolist()
+    return list(zip(s, s[1:], s[2:]))
+
+
+def test_whole_query_equals_brute_force(spark):
+    """Every prediction, from prototypes that are added up letter by letter."""
+    rng, enc = np.random.default_rng(4), G.Encoder()
+    letters = {"xa": "abcde ", "xb": "cdefg ", "xc": "efghia "}
+    rows = [(k, "".join(rng.choice(list(letters[lang]), 40)), lang) for k in range(120) for lang in [list(letters)[k % 3]]]
+    rows += [(200, None, "xa"), (201, "...", "xb"), (202, "abc", None)]
+    total = {}
+    for k, text, lang in rows:
+        if text is not None and lang and zlib.crc32(str(k).encode()) % 5:
+            for g in triples(enc, text):
+                if g[1]:
+                    total[lang] = total.get(lang, 0) + np.prod([enc.place[n][x].astype(int) for n, x in enumerate(g)], axis=0)
+    got = {r.doc_id: r for r in G.langid(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    for k, text, _ in rows:
+        grams = [g for g in triples(enc, text or "") if g[1]]
+        if not grams:
+            assert (got[k].lang_pred, got[k].score) == ("und", 0)
+            continue
+        v = sum(np.prod([enc.place[n][x].astype(int) for n, x in enumerate(g)], axis=0) for g in grams)
+        cos = {x: v @ p / np.linalg.norm(v) / np.linalg.norm(p) for x, p in total.items()}
+        best = max(sorted(cos), key=cos.get)
+        assert got[k].lang_pred == best and abs(got[k].score - max(0, cos[best])) < 1e-5
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(TESTDATA)
     rows = G.langid(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
