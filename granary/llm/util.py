@@ -29,10 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all executors share; a temporary one where it is unset."""
+    """The folder named by spark.checkpoint.dir, which all executors share. Where it is unset, a temporary folder of this
+    machine if Spark runs in local mode; on a cluster that is an error, as executors do not see each other's folders."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="granary-"))
     return f"file://{_own_dir[0]}"
@@ -40,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors, and is
-    computed once however often it is used. The files go when the session's process ends."""
+    computed once however often it is used. The files go when the driver's process ends, or by `forget`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/granary-{uuid.uuid4().hex}"
     (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
@@ -49,8 +52,11 @@ def stored(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 @atexit.register
-def _clean() -> None:
-    for ref, path in _written:
+def forget() -> None:
+    """Deletes all tables written so far. Results that still read them can't be computed any more: for a long session,
+    between one result that is done with and the next."""
+    while _written:
+        ref, path = _written.pop()
         with contextlib.suppress(Exception):
             spark = ref()
             jvm, hconf = spark._jvm, spark._jsc.hadoopConfiguration()
