@@ -2,9 +2,10 @@
 residuals, asymmetric distance tables and exact reranking (Jegou, Douze and Schmid, 2011).
 
 Cells are packed into groups of about GROUP vectors; a cell with more is cut into several groups, so a cell of any size is
-worked off by many tasks. Queries meet the groups that hold a cell they look into; a task scores those cells by table
-look-ups, then exactly all vectors that the quantisation error leaves in question, and passes on the k best of each query
-and group, never all pairs. So what is found is exact within the cells that a query looks into.
+worked off by many tasks. Queries are sent to the groups that hold a cell they look into, in packs, so that neither the vectors
+of a group nor its queries travel once for each of the other. A task scores those cells by table look-ups, then exactly
+all vectors that the quantisation error leaves in question, and passes on the k best of each query and group, never all
+pairs. So what is found is exact within the cells that a query looks into.
 """
 
 from __future__ import annotations
@@ -13,20 +14,20 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from granary.llm.util import shuffle_partitions, stored
+from granary.llm.util import shuffle_partitions, slices, stored
 
-#: Rows that centroids and codebooks are fitted on at most. Every row is indexed.
-SAMPLE = 16_384
-#: Vectors in a group and queries that meet it at once; pairs scored exactly at once; up to SMALL vectors, all cells are probed.
-GROUP, QUERIES, PAIRS, SMALL = 4_096, 512, 262_144, 2_048
+#: Rows that centroids and codebooks are fitted on at most, and rows of it for each cell. Every row is indexed.
+SAMPLE, PER_CELL = 65_536, 16
+#: Vectors in a group and queries that meet it at once, dealt in tiles of queries; pairs scored exactly at once.
+GROUP, QUERIES, TILE, PAIRS = 4_096, 2_048, 256, 262_144
 SUBSPACES, CODES, ROUNDS, SEED = 32, 256, 8, 11
 #: Of the true neighbours within the sample, at least this share must lie in the cells that a query looks into.
-REACH, TRIALS = 0.98, 256
+REACH, TRIALS = 0.95, 256
 
 
 def kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -95,6 +96,16 @@ def unpacked(rows: list[bytes], dim: int) -> np.ndarray:
     return np.stack([np.frombuffer(b, np.float32 if len(b) == 4 * dim else np.float64) for b in rows]).astype(np.float64)
 
 
+def packed_all(x: np.ndarray) -> bytes:
+    """All rows in one piece, in single precision where that loses nothing."""
+    y = x.astype(np.float32)
+    return (y if (x == y).all() else x).tobytes()
+
+
+def unpacked_all(piece: bytes, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(piece, np.float32 if len(piece) == 4 * n * dim else np.float64).reshape(n, dim).astype(np.float64)
+
+
 def in_order(q: np.ndarray, x: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
     """Inner products of q[row] and x[col], summed one component after the other: equal vectors score equal to the bit."""
     out = np.zeros(len(row))
@@ -111,23 +122,44 @@ def kth(s: np.ndarray, k: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """Rows (id, v) whose vector is neither null nor zero and has no null or non-finite component."""
+    """Rows (rid, id, v) whose vector is neither null nor zero and has no null or non-finite component. rid tells rows apart."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull()).filter(fine)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull()).filter(fine)
+    return rows.withColumn("rid", F.monotonically_increasing_id())
 
 
-def fit(rows: DataFrame, n: int, k: int) -> tuple[Quantizer, int] | None:
-    """The quantizer and the number of cells to probe. Fits on the SAMPLE rows with the smallest hash of their id. Cells grow with the root of the number of rows."""
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()
-    if not len(sample):
-        return None
-    dim = len(sample["v"].iloc[0])
-    x = np.stack([v for v in sample["v"] if len(v) == dim]).astype(np.float32)
-    quant = Quantizer(x, cells=max(1, min(4096, int(math.sqrt(n) / 2))))
+def fit(rows: DataFrame, n: int, dim: int, k: int) -> tuple[Quantizer, int]:
+    """The quantizer and the number of cells to probe. Fits on the SAMPLE rows with the smallest hash of their id. Cells
+    grow with the root of the number of rows, as far as the sample can place them."""
+    sample = rows.orderBy(F.xxhash64("id"), "id", "rid").limit(SAMPLE).select("v").toArrow()
+    x = matrix(sample.column("v").combine_chunks(), dim).astype(np.float32)
+    quant = Quantizer(x, cells=max(1, min(SAMPLE // PER_CELL, int(4 * math.sqrt(n)), -(-len(x) // PER_CELL))))
     return quant, quant.probes(x, k)
 
 
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Arrow lists of dim numbers each as rows."""
+    return np.asarray(column.flatten()).astype(np.float64).reshape(len(column), dim)
+
+
+def layout(held: np.ndarray) -> tuple[list[list[int]], list[tuple[int, int]]]:
+    """Cells dealt into groups of about GROUP vectors: the cells of each group, and each cell's first group and number of
+    groups. A cell with more than GROUP vectors has groups of its own."""
+    groups, place, room = [], [], 0
+    for cell, size in enumerate(held.tolist()):
+        parts = max(1, -(-size // GROUP))
+        if size > room:
+            room = GROUP if parts == 1 else 0
+            place.append((len(groups), parts))
+            groups += [[cell] for _ in range(parts)]
+        else:
+            place.append((len(groups) - 1, 1))
+            groups[-1].append(cell)
+        room = max(0, room - size)
+    return groups, place
+
+
 def search(
     vectors: DataFrame,
     queries: DataFrame | None = None,
@@ -141,105 +173,130 @@ def search(
     to the smaller id; all candidates if there are fewer).
 
     probes: cells that a query looks into, those whose centroid has the largest inner product with it; if not given,
-    as many as reach 98 % of the true neighbours within the sample that the index is fitted on. Within these cells the k
-    nearest are found for certain. In tables of up to SMALL rows every cell is probed.
-    Rows with a null id, or a vector that is null, zero, of another length than most, or with null or non-finite
-    components take no part. Rows that repeat an id are one row (their smallest vector counts). An empty table, or one
-    without usable rows, gives no rows. Other columns are ignored.
+    as many as reach REACH of the true neighbours within the sample that the index is fitted on. A query looks into more
+    where these hold fewer than k candidates. Within the cells that it looks into, the k nearest are found for certain.
+    Rows with a null id, or a vector that is null, zero, of another length than the most frequent one (of equally
+    frequent ones, the smallest), or with null or non-finite components take no part. Rows that repeat an id are rows like
+    any others: each is a candidate of the others, and each a query. Rows of a given table `queries` leave out candidates
+    with their own id. An empty table, or one without usable rows, gives no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors, id_col, vec_col)
-    rows = stored(rows.groupBy("id").agg(F.min("v").alias("v")))
-    n = rows.count()
-    out = "query_id long, rank int, vec_id long, score double"
-    fitted = fit(rows, n, k) if n else None
-    if fitted is None:
-        return spark.createDataFrame([], out)
-    quant, reach = fitted
-    asked = rows.filter(F.col("id") % 20 == 0) if queries is None else usable(queries, id_col, vec_col).dropDuplicates(["id"])
-    dim, cells = quant.dim, len(quant.coarse)
-    probes = cells if n <= SMALL else min(cells, probes or reach)
-    rows, asked = rows.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
-
-    def to_array(col: pd.Series, kind: type = np.float32) -> np.ndarray:
-        return np.stack(col.tolist()).astype(kind) if len(col) else np.zeros((0, dim), kind)
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = to_array(pdf["v"], np.float64)
+    rows = stored(usable(vectors, id_col, vec_col))
+    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    if sizes is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim, n = sizes["dim"], sizes["n"]
+    rows = rows.filter(F.size("v") == dim)
+    quant, reach = fit(rows, n, dim, k)
+    cells = len(quant.coarse)
+    probes = min(cells, probes or reach)
+    own_rows = queries is None
+    asked = rows.filter(F.col("id") % 20 == 0) if own_rows else stored(usable(queries, id_col, vec_col).filter(F.size("v") == dim))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column("v"), dim)
             cell, codes, error = quant.encode(x)
-            yield pd.DataFrame({"id": pdf["id"], "cell": cell, "codes": [c.tobytes() for c in codes], "error": error, "v": packed(x)})
-
-    coded = stored(rows.mapInPandas(encode, "id long, cell int, codes binary, error double, v binary"))
-    # At most 4096 cells: their sizes and places may come to the driver and go to every task.
-    held = {r["cell"]: r["held"] for r in coded.groupBy("cell").agg(F.count("*").alias("held")).collect()}
-    place, groups, room = {}, 0, 0
-    for cell in range(cells):
-        size = held.get(cell, 0)
-        if size > room:
-            groups, room = groups + max(1, -(-size // GROUP)), GROUP if size <= GROUP else size
-        place[cell] = (groups - max(1, -(-size // GROUP)), max(1, -(-size // GROUP)))
-        room = room - size if size <= GROUP else 0
-    places = spark.createDataFrame([(c, g, k) for c, (g, k) in place.items()], "cell int, first int, parts int")
-
-    def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            q = to_array(pdf["v"])
-            best = np.argsort(-(q @ quant.coarse.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
-            out = [
-                (i, g, v, cells.tobytes())
-                for i, v, cells in zip(pdf["id"], packed(to_array(pdf["v"], np.float64)), best, strict=True)
-                for g in sorted({place[c][0] + k for c in cells.tolist() for k in range(place[c][1])})
-            ]
-            yield pd.DataFrame(out, columns=["id", "group", "v", "cells"])
-
-    part = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int")
-    lists = coded.join(F.broadcast(places), "cell").select(part.alias("group"), "id", "cell", "codes", "error", "v")
-    lists = stored(lists.groupBy("group").agg(F.collect_list(F.struct("cell", "id", "codes", "error", "v")).alias("rows")))
-    sent = stored(asked.mapInPandas(probed, "id long, group int, v binary, cells binary"))
-    wanted = stored(sent.groupBy("group").agg(F.count("*").alias("asking")), 1)
-    packs = sent.join(wanted, "group").withColumn("pack", F.pmod(F.xxhash64("id"), F.ceil(F.col("asking") / QUERIES)).cast("int"))
-    packs = packs.groupBy("group", "pack").agg(F.collect_list(F.struct("id", "v", "cells")).alias("asked"))
+            cols = [batch.column("rid"), batch.column("id"), pa.array(cell), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(packed(x), pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["rid", "id", "cell", "codes", "error", "v"])
+
+    coded = stored(rows.mapInArrow(encode, "rid long, id long, cell int, codes binary, error double, v binary"))
+    # As many rows as cells, which SAMPLE bounds: their sizes and places may come to the driver and go to every task.
+    held = np.zeros(cells, np.int64)
+    for r in coded.groupBy("cell").agg(F.count("*").alias("held")).collect():
+        held[r["cell"]] = r["held"]
+    groups, place = layout(held)
+    places = spark.createDataFrame([(c, g, parts) for c, (g, parts) in enumerate(place)], "cell int, first int, parts int")
+
+    def pack_list(table: pa.Table) -> pa.Table:
+        """One row per group: its columns as bytes."""
+        x = unpacked(table.column("v").to_pylist(), dim)
+        whole = packed_all(x)
+        row = {c: [table.column(c).to_numpy().tobytes()] for c in ("rid", "id", "cell", "error")}
+        return pa.table({"group": table.column("group")[:1], **row, "codes": [b"".join(table.column("codes").to_pylist())], "v": [whole]})
+
+    part = (F.col("first") + F.pmod(F.xxhash64("rid"), F.col("parts"))).cast("int")
+    lists = coded.join(F.broadcast(places), "cell").select(part.alias("group"), "rid", "id", "cell", "codes", "error", "v")
+    lists = stored(lists.groupBy("group").applyInArrow(pack_list, "group int, rid binary, id binary, cell binary, error binary, codes binary, v binary"))
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices([whole], TILE):
+                x = matrix(batch.column("v"), dim)
+                order = np.argsort(-(x.astype(np.float32) @ quant.coarse.T), axis=1, kind="stable")
+                enough = (np.cumsum(held[order], axis=1) <= k).sum(axis=1) + 1
+                looks = np.zeros((len(x), cells), bool)
+                np.put_along_axis(looks, order, np.arange(cells)[None, :] < np.maximum(probes, enough)[:, None], axis=1)
+                bytes_of = packed(x)
+                for g, own in enumerate(groups):
+                    sub = looks[:, own]
+                    at = np.flatnonzero(sub.any(axis=1))
+                    if len(at):
+                        masks, take = np.packbits(sub[at], axis=1), pa.array(at)
+                        cols = [batch.column("rid").take(take), batch.column("id").take(take), pa.array(np.full(len(at), g, np.int32)), pa.array([bytes_of[r] for r in at], pa.binary()), pa.array([m.tobytes() for m in masks], pa.binary())]
+                        yield pa.RecordBatch.from_arrays(cols, names=["rid", "id", "group", "v", "mask"])
+
+    sent = stored(asked.mapInArrow(probed, "rid long, id long, group int, v binary, mask binary"))
+    wanted = stored(sent.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("packs")), 1)
+
+    def pack_asked(table: pa.Table) -> pa.Table:
+        row = {f"q_{c}": [table.column(c).to_numpy().tobytes()] for c in ("rid", "id")}
+        return pa.table({"group": table.column("group")[:1], "pack": table.column("pack")[:1], **row, "q_mask": [b"".join(table.column("mask").to_pylist())], "q_v": [packed_all(unpacked(table.column("v").to_pylist(), dim))]})
+
+    pairs_n = wanted.agg(F.sum("packs")).first()[0] or 0
     # A few pairs of a pack and a group in each partition, so that one batch stays small.
-    pairs_n = wanted.agg(F.sum(F.ceil(F.col("asking") / QUERIES))).first()[0] or 0
-    pairs = packs.join(lists, "group").repartition(max(shuffle_partitions(spark), int(pairs_n) // 4), "group", "pack")
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for asked, held in zip(pdf["asked"], pdf["rows"], strict=True):
-                q = unpacked([a["v"] for a in asked], dim)
-                own = np.array([a["id"] for a in asked], np.int64)
-                looks = np.zeros((len(own), cells), bool)
-                for r, a in enumerate(asked):
-                    looks[r, np.frombuffer(a["cells"], np.int32)] = True
-                row, col, s, ids = [], [], [], np.array([r["id"] for r in held], np.int64)
-                x, cell = unpacked([r["v"] for r in held], dim), np.array([r["cell"] for r in held], np.int64)
-                error, length = np.array([r["error"] for r in held]), np.linalg.norm(q, axis=1)
-                codes = np.frombuffer(b"".join(r["codes"] for r in held), np.uint8).reshape(len(ids), quant.m)
-                # Rounding of a sum in double precision, whatever its order.
-                slack = 4 * dim * 2.0**-52 * length * np.linalg.norm(x, axis=1).max()
-                coarse, tables = q.astype(np.float32) @ quant.coarse.T, quant.tables(q.astype(np.float32))
-                for at in range(0, len(ids), GROUP):  # parts of a large cell are dealt by hash and may be somewhat larger
-                    cut = np.arange(at, min(at + GROUP, len(ids)))
-                    near = coarse[:, cell[cut]]
-                    for i, t in enumerate(tables):
-                        near += t[:, codes[cut, i]]
-                    seen, most = looks[:, cell[cut]] & (ids[None, cut] != own[:, None]), length[:, None] * error[None, cut]
-                    edge = kth(np.where(seen & np.isfinite(near), near - most, -np.inf), k)
-                    seen &= ~(near + most < edge[:, None])
-                    some = np.flatnonzero(seen.any(axis=0))
-                    exact = np.where(seen[:, some], q @ x[cut[some]].T, -np.inf)
-                    r, c = np.nonzero(seen[:, some] & (exact >= (kth(exact, k) - 2 * slack)[:, None]))
-                    row.append(r)
-                    col.append(cut[some[c]])
-                    s.append(in_order(q, x, row[-1], col[-1]))
-                row, col, s = (np.concatenate(v) for v in (row, col, s))
-                order = np.lexsort((ids[col], -s, row))
-                row, col, s = row[order], col[order], s[order]
-                first = np.searchsorted(row, row)
-                best = np.arange(len(row)) - first < k
-                yield pd.DataFrame({"query_id": own[row[best]], "vec_id": ids[col[best]], "score": s[best]})
-
-    found = pairs.select("asked", "rows").mapInPandas(score, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
+    parts = max(shuffle_partitions(spark), int(pairs_n) // 4)
+    packs = sent.join(wanted, "group").withColumn("pack", F.pmod(F.xxhash64("rid"), F.col("packs")).cast("int"))
+    packs = packs.groupBy("group", "pack").applyInArrow(pack_asked, "group int, pack int, q_rid binary, q_id binary, q_mask binary, q_v binary")
+    copies = lists.join(wanted, "group").withColumn("pack", F.explode(F.sequence(F.lit(0), F.col("packs") - 1))).drop("packs")
+    pairs = packs.repartition(parts, "group", "pack").join(copies.repartition(parts, "group", "pack"), ["group", "pack"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(len(batch)):
+                b = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
+                for found in best_of(b):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["rid", "query_id", "vec_id", "score"])
+
+    def best_of(b: dict) -> Iterator[tuple[np.ndarray, ...]]:
+        """The k best of a group for the queries of a pack, in tiles of both."""
+        rids, ids, cell, error = (np.frombuffer(b[c], t) for c, t in (("rid", np.int64), ("id", np.int64), ("cell", np.int32), ("error", np.float64)))
+        codes = np.frombuffer(b["codes"], np.uint8).reshape(len(ids), quant.m)
+        x, all_q = unpacked_all(b["v"], len(ids), dim), unpacked_all(b["q_v"], len(b["q_id"]) // 8, dim)
+        own = groups[b["group"]]
+        masks = np.unpackbits(np.frombuffer(b["q_mask"], np.uint8).reshape(len(all_q), -1), axis=1)[:, : len(own)].astype(bool)
+        column = np.searchsorted(own, cell)
+        q_rids, q_ids = np.frombuffer(b["q_rid"], np.int64), np.frombuffer(b["q_id"], np.int64)
+        longest = np.linalg.norm(x, axis=1).max()
+        for first in range(0, len(all_q), TILE):
+            cut_q = slice(first, first + TILE)
+            q, row, col, s = all_q[cut_q], [], [], []
+            length = np.linalg.norm(q, axis=1)
+            # Rounding of a sum in double precision, whatever its order.
+            slack = 4 * dim * 2.0**-52 * length * longest
+            coarse, tables = q.astype(np.float32) @ quant.coarse[own].T, quant.tables(q.astype(np.float32))
+            for at in range(0, len(ids), GROUP):  # parts of a large cell are dealt by hash and may be somewhat larger
+                cut = np.arange(at, min(at + GROUP, len(ids)))
+                near = coarse[:, column[cut]]
+                for i, t in enumerate(tables):
+                    near += t[:, codes[cut, i]]
+                other = (rids[None, cut] != q_rids[cut_q, None]) if own_rows else (ids[None, cut] != q_ids[cut_q, None])
+                seen, most = masks[cut_q][:, column[cut]] & other, length[:, None] * error[None, cut]
+                edge = kth(np.where(seen & np.isfinite(near), near - most, -np.inf), k)
+                seen &= ~(near + most < edge[:, None])
+                some = np.flatnonzero(seen.any(axis=0))
+                exact = np.where(seen[:, some], q @ x[cut[some]].T, -np.inf)
+                r, c = np.nonzero(seen[:, some] & (exact >= (kth(exact, k) - 2 * slack)[:, None]))
+                row.append(r)
+                col.append(cut[some[c]])
+                s.append(in_order(q, x, row[-1], col[-1]))
+            row, col, s = (np.concatenate(v) for v in (row, col, s))
+            order = np.lexsort((ids[col], -s, row))
+            row, col, s = row[order], col[order], s[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, col, s = row[best], col[best], s[best]
+            yield q_rids[cut_q][row], q_ids[cut_q][row], ids[col], s
+
+    found = pairs.mapInArrow(score, "rid long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(W.partitionBy("rid").orderBy(F.desc("score"), "vec_id")).cast("int")
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
