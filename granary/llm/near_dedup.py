@@ -11,8 +11,9 @@ With a similarity of s, places differ with probability 1 - s, independently: a p
 probability 3e-7, one at exactly 0.8 with 2e-5, and any link between others of its group leads to the same component.
 
 Skew: documents with the same set are one class, joined once. In a key's bucket, every member is first confirmed against
-the smallest member, a linear number of pairs. Only buckets that still hold several components are worked off in full,
-in pairs of blocks of bounded size; a task passes on at most one link per member of its blocks, never all pairs.
+the first member, a linear number of pairs. Only buckets that still hold several components are worked off in full,
+in bands of like set sizes and there in pairs of blocks of bounded size; a task passes on at most one link per member of
+its blocks, never all pairs.
 """
 
 from __future__ import annotations
@@ -118,7 +119,7 @@ def keys_of(sigs: np.ndarray) -> np.ndarray:
 
 
 def filed(reps: DataFrame) -> DataFrame:
-    """(key, rep): every key of every representative."""
+    """(key, rep): every key of every class."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,9 +166,9 @@ def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(rep, set): the full shingle sets of wanted representatives, from the documents' texts."""
-    chosen = reps.join(wanted, "rep").select(F.col("rep"), F.col("th").alias("rep_th"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.hash("text").alias("th"), "text").join(chosen, "rep").filter("th = rep_th").select("rep", "text")
+    """(rep, set): the full shingle sets of wanted classes, from the texts of one document of each."""
+    chosen = reps.join(wanted, "rep").select(F.col("rep"), F.col("doc_id").alias("rep_doc"), F.col("th").alias("rep_th"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep_doc"), F.hash("text").alias("rep_th"), "text").join(chosen, ["rep_doc", "rep_th"]).select("rep", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -199,10 +200,10 @@ def compare_blocks(members: DataFrame, percent: int) -> DataFrame:
 
     def work(key: tuple, data: pa.Table) -> pa.Table:
         lane = key[0].as_py() & 255
-        p, q = key[1].as_py(), key[2].as_py()
+        p, q = key[2].as_py(), key[3].as_py()
         data = data.combine_chunks().sort_by("rep")
         rep, blk = data.column("rep").to_numpy(), data.column("blk").to_numpy()
-        comp = data.column("comp").to_numpy().copy()
+        comp, guest = data.column("comp").to_numpy().copy(), data.column("guest").to_numpy(zero_copy_only=False)
         sigs = matrix(data.column("sig").combine_chunks())
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in data.column("set")]
         sizes = np.array([len(x) for x in sets])
@@ -212,6 +213,8 @@ def compare_blocks(members: DataFrame, percent: int) -> DataFrame:
             if p != q:
                 others = others[blk[others] != blk[i]]
             others = others[comp[others] != comp[i]]
+            if guest[i]:
+                others = others[~guest[others]]
             others = others[100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])]
             if not len(others):
                 continue
@@ -222,7 +225,15 @@ def compare_blocks(members: DataFrame, percent: int) -> DataFrame:
                     comp[comp == max(comp[i], comp[j])] = min(comp[i], comp[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return members.groupBy("key", "p", "q").applyInArrow(work, "a long, b long")
+    return members.groupBy("key", "band", "p", "q").applyInArrow(work, "a long, b long")
+
+
+def in_bands(members: DataFrame, percent: int) -> DataFrame:
+    """Members of (key, band), each in the band of its set's size and as a guest in the next one: sizes of a linked pair
+    are at most 100 / percent apart, so it meets where the larger one is at home. Blocks are cut within bands."""
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.0001)).cast("int")
+    out = members.withColumn("home", band).withColumn("guest", F.explode(F.array(F.lit(False), F.lit(True))))
+    return out.withColumn("band", F.col("home") + F.col("guest").cast("int")).drop("home")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -232,17 +243,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     One row per row of `docs`: doc_id, th (a hash of the text), n_shingles, component_id (the smallest doc_id of its
     component), kept (doc_id = component_id). Texts that are null or have no words have an empty set and are linked
     with nothing. Rows with a null doc_id take no part: their component is null and they are kept. Rows that repeat a
-    doc_id are one node if their sets are equal, else nodes that share the id. Texts are read whole, however long;
-    other columns are ignored; an empty table gives no rows.
+    doc_id and have words are in one component, whatever their texts. Texts are read whole, however long; ties do not arise; other
+    columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     sigs = stored(signatures(docs, words))
+    # One class for each set; its node is a number of its own, so classes that share a doc_id are told apart.
     classes = sigs.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "th", "n_shingles", "sig")).alias("r"))
-    classes = stored(classes.select("digest", F.col("r.doc_id").alias("rep"), F.col("r.th").alias("th"), F.col("r.n_shingles").alias("n"), F.col("r.sig").alias("sig")))
-    reps = classes.select("rep", "th", "n", "sig")
-
-    # Every member of a bucket against the smallest one.
+    classes = classes.select(F.monotonically_increasing_id().alias("rep"), "digest", "r.doc_id", "r.th", F.col("r.n_shingles").alias("n"), F.col("r.sig").alias("sig"))
+    classes = stored(classes)
+    reps = classes.select("rep", "doc_id", "th", "n", "sig")
+    same_id = sigs.filter("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select("doc_id", "lo")
+    several = sigs.join(same_id, "doc_id").filter("digest <> lo").select("lo", F.col("digest").alias("hi")).distinct()
+    node = lambda d, name: classes.select(F.col("digest").alias(d), F.col("rep").alias(name))
+    same_id = stored(several.join(node("lo", "a"), "lo").join(node("hi", "b"), "hi").select("a", "b"))
+
+    # Every member of a bucket against the first one.
     buckets = filed(reps).groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("held")).filter("held > 1")
     buckets = stored(buckets)
     meet = filed(reps).join(buckets, "key")
@@ -253,27 +270,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
     sets = stored(sets_of(docs, reps, wanted, words))
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b")
-    links = stored(confirmed(both, percent))
+    links = stored(confirmed(both, percent).unionByName(same_id))
     comps = components(links)
 
-    # Buckets of three or more that hold several components: all pairs between components, block by block.
-    more = buckets.filter("held > 2").select("key", "held")
+    # Buckets of three or more that hold several components: all pairs between components, band by band and block by block.
+    more = buckets.filter("held > 2").select("key")
     members = filed(reps).join(more, "key").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    members = stored(members.select("key", "held", "rep", F.coalesce("component", "rep").alias("comp")))
-    mixed = stored(members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key"))
-    members = stored(members.join(mixed, "key").join(reps.select("rep", "sig"), "rep"))
-    wanted = members.select("rep").distinct()
-    sets = stored(sets_of(docs, reps, wanted, words))
+    members = stored(members.select("key", "rep", F.coalesce("component", "rep").alias("comp")))
+    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    members = stored(in_bands(members.join(stored(mixed), "key").join(reps.select("rep", "n", "sig"), "rep"), percent))
+    mixed = members.groupBy("key", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("held"), F.min("guest").alias("guests")).filter("lo <> hi and not guests")
+    members = stored(members.join(stored(mixed.select("key", "band", "held")), ["key", "band"]))
+    sets = stored(sets_of(docs, reps, members.select("rep").distinct(), words))
     blocks = F.ceil(F.col("held") / BLOCK).cast("int")
     members = members.withColumn("blocks", blocks).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("key", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "rep", "comp", "sig").join(sets, "rep")
-    links2 = stored(compare_blocks(members.repartition(parts, "key", "p", "q"), percent))
+    members = members.select("key", "band", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "rep", "comp", "guest", "sig").join(sets, "rep")
+    links2 = stored(compare_blocks(members.repartition(parts, "key", "band", "p", "q"), percent))
     if links2.limit(1).count():
         comps = components(links.unionByName(links2))
 
-    known = sigs.join(classes.select("digest", "rep"), "digest", "left").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    # A component is named by the smallest doc_id of its members, those of repeated ids included.
+    placed = classes.select("digest", "rep", F.col("doc_id").alias("own")).join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    smallest = placed.filter("component is not null").groupBy("component").agg(F.min("own").alias("smallest"))
+    placed = placed.join(smallest, "component", "left").select("digest", F.coalesce("smallest", "own").alias("named"))
+    known = sigs.join(placed, "digest", "left")
+    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("named", "doc_id"))
     out = known.select("doc_id", "th", "n_shingles", comp.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
