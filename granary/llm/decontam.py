@@ -24,14 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from granary.llm.bloom import bloom, passes
 from granary.llm.util import slices, stored
 
 #: Letters of scripts without spaces (Thai to Khmer, kana, Han), which are tokens one by one.
 BARE = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
 TOKEN, BARE_TOKEN, UNSPACED = re.compile(r"[^\W_]+"), re.compile(rf"[{BARE}]|[^\W_{BARE}]+"), re.compile(f"[{BARE}]")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-#: Bits of the Bloom filter for each run of an item, its probes for each, and its size at most: 16 MB.
-BITS_EACH, PROBES, MOST_BITS = 32, 2, 2**27
 #: Pairs of places that tiling looks at at once.
 HITS = 1_000_000
 
@@ -213,29 +212,6 @@ def item_runs(items: DataFrame, seed: int, share: float) -> DataFrame:
     return items.mapInArrow(work, "ik string, n int, h long, places long, need long")
 
 
-def bloom(runs: DataFrame) -> np.ndarray:
-    """The filter's bits, gathered as pieces of 4 kB from map-side bitmaps: at most MOST_BITS, so it may be broadcast."""
-    n = runs.select("h").distinct().count()
-    bits = 2**15
-    while bits < min(MOST_BITS, n * BITS_EACH):
-        bits *= 2
-    out = np.zeros(bits // 8, np.uint8)
-    places = F.explode(F.array(*[F.pmod(F.shiftrightunsigned("h", 29 * k), F.lit(bits)) for k in range(PROBES)])).alias("p")
-    pieces = runs.select("h").distinct().select(places).groupBy(F.bitmap_bucket_number(F.col("p") + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("bits"))
-    for r in pieces.collect():
-        piece = np.frombuffer(r["bits"], np.uint8)
-        out[(r["b"] - 1) * 4096 : (r["b"] - 1) * 4096 + len(piece)] = piece
-    return out
-
-
-def passes(filter_bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    out = np.ones(len(h), bool)
-    for k in range(PROBES):
-        p = ((h >> np.uint64(29 * k)) % np.uint64(8 * len(filter_bits))).astype(np.int64)
-        out &= (filter_bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
-    return out
-
-
 def document_runs(docs: DataFrame, text: str, lengths: list[int], filter_bits) -> DataFrame:
     """(dk, h): the distinct runs of each document that pass the filter."""
 
@@ -300,7 +276,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = 5, share: f
     runs = stored(item_runs(items, seed, share))
     lengths = sorted(r["n"] for r in runs.select("n").distinct().collect())  # at most `seed` numbers
     if lengths:
-        held = stored(document_runs(docs, text, lengths, spark.sparkContext.broadcast(bloom(runs))).distinct())
+        distinct = runs.select("h").distinct()
+        held = stored(document_runs(docs, text, lengths, spark.sparkContext.broadcast(bloom(distinct, distinct.count()))).distinct())
         # The most frequent runs of an item are left out, as long as a pair over the share must have one of the others.
         often = held.groupBy("h").agg(F.count("*").alias("often"))
         ranked = runs.join(often, "h")

@@ -2,170 +2,200 @@
 across the whole corpus, and sentences under any run that is not the first of its kind are removed.
 
 A run is as short as it can be while it has at least two sentences and `min_words` words; it is taken from each sentence
-forwards and from each sentence backwards, so a repeated passage is covered to its first and last sentence. A sentence
-of `long_words` words or more is a run by itself.
+forwards and from each sentence backwards, so a repeated passage is covered to its first and last sentence.
 
-A sentence of CLAUSE_WORDS words or more counts as its clauses, each a sentence of its own: a passage that starts or ends
-within a long sentence of its host is then covered from or to the next comma. A clause that is still as long is cut at
-places set by its words, so that runs meet inside text without punctuation too. In scripts without spaces, characters
-count as words.
+A sentence ends at an end mark, a clause mark or a line end, and at places set by the words themselves: between two words
+whose common hash is 0 modulo PLACES. The same rule cuts every text, so a passage is cut alike wherever it stands, be it
+in the middle of a host's long sentence or in text without punctuation. In scripts without spaces, characters count as
+words.
 
-A line end may end a sentence or be a mere wrap. Text with line ends that follow no end mark is therefore cut twice, with
-these as ends and as white space, and runs of both cuts are looked for.
+A line end may end a sentence or be a mere wrap. Text with line ends is therefore cut twice, with these as ends and as
+white space, and runs of both cuts are looked for.
+
+Two passes over the texts: the first shuffles a hash for each run and counts it; the second passes on only runs whose hash
+may be a repeated one, by a Bloom filter of bounded size.
 """
 
 from __future__ import annotations
 
-import itertools
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.bloom import bloom, passes
 from granary.llm.util import slices, stored
 
-#: Where a sentence ends: white space after an end mark (which may be followed by quotes or brackets), an end mark that is
-#: written without white space after it, or a line's end; and the same without lines' ends but those of empty lines.
-END = r"(?<=[.!?…。！？])[\"'”’)\]]*\s+|(?<=[。！？])[」』”’）)\]]*(?![。！？」』”’）)\]\s])"
-BREAK, PARAGRAPH = re.compile(END + r"|\n\s*"), re.compile(END + r"|\n[^\S\n]*\n\s*")
-#: A line end that may be a wrap.
-WRAP = re.compile(r"[^\s.!?…。！？][^\S\n]*\n[^\S\n]*\S")
-#: Where a long sentence is cut, and how long it must be.
-CLAUSE, CLAUSE_WORDS = re.compile(r"(?<=[,;:])\s+|(?<=[、，；：])\s*"), 20
-#: One of so many places between words, picked by the two words beside it, is a cut in a clause that is still long.
+#: One of so many places between words, picked by the two words beside it, ends a sentence.
 PLACES = 8
-#: Letters of scripts without spaces (Thai to Khmer, kana, Han), and words where these count one by one.
-BARE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-UNSPACED, WORD = re.compile(f"[{BARE}]"), re.compile(f"[{BARE}]|[^\\s{BARE}]+")
-
-
-def sentences(text: str, wrapped: bool = False) -> tuple[list[int], list[bytes], list[int]]:
-    """Starts of the sentences (each reaches to the next one's start), 8-byte hashes of their words (lower-cased, white
-    space apart) and numbers of words. Parts without words belong to the sentence before. wrapped: line ends are white
-    space."""
-    starts, hashes, sizes = [], [], []
-    bare = not text.isascii() and UNSPACED.search(text) is not None
-
-    def words_in(at: int, end: int) -> list[str]:
-        part = text[at:end].lower()
-        return WORD.findall(part) if bare else part.split()
-
-    def put(at: int, words: list[str]) -> None:
-        starts.append(at if starts else 0)
-        hashes.append(xxhash.xxh64_digest(" ".join(words).encode("utf-8", "surrogatepass")))
-        sizes.append(len(words))
-
-    def add(at: int, end: int, level: int) -> None:
-        words = words_in(at, end)
-        if level == 0 and len(words) >= CLAUSE_WORDS:
-            ends = [m.end() for m in CLAUSE.finditer(text, at, end) if m.end() < end]
-            for a, b in itertools.pairwise([at, *ends, end]):
-                add(a, b, 1)
-        elif level == 1 and len(words) >= CLAUSE_WORDS:
-            found = [(m.start(), m.group().lower()) for m in WORD.finditer(text, at, end)]
-            since, first = 0, at
-            for k in range(1, len(found)):
-                if zlib.crc32(f"{found[k - 1][1]} {found[k][1]}".encode("utf-8", "surrogatepass")) % PLACES == 0:
-                    put(first, [w for _, w in found[since:k]])
-                    since, first = k, found[k][0]
-            put(first, [w for _, w in found[since:]])
-        elif words:
-            put(at, words)
-
-    cuts = [m.end() for m in (PARAGRAPH if wrapped else BREAK).finditer(text)]
-    if not cuts or cuts[-1] != len(text):
-        cuts.append(len(text))
-    for at, end in itertools.pairwise([0, *cuts]):
-        add(at, end, 0)
-    return starts, hashes, sizes
-
-
-def ways(text: str) -> list[tuple[list[int], list[bytes], list[int]]]:
-    """The cuts of a text, one or two."""
-    return [sentences(text), sentences(text, True)] if WRAP.search(text) else [sentences(text)]
-
-
-def spans(sizes: list[int], min_words: int, long_words: int) -> list[tuple[int, int]]:
-    """Runs [i, j) of sentences, as described above."""
-    n = len(sizes)
-    total = [0, *np.cumsum(sizes).tolist()] if n else [0]
-    out = {(i, i + 1) for i, w in enumerate(sizes) if w >= long_words}
-    j = 0
-    for i in range(n):
-        j = max(j, i + 2)
-        while j <= n and total[j] - total[i] < min_words:
-            j += 1
-        if j > n:
-            break
-        out.add((i, j))
-    i = n
-    for j in range(n, 0, -1):
-        i = min(i, j - 2)
-        while i >= 0 and total[j] - total[i] < min_words:
-            i -= 1
-        if i < 0:
-            break
-        out.add((i, j))
-    return sorted(out)
-
-
-def sentence_spans(docs: DataFrame, min_words: int, long_words: int) -> DataFrame:
-    """One row per run: h (its hash), doc_id, th (a hash of the text), i and j (where it starts and ends in the text)."""
-    schema = pa.schema([("h", pa.int64()), ("doc_id", docs_id_type(docs)), ("th", pa.int32()), ("i", pa.int32()), ("j", pa.int32())])
+#: Marks that end a sentence, that end a clause, and that may follow either before white space.
+END, CLAUSE, CLOSERS = ".!?…。！？", ",;:、，；：", "\"'”’)]」』）"
+#: Scripts without spaces (Thai to Khmer, kana, Han) and their marks, whose characters are words one by one.
+BARE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3001, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF01, 0xFF1F))
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 2**64))
+
+WHITE, WORDS_OF_ONE, ENDS, CLAUSES, CLOSES = 1, 2, 4, 8, 16
+KIND = np.zeros(0x10000, np.uint8)
+KIND[[c for c in range(0x10000) if chr(c).isspace()]] |= WHITE
+for _low, _high in BARE:
+    KIND[_low : _high + 1] |= WORDS_OF_ONE
+for _marks, _flag in ((END, ENDS), (CLAUSE, CLAUSES), (CLOSERS, CLOSES)):
+    KIND[[ord(c) for c in _marks]] |= _flag
+
+
+def spread(h: np.ndarray) -> np.ndarray:
+    """Hashes with their bits spread evenly."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+class Powers:
+    """Powers of a number, as many as were asked for so far."""
+
+    def __init__(self, base: np.uint64) -> None:
+        self.base, self.known = base, np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> np.ndarray:
+        if n > len(self.known):
+            self.known = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * n, self.base))])
+        return self.known
+
+
+UP, DOWN = Powers(MULTIPLIER), Powers(INVERSE)
+
+
+class Words:
+    """A text's words: where they start, their hashes (lower-cased), and the kinds of cuts before them."""
+
+    def __init__(self, text: str) -> None:
+        low = text.lower()
+        if len(low) != len(text):  # a few letters are longer in lower case
+            low = "".join(c.lower()[0] for c in text)
+        cps = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = KIND[np.minimum(cps, 0xFFFF)]
+        kind[cps >= 0x20000] |= WORDS_OF_ONE
+        white, bare = (kind & WHITE) > 0, (kind & WORDS_OF_ONE) > 0
+        begins = ~white
+        begins[1:] &= white[:-1] | bare[1:] | bare[:-1]
+        self.starts = np.flatnonzero(begins)
+        self.hashes = np.zeros(len(self.starts), np.uint64)
+        for a in range(0, len(self.starts), 100_000):
+            first = self.starts[a : a + 100_000]
+            end = self.starts[a + 100_000] if a + 100_000 < len(self.starts) else len(cps)
+            part = slice(first[0], end)
+            place = np.arange(first[0], end) - np.repeat(first, np.diff(np.append(first, end)))
+            letters = np.where(white[part], np.uint64(0), spread(cps[part].astype(np.uint64) + np.uint64(1)))
+            self.hashes[a : a + 100_000] = spread(np.add.reduceat(letters * UP(int(place.max()) + 1)[place], first - first[0]))
+        # Before each word but the first: the last character that is not white space, and the line ends since.
+        last = np.maximum.accumulate(np.where(white, 0, np.arange(len(cps))))[self.starts[1:] - 1]
+        lines = np.cumsum(cps == 10)
+        self.lines = lines[self.starts[1:] - 1] - lines[last]
+        ends, clauses = ((kind & flag) > 0 for flag in (ENDS, CLAUSES))
+        closes = (kind & CLOSES) > 0
+        while True:  # marks reach over closing quotes and brackets
+            more = closes[1:] & ends[:-1] & ~ends[1:]
+            if not more.any():
+                break
+            ends[1:] |= more
+        together = spread(self.hashes[:-1] * np.uint64(3) + self.hashes[1:]) % np.uint64(PLACES) == 0
+        self.cuts = ends[last] | clauses[last] | together
+        size = len(self.hashes)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * UP(size)[:size])])
+
+    def sentences(self, lines: int) -> np.ndarray:
+        """The first word of each sentence; so many line ends in a row are an end."""
+        if not len(self.starts):
+            return np.zeros(0, np.int64)
+        return np.concatenate([[0], np.flatnonzero(self.cuts | (self.lines >= lines)) + 1])
+
+    def ways(self) -> list[np.ndarray]:
+        """The cuts of the text, one or two."""
+        one, two = self.sentences(1), self.sentences(2)
+        return [one] if len(one) == len(two) else [one, two]
+
+    def runs(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the words from first to before end."""
+        return spread((self.sums[end] - self.sums[first]) * DOWN(len(self.sums))[first])
+
+    def places(self, words: np.ndarray, length: int) -> np.ndarray:
+        """Where words start in the text; the first stands for the text's start, one beyond the last for its end."""
+        return np.where(words == 0, 0, np.append(self.starts, length)[words])
+
+
+def spans(firsts: np.ndarray, n: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of sentences, as described above, by their first word and the one after the last; n is the number of words."""
+    edges = np.append(firsts, n)
+    at = np.arange(len(firsts))
+    ahead = np.maximum(at + 2, np.searchsorted(edges, edges[:-1] + min_words))
+    back = np.minimum(at - 1, np.searchsorted(edges, edges[1:] - min_words, "right") - 1)
+    a = np.concatenate([at[ahead < len(edges)], back[back >= 0]])
+    b = np.concatenate([ahead[ahead < len(edges)], at[back >= 0] + 1])
+    both = np.unique(edges[a] * (n + 1) + edges[b]) if len(a) else np.zeros(0, np.int64)
+    return both // (n + 1), both % (n + 1)
+
+
+def text_runs(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a text's runs, and where they start and end in it."""
+    words = Words(text)
+    n = len(words.starts)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ways = [spans(w, n, min_words) for w in words.ways()]
+    first, end = ways[0]
+    if len(ways) > 1:
+        both = np.unique(np.concatenate([a * (n + 1) + b for a, b in ways]))
+        first, end = both // (n + 1), both % (n + 1)
+    return words.runs(first, end), words.places(first, len(text)), words.places(end, len(text))
+
+
+def run_hashes(docs: DataFrame, min_words: int) -> DataFrame:
+    """h: one row per run of every text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, ths, texts = (batch.column(c) for c in ("doc_id", "th", "text"))
-            h, row, first, last = [], [], [], []
-            for k in range(len(texts)):
-                text = texts[k].as_py() or ""
-                cuts, known = ways(text), set()
-                for starts, hashes, sizes in cuts:
-                    joined, ends = b"".join(hashes), [*starts, len(text)]
-                    for i, j in spans(sizes, min_words, long_words):
-                        run = (xxhash.xxh64_intdigest(joined[8 * i : 8 * j]), ends[i], ends[j])
-                        if len(cuts) > 1:
-                            if run in known:
-                                continue
-                            known.add(run)
-                        h.append(run[0])
-                        row.append(k)
-                        first.append(run[1])
-                        last.append(run[2])
-                if len(h) >= 50_000:
-                    yield rows(h, row, first, last, ids, ths)
-                    h, row, first, last = [], [], [], []
-            yield rows(h, row, first, last, ids, ths)
-
-    def rows(h: list, row: list, first: list, last: list, ids: pa.Array, ths: pa.Array) -> pa.RecordBatch:
-        at = pa.array(row, pa.int32())
-        cols = [pa.array(np.array(h, np.uint64).view(np.int64)), ids.take(at), ths.take(at), pa.array(first, pa.int32()), pa.array(last, pa.int32())]
-        return pa.RecordBatch.from_arrays(cols, schema=schema)
+            h = [text_runs(t.as_py() or "", min_words)[0] for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], names=["h"])
+
+    return docs.select("text").mapInArrow(work, "h long")
 
-    return docs.select("doc_id", F.hash("text").alias("th"), "text").mapInArrow(work, f"h long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, th int, i int, j int")
 
+def likely_runs(docs: DataFrame, min_words: int, filter_bits) -> DataFrame:
+    """The runs whose hash passes the filter: h, doc_id, th (a hash of the text), i and j (where it starts and ends)."""
 
-def docs_id_type(docs: DataFrame) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = filter_bits.value
+        for batch in slices(batches):
+            found, many = [], []
+            for t in batch.column("text"):
+                h, i, j = text_runs(t.as_py() or "", min_words)
+                fine = passes(bits, h)
+                found.append((h[fine], i[fine], j[fine]))
+                many.append(int(fine.sum()))
+            take = pa.array(np.repeat(np.arange(len(many)), many))
+            h, i, j = (np.concatenate(c) for c in zip(*found, strict=True))
+            cols = [pa.array(h.view(np.int64)), batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["h", "doc_id", "th", "i", "j"])
 
-    return to_arrow_type(docs.schema["doc_id"].dataType)
+    return docs.select("doc_id", F.hash("text").alias("th"), "text").mapInArrow(work, f"h long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, th int, i int, j int")
 
 
-def dedup_spans(docs: DataFrame, min_words: int = 30, long_words: int = 50, keep: list[str] | None = None) -> DataFrame:
+def dedup_spans(docs: DataFrame, min_words: int = 30, keep: list[str] | None = None) -> DataFrame:
     """Removes the sentences under every repeated run but its first (smallest doc_id, null first; then the smallest
     hash of the text, then the place in it). Repeats within a document count like those between documents.
 
     Returns the columns `keep` (doc_id if not given) with n_sentences, n_removed and kept (the text without the removed
     sentences; null text stays null, unchanged texts stay as they are to the byte). Rows equal in id and text are one
-    document: each comes out alike. Texts are read whole; empty texts have no sentences; an empty table gives no rows.
+    document: each comes out alike. Runs are told apart by 64-bit hashes. Texts are read whole; empty texts have no
+    sentences; other columns are ignored; an empty table gives no rows.
     """
     keep = ["doc_id"] if keep is None else keep
-    found = sentence_spans(docs, min_words, long_words)
+    spark = docs.sparkSession
+    repeated = stored(run_hashes(docs, min_words).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
+    found = stored(likely_runs(docs, min_words, spark.sparkContext.broadcast(bloom(repeated, repeated.count()))))
     first = F.min(F.struct("doc_id", "th", "i"))
     firsts = found.groupBy("h").agg(F.count("*").alias("n"), first.alias("f")).filter("n > 1")
     firsts = stored(firsts.select("h", F.col("f.doc_id").alias("f_doc"), F.col("f.th").alias("f_th"), F.col("f.i").alias("f_i")))
@@ -181,18 +211,20 @@ def dedup_spans(docs: DataFrame, min_words: int = 30, long_words: int = 50, keep
             count, removed, kept = [], [], []
             for text, own in zip(batch.column("__text"), batch.column("__cuts"), strict=True):
                 text, own = text.as_py(), own.as_py()
-                starts = sorted({at for cut in ways(text or "") for at in cut[0]})
+                words = Words(text or "")
+                starts = words.places(words.sentences(1), len(text or ""))
                 count.append(len(starts))
                 if not own:
                     removed.append(0)
                     kept.append(text)
                     continue
-                out = np.zeros(len(starts), bool)
-                for x in own:
-                    out[np.searchsorted(starts, x["i"]) : np.searchsorted(starts, x["j"])] = True
-                ends = [*starts[1:], len(text)]
+                edge = np.zeros(len(starts) + 1, np.int64)
+                np.add.at(edge, np.searchsorted(starts, [x["i"] for x in own]), 1)
+                np.add.at(edge, np.searchsorted(starts, [x["j"] for x in own]), -1)
+                out = np.cumsum(edge)[:-1] > 0
                 removed.append(int(out.sum()))
-                kept.append("".join(text[a:b] for a, b, o in zip(starts, ends, out, strict=True) if not o))
+                ends = np.append(starts[1:], len(text))
+                kept.append("".join(text[a:b] for a, b in zip(starts[~out].tolist(), ends[~out].tolist(), strict=True)))
             cols = [*batch.columns[:n], pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:n], "n_sentences", "n_removed", "kept"])
 

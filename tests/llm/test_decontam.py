@@ -4,6 +4,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
+from granary.llm import bloom
 from granary.llm import decontam as D
 
 
@@ -114,8 +115,8 @@ def test_reordered_passages_are_caught(spark):
 
 def test_a_full_filter_changes_nothing(spark, monkeypatch):
     """A benchmark too large for the filter's bound lets more runs through, and that is all."""
-    monkeypatch.setattr(D, "MOST_BITS", 2**15)
-    monkeypatch.setattr(D, "BITS_EACH", 2**20)
+    monkeypatch.setattr(bloom, "MOST_BITS", 2**15)
+    monkeypatch.setattr(bloom, "BITS_EACH", 2**20)
     bench = spark.createDataFrame([(k, " ".join(f"q{k}w{n}" for n in range(90))) for k in range(400)], "item_id long, text string")
     docs = spark.createDataFrame([(k, f"start q{k}x " + " ".join(f"q{k}w{n}" for n in range(90))) for k in range(380, 420)], "doc_id long, text string")
     assert {r.doc_id: list(r.item_ids) for r in D.contamination(docs, bench).collect()} == {k: [k] if k < 400 else [] for k in range(380, 420)}

@@ -1,70 +1,106 @@
 import random
+import textwrap
 
 from granary.llm import substring_dedup as S
 
-
-def brute(rows, min_words=20, long_words=50):
+ENDS, CLAUSES, CLOSERS = ".!?…。！？", ",;:、，；：", "\"'”’)]」』）"
+
+
+def tokens(text):
+    """(start, word) by the definition: runs without white space, characters of scripts without spaces one by one."""
+    out, at = [], None
+    for k, c in enumerate(text):
+        bare = any(low <= ord(c) <= high for low, high in S.BARE) or ord(c) >= 0x20000
+        if c.isspace() or bare:
+            at = None
+            if bare:
+                out.append([k, c])
+        elif at is None:
+            at = k
+            out.append([k, c])
+        else:
+            out[-1][1] += c
+    return [(k, "".join(c.lower()[0] for c in w)) for k, w in out]
+
+
+def sentences(text, lines, content):
+    """The first words of sentences, by the definition, character by character."""
+    words, out = tokens(text), [0]
+    for k in range(1, len(words)):
+        before = text[: words[k][0]]
+        gap = before[len(before.rstrip()) :]
+        said = before.rstrip()
+        bare = said.rstrip(CLOSERS)
+        if (bare and bare[-1] in ENDS) or said[-1] in CLAUSES or gap.count("\n") >= lines or content(words[k - 1][1], words[k][1]):
+            out.append(k)
+    return out if words else []
+
+
+def content(a, b):
+    """Whether two words are parted: the one thing that brute force takes from the module, a hash of both."""
+    words = S.Words(f"{a} {b}")
+    return bool(S.spread(words.hashes[:-1] * S.np.uint64(3) + words.hashes[1:])[0] % S.np.uint64(S.PLACES) == 0)
+
+
+def brute(rows, min_words):
     """Every run against every other, on words."""
-    docs = []
-    for d, text in sorted(rows):
-        starts, _, sizes = S.sentences(text)
-        ends = [*starts[1:], len(text)]
-        words = [tuple(text[a:b].lower().split()) for a, b in zip(starts, ends)]
-        n, runs = len(sizes), set()
-        for i in range(n):
-            if sizes[i] >= long_words:
-                runs.add((i, i + 1))
-            j = next((j for j in range(i + 2, n + 1) if sum(sizes[i:j]) >= min_words), None)
-            if j:
-                runs.add((i, j))
-            k = next((k for k in range(i - 1, -1, -1) if sum(sizes[k : i + 1]) >= min_words), None)
-            if k is not None:
-                runs.add((k, i + 1))
-        docs.append((d, text, starts, ends, words, sorted(runs)))
     seen, out = {}, {}
-    for d, text, starts, ends, words, runs in docs:
-        gone = set()
-        for i, j in runs:
-            key = tuple(words[i:j])
-            if seen.setdefault(key, (d, i)) != (d, i):
-                gone |= set(range(i, j))
-        out[d] = ("".join(text[a:b] for k, (a, b) in enumerate(zip(starts, ends)) if k not in gone), len(gone)) if gone else (text, 0)
+    for d, text in sorted(rows):
+        words, gone, runs = tokens(text), set(), set()
+        for lines in (1, 2):
+            first = [*sentences(text, lines, content), len(words)]
+            for i in range(len(first) - 1):
+                j = next((j for j in range(i + 2, len(first)) if first[j] - first[i] >= min_words), None)
+                if j:
+                    runs.add((first[i], first[j]))
+                k = next((k for k in range(i - 1, -1, -1) if first[i + 1] - first[k] >= min_words), None)
+                if k is not None:
+                    runs.add((first[k], first[i + 1]))
+        for a, b in sorted(runs):
+            key = tuple(w for _, w in words[a:b])
+            if seen.setdefault(key, (d, a)) != (d, a):
+                gone |= set(range(a, b))
+        units = [*sentences(text, 1, content), len(words)]
+        place = [0, *[words[k][0] for k in units[1:-1]], len(text)] if words else [0]
+        cut = [units[n] in gone for n in range(len(units) - 1)]
+        out[d] = ("".join(text[place[n] : place[n + 1]] for n, c in enumerate(cut) if not c), sum(cut)) if any(cut) else (text, 0)
     return out
 
 
 def sentence(rng, n=None):
-    return " ".join(rng.choice("lorem ipsum dolor sit amet eros vel nam".split()) + str(rng.randrange(30)) for _ in range(n or rng.randrange(1, 14))) + rng.choice([". ", "! ", "?\n"])
+    return " ".join(rng.choice("lorem ipsum dolor sit amet eros vel nam".split()) + str(rng.randrange(30)) for _ in range(n or rng.randrange(1, 14))) + rng.choice([". ", "! ", "?\n", ", ", ".\n\n", '.") '])
+
+
+def test_words_and_sentences_equal_the_definition():
+    rng = random.Random(4)
+    for _ in range(400):
+        text = "".join(rng.choices(["a", "Bc", " ", "\n", ".", ",", '"', ")", "。", "」", "我", "é", "İ", "\x1c", "\U00020001", "x1 y2", "  "], k=rng.randrange(40)))
+        words = S.Words(text)
+        assert words.starts.tolist() == [k for k, _ in tokens(text)]
+        assert all((words.hashes[a] == words.hashes[b]) == (x[1] == y[1]) for a, x in enumerate(tokens(text)) for b, y in enumerate(tokens(text)))
+        for lines in (1, 2):
+            assert words.sentences(lines).tolist() == sentences(text, lines, content), repr(text)
 
 
 def test_equals_brute_force(spark):
     rng = random.Random(6)
     passages = ["".join(sentence(rng) for _ in range(rng.randrange(4, 12))) for _ in range(4)] + [sentence(rng, 60)]
     rows = [(k, "".join(rng.choice(passages) if rng.random() < 0.3 else sentence(rng) for _ in range(rng.randrange(1, 12)))) for k in range(60)]
-    rows += [(100, "Go on. " * 40)]
+    rows += [(100, "Go on. " * 40), (101, textwrap.fill(passages[0] + passages[1], 40)), (102, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert {r.doc_id: (r.kept, r.n_removed) for r in S.dedup_spans(df, min_words=20).collect()} == brute(rows)
-    assert {r.doc_id: (r.kept, r.n_removed) for r in S.dedup_spans(df).collect()} == brute(rows, min_words=30)
+    assert {r.doc_id: (r.kept, r.n_removed) for r in S.dedup_spans(df, min_words=20).collect()} == brute(rows, 20)
+    assert {r.doc_id: (r.kept, r.n_removed) for r in S.dedup_spans(df).collect()} == brute(rows, 30)
 
 
 def test_a_passage_of_over_fifty_words_goes_whole(spark):
     rng = random.Random(8)
-    passage = "".join(sentence(rng, 9) for _ in range(7))
+    passage = "".join(sentence(rng, 9) for _ in range(7)).rstrip(' ,"\n)') + " "
     rows = [(1, "First words here. " + passage + "Last words here."), (2, "Quite another start. " + passage + "Quite another end."), (3, "Nothing shared at all here. Not a bit of it.")]
     got = {r.doc_id: r.kept for r in S.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == rows[0][1] and got[3] == rows[2][1]
     assert " ".join(got[2].split()) == "Quite another start. Quite another end."
 
 
-def test_a_passage_inside_long_sentences_goes_from_comma_to_comma(spark):
-    rng = random.Random(9)
-    passage = ", ".join(sentence(rng, 8)[:-2] for _ in range(9))
-    text = lambda a, b: f"{a} words that come before it on the line {passage}, {b} words that follow on the same line."
-    rows = [(1, text("First", "first")), (2, text("Other", "other"))]
-    got = {r.doc_id: r.kept for r in S.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1] == rows[0][1]
-    assert got[2] == "Other words that come before it on the line " + passage.split(", ")[0] + ", other words that follow on the same line."
-
-
 def test_odd_rows(odd, none):
     assert S.dedup_spans(none).count() == 0
     rows = S.dedup_spans(odd).collect()
@@ -84,6 +120,13 @@ def plain(rng, n):
     return " ".join(rng.choice("lorem ipsum dolor sit amet eros vel nam".split()) + str(rng.randrange(90)) for _ in range(n))
 
 
+def test_a_passage_inside_a_long_sentence(spark):
+    rng = random.Random(9)
+    passage = ", ".join(plain(rng, 8) for _ in range(9))
+    left = shared_inside(spark, ("First words that come before it ", " and more"), ("Other words that come before it ", " and others"), passage)
+    assert left.startswith("Other") and left.endswith("others") and len(left.split()) < 8 + 30
+
+
 def test_a_passage_inside_text_without_punctuation(spark):
     rng = random.Random(11)
     ends = [plain(rng, 60) for _ in range(4)]
@@ -92,8 +135,6 @@ def test_a_passage_inside_text_without_punctuation(spark):
 
 
 def test_a_passage_wrapped_at_other_widths(spark):
-    import textwrap
-
     rng = random.Random(12)
     text = plain(rng, 300)
     left = shared_inside(spark, ("A start.\n", ""), ("Another start.\n", ""), textwrap.fill(text, 80), textwrap.fill(text, 50))
