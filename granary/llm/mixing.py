@@ -2,13 +2,15 @@
 
 Native: only DataFrame expressions, so every step runs in the JVM.
 
-The plan has no per-source task: keys are cut into ranges, ranges are summed with map-side partial aggregation, and
-only the one range per source in which the budget ends is ordered row by row. A source that holds a third of all rows
+The plan has no per-source task: keys are cut into ranges (the root of the number of rows), ranges are summed with
+map-side partial aggregation, and only the one range per source in which the budget ends is ordered row by row. A source that holds a third of all rows
 costs no more than any other rows do.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -53,13 +55,13 @@ def mix_sources(
     cap: float = 2.0,
     quality=QUALITY_WEIGHTS,
     seed: int = 17,
-    ranges: int = 4096,
+    ranges: int | None = None,
 ) -> DataFrame:
     """How many words of each document the mix takes.
 
     A source with target t and size s is taken floor(t / s) whole epochs; of the rest of its budget, documents are
     taken in the order of -ln(u) / w (u: a hash of seed, doc_id and size; w: quality weight), so heavier documents tend
-    to come first. The document in which the budget ends is taken in part, so each source gives floor(target) words.
+    to come first; ties go by doc_id, then size. Texts are counted whole, however long. The document in which the budget ends is taken in part, so each source gives floor(target) words.
 
     Returns doc_id, size, source_size, target, taken: one row per row of `docs`, repeated rows included (each is a
     document of its own; equal rows may share one budget end in either order, which leaves equal rows). Null text has
@@ -82,8 +84,10 @@ def mix_sources(
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.col("size").cast("string")))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
     base = base.withColumn("w", w).withColumn("key", -F.log(u) / F.col("w"))
+    base = stored(base.select("doc_id", "skey", "source", "size", "key"))
+    # As many ranges as rows in a range, so that both the sums of ranges and the one range that is ordered stay small.
+    ranges = ranges or max(4096, math.isqrt(base.count()))
     base = base.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * ranges).cast("int"))
-    base = stored(base.select("doc_id", "skey", "source", "size", "key", "bin"))
 
     sizes = base.groupBy("skey", "source").agg(F.sum("size").alias("source_size"))
     plan = source_targets(sizes.select("source", "source_size"), weights, share, cap)

@@ -37,6 +37,7 @@ def test_mix(spark):
     for s, t in {(r.source_size, r.target) for r in rows}:
         assert sum(r.taken for r in rows if r.source_size == s) == math.floor(t)
     assert sorted(map(tuple, rows)) == sorted(map(tuple, M.mix_sources(docs.repartition(3), labels, ranges=16).collect()))
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, M.mix_sources(docs, labels, ranges=1).collect()))
 
 
 def test_heavier_documents_come_first(spark):
