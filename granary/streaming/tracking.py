@@ -44,83 +44,130 @@ def track_step(state: dict, t: float, points: list[tuple[float, float]], reach:
 
 # --- noise filter ----------------------------------------------------------------------------------------------------
 
+#: A jump, a small move, and how much of the last position a filtered one keeps.
+JUMP, SMALL_MOVE, STRENGTH, HISTORY = 50.0, 3.0, 0.3, 20
 
-def filter_step(state: dict, x: float, y: float) -> tuple[float, float]:
-    """The smoothed position. The first is raw. A jump of over 50 from the last smoothed position, once there are two, is
-    replaced by that position moved on by a tenth of the mean of the last three velocities. Then the last five raw
-    positions and this one are averaged with weights exp(-1..0), and the step is blended with its velocity: moves under 3
-    by 1.5, else by 1 - 0.8 * consistency. Velocity is kept as 0.3 new + 0.7 old, for moves over 3."""
-    raw, out, vel = state.setdefault("raw", []), state.setdefault("out", []), state.setdefault("vel", [])
-    if not out:
-        raw.append((x, y))
-        out.append((x, y))
-        return x, y
-    px, py = out[-1]
-    sx, sy = x, y
-    recent = vel[-3:]
-    mean = (sum(v[0] for v in recent) / len(recent), sum(v[1] for v in recent) / len(recent)) if recent else None
-    if len(out) >= 2 and math.hypot(x - px, y - py) > 50:
-        sx, sy = (px + mean[0] * 0.1, py + mean[1] * 0.1) if mean else (px, py)
-    past = [*raw[-5:], (sx, sy)]
-    n = len(past)
-    weights = [math.exp(-1 + k / (n - 1)) for k in range(n)]
+
+def weighted(points: list[tuple[float, float]], weights: list[float]) -> tuple[float, float]:
     total = sum(weights)
-    sx, sy = sum(w * p[0] for w, p in zip(weights, past, strict=True)) / total, sum(w * p[1] for w, p in zip(weights, past, strict=True)) / total
-    dx, dy = sx - px, sy - py
-    move = math.hypot(dx, dy)
-    if mean:
-        speed = math.hypot(*mean)
-        steady = max(0.0, (dx * mean[0] + dy * mean[1]) / (move * speed)) if move * speed > 0 else 0.0
-        share = 0.5 if move < 3 else 1 - 0.8 * steady
-        sx, sy = px + dx * share, py + dy * share
-    if move > 3:
-        vx, vy = vel[-1] if vel else (dx, dy)
-        vel.append((0.3 * dx + 0.7 * vx, 0.3 * dy + 0.7 * vy))
+    return sum(w * p[0] for w, p in zip(weights, points, strict=True)) / total, sum(w * p[1] for w, p in zip(weights, points, strict=True)) / total
+
+
+def agreement(a: tuple[float, float], b: tuple[float, float]) -> float:
+    """1 less the angle between two moves as a share of a half turn; 0 where either is under 0.1."""
+    long_a, long_b = math.hypot(*a), math.hypot(*b)
+    if long_a < 0.1 or long_b < 0.1:
+        return 0.0
+    turn = (a[0] / long_a) * (b[0] / long_b) + (a[1] / long_a) * (b[1] / long_b)
+    return max(0.0, 1 - math.acos(max(-1.0, min(1.0, turn))) / math.pi)
+
+
+def filter_step(state: dict, x: float, y: float, strength: float = STRENGTH, window: int = 5) -> tuple[float, float]:
+    """The smoothed position. The first is raw.
+
+    From the third on, a jump of over JUMP from the last smoothed position is replaced by that position moved on by a
+    tenth of the trend, the mean of the last three velocities. From the third on, the last `window` raw positions and this
+    one are averaged with weights exp(-1..0). From the third on, a share of the last smoothed position is kept: 1.5 *
+    strength for moves under SMALL_MOVE, else strength, and less the more the move agrees with the trend, down to a fifth
+    of it. Velocities of moves over SMALL_MOVE go on as 0.3 new + 0.7 old. Raw positions are remembered as they came."""
+    raw, out, vel = state.setdefault("raw", []), state.setdefault("out", []), state.setdefault("vel", [])
+    here = (x, y)
+    if len(out) > 1:
+        last = out[-1]
+        trend = weighted(vel[-3:], [1.0] * len(vel[-3:])) if vel else None
+        if math.hypot(x - last[0], y - last[1]) > JUMP:
+            here = (last[0] + trend[0] * 0.1, last[1] + trend[1] * 0.1) if trend else tuple(last)
+        past = [*raw[-window:], here]
+        here = weighted(past, [math.exp(-1 + k / (len(past) - 1)) for k in range(len(past))])
+        move = (here[0] - last[0], here[1] - last[1])
+        size = math.hypot(*move)
+        if size < SMALL_MOVE:
+            kept = strength * 1.5
+        else:
+            kept = strength * (1 - 0.8 * agreement(move, trend)) if trend else strength
+        here = ((1 - kept) * here[0] + kept * last[0], (1 - kept) * here[1] + kept * last[1])
+        if size > SMALL_MOVE:
+            vel.append((0.3 * move[0] + 0.7 * vel[-1][0], 0.3 * move[1] + 0.7 * vel[-1][1]) if vel else move)
     raw.append((x, y))
-    out.append((sx, sy))
-    for past in (raw, out, vel):
-        del past[:-10]
-    return sx, sy
+    out.append(here)
+    for kept_of in (raw, out, vel):
+        del kept_of[:-HISTORY]
+    return here
 
 
 # --- trajectory ------------------------------------------------------------------------------------------------------
 
 
-def fit_step(state: dict, t: float, x: float, y: float, delay: float = 0.1, keep: int = 20) -> dict[str, Any]:
-    """Speed, direction, consistency and confidence of the motion so far. Times are moved back by the delay, clamped to
-    0.2; moves of up to 2 have no velocity; the mean velocity is over those faster than 0.5, if there are two; with three
-    positions, consistency is 1 - mean angle between successive velocities / pi. Confidence grows with the number of
-    positions, the time observed, the way covered and consistency; clamped to 0.1..1 and null for one position."""
-    seen = state.setdefault("seen", [])
-    seen.append((t + min(delay, 0.2), x, y))
-    del seen[:-keep]
-    vel = []
-    for (t0, x0, y0), (t1, x1, y1) in zip(seen, seen[1:], strict=False):
-        if t1 > t0:
-            still = math.hypot(x1 - x0, y1 - y0) <= 2
-            vel.append((0.0, 0.0) if still else ((x1 - x0) / (t1 - t0), (y1 - y0) / (t1 - t0)))
-    fast = [v for v in vel if math.hypot(*v) > 0.5]
-    vx, vy = (sum(v[0] for v in fast) / len(fast), sum(v[1] for v in fast) / len(fast)) if len(fast) >= 2 else (0.0, 0.0)
-    angles = [math.acos(max(-1.0, min(1.0, (a[0] * b[0] + a[1] * b[1]) / (math.hypot(*a) * math.hypot(*b))))) for a, b in zip(fast, fast[1:], strict=False)]
-    steady = max(0.0, 1 - sum(angles) / len(angles) / math.pi) if angles and len(seen) >= 3 else 0.0
-    speed = math.hypot(vx, vy)
-    way = math.hypot(seen[-1][1] - seen[0][1], seen[-1][2] - seen[0][2])
-    lasted = seen[-1][0] - seen[0][0]
-    conf = None
-    if len(seen) >= 2:
-        quick = lasted >= 0.8 and way > 10
-        product = min(1, len(seen) / (5 if quick else 10)) * min(1, lasted / (0.8 if quick else 2.0)) * min(1, way / (10 if quick else 50)) * (steady or 0.5)
-        conf = min(0.9, product) if quick and product > 0.4 else max(0.1, min(1.0, product))
-    return {"vx": vx, "vy": vy, "speed": speed, "is_moving": speed >= 1.0, "consistency": steady, "confidence": conf}
+def clamped_delay(delay: float) -> float:
+    return max(0.2, min(delay, 3.0))
 
 
-def predict_points(fits: DataFrame, duration: float = 1.0, step: float = 0.1, delay: float = 0.1) -> DataFrame:
-    """int(duration / step) + 1 points ahead of each fit (x, y, vx, vy, speed, n): from the position moved on by the
-    delay. Fits of fewer than two positions, or slower than 1, give none."""
-    n = int(duration / step)
-    rows = fits.filter((F.col("n") >= 2) & (F.col("speed") >= 1)).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    ahead = F.lit(delay) + F.col("k") * step
-    return rows.select(*[c for c in fits.columns if c not in ("vx", "vy", "speed", "n", "x", "y")], "k", (F.col("x") + F.col("vx") * ahead).alias("x"), (F.col("y") + F.col("vy") * ahead).alias("y"))
+def straightness(seen: list[tuple[float, float, float]], vx: float, vy: float) -> float:
+    """How near the positions between the first and the last are to even motion: 1 at no distance, 0 from 30 on."""
+    t0, x0, y0 = seen[0]
+    scores = [max(0.0, 1 - math.hypot(x - x0 - vx * (t - t0), y - y0 - vy * (t - t0)) / 30) for t, x, y in seen[1:-1]]
+    return sum(scores) / len(scores) if scores else 1.0
+
+
+def fit_step(state: dict, t: float, x: float, y: float, delay: float = 1.0, keep: int = HISTORY) -> dict[str, Any]:
+    """Motion so far: vx, vy (the mean of velocities over 0.5), speed, is_moving, consistency (1 - mean angle between
+    successive velocities / pi), confidence, and the velocity to predict by (way_x, way_y).
+
+    Times are moved on by the delay, clamped to 0.2..3. Moves of up to 2 have no velocity and change nothing else; others
+    renew the mean, given two velocities over 0.5, the consistency, given three, and, given two velocities at all, the
+    confidence. That is, if observed for 0.8 s over a way of more than 10, the product of time / 1 s, way / 50 (both up to
+    1), straightness and the delay's factor 1 - delay / 5, at least 0.7; over 0.4 it counts, up to 0.9, and the way's own
+    velocity is predicted by from then on. Else it is the product of time / 1 s, positions / 8 (both up to 1), (1 +
+    consistency) / 2 and the delay's factor, within 0.1..1. What a move does not renew stays as it was; before any, all
+    are 0."""
+    delay = clamped_delay(delay)
+    seen, vel = state.setdefault("seen", []), state.setdefault("vel", [])
+    now = state.setdefault("now", {"mean": (0.0, 0.0), "consistency": 0.0, "confidence": 0.0, "moved": False, "way": None})
+    seen.append((t + delay, x, y))
+    del seen[:-keep]
+    if len(seen) > 1 and seen[-1][0] > seen[-2][0]:
+        (t0, x0, y0), (t1, x1, y1) = seen[-2:]
+        moved = math.hypot(x1 - x0, y1 - y0) > 2
+        vel.append(((x1 - x0) / (t1 - t0), (y1 - y0) / (t1 - t0)) if moved else (0.0, 0.0))
+        del vel[:-keep]
+        if moved:
+            now["moved"] = True
+            if len(vel) > 1:
+                _renew(now, seen, [v for v in vel if math.hypot(*v) > 0.5], max(0.7, 1 - delay / 5))
+    vx, vy = now["mean"]
+    way = now["way"] or now["mean"]
+    return {"vx": vx, "vy": vy, "speed": math.hypot(vx, vy), "is_moving": now["moved"], "consistency": now["consistency"], "confidence": now["confidence"], "way_x": way[0], "way_y": way[1]}
+
+
+def _renew(now: dict, seen: list[tuple[float, float, float]], fast: list[tuple[float, float]], late: float) -> None:
+    if len(fast) > 1:
+        now["mean"] = weighted(fast, [1.0] * len(fast))
+    if len(fast) > 2:
+        turns = [1 - (a[0] * b[0] + a[1] * b[1]) / (math.hypot(*a) * math.hypot(*b)) for a, b in zip(fast, fast[1:], strict=False)]
+        angles = [math.acos(max(-1.0, min(1.0, 1 - turn))) for turn in turns]
+        now["consistency"] = max(0.0, 1 - sum(angles) / len(angles) / math.pi)
+    lasted = seen[-1][0] - seen[0][0]
+    dx, dy = seen[-1][1] - seen[0][1], seen[-1][2] - seen[0][2]
+    way = math.hypot(dx, dy)
+    if lasted >= 0.8 and way > 10:
+        quick = min(1.0, lasted) * min(1.0, way / 50) * straightness(seen, dx / lasted, dy / lasted) * late
+        if quick > 0.4:
+            now["way"], now["confidence"] = (dx / lasted, dy / lasted), min(0.9, quick)
+            return
+    slow = min(1.0, lasted) * min(1.0, len(seen) / 8) * (0.5 + 0.5 * now["consistency"]) * late
+    now["confidence"] = max(0.1, min(1.0, slow))
+
+
+def predict_points(fits: DataFrame, duration: float = 1.0, step: float = 0.1, delay: float = 1.0, scale: float = 1.0) -> DataFrame:
+    """int(duration / step) + 1 points ahead of each fit (x, y, way_x, way_y, is_moving, n): from the position moved on by
+    the delay, clamped to 0.2..3. Fits of fewer than two positions, or slower than 1, give none; those that never moved
+    give their own position alone."""
+    n, vx, vy = int(duration / step), F.col("way_x") * scale, F.col("way_y") * scale
+    rows = fits.filter((F.col("n") >= 2) & (~F.col("is_moving") | (F.sqrt(vx * vx + vy * vy) >= 1)))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.when(F.col("is_moving"), n).otherwise(0))))
+    ahead = F.when(F.col("is_moving"), F.lit(clamped_delay(delay)) + F.col("k") * step).otherwise(0.0)
+    own = [c for c in fits.columns if c not in ("way_x", "way_y", "is_moving", "n", "x", "y")]
+    return rows.select(*own, "k", (F.col("x") + vx * ahead).alias("x"), (F.col("y") + vy * ahead).alias("y"))
 
 
 # --- batch and streaming forms ---------------------------------------------------------------------------------------
@@ -145,39 +192,72 @@ def filter_rows(state: dict, rows: pd.DataFrame) -> pd.DataFrame:
 
 def fit_rows(state: dict, rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["t", "event_id"], kind="stable")
-    got = pd.DataFrame([fit_step(state, t, x, y) for t, x, y in zip(rows["t"], rows["x"], rows["y"], strict=True)], columns=["vx", "vy", "speed", "is_moving", "consistency", "confidence"])
+    got = pd.DataFrame([fit_step(state, t, x, y) for t, x, y in zip(rows["t"], rows["x"], rows["y"], strict=True)], columns=["vx", "vy", "speed", "is_moving", "consistency", "confidence", "way_x", "way_y"])
     return pd.concat([rows[["event_id", "key", "t", "x", "y"]].reset_index(drop=True), got], axis=1)
 
 
 SCHEMAS = {
     "track": "event_id long, key long, t double, x double, y double, track_id long",
     "filter": "event_id long, key long, t double, fx double, fy double",
-    "fit": "event_id long, key long, t double, x double, y double, vx double, vy double, speed double, is_moving boolean, consistency double, confidence double",
+    "fit": "event_id long, key long, t double, x double, y double, vx double, vy double, speed double, is_moving boolean, consistency double, confidence double, way_x double, way_y double",
 }
 STEPS: dict[str, Step] = {"track": track_rows, "filter": filter_rows, "fit": fit_rows}
 
 
 def batch(rows: DataFrame, what: str) -> DataFrame:
-    """`what` of STEPS over whole keys: rows of event_id, key, t (seconds), x, y. A key is one camera or target: its rows
-    are brought together in one task, in time order."""
+    """`what` of STEPS over whole keys: rows of event_id, key, t (seconds), x, y. A key is one camera or target. Its rows
+    come to one task in time order and are read as they come: only the key's state and the rows of one moment are held."""
     step = STEPS[what]
-    return rows.select("event_id", "key", "t", "x", "y").groupBy("key").applyInPandas(lambda pdf: step({}, pdf), SCHEMAS[what])
-
-
-def stream(rows: DataFrame, what: str) -> DataFrame:
-    """The same on a stream, with the key's state kept between micro-batches. Rows of a key must come in time order from
-    batch to batch; within a batch they are sorted."""
+    ordered = rows.select("event_id", "key", "t", "x", "y").repartition("key").sortWithinPartitions("key", "t", "event_id")
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, own, waiting = {}, None, None
+        for part in parts:
+            rows = part if waiting is None else pd.concat([waiting, part])
+            # The last moment may go on in the next batch.
+            last = rows.iloc[-1]
+            open_ = (rows["key"] == last["key"]) & (rows["t"] == last["t"])
+            waiting, rows = rows[open_], rows[~open_]
+            for key, group in rows.groupby("key", sort=False):
+                state, own = (state if key == own else {}), key
+                yield step(state, group)
+        if waiting is not None:
+            yield step(state if waiting["key"].iloc[0] == own else {}, waiting)
+
+    return ordered.mapInPandas(work, SCHEMAS[what])
+
+
+def stream(rows: DataFrame, what: str, forget_after: float = 3600.0) -> DataFrame:
+    """The same on a stream, with the key's state kept between micro-batches, until the stream's watermark has passed the
+    key's last row by forget_after seconds; the watermark itself is as far behind the latest row, and rows older than it
+    are dropped. Rows of a key must come in time order from batch to batch; within a batch they are sorted."""
     import json
 
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
     step = STEPS[what]
 
     def work(key: tuple, parts: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        own = json.loads(state.get[0]) if state.exists else {}
-        yield step(own, pd.concat(list(parts)))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        own, rows = (json.loads(state.get[0]) if state.exists else {}), pd.concat(list(parts))
+        yield step(own, rows)
         state.update((json.dumps(own),))
+        state.setTimeoutTimestamp(int(1000 * (rows["t"].max() + forget_after)))
+
+    timed = rows.select("event_id", "key", "t", "x", "y", F.timestamp_micros((F.col("t") * 1e6).cast("long")).alias("ts"))
+    keyed = timed.withWatermark("ts", f"{int(forget_after)} seconds").groupBy("key")
+    return keyed.applyInPandasWithState(work, SCHEMAS[what], "own string", "append", GroupStateTimeout.EventTimeTimeout)
+
 
-    keyed = rows.select("event_id", "key", "t", "x", "y").groupBy("key")
-    return keyed.applyInPandasWithState(work, SCHEMAS[what], "own string", "append", "NoTimeout")
+def enrich(detections: DataFrame, motion: DataFrame, on: str = "id", carry: tuple[str, ...] = ("speed", "is_moving", "consistency", "confidence")) -> DataFrame:
+    """Detections, a stream or a table, with what is known of each target's motion (the latest row per target of `motion`
+    by t); targets without any stand still."""
+    last = motion.groupBy(F.col(on).alias("__on")).agg(F.max_by(F.struct(*carry), "t").alias("__m"))
+    rest = {"speed": F.lit(0.0), "is_moving": F.lit(False), "consistency": F.lit(0.0), "confidence": F.lit(0.0)}
+    rows = detections.join(last, F.col(on) == F.col("__on"), "left")
+    return rows.select(*detections.columns, *[F.coalesce(F.col(f"__m.{c}"), rest.get(c, F.lit(None))).alias(c) for c in carry])
 
 
 def new_and_lost(tracks: DataFrame, max_age: float = 10.0) -> DataFrame:
