@@ -4,8 +4,10 @@ is in the set passes; how much else does depends on the set's size, so it may on
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 #: Bits for each hash, probes for each, and the filter's size at most: 16 MB, so that it may be broadcast.
 BITS_EACH, PROBES, MOST_BITS = 32, 2, 2**27
@@ -33,3 +35,13 @@ def passes(filter_bits: np.ndarray, h: np.ndarray) -> np.ndarray:
         p = ((h >> np.uint64(29 * k)) % np.uint64(8 * len(filter_bits))).astype(np.int64)
         out &= (filter_bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
     return out
+
+
+def may_hold(filter_bits, h: Column) -> Column:
+    """The same for a column, by a broadcast filter. Only the hashes go to Python, whatever the row holds besides."""
+
+    @F.pandas_udf(BooleanType())
+    def test(h: pd.Series) -> pd.Series:
+        return pd.Series(passes(filter_bits.value, h.to_numpy(np.int64).view(np.uint64)))
+
+    return test(h)

@@ -8,7 +8,7 @@ at least `share` of the item's tokens are marked, in whatever order its pieces s
 What is joined is little. Documents send only runs that pass a Bloom filter of the items' runs, whose size is bounded
 whatever the benchmark's. Items leave out their most frequent runs: a pair over the share has so many runs in common
 that it must share one of the others. Equal texts are one document. The documents' texts themselves are not shuffled,
-but for those that share runs with an item.
+but for those that share runs with an item; these are told by another such filter.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from granary.llm.bloom import bloom, passes
+from granary.llm.bloom import bloom, may_hold, passes
 from granary.llm.util import slices, stored
 
 #: Letters of scripts without spaces (Thai to Khmer, kana, Han), which are tokens one by one.
@@ -234,8 +234,11 @@ def document_runs(docs: DataFrame, text: str, lengths: list[int], filter_bits) -
 def verdicts(docs: DataFrame, items: DataFrame, pairs: DataFrame, text: str, seed: int, share: float) -> DataFrame:
     """(dk, ik, part): tiling of the pairs. A document's text and its items travel as rows of their own and meet in
     order, so a task holds one text and one item at a time."""
-    asked = pairs.select("dk").distinct()
-    texts = docs.select(key_of(text).alias("dk"), F.col(f"`{text}`").alias("t")).join(asked, "dk").dropDuplicates(["dk"])
+    asked = stored(pairs.select("dk").distinct())
+    bits = docs.sparkSession.sparkContext.broadcast(bloom(asked.select(F.xxhash64("dk").alias("h")), asked.count()))
+    # All but few texts stay where they are: the filter takes them out before the join.
+    texts = docs.select(key_of(text).alias("dk"), F.col(f"`{text}`").alias("t")).filter("dk is not null")
+    texts = texts.filter(may_hold(bits, F.xxhash64("dk"))).join(asked, "dk").dropDuplicates(["dk"])
     none = F.lit(None).cast("string")
     rows = texts.select("dk", none.alias("ik"), "t").unionByName(pairs.join(items, "ik").select("dk", "ik", F.col("item_text").alias("t")))
     rows = rows.repartition("dk").sortWithinPartitions("dk", F.col("ik").asc_nulls_first())
