@@ -131,3 +131,66 @@ def remote_control(line: Column) -> Column:
 def frame_tag(payload: Column) -> Column:
     """The first byte of a binary frame, which names its kind."""
     return F.hex(F.substring(payload, 1, 1))
+
+
+def truncated(text: Column, most: int) -> Column:
+    return F.left(text, F.lit(most))
+
+
+def cache_key(*parts: Column) -> Column:
+    """SHA-1 of the parts, joined by a slash."""
+    return F.sha1(F.concat_ws("/", *parts))
+
+
+def safe_name(name: Column, suffixes: Sequence[str] = ()) -> Column:
+    """Whether a name is made of letters, digits, `_`, `.` and `-` alone; with suffixes, whether it is a file name with one
+    of them, which may hold spaces."""
+    if not suffixes:
+        return F.coalesce(name.rlike(r"\A[A-Za-z0-9_.-]+\z"), F.lit(False))
+    return F.coalesce(name.rlike(r"\A[A-Za-z0-9_. -]+\.(" + "|".join([*suffixes, *[x.upper() for x in suffixes]]) + r")\z"), F.lit(False))
+
+
+def class_index(label: Column, names: Sequence[str], aliases: dict[str, str]) -> Column:
+    """The place of a label among class names: equal, by alias (lower-cased, `_` as space), or the first name that holds
+    the label or is held by it; 0 if none is."""
+    said = F.trim(label)
+    low = F.replace(F.lower(said), F.lit("_"), F.lit(" "))
+    out = F.lit(0)
+    for k, name in reversed(list(enumerate(names))):
+        out = F.when(F.contains(low, F.lit(name.lower())) | F.contains(F.lit(name.lower()), low), k).otherwise(out)
+    for alias, name in aliases.items():
+        out = F.when(low == alias, names.index(name)).otherwise(out)
+    for k, name in reversed(list(enumerate(names))):
+        out = F.when(said == name, k).otherwise(out)
+    return out
+
+
+def known_species(name: Column, known: Sequence[str]) -> Column:
+    """Whether a species' name holds a known one, or its genus is one."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    return has_any(low, known) | F.split(F.trim(low), r"\s+")[0].isin(*known)
+
+
+def at_path(document: Column, path: str, default: Column | None = None) -> Column:
+    """The value at a dotted path of a JSON text, the default if there is none or it is null."""
+    value = F.get_json_object(document, "$" + "".join(f"['{k}']" for k in path.split(".")))
+    return value if default is None else F.coalesce(value, default)
+
+
+#: What a proposed strategy must hold, what it may leave out, and what stands in for one that can't be read.
+STRATEGY_MUST = ("vlm_models", "min_votes", "lr", "epochs", "replay_ratio")
+STRATEGY_MAY = {"consensus_iou": "0.3", "use_yolo_old": "true", "freeze_layers": "0", "name": "brain_proposed"}
+STRATEGY_ELSE = {"vlm_models": '["florence2_base","owlv2"]', "min_votes": "2", "consensus_iou": "0.3", "use_yolo_old": "true", "lr": "0.0008", "epochs": "60", "freeze_layers": "0", "replay_ratio": "0.4", "name": "brain_fallback"}
+
+
+def strategy(answer: Column) -> Column:
+    """The strategy in a model's answer, as a struct of texts: the first object without inner objects that names
+    vlm_models, if it parses and holds all of STRATEGY_MUST; defaults for what it may leave out; else the fixed one."""
+    found = F.regexp_extract(answer, r'(?s)(\{[^{}]*"vlm_models"[^{}]*\})', 1)
+    fine = F.try_parse_json(found).isNotNull() & reduce(lambda a, b: a & b, [F.get_json_object(found, f"$.{k}").isNotNull() for k in STRATEGY_MUST])
+    fields = []
+    for name, instead in STRATEGY_ELSE.items():
+        own = F.get_json_object(found, f"$.{name}")
+        own = F.coalesce(own, F.lit(STRATEGY_MAY[name])) if name in STRATEGY_MAY else own
+        fields.append(F.when(F.coalesce(fine, F.lit(False)), own).otherwise(instead).alias(name))
+    return F.struct(*fields)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from granary.storage import stored
+
 
 def relevant(blob: Column, reject: Sequence[str], accept: Sequence[str]) -> Column:
     """No reject word and at least one accept word as substring of the lower-cased text."""
@@ -48,34 +50,36 @@ def remap_strict(boxes: DataFrame, class_map: DataFrame, wildcard: DataFrame | N
     return out.filter("dst_cls is not null").withColumn("cls", F.col("dst_cls")).drop("dst_cls")
 
 
+def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "nth") -> DataFrame:
+    """Rows with their number from 0 in the order within each group. Sorted by ranges, which are counted first: no group
+    is ordered by one task, however large it is."""
+    # Written once: bounds of ranges come from a sample, so a second reading could cut them elsewhere.
+    spread = stored(rows.repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id()))
+    sizes = spread.groupBy(*by, "__p").agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(W.partitionBy(*by).orderBy("__p").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select(*[F.col(c).alias(f"__k{k}") for k, c in enumerate(by)], F.col("__p").alias("__part"), F.coalesce(upto, F.lit(0)).alias("__before"))
+    place = F.row_number().over(W.partitionBy(*by, "__p").orderBy(*order)) - 1
+    on = [F.col("__p") == F.col("__part"), *[F.col(c).eqNullSafe(F.col(f"__k{k}")) for k, c in enumerate(by)]]
+    out = spread.withColumn("__place", place).join(sizes, on)
+    return out.withColumn(name, F.col("__before") + F.col("__place")).drop("__p", "__part", "__before", "__place", *[f"__k{k}" for k in range(len(by))])
+
+
 def every_nth_to_valid(images: DataFrame, share: float = 0.1, dataset: str = "dataset", order: Sequence[str] = ("img_ord",)) -> DataFrame:
-    """split: valid for every int(1 / share)-th image of each dataset, from the first; train else. Numbers run over blocks
-    of each dataset: sizes of blocks are summed first, so no task orders a whole dataset."""
-    n, blocks = int(1 / share), 64
-    rows = images.withColumn("__b", F.lit(0)) if len(order) > 1 else images.withColumn("__b", F.floor(F.col(order[0]) / blocks))
-    sizes = rows.groupBy(dataset, "__b").agg(F.count("*").alias("__n"))
-    upto = F.sum("__n").over(W.partitionBy(dataset).orderBy("__b").rowsBetween(W.unboundedPreceding, -1))
-    sizes = sizes.select(dataset, "__b", F.coalesce(upto, F.lit(0)).alias("__before"))
-    place = F.row_number().over(W.partitionBy(dataset, "__b").orderBy(*order)) - 1
-    rows = rows.withColumn("__p", place).join(sizes, [dataset, "__b"])
-    return rows.withColumn("split", F.when((F.col("__before") + F.col("__p")) % n == 0, "valid").otherwise("train")).drop("__b", "__p", "__before")
+    """split: valid for every int(1 / share)-th image of each dataset, from the first; train else."""
+    rows = numbered(images, [dataset], order, "__nth")
+    return rows.withColumn("split", F.when(F.col("__nth") % int(1 / share) == 0, "valid").otherwise("train")).drop("__nth")
 
 
 def hash_split(rows: DataFrame, id_col: str, shares: Sequence[tuple[str, float]], seed: int = 42) -> DataFrame:
-    """A split of exact sizes: names in order get int(share * n) rows each by hash rank, the last gets the rest. Ranks are
-    taken within slices of the hash whose sizes are summed first."""
-    n, slices = rows.count(), 256
-    h = F.xxhash64(F.lit(seed), F.col(id_col))
-    rows = rows.withColumn("__h", h).withColumn("__s", F.floor((F.col("__h") / 2.0**64 + 0.5) * slices))
-    sizes = rows.groupBy("__s").agg(F.count("*").alias("__n"))
-    sizes = sizes.select("__s", F.coalesce(F.sum("__n").over(W.orderBy("__s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    rank = F.col("__before") + F.row_number().over(W.partitionBy("__s").orderBy("__h", id_col))
+    """A split of exact sizes: names in order get int(share * n) rows each by hash rank, the last gets the rest."""
+    n = rows.count()
     upto, choice = 0, None
     for name, share in shares[:-1]:
         upto += int(n * share)
-        choice = F.when(rank <= upto, name) if choice is None else choice.when(rank <= upto, name)
+        choice = F.when(F.col("__nth") < upto, name) if choice is None else choice.when(F.col("__nth") < upto, name)
     split = choice.otherwise(shares[-1][0]) if choice is not None else F.lit(shares[0][0])
-    return rows.join(F.broadcast(sizes), "__s").withColumn("split", split).drop("__h", "__s", "__before")
+    ranked = rows.withColumn("__h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))).withColumn("__all", F.lit(0))
+    return numbered(ranked, ["__all"], ["__h", id_col], "__nth").withColumn("split", split).drop("__h", "__nth", "__all")
 
 
 def sample_n(rows: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:

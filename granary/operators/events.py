@@ -3,18 +3,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
 def route(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Events with every subscriber (subscriber, event_type; `*` for all) of their type, each once."""
+    """Events with every subscriber (subscriber, event_type; `*` for all) of their type, each once. Events meet
+    subscriptions by equal types, as their own and as `*`, so tables of any size join by their keys; one subscriber of
+    both is one."""
     subs = subscriptions.select("subscriber", F.col("event_type").alias("wanted")).distinct()
-    rows = events.join(F.broadcast(subs) if not events.isStreaming else subs, (F.col("wanted") == F.col("event_type")) | (F.col("wanted") == "*"))
-    return rows.drop("wanted").dropDuplicates(["event_id", "subscriber"]) if not events.isStreaming else rows.drop("wanted")
+    both = subs.filter("wanted = '*'").select("subscriber", F.lit(True).alias("all"))
+    subs = subs.join(both, "subscriber", "left").filter("wanted = '*' or all is null").select("subscriber", "wanted")
+    rows = events.withColumn("wanted", F.explode(F.array(F.col("event_type"), F.lit("*"))))
+    return rows.join(subs, "wanted").drop("wanted")
 
 
 def tumbling_summary(events: DataFrame, types: Sequence[str], width: str = "2 seconds", latency: str = "value") -> DataFrame:
@@ -63,20 +68,65 @@ def mode(switches: Column, threshold: int = 1800) -> Column:
 
 
 def rate_limit(events: DataFrame, by: Sequence[str], seconds: float) -> DataFrame:
-    """Events at least `seconds` after the last one that passed. A fold over the sorted times of each key."""
-    item = F.struct(F.col("ts").alias("ts"), F.col("event_id").alias("event_id"))
-    lists = events.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("all"))
-    idt = events.schema["event_id"].dataType.simpleString()
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast(f"array<struct<ts:timestamp,event_id:{idt}>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        t = F.unix_micros(x["ts"].cast("timestamp")) / 1e6
-        ok = acc["last"].isNull() | (t - acc["last"] >= seconds)
-        row = F.struct(x["ts"].cast("timestamp").alias("ts"), x["event_id"].alias("event_id"))
-        return F.struct(F.when(ok, t).otherwise(acc["last"]).alias("last"), F.when(ok, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
-
-    rows = lists.select(*by, F.explode(F.aggregate("all", start, step)["out"]).alias("e"))
-    return rows.select(*by, "e.event_id", "e.ts")
+    """Events at least `seconds` after the last one that passed: by, event_id, ts. A key's events come to one task in time
+    order and are read as they come; what is held of a key is the time of its last event that passed."""
+    rows = events.select(*by, "event_id", "ts").repartition(*by).sortWithinPartitions(*by, "ts", "event_id")
+    schema, us = rows.schema, round(seconds * 1e6)
+    n = len(by)
+    timed = rows.withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp")))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for batch in batches:
+            keys = zip(*(batch.column(k).to_pylist() for k in range(n)), strict=True) if n else [()] * len(batch)
+            keep = []
+            for own, t in zip(keys, batch.column("__us").to_pylist(), strict=True):
+                ok = own != key or last is None or (t is not None and t - last >= us)
+                key, last = own, (t if ok else last)
+                keep.append(ok)
+            yield batch.filter(pa.array(keep, pa.bool_())).select([f.name for f in schema])
+
+    return timed.mapInArrow(work, schema)
+
+
+def smoothed(events: DataFrame, value: str, by: Sequence[str], new: float = 0.2, low: float = 0.2, high: float = 3.0, start: float = 1.0) -> DataFrame:
+    """smoothed: a running mean that takes a share `new` of each value and is clamped after each, from `start`. A key's
+    events come to one task in time order and are read as they come; only the mean so far is held."""
+    rows = events.repartition(*by).sortWithinPartitions(*by, "ts", "event_id")
+    n, names = len(by), rows.columns
+    rows = rows.select(*[F.col(c).alias(f"__k{k}") for k, c in enumerate(by)], F.col(value).cast("double").alias("__v"), *names)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, mean = None, start
+        for batch in batches:
+            out = []
+            for own, v in zip(zip(*(batch.column(k).to_pylist() for k in range(n)), strict=True), batch.column(n).to_pylist(), strict=True):
+                mean = mean if own == key else start
+                key = own
+                if v is not None:
+                    mean = max(low, min(high, (1 - new) * mean + new * v))
+                out.append(mean)
+            yield pa.RecordBatch.from_arrays([*batch.columns[n + 1 :], pa.array(out, pa.float64())], names=[*names, "smoothed"])
+
+    return rows.mapInArrow(work, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema], "smoothed double"]))
+
+
+def addressed(updates: DataFrame, agent: str, target: str = "target_agent") -> DataFrame:
+    """Updates for one agent."""
+    return updates.filter(F.col(target) == agent)
+
+
+def suggestions(averages: DataFrame, by: Sequence[str], latency: float = 100.0, detections: float = 20.0, seconds: float = 10.0) -> DataFrame:
+    """Rules over running averages (avg_latency, avg_detections): lower the confidence where detection is slow, raise it
+    where it finds too much; of each key at most one look in `seconds`. by, event_id, ts, direction."""
+    looks = rate_limit(averages, by, seconds).select(*by, "event_id")
+    rows = averages.join(looks, [*by, "event_id"])
+    rules = F.array_compact(F.array(F.when(F.col("avg_latency") > latency, "decrease"), F.when(F.col("avg_detections") > detections, "increase")))
+    return rows.select(*by, "event_id", "ts", F.explode(rules).alias("direction"))
+
+
+def progress(elapsed: Column, total: Column) -> Column:
+    return F.least(F.lit(1.0), elapsed / total)
 
 
 def last_n(events: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -31,32 +32,57 @@ def consensus_or_unique(first: DataFrame, second: DataFrame, confirm: float = 0.
     return kept.unionByName(overlap_filter(others, kept, apart, False))
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float | None = None) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, k: int, levels: int = 16) -> DataFrame:
     """The k nearest points (pid, px, py) of each query (qid, qx, qy): qid, pid, dist, rank; ties to the smaller pid.
 
-    `points` is a small calibration table: if it is under the broadcast threshold the planner sends it to all tasks,
-    and each query keeps a bounded top-k list (max_by-style aggregation, no row per pair is shuffled).
+    Exact, by grids of halving cells over the points. Counts of points around each cell tell, for each query, the finest
+    grid on which its cell and the eight around hold k points; no k-th neighbour is farther than the diagonal of twice such
+    a cell, and a grid of cells at least that wide holds all that are nearer in nine cells. So queries and points meet by
+    equal cells, and neither a product of both nor a query's list of all points is ever made. Of points in one place the
+    k smallest ids are enough. A query outside the points' frame starts from the nearest place in it.
     """
-    pairs = queries.crossJoin(F.broadcast(points)) if _small(points) else queries.crossJoin(points)
+    frame = points.agg(F.count("*").alias("n"), F.min("px").alias("x0"), F.min("py").alias("y0"), F.max("px").alias("x1"), F.max("py").alias("y1")).first()
+    if not frame["n"]:
+        return queries.select("qid", F.lit(None).cast(points.schema["pid"].dataType).alias("pid"), F.lit(0.0).alias("dist"), F.lit(0).alias("rank")).filter("false")
+    x0, y0 = frame["x0"], frame["y0"]
+    side = max(frame["x1"] - x0, frame["y1"] - y0) or 1.0
+    deepest = min(levels, max(0, math.ceil(math.log(max(1.0, frame["n"] / k), 4))) + 2)
+    cell_of = lambda level: F.lit(side) / F.pow(F.lit(2.0), level)
+    at = lambda c, low, level: F.floor((F.col(c) - low) / cell_of(level)).cast("long")
+    every = F.explode(F.sequence(F.lit(0), F.lit(deepest)))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+
+    some = F.row_number().over(W.partitionBy("px", "py").orderBy("pid"))
+    own = points.select("pid", F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py")).withColumn("__n", some).filter(F.col("__n") <= k).drop("__n")
+    filed = own.withColumn("level", every).withColumn("gx", at("px", x0, F.col("level"))).withColumn("gy", at("py", y0, F.col("level")))
+    counts = filed.groupBy("level", "gx", "gy").agg(F.count("*").alias("n")).withColumn("s", around)
+    counts = counts.groupBy("level", (F.col("gx") + F.col("s.i")).alias("gx"), (F.col("gy") + F.col("s.j")).alias("gy")).agg(F.sum("n").alias("n")).filter(F.col("n") >= k)
+
+    inside = lambda c, low, high: F.greatest(F.lit(low), F.least(F.lit(high), F.col(c)))
+    q = queries.select("qid", F.col("qx").cast("double").alias("qx"), F.col("qy").cast("double").alias("qy"))
+    q = q.withColumn("ix", inside("qx", float(x0), float(frame["x1"]))).withColumn("iy", inside("qy", float(y0), float(frame["y1"])))
+    seen = q.withColumn("level", every).withColumn("gx", at("ix", x0, F.col("level"))).withColumn("gy", at("iy", y0, F.col("level")))
+    finest = seen.join(counts.select("level", "gx", "gy"), ["level", "gx", "gy"]).groupBy("qid").agg(F.max("level").alias("finest"))
+    q = q.join(finest, "qid", "left")
+    reach = distance(F.col("qx"), F.col("qy"), F.col("ix"), F.col("iy")) + 2 * math.sqrt(2) * 1.000001 * cell_of(F.col("finest"))
+    level = F.greatest(F.lit(0), F.least(F.lit(deepest), F.floor(F.log2(F.lit(side) / reach)))).cast("int")
+    q = q.withColumn("level", F.coalesce(level, F.lit(0)))
+    q = q.withColumn("s", around).withColumn("gx", at("ix", x0, F.col("level")) + F.col("s.i")).withColumn("gy", at("iy", y0, F.col("level")) + F.col("s.j"))
+    pairs = q.select("qid", "qx", "qy", "level", "gx", "gy").join(filed, ["level", "gx", "gy"])
     d = distance(F.col("qx"), F.col("qy"), F.col("px"), F.col("py"))
-    best = F.slice(F.sort_array(F.collect_list(F.struct(d.alias("dist"), "pid"))), 1, k)
-    rows = pairs.groupBy("qid").agg(best.alias("b"))
-    rows = rows.select("qid", F.posexplode("b").alias("r", "b"))
-    return rows.select("qid", F.col("b.pid").alias("pid"), F.col("b.dist").alias("dist"), (F.col("r") + 1).alias("rank"))
-
-
-def _small(df: DataFrame, most: int = 10_000) -> bool:
-    return df.limit(most + 1).count() <= most
+    pairs = pairs.select("qid", "pid", d.alias("dist")).withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("dist", "pid")))
+    return pairs.filter(F.col("rank") <= k)
 
 
 def inverse_distance(neighbours: DataFrame, values: DataFrame, columns: Sequence[str], top: int = 4095, truncate: bool = True) -> DataFrame:
     """Values of neighbours weighted by 1 / max(d, 1e-9)^2, cut off (truncate) or rounded to whole numbers and, cut off,
-    clamped to 0..top. `values`: pid and columns."""
+    clamped to 0..top. `values`: pid and columns. A billionth is added before cutting off, so that the order in which
+    weights are added never shows."""
     w = 1 / F.pow(F.greatest("dist", F.lit(1e-9)), 2)
     rows = neighbours.join(values, "pid").withColumn("__w", w)
     mean = lambda c: F.sum(F.col("__w") * F.col(c)) / F.sum("__w")
     if truncate:
-        return rows.groupBy("qid").agg(*[F.greatest(F.lit(0), F.least(F.lit(top), mean(c).cast("int"))).alias(c) for c in columns])
+        return rows.groupBy("qid").agg(*[F.greatest(F.lit(0), F.least(F.lit(top), (mean(c) + 1e-9).cast("int"))).alias(c) for c in columns])
     return rows.groupBy("qid").agg(*[F.round(mean(c)).cast("int").alias(c) for c in columns])
 
 
@@ -117,3 +143,29 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
 def remaining(models: DataFrame, datasets: DataFrame, done: DataFrame) -> DataFrame:
     """The matrix of experiments that are not done yet. Both sides are dimension tables."""
     return models.crossJoin(datasets).join(done, [*models.columns, *datasets.columns], "left_anti")
+
+
+def first_existing(rows: DataFrame, files: DataFrame, candidates: Column, name: str = "found") -> DataFrame:
+    """Rows with the first of their candidate paths (an array) that is among the files (path), null if none is. One equi
+    join on the path."""
+    tries = rows.select(candidates.alias("__c")).distinct().select("__c", F.posexplode("__c").alias("__n", "path")).join(files.select("path").distinct(), "path")
+    hits = tries.groupBy("__c").agg(F.min_by("path", "__n").alias(name))
+    return rows.withColumn("__c", candidates).join(hits, "__c", "left").drop("__c")
+
+
+def label_candidates(image: Column, levels: int = 6) -> Column:
+    """Where the labels of an image may be, in order: the labels folder beside its images folder, the same folder, and
+    labels folders beside it and up to `levels` folders above."""
+    text = F.regexp_replace(image, r"\.[^./]*$", ".txt")
+    folders = F.split(image, "/")
+    stem = F.element_at(F.split(text, "/"), -1)
+    up = [F.concat(F.array_join(F.slice(folders, 1, F.greatest(F.lit(0), F.size(folders) - k)), "/"), F.lit("/labels/"), stem) for k in range(1, levels + 1)]
+    beside = F.when(F.contains(image, F.lit("/images/")), F.replace(text, F.lit("/images/"), F.lit("/labels/")))
+    return F.array_compact(F.array(beside, text, *[F.when(F.size(folders) > k, u) for k, u in enumerate(up)]))
+
+
+def class_map_by_name(source: DataFrame, target: DataFrame) -> DataFrame:
+    """dataset, src_cls, dst_cls of source classes (dataset, cls, name) that a target class (cls, name) shares the name of;
+    others have none and are dropped by the strict remap."""
+    t = target.groupBy("name").agg(F.min("cls").alias("dst_cls"))
+    return source.join(t, "name").select("dataset", F.col("cls").alias("src_cls"), "dst_cls")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from granary.operators.matching import greedy_match
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
@@ -140,3 +142,81 @@ def bootstrap(per_image: DataFrame, rounds: int = 1000, seed: int = 1, faithful:
     f1 = sums.select(prf(F.col("tp"), F.col("fp"), F.col("fn"))[2])
     q = F.percentile("f1", F.array(F.lit(0.025), F.lit(0.975)))
     return f1.agg(F.avg("f1").alias("mean"), F.stddev_pop("f1").alias("std"), q.alias("q")).select("mean", "std", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+
+
+def dataset_summary(gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """Images with true boxes, with predictions, with both; and numbers of boxes."""
+    count = lambda df, n, i: df.groupBy("img").agg(F.count("*").alias(n)).withColumn(i, F.lit(1))
+    both = count(gt, "g", "has_g").join(count(pred, "p", "has_p"), "img", "full")
+    return both.agg(
+        F.count("has_g").alias("images_gt"), F.count("has_p").alias("images_pred"), F.count_if(F.col("has_g").isNotNull() & F.col("has_p").isNotNull()).alias("images_both"),
+        F.coalesce(F.sum("g"), F.lit(0)).alias("boxes_gt"), F.coalesce(F.sum("p"), F.lit(0)).alias("boxes_pred"),
+    )
+
+
+#: The ten overlaps of the summary, and the numbers of predictions per image and class that recall is taken at.
+TEN = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
+DEPTHS = (1, 10, 100)
+
+
+def coco_summary(pred: DataFrame, gt: DataFrame) -> DataFrame:
+    """The class-aware summary over ten overlaps: ap (mean of 101-point APs over overlaps and classes with true boxes),
+    ap50, ap75, and ar1, ar10, ar100 (mean over both of the recall with so many predictions per image and class). At most
+    100 predictions per image and class count, the most confident ones."""
+    top = F.row_number().over(W.partitionBy("img", "cls").orderBy(F.desc("conf"), "pred_idx"))
+    ranked = pred.withColumn("place", top).filter(F.col("place") <= max(DEPTHS))
+    matches = greedy_match(ranked, gt, TEN, keys=("img", "cls"))
+    n = gt.groupBy("cls").agg(F.count("*").alias("n_gt"))
+    keys = ("threshold", "cls")
+    classes = n.withColumn("threshold", F.explode(F.array(*map(F.lit, TEN))))
+    ap = ap_points(pr_curve(matches, n.select("cls", "n_gt").join(matches.select(*keys).distinct(), "cls"), keys=keys), 101, keys=keys)
+    hits = matches.filter("gt_idx is not null").join(ranked.select("img", "cls", "pred_idx", "place"), ["img", "cls", "pred_idx"])
+    found = hits.groupBy(*keys).agg(*[F.count_if(F.col("place") <= d).alias(f"hit{d}") for d in DEPTHS])
+    rows = classes.join(ap, list(keys), "left").join(found, list(keys), "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
+    at = lambda t: F.avg(F.when(F.col("threshold") == t, F.col("ap")))
+    return rows.agg(F.avg("ap").alias("ap"), at(0.5).alias("ap50"), at(0.75).alias("ap75"), *[F.avg(F.coalesce(f"hit{d}", F.lit(0)) / F.col("n_gt")).alias(f"ar{d}") for d in DEPTHS])
+
+
+def model_stats(results: DataFrame) -> DataFrame:
+    """Per model, over rows (model, success, num_detections, num_weeds, time_s, json_valid, has_bbox) that succeeded: rows,
+    means, and the shares with valid JSON and with a box."""
+    flag = lambda c: F.avg(F.when(F.col(c), 1.0).otherwise(0.0))
+    mean = lambda c: F.avg(F.coalesce(F.col(c), F.lit(0)))
+    return results.filter("success").groupBy("model").agg(
+        F.count("*").alias("total"), mean("num_detections").alias("avg_detections"), mean("num_weeds").alias("avg_weeds"), mean("time_s").alias("avg_time"), flag("json_valid").alias("json_rate"), flag("has_bbox").alias("bbox_rate"),
+    )
+
+
+def consolidated(checkpoints: DataFrame, column: str = "doc") -> DataFrame:
+    """A row per finished experiment of checkpoint documents (JSON text) that has an evaluation: exp_id, model, dataset,
+    map50, map50_95, precision, recall, f1, time."""
+    schema = "completed map<string,struct<model:string,dataset:string,total_time_s:double,evaluation:map<string,double>>>"
+    rows = checkpoints.select(F.explode(F.from_json(column, schema)["completed"]).alias("exp_id", "r")).filter(F.size("r.evaluation") > 0)
+    # Names of the measures in the documents.
+    names = {"map50": "mAP@0.5", "map50_95": "mAP@0.5:0.95", "precision": "precision@0.5", "recall": "recall@0.5", "f1": "f1@0.5"}
+    values = [F.coalesce(F.element_at("r.evaluation", key), F.lit(0.0)).alias(name) for name, key in names.items()]
+    return rows.select("exp_id", "r.model", "r.dataset", *values, F.coalesce("r.total_time_s", F.lit(0.0)).alias("time"))
+
+
+def keep_report(images: DataFrame, keep: Column, by: str = "slug", sample: int = 50, order: str = "path") -> DataFrame:
+    """Per slug: kept, dropped, keep_rate, mostly_dropped (under a fifth kept) and the first `sample` dropped paths."""
+    rows = images.withColumn("__keep", F.coalesce(keep, F.lit(False)))
+    totals = rows.groupBy(by).agg(F.count_if("__keep").alias("kept"), F.count_if(~F.col("__keep")).alias("dropped"))
+    first = F.row_number().over(W.partitionBy(by).orderBy(order))
+    some = rows.filter(~F.col("__keep")).withColumn("__n", first).filter(F.col("__n") <= sample)
+    some = some.groupBy(F.col(by).alias("__by")).agg(F.sort_array(F.collect_list(order)).alias("dropped_sample"))
+    out = totals.join(some, F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by").withColumn("keep_rate", F.col("kept") / (F.col("kept") + F.col("dropped")))
+    return out.withColumn("mostly_dropped", F.col("keep_rate") < 0.2).withColumn("dropped_sample", F.coalesce("dropped_sample", F.array().cast("array<string>")))
+
+
+def harvest_totals(results: DataFrame, before: Column, after: Column) -> DataFrame:
+    """downloaded, new_images, new_labeled of a batch (status, images, labeled), and what it added to the number of boxed
+    images."""
+    out = results.agg(F.count_if(F.col("status") == "downloaded").alias("downloaded"), F.coalesce(F.sum("images"), F.lit(0)).alias("new_images"), F.coalesce(F.sum("labeled"), F.lit(0)).alias("new_labeled"))
+    return out.withColumn("bbox_delta", after - before)
+
+
+def top_by_precision(rows: DataFrame, most: int = 4, by: Sequence[str] = ()) -> DataFrame:
+    """The sources (src) with the best precision, at most `most` of each group; ties to the smaller source."""
+    n = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("precision"), "src"))
+    return rows.withColumn("rank", n).filter(F.col("rank") <= most)

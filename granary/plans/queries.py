@@ -9,7 +9,6 @@ from granary.functions import text as X
 from granary.operators import corpus, experiments, fusion, joins, matching, metrics
 from granary.operators import events as E
 from granary.plans.views import BOX_SQL, EVENT_SQL, boxes, detector, events, greedy_sql, iou_sql, predicted, table, true_boxes
-from granary.streaming import tracking
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -215,12 +214,6 @@ def fuse_rich(spark, d):
     return fusion.fuse_rich(detector(b, 0, 1, 2), detector(b, 3, 4, 5))
 
 
-@query()
-def fuse_two_stage(spark, d):
-    b = boxes(spark, d)
-    return fusion.fuse_two_stage(*[detector(b, *s).drop("src") for s in ((0, 1, 2), (3, 4), (5, 6))]).select("img", "src", "box_idx", "conf")
-
-
 STAR = f"""with recursive {BOX_SQL}, o as (select *, row_number() over (partition by img order by idx) as n, count(*) over (partition by img) as total from box),
 r as (select img, 1::bigint as n, [idx] as seeds, idx, idx as seed_idx from o where n = 1
   union all select o.img, o.n, case when s is null then list_append(seeds, o.idx) else seeds end, o.idx, coalesce(s, o.idx)
@@ -237,11 +230,6 @@ def consensus_vote(spark, d):
     return fusion.consensus(boxes(spark, d).withColumnRenamed("idx", "box_idx"))
 
 
-@query()
-def nms(spark, d):
-    return matching.nms(boxes(spark, d).withColumnRenamed("idx", "box_idx"), 0.5)
-
-
 @query()
 def weighted_fusion(spark, d):
     return matching.weighted_boxes_fusion(boxes(spark, d).withColumnRenamed("idx", "box_idx"))
@@ -313,8 +301,8 @@ def oversample_plan(spark, d):
 
 
 @query(f"with {BOX_SQL}, c as (select cls, count(*) as instances, count(distinct img) as files from box group by 1), t as (select max(instances) as target from c) select cls, instances, files, least(10, ((target - instances) / greatest(instances / files * files, 1e0))::decimal(18, 6)::double // 1 + 1)::int as copies from c, t where instances < target")
-def oversample_plan_whole(spark, d):
-    """oversample_plan over all boxes, up to the size of the largest class."""
+def oversample_plan(spark, d):
+    """Over all boxes, up to the size of the largest class."""
     return corpus.oversample_plan(boxes(spark, d), target=None)
 
 
@@ -323,11 +311,6 @@ def leave_species_out(spark, d):
     return corpus.leave_classes_out(boxes(spark, d).withColumnRenamed("idx", "box_idx"), (8, 9), (0, 1, 2, 5)).select("img", "box_idx", "cls", "split")
 
 
-@query()
-def hash_split(spark, d):
-    return corpus.hash_split(table(spark, d, "documents").select("doc_id"), "doc_id", (("train", 0.65), ("valid", 0.2), ("test", 0.15)))
-
-
 # --- scalar functions --------------------------------------------------------------------------------------------------
 
 
@@ -353,9 +336,10 @@ def keyword_action(spark, d):
     return table(spark, d, "events").select("event_id", X.first_keyword(F.col("event_type"), (("pur", "buy"), ("c", "see"))).alias("action"))
 
 
-@query("select page_id, regexp_extract(url, '([^/]*)$', 1) as name, case when url like 'https://%' then 'https' else 'http' end as scheme from pages")
+@query("with n as (select page_id, url, regexp_extract(url, '([^/]*)$', 1) as name from pages) select page_id, case when strpos(name[2:], '.') > 0 then left(name, length(name) - strpos(reverse(name), '.')) else name end as stem, case when strpos(name[2:], '.') > 0 then right(name, strpos(reverse(name), '.')) else '' end as suffix, case when url like 'https://%' then 'https' else 'http' end as scheme from n")
 def url_parts(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"([^/]*)$", 1).alias("name"), F.when(F.startswith("url", F.lit("https://")), "https").otherwise("http").alias("scheme"))
+    url = F.col("url")
+    return table(spark, d, "pages").select("page_id", X.path_stem(url).alias("stem"), X.path_suffix(url).alias("suffix"), F.when(F.startswith(url, F.lit("https://")), "https").otherwise("http").alias("scheme"))
 
 
 @query(f"with {BOX_SQL} select img, idx, greatest(0e0, least(1e0, cx - w / 2)) as x1, greatest(0e0, least(1e0, cy - h / 2)) as y1, greatest(0e0, least(1e0, cx + w / 2)) as x2, greatest(0e0, least(1e0, cy + h / 2)) as y2 from box")
@@ -434,9 +418,7 @@ def knn_topk(spark, d):
 def idw_transform(spark, d):
     q, p = _points(spark, d)
     near = joins.nearest(q, p.drop("lx"), 5)
-    w = 1 / F.pow(F.greatest("dist", F.lit(1e-9)), 2)
-    rows = near.join(p.select("pid", "lx"), "pid").withColumn("__w", w)
-    return rows.groupBy("qid").agg(F.greatest(F.lit(0), F.least(F.lit(4095), (F.sum(F.col("__w") * F.col("lx")) / F.sum("__w") + 1e-9).cast("int"))).alias("lx"))
+    return joins.inverse_distance(near, p.select("pid", "lx"), ["lx"])
 
 
 @query(f"with {POINTS} select qid as id from q where qid not in (select pid from pts where pid % 20 = 0) and not exists (select 1 from pts where pid % 20 = 0 and sqrt((qx - px) * (qx - px) + (qy - py) * (qy - py)) < 150)")
@@ -516,26 +498,6 @@ def target_rank(spark, d):
     return E.rank_targets(c, by=("user_id",))
 
 
-def _positions(spark, d):
-    e = events(spark, d)
-    return e.select("event_id", F.col("user_id").alias("key"), (F.unix_micros("ts") / 3.6e9).alias("t"), F.col("value").alias("x"), F.col("k").cast("double").alias("y"))
-
-
-@query()
-def track_objects(spark, d):
-    return tracking.batch(_positions(spark, d), "track")
-
-
-@query()
-def noise_filter(spark, d):
-    return tracking.batch(_positions(spark, d), "filter")
-
-
-@query()
-def trajectory_fit(spark, d):
-    return tracking.batch(_positions(spark, d), "fit")
-
-
 # --- sets --------------------------------------------------------------------------------------------------------------
 
 

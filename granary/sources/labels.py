@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from granary.functions.geometry import detect_without_size, polygon_box, xyxy_to_yolo
 from granary.functions.text import confidence, path_stem
@@ -35,16 +41,28 @@ def images(spark: SparkSession, path: str, suffixes=("jpg", "jpeg", "png", "bmp"
 
 
 def listing(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """path and size of all files under a path, empty ones included: Spark's file sources leave those out, so the names
-    come from the file system's own listing (names alone, by the driver, as for any scan)."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    files, found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True), []
-    while files.hasNext():
-        f = files.next()
-        if f.getPath().getName().endswith(suffix):
-            found.append((f.getPath().toString(), f.getLen()))
-    return spark.createDataFrame(found, "path string, size long")
+    """path and size of all files under a path whose names end so, empty ones included, which Spark's own file sources
+    leave out. Tasks list the folders under the path, one row each, and their names never pass through the driver."""
+    schema = "path string, size long, folder boolean"
+    top = path if ":/" in path else f"file://{path}"
+
+    def listed(folders: Iterator[pa.RecordBatch], deep: bool) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in folders:
+            for own, is_folder in zip(batch.column("path").to_pylist(), batch.column("folder").to_pylist(), strict=True):
+                system, root = fs.FileSystem.from_uri(own)
+                if deep and not is_folder:
+                    yield pa.RecordBatch.from_arrays([pa.array([own]), pa.array([system.get_file_info(root).size], pa.int64()), pa.array([False])], names=["path", "size", "folder"])
+                    continue
+                head, found = own[: len(own) - len(root)], system.get_file_info(fs.FileSelector(root, recursive=deep))
+                for at in range(0, len(found), 10_000):
+                    rows = [(head + f.path, f.size, f.type == fs.FileType.Directory) for f in found[at : at + 10_000]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.bool_()), strict=True)], names=["path", "size", "folder"])
+
+    first = spark.createDataFrame([(top, None, True)], schema).mapInArrow(lambda b: listed(b, False), schema)
+    files = first.repartition("path").mapInArrow(lambda b: listed(b, True), schema)
+    return files.filter(~F.col("folder") & F.endswith("path", F.lit(suffix))).select("path", "size")
 
 
 def label_files(spark: SparkSession, path: str) -> DataFrame:
@@ -106,10 +124,27 @@ def predictions(docs: DataFrame) -> DataFrame:
     return with_lines.unionByName(rest)
 
 
+@F.pandas_udf(StringType())
+def first_object(text: pd.Series) -> pd.Series:
+    """The first balanced JSON object in a text, as it stands there."""
+    read = json.JSONDecoder().raw_decode
+
+    def first(t: str | None) -> str | None:
+        at = -1 if t is None else t.find("{")
+        while at >= 0:
+            try:
+                return t[at : read(t, at)[1]]
+            except (ValueError, RecursionError):
+                at = t.find("{", at + 1)
+        return None
+
+    return text.map(first, na_action=None).astype(object)
+
+
 def first_json(text: Column) -> Column:
-    """The first balanced JSON object at the start of a text with something after it, as some result files have."""
-    body = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.coalesce(F.when(F.try_parse_json(text).isNotNull(), text), F.when(F.try_parse_json(body).isNotNull(), body))
+    """A text that is JSON, or else the first balanced JSON object in it: some result files have more after it, braces
+    included."""
+    return F.coalesce(F.when(F.try_parse_json(text).isNotNull(), text), first_object(text))
 
 
 def results(spark: SparkSession, path: str) -> DataFrame:
@@ -136,3 +171,50 @@ def metrics_csv(spark: SparkSession, path: str, contains: str = "mAP50-95") -> D
     rows = rows.toDF(*[c.strip() for c in rows.columns])
     name = next(c for c in rows.columns if contains in c)
     return rows.withColumn("file", F.input_file_name()).groupBy("file").agg(F.max("epoch").alias("epoch"), F.max_by(F.col(f"`{name}`"), "epoch").alias("value"))
+
+
+def yaml_names(text: Column) -> Column:
+    """Class names of a data.yaml, as an array: `names` as a list in brackets, as indented `- name` lines or as indented
+    `0: name` lines; null if there are none."""
+    flow = F.regexp_extract(text, r"(?m)^names:\s*\[([^\]]*)\]", 1)
+    block = F.regexp_extract(text, r"(?m)^names:[ \t]*\r?\n((?:[ \t]*(?:-|\d+:)[^\r\n]*\r?\n?)+)", 1)
+    plain = lambda c: F.regexp_replace(F.trim(c), r"^['\"]|['\"]$", "")
+    of_flow = F.transform(F.split(flow, ","), plain)
+    of_block = F.transform(F.filter(F.split(block, r"\r?\n"), lambda line: F.trim(line) != ""), lambda line: plain(F.regexp_replace(line, r"^\s*(?:-|\d+:)\s*", "")))
+    return F.when(F.trim(flow) != "", of_flow).when(block != "", of_block)
+
+
+def class_names(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
+    """dataset (the folder of a data.yaml) and its class names; where a file names none, those of `known` (dataset,
+    names), else `weed` alone."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="data.yaml")
+    rows = files.select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("dataset"), yaml_names(F.col("value")).alias("own"))
+    rows = rows if known is None else rows.join(known.select("dataset", F.col("names").alias("__known")), "dataset", "left")
+    instead = F.array(F.lit("weed"))
+    return rows.select("dataset", F.coalesce("own", instead if known is None else F.coalesce("__known", instead)).alias("names"))
+
+
+def split_info(files: DataFrame) -> DataFrame:
+    """Per dataset and split of paths `<dataset>/<split>/images|labels/<file>`: images and labels."""
+    parts = F.split("path", "/")
+    rows = files.select(F.element_at(parts, -4).alias("dataset"), F.element_at(parts, -3).alias("split"), F.element_at(parts, -2).alias("kind"), F.lower(F.element_at(parts, -1)).alias("name"))
+    rows = rows.filter(F.col("split").isin("train", "valid", "test"))
+    return rows.groupBy("dataset", "split").agg(
+        F.count_if((F.col("kind") == "images") & F.col("name").rlike(r"\.(jpg|jpeg|png)$")).alias("images"), F.count_if((F.col("kind") == "labels") & F.endswith("name", F.lit(".txt"))).alias("labels")
+    )
+
+
+def dataset_roots(files: DataFrame, least: int = 10) -> DataFrame:
+    """Folders that look like a dataset, from files (path, and text for YAML files): those of a data.yaml, those of another
+    .yaml whose first 2000 characters hold `train:` and `names:` or `nc:`, and those with an images folder and a labels
+    folder of at least `least` .txt files under it."""
+    name, folder = F.element_at(F.split("path", "/"), -1), F.regexp_replace("path", r"/[^/]*$", "")
+    head = F.lower(F.left("text", F.lit(2000)))
+    sniffed = F.contains(head, F.lit("train:")) & (F.contains(head, F.lit("names:")) | F.contains(head, F.lit("nc:")))
+    by_yaml = files.filter((name == "data.yaml") | (F.endswith("path", F.lit(".yaml")) & F.coalesce(sniffed, F.lit(False)))).select(folder.alias("root"))
+    # Every folder above a file that holds it through images or labels.
+    parts = F.split("path", "/")
+    at = F.explode(F.filter(F.sequence(F.lit(2), F.size(parts) - 1), lambda k: F.element_at(parts, k).isin("images", "labels")))
+    above = files.filter(F.size(parts) > 2).withColumn("k", at).select(F.array_join(F.slice(parts, 1, F.col("k") - 1), "/").alias("root"), F.element_at(parts, F.col("k")).alias("kind"), F.endswith("path", F.lit(".txt")).alias("txt"))
+    both = above.groupBy("root").agg(F.count_if(F.col("kind") == "images").alias("i"), F.count_if((F.col("kind") == "labels") & F.col("txt")).alias("l"))
+    return by_yaml.unionByName(both.filter((F.col("i") > 0) & (F.col("l") >= least)).select("root")).distinct()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from granary.operators.corpus import numbered
 
 
 def yolo_lines(boxes: DataFrame, images: DataFrame | None = None) -> DataFrame:
@@ -17,20 +20,30 @@ def yolo_lines(boxes: DataFrame, images: DataFrame | None = None) -> DataFrame:
 
 
 def write_yolo(boxes: DataFrame, path: str, images: DataFrame | None = None) -> None:
-    """One folder per image under the path, partitioned by img."""
-    yolo_lines(boxes, images).write.mode("overwrite").partitionBy("img").text(path)
+    """One file <img>.txt for each image under the path, empty for images without boxes."""
+    write_texts(yolo_lines(boxes, images), path, ".txt")
+
+
+def write_texts(rows: DataFrame, path: str, suffix: str) -> None:
+    """One file <img><suffix> for each row (img, text). Tasks write the files of their own rows; a task that runs again
+    writes the same files once more."""
+
+    def work(part: Iterator) -> None:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+        system.create_dir(root, recursive=True)
+        for row in part:
+            with system.open_output_stream(f"{root.rstrip('/')}/{row['img']}{suffix}") as out:
+                out.write(row["text"].encode())
+
+    rows.select("img", "text").foreachPartition(work)
 
 
 def coco_tables(boxes: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """COCO images (id from 1 in order of img) and annotations (bbox in pixels). Ids come from a sort of the small image
-    table by ranges: counts per range are summed first."""
+    """COCO images (id from 1 in order of img) and annotations (bbox in pixels)."""
     width, height = F.col("width"), F.col("height")
-    part = F.spark_partition_id()
-    ranged = images.repartitionByRange("img").sortWithinPartitions("img").withColumn("__p", part)
-    sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
-    sizes = sizes.select("__p", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    ids = ranged.join(F.broadcast(sizes), "__p").withColumn("id", (F.col("__before") + F.row_number().over(W.partitionBy("__p").orderBy("img"))).cast("long"))
-    ids = ids.drop("__p", "__before")
+    ids = numbered(images.withColumn("__all", F.lit(0)), ["__all"], ["img"], "__nth").withColumn("id", (F.col("__nth") + 1).cast("long")).drop("__all", "__nth")
     bbox = F.array((F.col("cx") - F.col("w") / 2) * width, (F.col("cy") - F.col("h") / 2) * height, F.col("w") * width, F.col("h") * height)
     ann = boxes.join(ids.select("img", "id", "width", "height"), "img").select(F.col("id").alias("image_id"), "box_idx", F.col("cls").alias("category_id"), bbox.alias("bbox"), (F.col("w") * width * F.col("h") * height).alias("area"), F.lit(0).alias("iscrowd"))
     return ids.select("id", F.col("img").alias("file_name"), "width", "height"), ann
@@ -38,9 +51,9 @@ def coco_tables(boxes: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFra
 
 def coco_results(pred: DataFrame, images: DataFrame) -> DataFrame:
     """image_id, category_id, bbox (pixels) and score of predictions."""
-    _, ann = coco_tables(pred, images)
+    ids, ann = coco_tables(pred, images)
     scores = pred.select("img", "box_idx", F.col("conf").alias("score"))
-    ids = coco_tables(pred, images)[0].select(F.col("id").alias("image_id"), F.col("file_name").alias("img"))
+    ids = ids.select(F.col("id").alias("image_id"), F.col("file_name").alias("img"))
     return ann.join(ids, "image_id").join(scores, ["img", "box_idx"]).select("image_id", "category_id", "bbox", "score")
 
 

@@ -13,5 +13,5 @@ def test_every_class_is_counted_whole(spark):
     for r in rows:
         files.setdefault(r["l_partkey"] % 12, set()).add(r["l_orderkey"])
     most = max(held.values())
-    got = {(r.cls, r.instances, r.files, r.copies) for r in QUERIES["oversample_plan_whole"](spark, DATA).collect()}
+    got = {(r.cls, r.instances, r.files, r.copies) for r in QUERIES["oversample_plan"](spark, DATA).collect()}
     assert got == {(c, n, len(files[c]), min(10, (most - n) // n + 1)) for c, n in held.items() if n < most}
