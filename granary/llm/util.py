@@ -2,68 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-import weakref
-
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Tasks get the code with the closure, so executors need not have this package installed.
-import granary
+from granary.storage import forget, shared_dir, stored
 
-cloudpickle.register_pickle_by_value(granary)
+__all__ = ["WHITE", "arrow_schema", "forget", "shared_dir", "shuffle_partitions", "slices", "stored", "table", "words_of"]
 
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\x0b\x0c\r"
 
-_own_dir: list[str] = []
-_written: list[tuple[weakref.ref, str]] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all executors share. Where it is unset, a temporary folder of this
-    machine if Spark runs in local mode; on a cluster that is an error, as executors do not see each other's folders."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="granary-"))
-    return f"file://{_own_dir[0]}"
-
-
-def stored(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors, and is
-    computed once however often it is used. The files go when the driver's process ends, or by `forget`."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/granary-{uuid.uuid4().hex}"
-    (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
-    _written.append((weakref.ref(spark), path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def forget() -> None:
-    """Deletes all tables written so far. Results that still read them can't be computed any more: for a long session,
-    between one result that is done with and the next."""
-    while _written:
-        ref, path = _written.pop()
-        with contextlib.suppress(Exception):
-            spark = ref()
-            jvm, hconf = spark._jvm, spark._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(hconf).delete(p, True)
-
-
 def slices(batches, rows: int = 500):
     """Arrow batches cut to a few rows each, so that a Python worker holds the texts of few documents at once."""
     for batch in batches:
