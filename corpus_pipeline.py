@@ -1,5 +1,9 @@
 """The corpus pipeline: documents in, a training mix out. Each stage calls one of the training-data operators; its result
-is written as Parquet and read again as the next stage's documents."""
+is written as Parquet and read again as the next stage's documents.
+
+All stages: texts are read whole, however long. Rows that repeat are rows like any others, but for near dedup. Columns
+besides those named below may hold nulls and may have names that the operators use themselves: they travel under names of
+their own and come out as they came in. An empty table gives an empty table. A rerun gives the same rows."""
 
 from __future__ import annotations
 
@@ -25,7 +29,9 @@ def restored(judged: DataFrame, names: list[str], columns: list[str], **instead)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents in which a language is found: neither `und` nor under LEAST_SCORE."""
+    """Keeps the documents in which a language is found: neither `und` nor under LEAST_SCORE. Null and empty texts, and
+    those without letters, are `und`. Learns from the rows with a lang that are not held out, as op5 does; of equal
+    scores, the first language in code point order is taken."""
     profiles = langid.train_profiles(docs.filter(~langid.is_held_out()))
     inner, names, text = shielded(docs)
     judged = langid.identify(inner, profiles, names, text)
@@ -33,7 +39,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that stand in 10 documents or more; n_chars follows the text."""
+    """Drops lines that stand in 10 documents or more; n_chars follows the text. Rows count as documents, whatever their
+    ids; a null text comes out empty; lines of white space alone stay."""
     inner, names, text = shielded(docs)
     beside = [n for n in names if n != text]
     inner = inner.withColumnsRenamed({text: "text"}).withColumn("doc_id", F.col(names[docs.columns.index("doc_id")]))
@@ -42,7 +49,9 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id, and of equal rows one."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more) stays: the one with the
+    smallest id, and of rows equal in id and text one. Rows without an id, and texts without words, all stay; of several
+    texts under one id, those stay whose id names their group."""
     found = near_dedup.near_duplicates(docs, words=5, percent=80).filter("kept")
     found = found.groupBy(F.col("doc_id").alias("__k_id"), F.col("th").alias("__k_th")).agg(F.count("*").alias("__k_n"))
     rows = docs.withColumn("__k_text", F.hash("text")).join(found, F.col("doc_id").eqNullSafe(F.col("__k_id")) & (F.col("__k_text") == F.col("__k_th")))
@@ -52,14 +61,16 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that hold no item of the benchmark."""
+    """Keeps the documents that hold no item of the benchmark: less than half of the tokens of each, in any order. A row is
+    judged by its text alone; null and empty texts stay."""
     inner, names, text = shielded(docs)
     judged = decontam.contamination(inner, table(spark, sf_dir, "benchmark"), keep=names, text=text)
     return restored(judged.filter(~F.col("contaminated")), names, docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
+    """How many words of each document the mix takes: doc_id, size, source_size, target, taken. A null source is a source;
+    ties go by doc_id, then size; a null text has size 0."""
     return mixing.mix_sources(docs, table(spark, sf_dir, "labels"))
 
 
@@ -76,6 +87,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, with each stage's result but the last one's written and read back: the mix."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
