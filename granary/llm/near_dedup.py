@@ -249,10 +249,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     sigs = stored(signatures(docs, words))
-    # One class for each set; its node is a number of its own, so classes that share a doc_id are told apart.
+    # One class for each set; its node is a number of its own, so classes that share a doc_id are told apart. Nodes go by
+    # doc_id, so a bucket's first member, with which the others are compared first, is its oldest document.
     classes = sigs.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "th", "n_shingles", "sig")).alias("r"))
-    classes = classes.select(F.monotonically_increasing_id().alias("rep"), "digest", "r.doc_id", "r.th", F.col("r.n_shingles").alias("n"), F.col("r.sig").alias("sig"))
-    classes = stored(classes)
+    classes = classes.select("digest", "r.doc_id", "r.th", F.col("r.n_shingles").alias("n"), F.col("r.sig").alias("sig"))
+    classes = stored(classes.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "digest").withColumn("rep", F.monotonically_increasing_id()))
     reps = classes.select("rep", "doc_id", "th", "n", "sig")
     same_id = sigs.filter("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select("doc_id", "lo")
     several = sigs.join(same_id, "doc_id").filter("digest <> lo").select("lo", F.col("digest").alias("hi")).distinct()
