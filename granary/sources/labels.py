@@ -125,12 +125,19 @@ def predictions(docs: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(StringType())
-def first_object(text: pd.Series) -> pd.Series:
-    """The first balanced JSON object in a text, as it stands there."""
+def first_json(text: pd.Series) -> pd.Series:
+    """A text that is JSON, or else the first balanced JSON object in it: some result files have more after it, braces
+    included. Null if there is none."""
     read = json.JSONDecoder().raw_decode
 
     def first(t: str | None) -> str | None:
-        at = -1 if t is None else t.find("{")
+        if not isinstance(t, str):
+            return None
+        try:
+            json.loads(t)
+            return t
+        except (ValueError, RecursionError):
+            at = t.find("{")
         while at >= 0:
             try:
                 return t[at : read(t, at)[1]]
@@ -138,13 +145,7 @@ def first_object(text: pd.Series) -> pd.Series:
                 at = t.find("{", at + 1)
         return None
 
-    return text.map(first, na_action=None).astype(object)
-
-
-def first_json(text: Column) -> Column:
-    """A text that is JSON, or else the first balanced JSON object in it: some result files have more after it, braces
-    included."""
-    return F.coalesce(F.when(F.try_parse_json(text).isNotNull(), text), first_object(text))
+    return pd.Series([first(t) for t in text], dtype=object)
 
 
 def results(spark: SparkSession, path: str) -> DataFrame:
