@@ -75,8 +75,8 @@ def first_digit(text: Column, actions: Sequence[str]) -> Column:
 
 
 def parsable(text: Column) -> Column:
-    """The text if it is a JSON value."""
-    return F.when(F.try_parse_json(text).isNotNull(), text)
+    """The text if it is a JSON value and no more. Inside an object, what follows a value can't be overlooked."""
+    return F.when(F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull(), text)
 
 
 def extract_json(text: Column) -> Column:

@@ -147,6 +147,29 @@ def nms(spark, d):
     return matching.nms(boxes(spark, d).withColumnRenamed("idx", "box_idx"), 0.5)
 
 
+def _mean_iou(s: str, b: str) -> str:
+    """The overlap of cluster s, whose corners are sums weighted by s.c, with box b, as the Spark side works it out."""
+    x1, y1, x2, y2 = (f"({s}.{k} / {s}.c)" for k in ("x1", "y1", "x2", "y2"))
+    i = f"(greatest(0e0, least({x2}, {b}.x2) - greatest({x1}, {b}.x1)) * greatest(0e0, least({y2}, {b}.y2) - greatest({y1}, {b}.y1)))"
+    union = f"(({x2} - {x1}) * ({y2} - {y1}) + ({b}.x2 - {b}.x1) * ({b}.y2 - {b}.y1) - {i})"
+    return f"(case when {union} > 0 then {i} / {union} else 0e0 end)"
+
+
+@query(
+    f"""with recursive {BOX_SQL}, o as (select img, cls, row_number() over (partition by img, cls order by conf desc, idx) as n, {{'c': conf, 'x1': cx - w / 2, 'y1': cy - h / 2, 'x2': cx + w / 2, 'y2': cy + h / 2}} as b from box where conf >= 0.001),
+r as (select img, cls, n, [{{'n': 1, 'c': b.c, 'x1': b.x1 * b.c, 'y1': b.y1 * b.c, 'x2': b.x2 * b.c, 'y2': b.y2 * b.c}}] as acc from o where n = 1
+  union all
+  select img, cls, n, case when list_max(v) > 0.55 then list_transform(acc, lambda s, i: case when i = list_position(v, list_max(v)) then {{'n': s.n + 1, 'c': s.c + b.c, 'x1': s.x1 + b.x1 * b.c, 'y1': s.y1 + b.y1 * b.c, 'x2': s.x2 + b.x2 * b.c, 'y2': s.y2 + b.y2 * b.c}} else s end)
+    else list_append(acc, {{'n': 1, 'c': b.c, 'x1': b.x1 * b.c, 'y1': b.y1 * b.c, 'x2': b.x2 * b.c, 'y2': b.y2 * b.c}}) end
+  from (select o.*, r.acc, list_transform(r.acc, lambda s: {_mean_iou('s', 'o.b')}) as v from r join o on o.img = r.img and o.cls = r.cls and o.n = r.n + 1)),
+l as (select img, cls, unnest(arg_max(acc, n)) as s from r group by 1, 2), k as (select count(distinct src) as k from box)
+select img, cls, round((s.x1 / s.c + s.x2 / s.c) / 2, 6) as cx, round(s.y2 / s.c - s.y1 / s.c, 6) as h, round(s.c / s.n * least(s.n, k) / k, 6) as conf, s.n as members from l, k"""
+)
+def weighted_fusion(spark, d):
+    out = matching.weighted_boxes_fusion(boxes(spark, d).withColumnRenamed("idx", "box_idx"))
+    return out.select("img", "cls", F.round("cx", 6).alias("cx"), F.round("h", 6).alias("h"), F.round("conf", 6).alias("conf"), "members")
+
+
 @query(f"{STAR}, v as (select r.img, r.seed_idx, count(distinct src) as votes from r join box on box.img = r.img and box.idx = r.idx group by 1, 2) select img, seed_idx, votes, seed_idx as box_idx from v where votes >= 3")
 def consensus_fixed(spark, d):
     return fusion.consensus(boxes(spark, d).withColumnRenamed("idx", "box_idx"), min_votes=3, capped=False)

@@ -230,11 +230,6 @@ def consensus_vote(spark, d):
     return fusion.consensus(boxes(spark, d).withColumnRenamed("idx", "box_idx"))
 
 
-@query()
-def weighted_fusion(spark, d):
-    return matching.weighted_boxes_fusion(boxes(spark, d).withColumnRenamed("idx", "box_idx"))
-
-
 # --- corpus ----------------------------------------------------------------------------------------------------------
 
 
