@@ -381,3 +381,17 @@ def personal_data(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+#: The base columns alone: places of matches are not to be had in SQL, their numbers are.
+COUNTS_ORACLE = r"""
+with t as (select doc_id, coalesce(text, '') as t from documents),
+m as (select doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'))::bigint as n_email,
+  list_filter(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 or coalesce(try_cast(ltrim(p, '0') as int), 0) > 255)) = 0) as ips,
+  list_transform(regexp_extract_all(t, '[0-9]([ -]?[0-9])+'), lambda x: reverse(regexp_replace(x, '[^0-9]', '', 'g'))) as cards,
+  list_transform(regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) as phones from t)
+select doc_id, n_email, len(ips)::bigint as n_ip,
+  len(list_filter(cards, lambda d: length(d) between 13 and 19 and list_sum(list_transform(range(1, length(d) + 1), lambda i: case when i % 2 = 1 then d[i]::int when d[i]::int > 4 then 2 * d[i]::int - 9 else 2 * d[i]::int end)) % 10 = 0))::bigint as n_card,
+  len(list_filter(phones, lambda n: n between 9 and 15))::bigint as n_phone
+from m
+"""

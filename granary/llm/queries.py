@@ -34,6 +34,11 @@ def op6_personal_data(spark, sf_dir):
     return found.withColumn("base_sha256", F.sha2("base", 256)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def personal_data_counts(spark, sf_dir):
+    """The numbers of base spans, for which there is SQL."""
+    return pii.personal_data(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 def op7_html_text(spark, sf_dir):
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
@@ -51,8 +56,9 @@ def op10_decontamination(spark, sf_dir):
 
 
 def queries():
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit() and callable(f)}
+    own = {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit() and callable(f)}
+    return own | {"personal_data_counts": personal_data_counts}
 
 
 def oracle_sql():
-    return {"op1_line_dedup": line_dedup.ORACLE, "op2_chat_format": chat_format.ORACLE, "op4_source_mixing": mixing.ORACLE, "op9_near_dedup": near_dedup.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op2_chat_format": chat_format.ORACLE, "op4_source_mixing": mixing.ORACLE, "op9_near_dedup": near_dedup.ORACLE, "personal_data_counts": pii.COUNTS_ORACLE}
