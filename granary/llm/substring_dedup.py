@@ -187,8 +187,8 @@ def dedup_spans(docs: DataFrame, min_words: int = 30, keep: list[str] | None = N
     """Removes the sentences under every repeated run but its first (smallest doc_id, null first; then the smallest
     hash of the text, then the place in it). Repeats within a document count like those between documents.
 
-    Returns the columns `keep` (doc_id if not given) with n_sentences, n_removed and kept (the text without the removed
-    sentences; null text stays null, unchanged texts stay as they are to the byte). Rows equal in id and text are one
+    Returns the columns `keep` (doc_id if not given) with n_removed (sentences) and kept (the text without them; null text
+    stays null, unchanged texts stay as they are to the byte). Rows equal in id and text are one
     document: each comes out alike. Runs are told apart by 64-bit hashes. Texts are read whole; empty texts have no
     sentences; other columns are ignored; an empty table gives no rows.
     """
@@ -208,16 +208,15 @@ def dedup_spans(docs: DataFrame, min_words: int = 30, keep: list[str] | None = N
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            count, removed, kept = [], [], []
+            removed, kept = [], []
             for text, own in zip(batch.column("__text"), batch.column("__cuts"), strict=True):
                 text, own = text.as_py(), own.as_py()
-                words = Words(text or "")
-                starts = words.places(words.sentences(1), len(text or ""))
-                count.append(len(starts))
                 if not own:
                     removed.append(0)
                     kept.append(text)
                     continue
+                words = Words(text)
+                starts = words.places(words.sentences(1), len(text))
                 edge = np.zeros(len(starts) + 1, np.int64)
                 np.add.at(edge, np.searchsorted(starts, [x["i"] for x in own]), 1)
                 np.add.at(edge, np.searchsorted(starts, [x["j"] for x in own]), -1)
@@ -225,8 +224,8 @@ def dedup_spans(docs: DataFrame, min_words: int = 30, keep: list[str] | None = N
                 removed.append(int(out.sum()))
                 ends = np.append(starts[1:], len(text))
                 kept.append("".join(text[a:b] for a, b in zip(starts[~out].tolist(), ends[~out].tolist(), strict=True)))
-            cols = [*batch.columns[:n], pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:n], "n_sentences", "n_removed", "kept"])
+            cols = [*batch.columns[:n], pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:n], "n_removed", "kept"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:n]) + ", n_sentences long, n_removed long, kept string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:n]) + ", n_removed long, kept string"
     return rows.mapInArrow(work, schema)

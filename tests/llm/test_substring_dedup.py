@@ -105,7 +105,7 @@ def test_odd_rows(odd, none):
     assert S.dedup_spans(none).count() == 0
     rows = S.dedup_spans(odd).collect()
     assert len(rows) == odd.count()
-    assert {r.kept for r in rows if r.doc_id == 2} == {None} and all(r.n_sentences == 0 for r in rows if r.doc_id in (2, 3, 4))
+    assert {r.kept for r in rows if r.doc_id == 2} == {None} and all(r.n_removed == 0 for r in rows if r.doc_id in (2, 3, 4))
 
 
 def shared_inside(spark, a, b, passage, other=None):
