@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.llm import ann, chat_format, decontam, html_extract, langid, line_dedup, mixing, near_dedup, pii, substring_dedup
+from granary.llm import ann, chat_format, collocations, conversation_repair, decontam, html_extract, langid, line_dedup, mixing, near_dedup, pii, simhash, substring_dedup
 from granary.llm.util import table
 
 
@@ -55,10 +55,22 @@ def op10_decontamination(spark, sf_dir):
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark, sf_dir):
+    return conversation_repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
+def op12_simhash_dedup(spark, sf_dir):
+    return simhash.simhash_components(table(spark, sf_dir, "documents"), words=3, distance=2)
+
+
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries():
     own = {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit() and callable(f)}
     return own | {"personal_data_counts": personal_data_counts}
 
 
 def oracle_sql():
-    return {"op1_line_dedup": line_dedup.ORACLE, "op2_chat_format": chat_format.ORACLE, "op4_source_mixing": mixing.ORACLE, "op9_near_dedup": near_dedup.ORACLE, "personal_data_counts": pii.COUNTS_ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op2_chat_format": chat_format.ORACLE, "op4_source_mixing": mixing.ORACLE, "op9_near_dedup": near_dedup.ORACLE, "op11_conversation_repair": conversation_repair.ORACLE, "op13_collocations": collocations.ORACLE, "personal_data_counts": pii.COUNTS_ORACLE}
