@@ -21,10 +21,15 @@ from pyspark.sql import Window as W
 
 from granary.llm.util import shuffle_partitions, slices, stored
 
-#: Rows that centroids and codebooks are fitted on at most, and rows of it for each cell. Every row is indexed.
-SAMPLE, PER_CELL = 65_536, 16
+#: Rows that centroids and codebooks are fitted on at most, their bytes at most, and rows of it for each cell. Every row is
+#: indexed.
+SAMPLE, SAMPLE_BYTES, PER_CELL = 65_536, 2**26, 16
+#: Distances to centroids that are held at once.
+AT_ONCE = 2**22
 #: Vectors in a group and queries that meet it at once, dealt in tiles of queries; pairs scored exactly at once.
 GROUP, QUERIES, TILE, PAIRS = 4_096, 2_048, 256, 262_144
+#: Queries that travel to a group in one row.
+PACKED = 1_024
 SUBSPACES, CODES, ROUNDS, SEED = 32, 256, 8, 11
 #: Of the true neighbours within the sample, at least this share must lie in the cells that a query looks into.
 REACH, TRIALS = 0.95, 256
@@ -43,7 +48,13 @@ def kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return (x @ c.T - 0.5 * (c * c).sum(axis=1)).argmax(axis=1)
+    """The nearest centroid of each row, a few rows at a time: rows times centroids are never held together."""
+    half, out, rows = 0.5 * (c * c).sum(axis=1), np.empty(len(x), np.int64), max(1, AT_ONCE // len(c))
+    for at in range(0, len(x), rows):
+        s = x[at : at + rows] @ c.T
+        s -= half
+        out[at : at + rows] = s.argmax(axis=1)
+    return out
 
 
 class Quantizer:
@@ -59,13 +70,16 @@ class Quantizer:
 
     def probes(self, x: np.ndarray, k: int) -> int:
         """Cells to look into: as many as bring REACH of the true k nearest of some rows of the sample."""
+        held, needed = nearest(x, self.coarse), []
         q = x[:: max(1, len(x) // TRIALS)]
-        s = q @ x.T
-        best = np.argpartition(-s, min(k, len(x) - 1), axis=1)[:, : k + 1]
-        order = np.argsort(-(q @ self.coarse.T), axis=1, kind="stable")
-        place = np.empty_like(order)
-        np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
-        needed = np.take_along_axis(place, nearest(x, self.coarse)[best], axis=1)
+        for at in range(0, len(q), rows := max(1, AT_ONCE // len(x))):
+            part = q[at : at + rows]
+            best = np.argpartition(-(part @ x.T), min(k, len(x) - 1), axis=1)[:, : k + 1]
+            order = np.argsort(-(part @ self.coarse.T), axis=1, kind="stable")
+            place = np.empty_like(order)
+            np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
+            needed.append(np.take_along_axis(place, held[best], axis=1).ravel())
+        needed = np.concatenate(needed)
         return int(np.quantile(needed, REACH, method="higher")) + 1
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,11 +144,14 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def fit(rows: DataFrame, n: int, dim: int, k: int) -> tuple[Quantizer, int]:
-    """The quantizer and the number of cells to probe. Fits on the SAMPLE rows with the smallest hash of their id. Cells
-    grow with the root of the number of rows, as far as the sample can place them."""
-    sample = rows.orderBy(F.xxhash64("id"), "id", "rid").limit(SAMPLE).select("v").toArrow()
-    x = matrix(sample.column("v").combine_chunks(), dim).astype(np.float32)
-    quant = Quantizer(x, cells=max(1, min(SAMPLE // PER_CELL, int(4 * math.sqrt(n)), -(-len(x) // PER_CELL))))
+    """The quantizer and the number of cells to probe. Fits on the SAMPLE rows with the smallest hash of their id, fewer if
+    they would be over SAMPLE_BYTES in single precision. Cells grow with the root of the number of rows, as far as the
+    sample can place them."""
+    most = max(1, min(SAMPLE, SAMPLE_BYTES // (4 * dim)))
+    single = F.transform("v", lambda x: x.cast("float")).alias("v")
+    sample = rows.orderBy(F.xxhash64("id"), "id", "rid").limit(most).select(single).toArrow()
+    x = np.asarray(sample.column("v").combine_chunks().flatten()).astype(np.float32, copy=False).reshape(-1, dim)
+    quant = Quantizer(x, cells=max(1, min(most // PER_CELL, int(4 * math.sqrt(n)), -(-len(x) // PER_CELL))))
     return quant, quant.probes(x, k)
 
 
@@ -220,28 +237,30 @@ def search(
     lists = stored(lists.groupBy("group").applyInArrow(pack_list, "group int, rid binary, id binary, cell binary, error binary, codes binary, v binary"))
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries packed for each group that holds a cell they look into, PACKED at most in a row."""
         for whole in batches:
-            for batch in slices([whole], TILE):
+            for batch in slices([whole], PACKED):
                 x = matrix(batch.column("v"), dim)
-                order = np.argsort(-(x.astype(np.float32) @ quant.coarse.T), axis=1, kind="stable")
-                enough = (np.cumsum(held[order], axis=1) <= k).sum(axis=1) + 1
+                rid, ids = (batch.column(c).to_numpy() for c in ("rid", "id"))
                 looks = np.zeros((len(x), cells), bool)
-                np.put_along_axis(looks, order, np.arange(cells)[None, :] < np.maximum(probes, enough)[:, None], axis=1)
-                bytes_of = packed(x)
+                for at in range(0, len(x), TILE):
+                    order = np.argsort(-(x[at : at + TILE].astype(np.float32) @ quant.coarse.T), axis=1, kind="stable")
+                    enough = (np.cumsum(held[order], axis=1) <= k).sum(axis=1) + 1
+                    np.put_along_axis(looks[at : at + TILE], order, np.arange(cells)[None, :] < np.maximum(probes, enough)[:, None], axis=1)
                 for g, own in enumerate(groups):
                     sub = looks[:, own]
                     at = np.flatnonzero(sub.any(axis=1))
                     if len(at):
-                        masks, take = np.packbits(sub[at], axis=1), pa.array(at)
-                        cols = [batch.column("rid").take(take), batch.column("id").take(take), pa.array(np.full(len(at), g, np.int32)), pa.array([bytes_of[r] for r in at], pa.binary()), pa.array([m.tobytes() for m in masks], pa.binary())]
-                        yield pa.RecordBatch.from_arrays(cols, names=["rid", "id", "group", "v", "mask"])
+                        pieces = (rid[at].tobytes(), ids[at].tobytes(), np.packbits(sub[at], axis=1).tobytes(), packed_all(x[at]))
+                        yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([len(at)], pa.int64()), *(pa.array([p], pa.binary()) for p in pieces)], names=["group", "n", "rid", "id", "mask", "v"])
 
-    sent = stored(asked.mapInArrow(probed, "rid long, id long, group int, v binary, mask binary"))
-    wanted = stored(sent.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("packs")), 1)
+    sent = stored(asked.mapInArrow(probed, "group int, n long, rid binary, id binary, mask binary, v binary"))
+    wanted = stored(sent.groupBy("group").agg(F.ceil(F.sum("n") / QUERIES).cast("int").alias("packs")), 1)
 
     def pack_asked(table: pa.Table) -> pa.Table:
-        row = {f"q_{c}": [table.column(c).to_numpy().tobytes()] for c in ("rid", "id")}
-        return pa.table({"group": table.column("group")[:1], "pack": table.column("pack")[:1], **row, "q_mask": [b"".join(table.column("mask").to_pylist())], "q_v": [packed_all(unpacked(table.column("v").to_pylist(), dim))]})
+        row = {f"q_{c}": [b"".join(table.column(c).to_pylist())] for c in ("rid", "id", "mask")}
+        x = np.concatenate([unpacked_all(v, n, dim) for v, n in zip(table.column("v").to_pylist(), table.column("n").to_pylist(), strict=True)])
+        return pa.table({"group": table.column("group")[:1], "pack": table.column("pack")[:1], **row, "q_v": [packed_all(x)]})
 
     pairs_n = wanted.agg(F.sum("packs")).first()[0] or 0
     # A few pairs of a pack and a group in each partition, so that one batch stays small.

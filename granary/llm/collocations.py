@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -174,6 +174,12 @@ def phrases_of(pointers: DataFrame, least: int) -> DataFrame:
     return dealt.mapInArrow(work, "lang string, words array<string>, a long")
 
 
+def score() -> Column:
+    """floor(1000000 a a / (l r)), exactly: decimals of 7, 16 and 15 digits make 38, those of 18 and 18 fit as well."""
+    whole = "cast(1000000 as decimal(7,0)) * cast(a as decimal(16,0)) * cast(a as decimal(15,0))"
+    return F.expr(f"{whole} div (cast(l as decimal(18,0)) * cast(r as decimal(18,0)))").cast("long")
+
+
 def first_of_each(rows: DataFrame, top: int, order: list) -> DataFrame:
     """The first `top` rows of each language with their rank. Rows are dealt into ever fewer heaps that keep their own
     first ones, so no task ranks a whole language."""
@@ -210,10 +216,7 @@ def collocations(docs: DataFrame, max_words: int = 3, least: int = 10, absorbed_
     cuts = cuts.select("lang", "phrase", "a", "k", piece(F.lit(1), F.col("k")).alias("left"), piece(F.col("k") + 1, F.size("words") - F.col("k")).alias("right"))
     cuts = cuts.join(known.select("lang", F.col("part").alias("left"), F.col("f").alias("l")), ["lang", "left"])
     cuts = cuts.join(known.select("lang", F.col("part").alias("right"), F.col("f").alias("r")), ["lang", "right"])
-    # Decimals of 16 and 15 digits and the million make 38; of 19 and 19, too.
-    whole = "cast(1000000 as decimal(7,0)) * cast(a as decimal(16,0)) * cast(a as decimal(15,0))"
-    score = F.expr(f"{whole} div (cast(l as decimal(18,0)) * cast(r as decimal(18,0)))")
-    cuts = cuts.withColumn("score", score.cast("long"))
+    cuts = cuts.withColumn("score", score())
     scored = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("c"))
 
     inside = F.explode(F.flatten(F.transform(F.sequence(F.lit(2), F.size("words") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.size("words") - m + 1), lambda s: F.array_join(F.slice("words", s, m), " ")))))

@@ -22,17 +22,20 @@ from granary.llm.nn import Adam, BiLstm, Parts, fitted, sigmoid
 # --- blocks of a page ------------------------------------------------------------------------------------------------
 
 #: Elements that neither hold text nor are closed; whose content is no text; that sit inside lines. What
-#: stands in other elements (object, iframe, svg, math, textarea) is judged by the labeller like any text.
+#: stands in other elements (noscript, template, object, iframe, svg, math, textarea) is judged by the labeller like any
+#: text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template".split())
+RAW = frozenset("script style".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr".split()
 )
 #: What an opening tag closes, if it is open and no element of the second set is open inside it.
-CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
-MARKUP = re.compile(r"<!--(?s:.*?)(?:-->|\Z)|<!\[CDATA\[(?s:.*?)(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*)|<[!?/]")
-#: Attributes up to the tag's end, which quotes may not hide.
-ATTRIBUTES = re.compile(r"(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+>")
+CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"}), "noscript": (set(), set()), "template": (set(), set())}
+#: Comments end where browsers end them: at once after `<!-->` and `<!--->`, else at `-->` or `--!>`.
+MARKUP = re.compile(r"<!--(?:-?>|(?s:.*?)(?:--!?>|\Z))|<!\[CDATA\[(?s:.*?)(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*)|<[!?/]")
+#: Attributes up to the tag's end: names, and values, which are quoted only if the quote comes right after the `=`. Elsewhere
+#: a quote is a character like any other.
+ATTRIBUTES = re.compile(r"""(?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))?|=)*+>""")
 NAMES = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 PARTS = re.compile(r"[A-Za-z]+")
 RAW_END = {tag: re.compile(rf"</{tag}\b", re.I) for tag in RAW}
@@ -87,7 +90,6 @@ def blocks(page: str, paths: Paths) -> list[tuple[int, str, int, int]]:
     place = links = link_chars = 0
     at, end = 0, len(page)
     begun = broken = False  # whether the block has text; whether a quote was left open
-    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal parts, links, link_chars, begun
@@ -135,15 +137,12 @@ def blocks(page: str, paths: Paths) -> list[tuple[int, str, int, int]]:
             if depth := stack.depth((tag,)):
                 stack.cut(depth)
             continue
-        if tag in RAW and tag not in unclosed:
+        if tag in RAW:
             close = RAW_END[tag].search(page, at)
-            close = page.find(">", close.end()) + 1 if close else 0
-            if close:
-                at = close
-                continue
-            unclosed.add(tag)  # then its content counts as the page's, but for that of scripts and styles
-            if tag in ("script", "style"):
+            at = page.find(">", close.end()) + 1 if close else 0
+            if not at:
                 break
+            continue
         if tag in VOID:
             continue
         shuts, within = CLOSES.get(tag, ({"p"}, {"td", "th", "li", "body", "article", "div", "section"}) if tag not in INLINE else (set(), set()))
@@ -310,8 +309,10 @@ class PageWriter:
                 out.append(f"<blockquote>{m}{self.prose(3)}</blockquote>")
             elif how < 0.95:
                 out.append("<table>" + "".join(f"<tr><td>{m}{self.word()}</td><td>{m}{self.sentence(1, 4)}</td></tr>" for _ in range(self.some(1, 4))) + "</table>")
-            elif how < 0.97:
+            elif how < 0.965:
                 out.append(f"<pre>{m}{self.prose(2)}</pre>")
+            elif how < 0.975:
+                out.append(f"<{(t := self.pick(['noscript', 'noscript', 'template']))}>{self.pick(['<p>', ''])}{m}{self.prose(3)}</{t}>")
             else:
                 out.append(self.pick([self.advert(), self.wrap("sidebar", self.links(1, 4), ("div", "aside")), "<!-- cut -->", "<script>var t='</p>';</script>"]))
         return "".join(out)
@@ -344,6 +345,8 @@ class PageWriter:
             out.append(self.pick(["", "<!-- ad 1 -->"]) + self.advert())
         if self.rng.random() < 0.2:
             out.append(self.form())
+        if self.rng.random() < 0.1:
+            out.append(f"<{(t := self.pick(['noscript', 'template']))}>{self.pick([self.sentence(3, 12), self.notice()])}</{t}>")
         if self.rng.random() < 0.3:
             self.rng.shuffle(out)
         return "".join(out)
@@ -448,8 +451,8 @@ def trained(spark) -> Labeller:
 def main_text(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Adds to the columns `keep` (page_id and url if not given): text (the main blocks in page order, joined by one
     space; character references decoded, white space inside a block turned into one space) and n_chars (its code
-    points). A script or style that is never closed takes the rest of the page; of other elements nothing is left out
-    without the labeller. Null html is empty and gives an empty text, as does a page without main blocks. Pages are read whole, one by
+    points). A script, style or comment that is never closed takes the rest of the page, as in browsers; of other elements
+    nothing is left out without the labeller. Null html is empty and gives an empty text, as does a page without main blocks. Pages are read whole, one by
     one, so repeated rows and ids do not matter; other columns are ignored; an empty table gives no rows."""
     keep = ["page_id", "url"] if keep is None else keep
     model, n = trained(pages.sparkSession), len(keep)

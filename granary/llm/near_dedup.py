@@ -11,8 +11,10 @@ With a similarity of s, places differ with probability 1 - s, independently: a p
 probability 3e-7, one at exactly 0.8 with 2e-5, and any link between others of its group leads to the same component.
 
 Skew: documents with the same set are one class, joined once. In a key's bucket, every member is first confirmed against
-the first member, a linear number of pairs. Only buckets that still hold several components are worked off in full,
-in pairs of blocks of bounded size; a task passes on at most one link per member of its blocks, never all pairs.
+the first member, a linear number of pairs. The members of buckets that still hold several components are compared
+further where they share one of their rarest shingles, which linked sets always do, so a bucket of many documents that are
+half alike costs no more than its members. Only under a shingle that is rare for many of them and shared by several
+components are pairs worked off in blocks of bounded size; a task passes on at most one link per member, never all pairs.
 """
 
 from __future__ import annotations
@@ -35,8 +37,11 @@ CHUNKS, WIDTH, ERRORS, BITS = 5, 5, 2, 16
 PLACES, LIMIT = CHUNKS * WIDTH, CHUNKS * (ERRORS + 1) - 1
 #: The places of a chunk that make a key, for each choice of those that may differ.
 CHOICES = list(itertools.combinations(range(WIDTH), WIDTH - ERRORS))
-#: Members of a block in the full comparison of a bucket.
-BLOCK = 512
+#: Holders of a shingle whose pairs are listed; members of a block where they are more.
+FEW, BLOCK = 32, 512
+#: Slots that tell about how often a shingle occurs.
+SLOT_BITS = 20
+SLOTS = 1 << SLOT_BITS
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _rng = np.random.default_rng(2024)
 MULTIPLY = _rng.integers(0, 2**63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -96,8 +101,8 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             cols = [batch.column("doc_id"), batch.column("th"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "n_shingles", "digest", "sig"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("th"), "text")
-    return rows.mapInArrow(work, "doc_id long, th int, n_shingles long, digest binary, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    return rows.mapInArrow(work, "doc_id long, th long, n_shingles long, digest binary, sig binary")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -167,7 +172,7 @@ def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
 def sets_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(rep, set): the full shingle sets of wanted classes, from the texts of one document of each."""
     chosen = reps.join(wanted, "rep").select(F.col("rep"), F.col("doc_id").alias("rep_doc"), F.col("th").alias("rep_th"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep_doc"), F.hash("text").alias("rep_th"), "text").join(chosen, ["rep_doc", "rep_th"]).select("rep", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep_doc"), F.xxhash64("text").alias("rep_th"), "text").join(chosen, ["rep_doc", "rep_th"]).select("rep", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -178,44 +183,72 @@ def sets_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame, words: int) ->
     return rows.mapInArrow(work, "rep long, set binary").dropDuplicates(["rep"])
 
 
-def compare_blocks(members: DataFrame, percent: int) -> DataFrame:
+def slot_counts(sets: DataFrame) -> np.ndarray:
+    """About how often shingles occur in the sets: counts in SLOTS slots, a fixed 8 MB, summed in Spark."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in slices(batches):
+            for x in batch.column("set"):
+                np.add.at(counts, (np.frombuffer(x.as_py(), np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
+        slot = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts[slot])], names=["slot", "n"])
+
+    found = sets.select("set").mapInArrow(work, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def prefix(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest shingles of a set, so many that any set linked with it has one of them in its own prefix: the order is
+    one for all sets, and more than |A| - percent |A| / 100 shingles of A can't all be missing in a linked set."""
+    n = len(shingles)
+    order = np.lexsort((shingles, counts[(shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))
+    return shingles[order[: n + 1 + (-percent * n) // 100]]
+
+
+def prefixes(sets: DataFrame, counts, percent: int) -> DataFrame:
+    """(key, rep, comp): every set under each shingle of its prefix."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own = [prefix(np.frombuffer(x.as_py(), np.uint64), counts.value, percent) for x in batch.column("set")]
+            if own:
+                key, size = np.concatenate(own).view(np.int64), [len(x) for x in own]
+                again = lambda c, size=size, batch=batch: pa.array(np.repeat(batch.column(c).to_numpy(), size))
+                yield pa.RecordBatch.from_arrays([pa.array(key), again("rep"), again("comp")], names=["key", "rep", "comp"])
+
+    return sets.select("set", "rep", "comp").mapInArrow(work, "key long, rep long, comp long")
+
+
+def compare_blocks(members: DataFrame, counts, percent: int) -> DataFrame:
     """Links between different components within each (key, p, q) pair of blocks. A pair of documents is compared only
-    under the first key that they share."""
-    size = len(CHOICES)
-    first_choice = np.full(2**WIDTH, 255, np.int64)
-    for n in range(size - 1, -1, -1):
-        for pattern in range(2**WIDTH):
-            if all(pattern >> p & 1 for p in CHOICES[n]):
-                first_choice[pattern] = n
-
-    def first_key(x: np.ndarray, others: np.ndarray) -> np.ndarray:
-        same = others == x
-        out = np.full(len(others), -1, np.int64)
-        for chunk in range(CHUNKS - 1, -1, -1):
-            pattern = same[:, chunk * WIDTH : (chunk + 1) * WIDTH] @ (1 << np.arange(WIDTH))
-            choice = first_choice[pattern]
-            out = np.where(choice < 255, chunk * size + choice, out)
-        return np.where((~same).sum(axis=1) <= LIMIT, out, -1)
+    under the first shingle that their prefixes share."""
 
     def work(key: tuple, data: pa.Table) -> pa.Table:
-        lane = key[0].as_py() & 255
-        p, q = key[1].as_py(), key[2].as_py()
+        own_key, p, q = np.int64(key[0].as_py()).view(np.uint64), key[1].as_py(), key[2].as_py()
         data = data.combine_chunks().sort_by("rep")
         rep, blk = data.column("rep").to_numpy(), data.column("blk").to_numpy()
         comp = data.column("comp").to_numpy().copy()
         sigs = matrix(data.column("sig").combine_chunks())
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in data.column("set")]
         sizes = np.array([len(x) for x in sets])
+        before, holders = [], {}
+        for i, x in enumerate(sets):
+            own = prefix(x, counts.value, percent)
+            before.append(own[: int(np.flatnonzero(own == own_key)[0])].tolist())
+            for h in before[-1]:
+                holders.setdefault(h, []).append(i)
         a, b = [], []
         for i in range(len(rep)):
-            others = np.arange(i + 1, len(rep))
+            fine = (np.arange(len(rep)) > i) & (comp != comp[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
             if p != q:
-                others = others[blk[others] != blk[i]]
-            others = others[comp[others] != comp[i]]
-            others = others[100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])]
-            if not len(others):
-                continue
-            for j in others[first_key(sigs[i], sigs[others]) == lane]:
+                fine &= blk != blk[i]
+            for h in before[i]:
+                fine[holders[h]] = False
+            others = np.flatnonzero(fine)
+            for j in others[(sigs[others] != sigs[i]).sum(axis=1) <= LIMIT]:
                 if comp[i] != comp[j] and linked(sets[i], sets[j], percent):
                     a.append(rep[i])
                     b.append(rep[j])
@@ -225,6 +258,33 @@ def compare_blocks(members: DataFrame, percent: int) -> DataFrame:
     return members.groupBy("key", "p", "q").applyInArrow(work, "a long, b long")
 
 
+def between_components(members: DataFrame, sets: DataFrame, alike, percent: int) -> DataFrame:
+    """Links between members (rep, comp, sig) of different components, all within LIMIT that there are.
+
+    Members meet by the rarest shingles of their sets (prefix filtering, after Chaudhuri et al., 2006, and Bayardo et al.,
+    2007, exact for the threshold), not within the buckets that brought them here: sets that only share a common stock,
+    however many they are, don't meet. Of a shingle with few holders, pairs are listed and checked by signature, then by
+    set; one with many is worked off in pairs of blocks."""
+    spark = members.sparkSession
+    sets = stored(members.join(sets, "rep"))
+    counts = spark.sparkContext.broadcast(slot_counts(sets))
+    keys = stored(prefixes(sets, counts, percent))
+    mixed = stored(keys.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("held")).filter("lo <> hi").select("key", "held"))
+    few = keys.join(mixed.filter(F.col("held") <= FEW), "key")
+    pairs = few.select("key", F.col("rep").alias("a"), F.col("comp").alias("comp_a")).join(few.select("key", F.col("rep").alias("b"), F.col("comp").alias("comp_b")), "key")
+    pairs = stored(close(alike(pairs.filter("a < b and comp_a <> comp_b").select("a", "b").distinct())))
+    own = lambda x: sets.select(F.col("rep").alias(x), F.col("set").alias(f"set_{x}"))
+    links = confirmed(pairs.join(own("a"), "a").join(own("b"), "b"), percent)
+    many = mixed.filter(F.col("held") > FEW)
+    if not many.limit(1).count():
+        return links
+    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
+    rows = keys.join(many, "key").select("key", "rep", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("blk"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "rep").join(sets, "rep")
+    return links.unionByName(compare_blocks(rows.repartition(shuffle_partitions(spark), "key", "p", "q"), counts, percent))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents linked by 100 * |A and B| >= percent * |A or B| of their sets of `words`-word shingles
     (words: `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased; with fewer words, the whole sequence is the one shingle).
@@ -262,18 +322,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = stored(confirmed(both, percent).unionByName(same_id))
     comps = components(links)
 
-    # Buckets of three or more that hold several components: all pairs between components, block by block.
-    more = buckets.filter("held > 2").select("key", "held")
+    # Members of buckets of three or more that hold several components may have links that the first member lacks.
+    more = buckets.filter("held > 2").select("key")
     members = filed(reps).join(more, "key").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    members = stored(members.select("key", "held", "rep", F.coalesce("component", "rep").alias("comp")))
-    mixed = stored(members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key"))
-    members = stored(members.join(mixed, "key").join(reps.select("rep", "sig"), "rep"))
-    sets = stored(sets_of(docs, reps, members.select("rep").distinct(), words))
-    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
-    members = members.withColumn("blocks", blocks).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("key", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "rep", "comp", "sig").join(sets, "rep")
-    links2 = stored(compare_blocks(members.repartition(parts, "key", "p", "q"), percent))
+    members = stored(members.select("key", "rep", F.coalesce("component", "rep").alias("comp")))
+    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    members = stored(members.join(mixed, "key", "left_semi").groupBy("rep").agg(F.min("comp").alias("comp")).join(reps.select("rep", "sig"), "rep"))
+    links2 = stored(between_components(members, sets_of(docs, reps, members.select("rep"), words), alike, percent))
     if links2.limit(1).count():
         comps = components(links.unionByName(links2))
 

@@ -73,4 +73,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_line_dedup": line_dedup.ORACLE, "op2_chat_format": chat_format.ORACLE, "op4_source_mixing": mixing.ORACLE, "op9_near_dedup": near_dedup.ORACLE, "op11_conversation_repair": conversation_repair.ORACLE, "op13_collocations": collocations.ORACLE, "personal_data_counts": pii.COUNTS_ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op2_chat_format": chat_format.ORACLE, "op4_source_mixing": mixing.ORACLE, "op9_near_dedup": near_dedup.ORACLE, "op11_conversation_repair": conversation_repair.ORACLE, "op12_simhash_dedup": simhash.ORACLE, "op13_collocations": collocations.ORACLE, "personal_data_counts": pii.COUNTS_ORACLE}

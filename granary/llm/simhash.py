@@ -80,15 +80,17 @@ def radii(distance: int) -> tuple[int, int]:
 
 def probes(classes: DataFrame, distance: int) -> DataFrame:
     """seg, key, fp, d: the keys that each class looks under, d bits from its own segment."""
-    both = []
-    for n, radius in enumerate(radii(distance)):
+
+    def under(n: int, radius: int) -> DataFrame:
         own = segment(F.col("fp"), n)
         ball = F.array(F.struct(own.alias("key"), F.lit(0).alias("d")))
         if radius == 1:
-            bits = F.filter(F.sequence(F.lit(0), F.lit(HALF - 1)), lambda b, o=own: F.getbit(o, b) == 1)
-            ball = F.concat(ball, F.transform(bits, lambda b, o=own: F.struct(o.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)).alias("key"), F.lit(1).alias("d"))))
-        if radius >= 0:
-            both.append(classes.select("fp", F.lit(n).alias("seg"), F.explode(ball).alias("p")).select("seg", F.col("p.key").alias("key"), "fp", F.col("p.d").alias("d")))
+            bits = F.filter(F.sequence(F.lit(0), F.lit(HALF - 1)), lambda b: F.getbit(own, b) == 1)
+            one = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)
+            ball = F.concat(ball, F.transform(bits, lambda b: F.struct(own.bitwiseXOR(one(b)).alias("key"), F.lit(1).alias("d"))))
+        return classes.select("fp", F.lit(n).alias("seg"), F.explode(ball).alias("p")).select("seg", F.col("p.key").alias("key"), "fp", F.col("p.d").alias("d"))
+
+    both = [under(n, radius) for n, radius in enumerate(radii(distance)) if radius >= 0]
     return both[0] if len(both) == 1 else both[0].unionByName(both[1])
 
 
@@ -156,3 +158,47 @@ def simhash_components(docs: DataFrame, words: int = 5, distance: int = 2) -> Da
     named = placed.groupBy("component").agg(F.min("smallest").alias("component_id"))
     found = placed.join(named, "component").select("fp", "component_id")
     return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _oracle() -> str:
+    """The same in SQL, which lacks XXH64: its rounds are spelled out on unsigned numbers of 128 bits."""
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+    cut = lambda x: f"(({x}) % 18446744073709551616::uhugeint)::ubigint"
+    mul = lambda a, b: cut(f"({a})::uhugeint * {b}::uhugeint")
+    add = lambda a, b: cut(f"({a})::uhugeint + ({b})::uhugeint")
+    turn = lambda a, r: f"((({a})::uhugeint * {1 << r}::uhugeint) % 18446744073709551616::uhugeint + ({a}) // {1 << (64 - r)}::uhugeint)::ubigint"
+    rounded = lambda acc, x: mul(turn(add(acc, mul(x, p2)), 31), p1)
+    number = lambda at, size: f"('0x' || {' || '.join(f'substr(hx, {at} + {2 * k}, 2)' for k in range(size - 1, -1, -1))})::ubigint"
+    first = [(SEED + p1 + p2) % 2**64, (SEED + p2) % 2**64, SEED, (SEED - p1) % 2**64]
+    lane = lambda k: f"list_reduce(list_transform(range(n // 32), lambda i: {number(f'(64 * i + {16 * k + 1})', 8)}), lambda c, x: {rounded('c', 'x')}, {first[k]}::ubigint)"
+    merged = f"list_reduce([v1, v2, v3, v4], lambda c, v: {add(mul(f'xor(c, {rounded('0', 'v')})', p1), p4)}, {add(add(turn('v1', 1), turn('v2', 7)), add(turn('v3', 12), turn('v4', 18)))})"
+    eights = f"list_reduce(list_transform(range((n % 32) // 8), lambda i: {rounded('0', number('(64 * (n // 32) + 16 * i + 1)', 8))}), lambda c, x: {add(mul(turn('xor(c, x)', 27), p1), p4)}, a)"
+    four = f"case when n % 8 >= 4 then {add(mul(turn(f'xor(b, {mul(number('(16 * (n // 8) + 1)', 4), p1)})', 23), p2), p3)} else b end"
+    ones = f"list_reduce(list_transform(range(n % 4), lambda i: {mul(number('(8 * (n // 4) + 2 * i + 1)', 1), p5)}), lambda x, y: {mul(turn('xor(x, y)', 11), p1)}, c)"
+    bits = ", ".join(f"sum((h >> {k}) & 1)" for k in range(64))
+    return rf"""
+with recursive w as materialized (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as materialized (select doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+        else list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) end) as sh from w),
+x1 as materialized (select sh, hex(encode(sh)) as hx, octet_length(encode(sh)) as n from (select distinct sh from s)),
+x2 as materialized (select *, {", ".join(f"{lane(k)} as v{k + 1}" for k in range(4))} from x1),
+x3 as materialized (select sh, hx, n, {add(f"case when n >= 32 then {merged} else {(SEED + p5) % 2**64}::ubigint end", "n")} as a from x2),
+x4 as materialized (select sh, hx, n, {eights} as b from x3),
+x5 as materialized (select sh, hx, n, {four} as c from x4),
+x6 as materialized (select sh, {ones} as d from x5),
+x7 as materialized (select sh, {mul("xor(d, d >> 33)", p2)} as e from x6),
+x8 as materialized (select sh, {mul("xor(e, e >> 29)", p3)} as f from x7),
+x9 as materialized (select sh, xor(f, f >> 32) as h from x8),
+k as (select doc_id, count(*) as n, [{bits}] as c from s join x9 using (sh) group by doc_id),
+f as materialized (select d.doc_id, coalesce(list_reduce(list_transform(range(64), lambda i: case when 2 * c[i + 1] > n then 1::uhugeint << i::uhugeint else 0::uhugeint end), lambda x, y: x + y)::ubigint, 0::ubigint) as fp
+  from documents d left join k on k.doc_id = d.doc_id),
+u as materialized (select fp, min(doc_id) as lo from f group by fp),
+e as materialized (select a.lo as a, b.lo as b from u a join u b on a.fp <> b.fp and bit_count(xor(a.fp, b.fp)::bit) <= 2),
+r as (select lo as node, lo as seen from u union select r.node, e.b from r join e on e.a = r.seen),
+m as (select node, min(seen) as component_id from r group by 1)
+select f.doc_id, lpad(lower(hex(f.fp)), 16, '0') as fingerprint, m.component_id from f join u on u.fp = f.fp join m on m.node = u.lo
+"""
+
+
+ORACLE = _oracle()

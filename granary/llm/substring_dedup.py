@@ -96,11 +96,9 @@ class Words:
         self.lines = lines[self.starts[1:] - 1] - lines[last]
         ends, clauses = ((kind & flag) > 0 for flag in (ENDS, CLAUSES))
         closes = (kind & CLOSES) > 0
-        while True:  # marks reach over closing quotes and brackets
-            more = closes[1:] & ends[:-1] & ~ends[1:]
-            if not more.any():
-                break
-            ends[1:] |= more
+        # Marks reach over closing quotes and brackets: a closing one is what the last other character is.
+        own = np.maximum.accumulate(np.where(closes & ~ends, -1, np.arange(len(cps))))
+        ends = (own >= 0) & ends[np.maximum(own, 0)]
         together = spread(self.hashes[:-1] * np.uint64(3) + self.hashes[1:]) % np.uint64(PLACES) == 0
         self.cuts = ends[last] | clauses[last] | together
         size = len(self.hashes)
@@ -180,7 +178,7 @@ def likely_runs(docs: DataFrame, min_words: int, filter_bits) -> DataFrame:
             cols = [pa.array(h.view(np.int64)), batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, names=["h", "doc_id", "th", "i", "j"])
 
-    return docs.select("doc_id", F.hash("text").alias("th"), "text").mapInArrow(work, f"h long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, th int, i int, j int")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(work, f"h long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, i int, j int")
 
 
 def dedup_spans(docs: DataFrame, min_words: int = 30, keep: list[str] | None = None) -> DataFrame:
@@ -201,7 +199,7 @@ def dedup_spans(docs: DataFrame, min_words: int = 30, keep: list[str] | None = N
     firsts = stored(firsts.select("h", F.col("f.doc_id").alias("f_doc"), F.col("f.th").alias("f_th"), F.col("f.i").alias("f_i")))
     again = found.join(firsts, "h").filter(~(F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("th") == F.col("f_th")) & (F.col("i") == F.col("f_i"))))
     cuts = again.groupBy(F.col("doc_id").alias("c_doc"), F.col("th").alias("c_th")).agg(F.collect_set(F.struct("i", "j")).alias("__cuts"))
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("doc_id").alias("__doc"), F.hash("text").alias("__th"), F.col("text").alias("__text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__th"), F.col("text").alias("__text"))
     rows = rows.join(cuts, F.col("__doc").eqNullSafe(F.col("c_doc")) & (F.col("__th") == F.col("c_th")), "left")
     rows = rows.select(*[F.col(f"`{c}`") for c in keep], "__text", "__cuts")
     n = len(keep)

@@ -13,9 +13,32 @@ def test_blocks():
     said = lambda page: [b[1] for b in H.blocks(page, H.Paths())]
     assert said("") == [] and said("just text < 3 & more") == ["just text < 3 & more"]
     assert said('<p title="a>b">x</p><p class=\'c\'>y') == ["x", "y"]
-    # Only scripts, styles and the like go unread; none that is left open swallows the article.
+    # Only scripts and styles go unread; nothing else that is left open swallows the article.
     assert said("<p>a</p><object><p>b</p>") == ["a", "b"] and said("<p>x <math><mi>y</mi></math> z</p><iframe>w</iframe>") == ["x", "y", "z", "w"]
-    assert said("<noscript><p>a</p>") == ["a"] and said("<template>q</template><p>a</p>") == ["a"] and said("<p>a</p><script>var x;") == ["a"]
+    assert said("<noscript><p>a</p>") == ["a"] and said("<template>q</template><p>a</p>") == ["q", "a"] and said("<p>a</p><script>var x;") == ["a"]
+
+
+def test_quotes_count_only_after_the_equals_sign():
+    said = lambda page: [b[1] for b in H.blocks(page, H.Paths())]
+    assert said("<article><h1>T</h1><p title=it's>A</p><p>B, don't go</p><p>C</p></article>") == ["T", "A", "B, don't go", "C"]
+    assert said("""<p a="x'y" b = '>"' c=d"e>one<p it's>two<p "q">three<p a=>four<p a='b'c>five<p / =x>six<p a="">seven""") == ["one", "two", "three", "four", "five", "six", "seven"]
+    assert said("<p class=a/>x") == ["x"] and said('<p title="never closed>x<p>y') == ["x", "y"]
+
+
+def test_comments_end_where_browsers_end_them():
+    said = lambda page: [b[1] for b in H.blocks(page, H.Paths())]
+    assert said("<p>one<!-->two</p><p>three") == ["onetwo", "three"] and said("<p>one<!--->two") == ["onetwo"]
+    assert said("<p>one<!-- c --!>two</p><p>three") == ["onetwo", "three"] and said("<p>a<!-- > -- ->b-->c") == ["ac"]
+    assert said("<p>one<!-- never closed <p>two") == ["one"]
+
+
+def test_noscript_and_template_are_read(model):
+    page = "<article><h1>A title</h1><p>Start of it all, and it goes on.</p><noscript><p>The text of a page that loads late, word by word.</p></noscript><p>End of it, in peace.</p></article>"
+    reader = H.Reader()
+    found = reader.blocks(page)
+    assert [b[1] for b in found] == ["A title", "Start of it all, and it goes on.", "The text of a page that loads late, word by word.", "End of it, in peace."]
+    assert model.label([reader(found)])[0].all()
+    assert [b[1] for b in H.blocks("<article>Start<noscript><p>text</p></noscript>End", H.Paths())] == ["Start", "text", "End"]
 
 
 def test_paths_hold_every_step():
@@ -37,7 +60,7 @@ def test_deep_pages_take_linear_time():
 
 
 def test_hostile_pages_take_linear_time():
-    for page in ("<" * 100_000, '<a "' * 30_000, "<p>" * 30_000, "&" * 100_000, "<!--" * 30_000, "<b>" * 5_000 + "x", "<a x" * 30_000, "<a x='" * 30_000, '<a ">" ' * 30_000 + '"', "<!" * 100_000, "<script>" + "</script " * 30_000, "<b> " * 30_000 + "x<b>" * 30_000):
+    for page in ("<" * 100_000, '<a "' * 30_000, "<p>" * 30_000, "&" * 100_000, "<!--" * 30_000, "<b>" * 5_000 + "x", "<a x" * 30_000, "<a x='" * 30_000, '<a ">" ' * 30_000 + '"', "<!" * 100_000, "<script>" + "</script " * 30_000, "<a b='" * 30_000 + "'>", "<a b=" * 60_000, "<a " + " " * 200_000 + "=" * 100_000, "<a " + "x " * 200_000, "<!--" + "--!" * 100_000, "<b> " * 30_000 + "x<b>" * 30_000):
         H.blocks(page, H.Paths())
 
 
