@@ -14,26 +14,39 @@ through is counted exactly, by the words themselves.
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from granary.llm.bloom import bloom, passes
-from granary.llm.line_dedup import TO_LOWER
 from granary.llm.util import shuffle_partitions, slices, stored
 
-#: Fixed by the contract: what ends a piece and what is a word in it; one pattern finds both in order.
-TOKEN = re.compile(r"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]+")
-BREAK = frozenset(".,;:!?\n\x0b\x0c\r")
-#: Words told apart in a worker before its memory is cleared.
-KNOWN = 400_000
+#: Fixed by the contract: what ends a piece, and the letters that are lower-cased.
+BREAKS, UPPER, LOWER = b".,;:!?\n\x0b\x0c\r", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
+#: On UTF-8, where none of these is part of another character: breaks become line feeds, tabs spaces.
+TABLE = bytes.maketrans(BREAKS + UPPER + b"\t", b"\n" * len(BREAKS) + LOWER + b" ")
+#: Words told apart in a worker before its memory is cleared, and bytes that are read at once.
+KNOWN, BYTES = 400_000, 4_000_000
+
+
+class Numbers(dict):
+    """A number for each word, given when it is first seen; 0 for a break, -1 for nothing."""
+
+    def __init__(self) -> None:
+        super().__init__({b"\n": 0, b"": -1})
+        self.words = [b""]
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.words)
+        self.words.append(word)
+        return n
 
 
 class Reader:
@@ -43,86 +56,114 @@ class Reader:
         self.clear()
 
     def clear(self) -> None:
-        self.words, self.hashes, self.number = [""], [np.uint64(0)], {}
-
-    def read(self, texts: list[str | None]) -> np.ndarray:
-        number, out = self.number, [0]
-        for text in texts:
-            for token in TOKEN.findall((text or "").translate(TO_LOWER)):
-                n = number.get(token)
-                if n is None:
-                    n = 0
-                    if token[0] not in BREAK:
-                        n = len(self.words)
-                        self.words.append(token)
-                        self.hashes.append(np.uint64(xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))))
-                    number[token] = n
-                out.append(n)
-            out.append(0)
-        return np.array(out, np.int64)
+        self.number, self.held = Numbers(), np.zeros(1, np.uint64)
+
+    @property
+    def words(self) -> list[bytes]:
+        return self.number.words
+
+    def read(self, texts: list[bytes]) -> np.ndarray:
+        tokens = b"\n".join([b"", *texts, b""]).translate(TABLE).replace(b"\n", b" \n ").split(b" ")
+        ids = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+        new = [xxhash.xxh64_intdigest(w) for w in self.words[len(self.held) :]]
+        self.held = np.concatenate([self.held, np.array(new, np.uint64)])
+        return ids[ids >= 0]
+
+    def strings(self, numbers: np.ndarray) -> pa.Array:
+        words = self.words
+        return pa.array([words[k] for k in numbers.tolist()], pa.binary()).cast(pa.string())
+
+    def hashes(self, numbers: np.ndarray) -> np.ndarray:
+        return self.held[numbers]
 
 
 def pair_hashes(first: np.ndarray, second: np.ndarray, lang: str) -> np.ndarray:
+    """48 bits for each pair of words of a language."""
     z = first * np.uint64(0x9E3779B97F4A7C15) + (second ^ np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))))
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return z ^ (z >> np.uint64(31))
+    return (z ^ (z >> np.uint64(31))) >> np.uint64(16)
 
 
 def by_lang(batches: Iterator[pa.RecordBatch], reader: Reader) -> Iterator[tuple[str, np.ndarray]]:
-    """The texts of a few documents, those of each language together."""
-    for batch in slices(batches, 200):
-        texts = defaultdict(list)
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            texts[lang].append(text)
+    """The texts of some documents, BYTES or little more, those of each language together."""
+    texts, size = defaultdict(list), 0
+
+    def found() -> Iterator[tuple[str, np.ndarray]]:
         if len(reader.words) > KNOWN:
             reader.clear()
         for lang, own in texts.items():
             yield lang, reader.read(own)
+        texts.clear()
+
+    for batch in slices(batches, 100):
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            if text:
+                texts[lang].append(text)
+                size += len(text)
+        if size >= BYTES:
+            yield from found()
+            size = 0
+    yield from found()
+
+
+def pairs_in(ids: np.ndarray) -> np.ndarray:
+    """Places of the words after which the piece goes on."""
+    return np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
 
 
 def counts(texts: DataFrame) -> DataFrame:
-    """lang, word, h, n: how often each word stands in each language (h null), and each pair's hash in a piece (word null)."""
+    """lang, word, h, n: how often each word stands in each language (h null), and each pair's hash in a piece (lang and word
+    null: the hash tells languages apart)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for lang, ids in by_lang(batches, reader):
             own, n = np.unique(ids[ids > 0], return_counts=True)
-            inside = (ids[:-1] > 0) & (ids[1:] > 0)
-            pairs, m = np.unique((ids[:-1][inside] << 32) | ids[1:][inside], return_counts=True)
-            hashes = np.array(reader.hashes, np.uint64)
-            h = pair_hashes(hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF], lang).view(np.int64)
-            word = pa.array([reader.words[k] for k in own.tolist()] + [None] * len(pairs), pa.string())
-            key = pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array(h)])
-            count = pa.array(np.concatenate([n, m]).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(count), pa.string()), word, key, count], names=["lang", "word", "h", "n"])
+            at = pairs_in(ids)
+            pairs, m = np.unique((ids[at] << 32) | ids[at + 1], return_counts=True)
+            h = pair_hashes(reader.hashes(pairs >> 32), reader.hashes(pairs & 0xFFFFFFFF), lang).astype(np.int64)
+            word, none = reader.strings(own), pa.nulls(len(pairs), pa.string())
+            cols = [pa.concat_arrays([pa.array([lang] * len(own), pa.string()), none]), pa.concat_arrays([word, none]), pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array(h)])]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate([n, m]).astype(np.int64))], names=["lang", "word", "h", "n"])
 
     return texts.mapInArrow(work, "lang string, word string, h long, n long").groupBy("lang", "word", "h").agg(F.sum("n").alias("n"))
 
 
 def projected(texts: DataFrame, frequent, max_words: int) -> DataFrame:
     """lang, words, n: occurrence pointers of frequent pairs, each the pair and the words it goes on with (max_words in
-    all at most), counted."""
+    all at most; joined by tabs, which no word holds), counted."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, bits = Reader(), frequent.value
         for lang, ids in by_lang(batches, reader):
-            hashes = np.array(reader.hashes, np.uint64)
             goes_on = np.zeros(len(ids), bool)
-            inside = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-            goes_on[inside] = passes(bits, pair_hashes(hashes[ids[inside]], hashes[ids[inside + 1]], lang))
+            inside = pairs_in(ids)
+            goes_on[inside] = passes(bits, pair_hashes(reader.hashes(ids[inside]), reader.hashes(ids[inside + 1]), lang))
             at = np.flatnonzero(goes_on)
             window = np.zeros((len(at), max_words), np.int64)
-            window[:, 0], on = ids[at], np.ones(len(at), bool)
+            window[:, 0], on, code, last = ids[at], np.ones(len(at), bool), ids[at], len(ids) - 1
             for k in range(1, max_words):
-                on &= goes_on[np.minimum(at + k - 1, len(ids) - 1)]
-                window[:, k] = np.where(on, ids[np.minimum(at + k, len(ids) - 1)], 0)
-            window, n = np.unique(window, axis=0, return_counts=True) if len(window) else (window, np.zeros(0, np.int64))
+                on &= goes_on[np.minimum(at + k - 1, last)]
+                window[:, k] = np.where(on, ids[np.minimum(at + k, last)], 0)
+                if len(code) and int(code.max() + 1) * len(reader.words) >= 2**62:
+                    code = np.unique(code, return_inverse=True)[1]
+                code = code * len(reader.words) + window[:, k]
+            _, first, n = np.unique(code, return_index=True, return_counts=True)
+            window = window[first]
             size = (window > 0).sum(axis=1)
-            flat = [reader.words[k] for k in window[window > 0].tolist()]
-            words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat, pa.string()))
+            each = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), reader.strings(window[window > 0]))
+            words = pc.binary_join(each, "\t")
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), words, pa.array(n.astype(np.int64))], names=["lang", "words", "n"])
 
-    return texts.mapInArrow(work, "lang string, words array<string>, n long").groupBy("lang", "words").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(work, "lang string, words string, n long").groupBy("lang", "words").agg(F.sum("n").alias("n"))
+
+
+def shortened(pointers: DataFrame, max_words: int, least: int) -> DataFrame:
+    """Pointers without the last of max_words words where they are too few to make a phrase with it, counted anew: what
+    can't be grown needn't travel to the prefix's task."""
+    full = F.regexp_count("words", F.lit("\t")) == max_words - 1
+    cut = F.when(full & (F.col("n") < least) & F.lit(max_words > 2), F.regexp_replace("words", r"\t[^\t]*\z", "")).otherwise(F.col("words"))
+    return pointers.withColumn("words", cut).groupBy("lang", "words").agg(F.sum("n").alias("n"))
 
 
 def grow(pointers: Iterator[tuple[str, list[str], int]], least: int) -> Iterator[tuple[str, list[str], int]]:
@@ -170,6 +211,7 @@ def phrases_of(pointers: DataFrame, least: int) -> DataFrame:
         yield frame(out)
 
     parts = shuffle_partitions(pointers.sparkSession)
+    pointers = pointers.withColumn("words", F.split("words", "\t"))
     dealt = pointers.repartition(parts, "lang", F.get("words", F.lit(0)), F.get("words", F.lit(1))).sortWithinPartitions("lang", "words")
     return dealt.mapInArrow(work, "lang string, words array<string>, a long")
 
@@ -201,13 +243,13 @@ def collocations(docs: DataFrame, max_words: int = 3, least: int = 10, absorbed_
     without candidates has no rows, nor has an empty table; other columns are ignored. Counts may pass 64 bits when
     multiplied: they are decimals of 38 digits, enough for counts below 10^15.
     """
-    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    counted = stored(counts(texts))
+    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
+    counted = stored(counts(texts).filter(F.col("word").isNotNull() | (F.col("n") >= least)))
     total = counted.filter("word is not null").groupBy("lang").agg(F.sum("n").alias("n"))
     singles = counted.filter((F.col("word").isNotNull()) & (F.col("n") >= least)).select("lang", F.col("word").alias("part"), F.col("n").alias("f"))
-    pairs = counted.filter((F.col("h").isNotNull()) & (F.col("n") >= least)).select("h")
+    pairs = counted.filter(F.col("h").isNotNull()).select("h")
     may = bloom(pairs, pairs.count())
-    pointers = projected(texts, docs.sparkSession.sparkContext.broadcast(may), max_words)
+    pointers = shortened(projected(texts, docs.sparkSession.sparkContext.broadcast(may), max_words), max_words, least)
     found = stored(phrases_of(pointers, least).select("lang", "words", F.array_join("words", " ").alias("phrase"), "a"))
     known = stored(singles.unionByName(found.select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"))))
 

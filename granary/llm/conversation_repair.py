@@ -48,14 +48,15 @@ Weight = tuple[int, str]
 Symbol = tuple[str, bool, bool]
 
 
-def edits(state: int, symbol: Symbol | None) -> Iterator[tuple[str, str, int, int]]:
-    """The edit transducer's arcs: label, output role initial ('' for none), cost, next state. None: arcs that read no turn."""
+def edits(state: int, symbol: Symbol | None) -> Iterator[tuple[str, str | None, int, int]]:
+    """The edit transducer's arcs: label, output role initial (None: no output), cost, next state. Without a symbol: arcs that
+    read no turn."""
     if symbol is None:
         if state == FRESH:
             yield from (("I", role, INSERT, INSERTED) for role in ROLES)
         return
     initial, must_go, truncated = symbol
-    yield "D", "", DELETE, FRESH
+    yield "D", None, DELETE, FRESH
     if not must_go:
         more = TRUNCATED if truncated else 0
         yield "K", initial, KEEP + more, FRESH
@@ -67,7 +68,7 @@ def arcs(symbols: tuple[Symbol, ...], state: tuple[int, int, int]) -> Iterator[t
     at, edit, grammar = state
     for read in (None, symbols[at]) if at < len(symbols) else (None,):
         for label, role, cost, then in edits(edit, read):
-            to = GRAMMAR[grammar].get(role) if role else grammar
+            to = grammar if role is None else GRAMMAR[grammar].get(role)
             if to is not None:
                 yield (cost, label), (at + (read is not None), then, to)
 

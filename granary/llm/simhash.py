@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 
 from granary.llm.bloom import bloom, passes
 from granary.llm.graph import components
-from granary.llm.line_dedup import TO_LOWER
-from granary.llm.near_dedup import WORD
 from granary.llm.util import slices, stored
 
 SEED, HALF = 42, 32
@@ -37,14 +35,15 @@ CHUNK = 16_384
 
 
 def hashes(text: str | None, words: int) -> np.ndarray:
-    """XXH64 of every shingle, repeats included; a text with fewer words is one shingle, one without none."""
-    found = [w.encode("utf-8", "surrogatepass") for w in WORD.findall((text or "").translate(TO_LOWER))]
+    """XXH64 of every shingle, repeats included; a text with fewer words is one shingle, one without none. Bytes are split and
+    lower-cased as the contract says: at space and 0x09 to 0x0D, A to Z alone."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    h = xxhash.xxh64_intdigest
     if len(found) <= words:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(found), SEED)] if found else [], np.uint64)
+        return np.array([h(b" ".join(found), SEED)] if found else [], np.uint64)
     joined = b" ".join(found)
     ends = list(itertools.accumulate(len(w) + 1 for w in found))
     begins = [0, *ends]
-    h = xxhash.xxh64_intdigest
     return np.array([h(joined[begins[k] : ends[k + words - 1] - 1], SEED) for k in range(len(found) - words + 1)], np.uint64)
 
 

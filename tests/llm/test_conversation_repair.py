@@ -33,14 +33,15 @@ def legal(roles):
 def brute(turns):
     """Every sequence of edits with up to two insertions in each gap."""
     kinds = faults(turns)
-    gaps = ["", "u", "a", "ua", "au"]
+    gaps = ["", "u", "a", "ua"]
     best = None
     options = []
     for (role, text), kind in zip(turns, kinds, strict=True):
         own = [("D", "", None, 2)]
         if kind not in ("blank", "duplicate"):
             more = 5 if kind == "truncated" else 0
-            own += [("K", role[:1], f"{role}:{text}", more), ("R", "u", f"user:{text}", 1 + more), ("R", "a", f"assistant:{text}", 1 + more)]
+            own += [("K", role[:1], f"{role}:{text}", more)] if role[:1] in ("s", "u", "a") else []
+            own += [("R", "u", f"user:{text}", 1 + more), ("R", "a", f"assistant:{text}", 1 + more)]
         options.append(own)
     names = {"u": "user:", "a": "assistant:"}
     for choice in itertools.product(*options):
@@ -97,9 +98,9 @@ def random_conversations(rng, n, most):
 def test_equals_brute_force(spark, block, monkeypatch):
     """In blocks of one, two and many turns: matrices of blocks multiply to the whole conversation's shortest path."""
     rng = random.Random(5)
-    rows = [r for r in random_conversations(rng, 120, 4)]
+    rows = [r for r in random_conversations(rng, 50, 3)]
     pairs = [tuple(turns) for _, turns in itertools.groupby(rows, key=lambda r: r[0])]
-    for own in pairs[:20]:
+    for own in pairs[:10]:
         turns = [(r, t) for _, _, r, t in sorted(own, key=lambda r: (r[1], r[2], r[3]))]
         cost, audit, text = brute(turns)
         symbols = tuple((r[:1], k in ("blank", "duplicate"), k == "truncated") for (r, _), k in zip(turns, faults(turns), strict=True))
@@ -108,7 +109,7 @@ def test_equals_brute_force(spark, block, monkeypatch):
     if block == 256:
         assert result(R.damaged_and_repaired(spark.createDataFrame(rows, ROWS))) == expected(rows)
     monkeypatch.setattr(R, "BLOCK", block)
-    few = [r for r in rows if r[0] < 40]
+    few = [r for r in rows if r[0] < 25]
     prepared = R.damaged(spark.createDataFrame(few, ROWS))
     # Workers are other processes: the smaller block is used here, on the driver, by the same functions.
     faulty = R.with_faults(prepared).collect()
@@ -151,7 +152,7 @@ def test_a_hot_conversation_lies_in_many_blocks(spark):
 def test_odd_rows(spark):
     long = "word " * 300_000 + "end."
     rows = [(1, None, None, None), (1, None, "user", "Hi."), (1, 2, "assistant", long), (None, 0, "user", "q?"), (None, 1, "assistant", "a."), (None, None, None, None), (2, 5, "assistant", ""), (2, 5, "assistant", "")]
-    rows += [(3, t, "user", "x.") for t in range(40) if zlib.crc32(f"3:{t}".encode()) % 20 == 0]  # all dropped
+    rows += [(3, t, "user", "x.") for t in range(400) if zlib.crc32(f"3:{t}".encode()) % 20 == 0]  # all dropped
     df = spark.createDataFrame(rows, ROWS)
     for name in ("n", "fault", "block", "kind", "digest", "ways", "turns", "audit"):
         df = df.withColumn(name, R.F.lit("x"))
