@@ -121,13 +121,13 @@ def leave_classes_out(boxes: DataFrame, held: Sequence[int], train: Sequence[int
     return rows.withColumn("cls", mapped).filter("cls is not null")
 
 
-def merge_datasets(images: DataFrame, boxes: DataFrame, datasets: DataFrame, holdout: DataFrame, class_map: DataFrame, annotations: Sequence[str] = ("yolo",)) -> tuple[DataFrame, DataFrame]:
-    """The merge of all datasets into one corpus: (images kept with dataset, img, split; counters reason, n).
+def merge_reasons(images: DataFrame, boxes: DataFrame, datasets: DataFrame, holdout: DataFrame, class_map: DataFrame, annotations: Sequence[str] = ("yolo",)) -> DataFrame:
+    """What becomes of every image in the merge of all datasets into one corpus: dataset, img, img_ord, reason.
 
     datasets: dataset, ds_ord, annotation, never_train, garbage. images: dataset, img, img_ord, stem, hash. Each image ends
     for the first reason that holds: never_train, garbage, annotation, no_label, holdout, duplicate (an earlier image,
     in order of ds_ord and img_ord, has the same hash; null hashes never match), unmapped (no box survives the strict
-    class map; its hash still counts as seen), kept. Every tenth kept image of a dataset goes to valid.
+    class map; its hash still counts as seen), kept.
     """
     labelled = boxes.select("dataset", "img").distinct().withColumn("__lab", F.lit(True))
     mapped = remap_strict(boxes, class_map).select("dataset", "img").distinct().withColumn("__map", F.lit(True))
@@ -142,6 +142,20 @@ def merge_datasets(images: DataFrame, boxes: DataFrame, datasets: DataFrame, hol
     winners = first_wins(open_, "hash", ("ds_ord", "img_ord")).select("dataset", "img").withColumn("__first", F.lit(True))
     rows = rows.join(winners, ["dataset", "img"], "left").join(mapped, ["dataset", "img"], "left")
     reason = F.coalesce("early", F.when(F.col("__first").isNull(), "duplicate").when(F.col("__map").isNull(), "unmapped").otherwise("kept"))
-    rows = rows.select("dataset", "img", "img_ord", reason.alias("reason"))
-    kept = every_nth_to_valid(rows.filter("reason = 'kept'")).select("dataset", "img", "split")
-    return kept, rows.groupBy("reason").agg(F.count("*").alias("n"))
+    return rows.select("dataset", "img", "img_ord", reason.alias("reason"))
+
+
+def merge_counters(reasons: DataFrame) -> DataFrame:
+    """How many images ended for each reason: reason, n."""
+    return reasons.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def merged(reasons: DataFrame) -> DataFrame:
+    """The corpus: dataset, img, split of the images kept. Every tenth kept image of a dataset goes to valid."""
+    return every_nth_to_valid(reasons.filter("reason = 'kept'")).select("dataset", "img", "split")
+
+
+def merge_datasets(images: DataFrame, boxes: DataFrame, datasets: DataFrame, holdout: DataFrame, class_map: DataFrame, annotations: Sequence[str] = ("yolo",)) -> tuple[DataFrame, DataFrame]:
+    """The merge, both as `merged` and as `merge_counters` tell it. The reasons are written once for both."""
+    reasons = stored(merge_reasons(images, boxes, datasets, holdout, class_map, annotations))
+    return merged(reasons), merge_counters(reasons)

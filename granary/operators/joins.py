@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from granary.functions.geometry import box_columns, distance, iou
 from granary.operators.matching import BOX
+from granary.storage import stored
 
 
 def overlap_filter(left: DataFrame, right: DataFrame, threshold: float, keep_overlapping: bool, strict: bool = True, key: str = "img", exempt: Column | None = None) -> DataFrame:
@@ -32,43 +33,78 @@ def consensus_or_unique(first: DataFrame, second: DataFrame, confirm: float = 0.
     return kept.unionByName(overlap_filter(others, kept, apart, False))
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, levels: int = 16) -> DataFrame:
-    """The k nearest points (pid, px, py) of each query (qid, qx, qy): qid, pid, dist, rank; ties to the smaller pid.
+#: Cells of a grid cell's next finer grid along each side, and grids below the whole frame at most.
+FAN, DEEPEST = 8, 16
 
-    Exact, by grids of halving cells over the points. Counts of points around each cell tell, for each query, the finest
-    grid on which its cell and the eight around hold k points; no k-th neighbour is farther than the diagonal of twice such
-    a cell, and a grid of cells at least that wide holds all that are nearer in nine cells. So queries and points meet by
-    equal cells, and neither a product of both nor a query's list of all points is ever made. Of points in one place the
-    k smallest ids are enough. A query outside the points' frame starts from the nearest place in it.
+
+def _cells(points: DataFrame, x0: float, y0: float, side: float, first: int, last: int) -> DataFrame:
+    """Points (px, py) with the cells that hold them on the grids first..last: level, gx, gy. Grid l has FAN^l cells a side."""
+    at = lambda c, low: F.least(F.floor((F.col(c) - low) / side * F.pow(F.lit(float(FAN)), F.col("level"))), F.pow(F.lit(float(FAN)), F.col("level")) - 1).cast("long")
+    rows = points.withColumn("level", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    return rows.withColumn("gx", at("px", x0)).withColumn("gy", at("py", y0))
+
+
+def _tree(points: DataFrame, frame: tuple[float, float, float], full: int) -> DataFrame:
+    """level, gx, gy, n, heavy of the cells that a grid tree has: a cell with more than `full` points is heavy and has its
+    parts on the next grid. Only as many grids are counted as the densest places need, a few at a time, and below the first few
+    only the points in heavy cells."""
+    step, first, left, tree = 3, 0, points, None
+    while True:
+        last = min(DEEPEST, first + step)
+        counts = _cells(left, *frame, first, last).groupBy("level", "gx", "gy").agg(F.count("*").alias("n"))
+        counts = stored(counts.withColumn("heavy", (F.col("n") > full) & (F.col("level") < DEEPEST)))
+        tree = counts if tree is None else tree.unionByName(counts)
+        deep = counts.filter(F.col("heavy") & (F.col("level") == last))
+        if last == DEEPEST or not deep.limit(1).count():
+            return tree
+        left = _cells(left, *frame, last, last).join(deep.select("gx", "gy"), ["gx", "gy"], "left_semi").drop("level", "gx", "gy")
+        first = last + 1
+
+
+def nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """The k nearest points (pid, px, py) of each query (qid, qx, qy): qid, pid, dist, rank; ties to the smaller pid. Rows
+    with a null among these columns take no part; qids are unique.
+
+    Exact. Points are filed in a tree of grids that splits where they are dense, however uneven they lie. Queries go down
+    the tree together: of the cells that a query still looks into, the counts of those that lie wholly within a distance tell
+    how far the k-th neighbour can be at most, and cells beyond that are left. What remains, a few cells of few points
+    each, meets by equal cells, so neither a product of both sides nor a list of all points is made. Of points in one
+    place the k smallest ids are enough. A query far outside the frame looks into the cells along one side of it.
     """
-    frame = points.agg(F.count("*").alias("n"), F.min("px").alias("x0"), F.min("py").alias("y0"), F.max("px").alias("x1"), F.max("py").alias("y1")).first()
-    if not frame["n"]:
+    points, queries = points.dropna(subset=["pid", "px", "py"]), queries.dropna(subset=["qid", "qx", "qy"])
+    frame = points.agg(F.min("px").cast("double").alias("x0"), F.min("py").cast("double").alias("y0"), F.max("px").cast("double").alias("x1"), F.max("py").cast("double").alias("y1")).first()
+    if frame["x0"] is None:
         return queries.select("qid", F.lit(None).cast(points.schema["pid"].dataType).alias("pid"), F.lit(0.0).alias("dist"), F.lit(0).alias("rank")).filter("false")
     x0, y0 = frame["x0"], frame["y0"]
     side = max(frame["x1"] - x0, frame["y1"] - y0) or 1.0
-    deepest = min(levels, max(0, math.ceil(math.log(max(1.0, frame["n"] / k), 4))) + 2)
-    cell_of = lambda level: F.lit(side) / F.pow(F.lit(2.0), level)
-    at = lambda c, low, level: F.floor((F.col(c) - low) / cell_of(level)).cast("long")
-    every = F.explode(F.sequence(F.lit(0), F.lit(deepest)))
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-
     some = F.row_number().over(W.partitionBy("px", "py").orderBy("pid"))
     own = points.select("pid", F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py")).withColumn("__n", some).filter(F.col("__n") <= k).drop("__n")
-    filed = own.withColumn("level", every).withColumn("gx", at("px", x0, F.col("level"))).withColumn("gy", at("py", y0, F.col("level")))
-    counts = filed.groupBy("level", "gx", "gy").agg(F.count("*").alias("n")).withColumn("s", around)
-    counts = counts.groupBy("level", (F.col("gx") + F.col("s.i")).alias("gx"), (F.col("gy") + F.col("s.j")).alias("gy")).agg(F.sum("n").alias("n")).filter(F.col("n") >= k)
+    own = stored(own)
+    tree = _tree(own, (x0, y0, side), max(32, 2 * k))
+    levels = [r["level"] for r in tree.select("level").distinct().collect()]
 
-    inside = lambda c, low, high: F.greatest(F.lit(low), F.least(F.lit(high), F.col(c)))
+    parts = tree.select((F.col("level") - 1).alias("level"), F.floor(F.col("gx") / FAN).alias("gx"), F.floor(F.col("gy") / FAN).alias("gy"), F.struct("gx", "gy", "n", "heavy").alias("part"))
     q = queries.select("qid", F.col("qx").cast("double").alias("qx"), F.col("qy").cast("double").alias("qy"))
-    q = q.withColumn("ix", inside("qx", float(x0), float(frame["x1"]))).withColumn("iy", inside("qy", float(y0), float(frame["y1"])))
-    seen = q.withColumn("level", every).withColumn("gx", at("ix", x0, F.col("level"))).withColumn("gy", at("iy", y0, F.col("level")))
-    finest = seen.join(counts.select("level", "gx", "gy"), ["level", "gx", "gy"]).groupBy("qid").agg(F.max("level").alias("finest"))
-    q = q.join(finest, "qid", "left")
-    reach = distance(F.col("qx"), F.col("qy"), F.col("ix"), F.col("iy")) + 2 * math.sqrt(2) * 1.000001 * cell_of(F.col("finest"))
-    level = F.greatest(F.lit(0), F.least(F.lit(deepest), F.floor(F.log2(F.lit(side) / reach)))).cast("int")
-    q = q.withColumn("level", F.coalesce(level, F.lit(0)))
-    q = q.withColumn("s", around).withColumn("gx", at("ix", x0, F.col("level")) + F.col("s.i")).withColumn("gy", at("iy", y0, F.col("level")) + F.col("s.j"))
-    pairs = q.select("qid", "qx", "qy", "level", "gx", "gy").join(filed, ["level", "gx", "gy"])
+    looks = q.crossJoin(F.broadcast(tree.filter("level = 0").select("level", "gx", "gy", "n", "heavy")))  # one row
+    within = W.partitionBy("qid").orderBy("far").rangeBetween(W.unboundedPreceding, 0)
+    for level in range(max(levels)):
+        below = parts.filter(F.col("level") == level)
+        down = looks.filter(F.col("heavy") & (F.col("level") == level)).drop("n", "heavy")
+        down = down.join(F.broadcast(below) if level == 0 else below, ["level", "gx", "gy"])  # at most FAN^2 rows below the first
+        down = down.select("qid", "qx", "qy", (F.col("level") + 1).alias("level"), "part.*")
+        looks = down.unionByName(looks.filter(~F.col("heavy")).select(*down.columns))
+        width = side / F.pow(F.lit(float(FAN)), F.col("level"))
+        low_x, low_y = x0 + F.col("gx") * width, y0 + F.col("gy") * width
+        away = lambda c, low, w=width: F.greatest(F.lit(0.0), low - F.col(c), F.col(c) - low - w)
+        most = lambda c, low, w=width: F.greatest(F.abs(F.col(c) - low), F.abs(F.col(c) - low - w))
+        looks = looks.withColumn("near", F.sqrt(F.pow(away("qx", low_x), 2) + F.pow(away("qy", low_y), 2))).withColumn("far", F.sqrt(F.pow(most("qx", low_x), 2) + F.pow(most("qy", low_y), 2)))
+        looks = looks.withColumn("upto", F.sum("n").over(within))
+        looks = looks.withColumn("bound", F.min(F.when(F.col("upto") >= k, F.col("far"))).over(W.partitionBy("qid")))
+        # A trifle more, for cells' edges are rounded.
+        looks = looks.filter(F.col("bound").isNull() | (F.col("near") <= F.col("bound") * (1 + 1e-9) + side * 1e-9)).drop("near", "far", "upto", "bound")
+        looks = stored(looks) if level % 3 == 2 else looks
+    filed = _cells(own, x0, y0, side, 0, max(levels)).join(tree.filter(~F.col("heavy")).select("level", "gx", "gy"), ["level", "gx", "gy"], "left_semi")
+    pairs = looks.select("qid", "qx", "qy", "level", "gx", "gy").join(filed, ["level", "gx", "gy"])
     d = distance(F.col("qx"), F.col("qy"), F.col("px"), F.col("py"))
     pairs = pairs.select("qid", "pid", d.alias("dist")).withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("dist", "pid")))
     return pairs.filter(F.col("rank") <= k)
@@ -111,16 +147,39 @@ def radius_exclusion(left: DataFrame, struck: DataFrame, radius: float, id_col:
     return rows.join(s, on, "left_anti").drop("__gx", "__gy")
 
 
+def _cone(vx: str, vy: str, least_cosine: float, speed_gap: float) -> tuple[Column, Column, int]:
+    """The direction's and the speed's cell, and how many directions there are: none narrower than the angle of the
+    least cosine, so that what moves alike is in the same or a neighbouring cell of both."""
+    n = max(1, int(2 * math.pi / math.acos(least_cosine) * (1 - 1e-9))) if least_cosine > -1 else 1
+    turn = F.atan2(F.col(vy), F.col(vx)) / (2 * math.pi) + 0.5
+    speed = F.sqrt(F.col(vx) * F.col(vx) + F.col(vy) * F.col(vy))
+    return F.pmod(F.floor(turn * n), F.lit(n)), F.floor(speed / speed_gap), n
+
+
+def own_cone(vx: str, vy: str, least_cosine: float, speed_gap: float) -> Column:
+    """The cone (direction a, speed s) that a velocity lies in."""
+    a, s, _ = _cone(vx, vy, least_cosine, speed_gap)
+    return F.struct(a.cast("long").alias("a"), s.cast("long").alias("s"))
+
+
+def cone_cells(vx: str, vy: str, least_cosine: float, speed_gap: float) -> Column:
+    """The cones (an array of a, s) of all velocities like this one: its own and those around."""
+    a, s, n = _cone(vx, vy, least_cosine, speed_gap)
+    near = [F.struct(F.pmod(a + i, F.lit(n)).cast("long").alias("a"), (s + j).cast("long").alias("s")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    return F.array_distinct(F.array(*near))
+
+
 def similar_tracks(tracks: DataFrame, memory: DataFrame, least_cosine: float = 0.85, speed_gap: float = 15.0) -> DataFrame:
     """Tracks (id, vx, vy) that move like a remembered one: cosine over least_cosine, speeds less than speed_gap apart, of
-    another id. The memory is bounded by its time to live. Meets by speed bands as wide as the gap."""
+    another id. Both meet in cones of direction and speed, no narrower than what counts as alike, so the pairs looked at are a
+    few times those that match, and of these a track needs only its first."""
     speed = lambda df: F.sqrt(df["vx"] * df["vx"] + df["vy"] * df["vy"])
-    t = tracks.withColumn("speed", speed(tracks)).withColumn("__b", F.floor(F.col("speed") / speed_gap))
+    t = tracks.withColumn("speed", speed(tracks)).withColumn("__own", own_cone("vx", "vy", least_cosine, speed_gap))
     m = memory.select(F.col("id").alias("m_id"), F.col("vx").alias("m_vx"), F.col("vy").alias("m_vy"), speed(memory).alias("m_speed"))
-    m = m.withColumn("__mb", F.explode(F.array(*[F.floor(F.col("m_speed") / speed_gap) + k for k in (-1, 0, 1)])))
+    m = m.withColumn("__m", F.explode(cone_cells("m_vx", "m_vy", least_cosine, speed_gap)))
     cos = (F.col("vx") * F.col("m_vx") + F.col("vy") * F.col("m_vy")) / (F.col("speed") * F.col("m_speed"))
-    on = (F.col("__b") == F.col("__mb")) & (F.col("id") != F.col("m_id")) & (F.abs(F.col("speed") - F.col("m_speed")) < speed_gap) & (F.col("speed") > 0) & (F.col("m_speed") > 0) & (cos > least_cosine)
-    return t.join(m, on, "left_semi").drop("__b", "speed")
+    on = [F.col("__own.a") == F.col("__m.a"), F.col("__own.s") == F.col("__m.s"), F.col("id") != F.col("m_id"), F.abs(F.col("speed") - F.col("m_speed")) < speed_gap, F.col("speed") > 0, F.col("m_speed") > 0, cos > least_cosine]
+    return t.join(m, on, "left_semi").drop("__own", "speed")
 
 
 def correlate(requests: DataFrame, responses: DataFrame, timeout: str = "5 seconds") -> DataFrame:
@@ -164,6 +223,15 @@ def label_candidates(image: Column, levels: int = 6) -> Column:
     return F.array_compact(F.array(beside, text, *[F.when(F.size(folders) > k, u) for k, u in enumerate(up)]))
 
 
+def annotated(images: DataFrame, files: DataFrame, suffixes: Sequence[str] = ("json", "xml")) -> DataFrame:
+    """Images (image: a path) with the annotation beside them that has their name and the first of the suffixes that
+    is among the files (path): image, annotation and ann_type (its suffix, both null if there is none), stem."""
+    bare = F.regexp_replace("image", r"\.[^./]*$", "")
+    tries = F.array(*[F.concat(bare, F.lit(f".{s}")) for s in suffixes])
+    found = first_existing(images.select("image"), files, tries, "annotation")
+    return found.select("image", "annotation", F.regexp_extract("annotation", r"([^.]*)$", 1).alias("ann_type"), F.regexp_extract(bare, r"([^/]*)$", 1).alias("stem"))
+
+
 def class_map_by_name(source: DataFrame, target: DataFrame) -> DataFrame:
     """dataset, src_cls, dst_cls of source classes (dataset, cls, name) that a target class (cls, name) shares the name of;
     others have none and are dropped by the strict remap."""

@@ -19,15 +19,15 @@ from granary.functions.geometry import box_columns, iou
 BOX = ("cx", "cy", "w", "h")
 
 
-def iou_pairs(pred: DataFrame, gt: DataFrame, threshold: float, keys: Sequence[str] = ("img",), strict: bool = False) -> DataFrame:
-    """All pairs of one image with an overlap of at least (strict: over) the threshold. An equi join with the overlap as
-    residual condition, so never a nested loop."""
+def iou_pairs(pred: DataFrame, gt: DataFrame, threshold: float, keys: Sequence[str] = ("img",), strict: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """All pairs of one image with an overlap of at least (strict: over) the threshold, and columns of gt to carry. An equi
+    join with the overlap as residual condition, so never a nested loop."""
     p = pred.select(*keys, "pred_idx", "conf", *[F.col(c).alias(f"p_{c}") for c in BOX])
-    g = gt.select(*[F.col(k).alias(f"g_{k}") for k in keys], "gt_idx", *[F.col(c).alias(f"g_{c}") for c in BOX])
+    g = gt.select(*[F.col(k).alias(f"g_{k}") for k in keys], "gt_idx", *[F.col(c).alias(f"g_{c}") for c in BOX], *carry)
     overlap = iou(box_columns("p_"), box_columns("g_"))
     same = [F.col(k) == F.col(f"g_{k}") for k in keys]
     joined = p.join(g, [*same, overlap > threshold if strict else overlap >= threshold])
-    return joined.select(*keys, "pred_idx", "conf", "gt_idx", overlap.alias("iou"))
+    return joined.select(*keys, "pred_idx", "conf", "gt_idx", overlap.alias("iou"), *carry)
 
 
 def greedy_match(
@@ -37,11 +37,13 @@ def greedy_match(
 
     Predictions go by falling confidence, ties by pred_idx (by_confidence=False: by pred_idx alone); each takes the free
     box that it overlaps most, ties to the smaller gt_idx (last_of_ties: the larger), if that is at least the threshold.
+    If gt has a column `ignored`, boxes with it are taken only by predictions that no other free box is overlapped by enough.
     The overlap join runs once, at the lowest threshold, for all thresholds.
     """
     steps = sorted(set(thresholds))
-    pairs = iou_pairs(pred, gt, steps[0], keys)
-    order = F.struct((-F.col("iou")).alias("o"), (-F.col("gt_idx") if last_of_ties else F.col("gt_idx")).alias("t"), "gt_idx", "iou")
+    pairs = iou_pairs(pred, gt, steps[0], keys, carry=("ignored",) if "ignored" in gt.columns else ())
+    last = F.col("ignored") if "ignored" in gt.columns else F.lit(False)
+    order = F.struct(last.alias("g"), (-F.col("iou")).alias("o"), (-F.col("gt_idx") if last_of_ties else F.col("gt_idx")).alias("t"), "gt_idx", "iou")
     cands = pairs.groupBy(*keys, "pred_idx").agg(F.sort_array(F.collect_list(order)).alias("cands"))
     rank = -F.col("conf") if by_confidence else F.lit(0.0)
     entry = F.struct(rank.alias("r"), F.col("pred_idx"), F.col("conf"), F.coalesce("cands", F.array().cast(cands.schema["cands"].dataType)).alias("cands"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from granary.operators.matching import greedy_match
+from granary.operators.matching import greedy_match, iou_pairs
+from granary.storage import stored
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -126,20 +130,63 @@ def box_quality(boxes: DataFrame, images: DataFrame) -> DataFrame:
     return a.crossJoin(boxes.agg(F.avg(area).alias("mean_area"), F.median(area).alias("median_area")))
 
 
-def bootstrap(per_image: DataFrame, rounds: int = 1000, seed: int = 1, faithful: bool = False) -> DataFrame:
-    """Mean, population deviation and the 2.5 and 97.5 percentiles of F1 over resampled images.
+def first_hits(pred: DataFrame, gt: DataFrame, threshold: float = 0.5, keys: Sequence[str] = ("img",)) -> DataFrame:
+    """True boxes (keys, gt_idx) that are some prediction's first one, by gt_idx, with an overlap of at least the threshold.
+    Nothing is exclusive: several predictions may have one box. For `complementarity` across data sets."""
+    pairs = iou_pairs(pred, gt, threshold, keys)
+    return pairs.groupBy(*keys, "pred_idx").agg(F.min("gt_idx").alias("gt_idx")).select(*keys, "gt_idx").distinct()
 
-    per_image: img, tp, fp, fn. Every image gets a Poisson(1) number of copies in every round from a hash of image,
-    round and seed, so rounds need no driver loop and rerun alike. faithful: repeats of an image count once.
+
+#: Draws of a round that are made at once.
+DRAWS = 65_536
+
+
+def bootstrap(per_image: DataFrame, rounds: int = 1000, seed: int = 1, faithful: bool = False, exact: bool = True) -> DataFrame:
+    """Mean, population deviation and the 2.5 and 97.5 percentiles of F1 over resampled images: as many draws with
+    replacement in each round as there are images.
+
+    per_image: img, tp, fp, fn. Images with the same three numbers are one kind, and a sample is told by how many images of
+    each kind it has, so neither images nor copies travel: rounds are dealt to tasks, each with the kinds and their sizes.
+    There are as many kinds as the boxes of one image allow, however many images.
+
+    exact: draws are read off md5(seed|round|number), two of 52 bits from each, so SQL can repeat them; the work grows with
+    images times rounds. Else the kinds' numbers are split off one after the other, each a binomial share of the draws that are
+    left: the same law, work that grows with kinds times rounds. faithful: repeats of an image count once, which needs
+    exact, and a bit for each image in a task. No images, or none with boxes: F1 is 0.
     """
-    u = (F.pmod(F.xxhash64("img", "round", F.lit(seed)), F.lit(2**40)) + 0.5) / float(2**40)
-    # The cumulated Poisson(1) probabilities up to 7; beyond that is 8.
-    steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
-    copies = sum((F.when(F.col("u") > s, 1).otherwise(0) for s in steps), F.lit(0))
-    rows = per_image.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("u", u).withColumn("copies", copies)
-    k = F.least("copies", F.lit(1)) if faithful else F.col("copies")
-    sums = rows.groupBy("round").agg(*[F.sum(F.col(c) * k).alias(c) for c in ("tp", "fp", "fn")])
-    f1 = sums.select(prf(F.col("tp"), F.col("fp"), F.col("fn"))[2])
+    spark = per_image.sparkSession
+    sums = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tp", "fp", "fn")]
+    kinds = per_image.select(*sums).groupBy("tp", "fp", "fn").agg(F.count("*").alias("n")).orderBy("tp", "fp", "fn").toArrow()
+    size, values = kinds.column("n").to_numpy(), np.stack([kinds.column(c).to_numpy() for c in ("tp", "fp", "fn")], axis=1)
+    if faithful and not exact:
+        raise ValueError("images that count once must be drawn one by one")
+    n, upto = int(size.sum()), np.cumsum(size)
+
+    def drawn(number: int) -> np.ndarray:
+        """How many images of each kind the round has."""
+        if not exact or not n:
+            return np.random.default_rng([seed, number]).multinomial(n, size / n) if n else size
+        held, seen = np.zeros(len(size), np.int64), np.zeros(n if faithful else 0, bool)
+        for at in range(0, n, DRAWS):
+            many = min(DRAWS, n - at)
+            digits = "".join(hashlib.md5(f"{seed}|{number}|{k}".encode()).hexdigest() for k in range(at // 2, (at + many + 1) // 2))
+            parts = np.frombuffer(bytes.fromhex(digits), ">u8")[:many] >> np.uint64(12)
+            # Of 52 bits times n, what is above 52 bits; in two halves, as the product may pass 64.
+            high, low = (parts >> np.uint64(26)) * np.uint64(n), (parts & np.uint64(2**26 - 1)) * np.uint64(n)
+            place = ((high + (low >> np.uint64(26))) >> np.uint64(26)).astype(np.int64)
+            if faithful:
+                seen[place] = True
+            else:
+                held += np.bincount(np.searchsorted(upto, place, side="right"), minlength=len(size))
+        return np.diff(np.concatenate([[0], np.cumsum(seen)[upto - 1]])) if faithful else held
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [drawn(r) @ values for r in batch.column("round").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([int(f[k]) for f in found], pa.int64()) for k in range(3)], names=["tp", "fp", "fn"])
+
+    tasks = min(rounds, 4 * spark.sparkContext.defaultParallelism)
+    f1 = spark.range(1, rounds + 1, 1, tasks).select(F.col("id").alias("round")).mapInArrow(work, "tp long, fp long, fn long").select(prf(F.col("tp"), F.col("fp"), F.col("fn"))[2])
     q = F.percentile("f1", F.array(F.lit(0.025), F.lit(0.975)))
     return f1.agg(F.avg("f1").alias("mean"), F.stddev_pop("f1").alias("std"), q.alias("q")).select("mean", "std", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
@@ -159,22 +206,45 @@ TEN = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
 DEPTHS = (1, 10, 100)
 
 
-def coco_summary(pred: DataFrame, gt: DataFrame) -> DataFrame:
-    """The class-aware summary over ten overlaps: ap (mean of 101-point APs over overlaps and classes with true boxes),
-    ap50, ap75, and ar1, ar10, ar100 (mean over both of the recall with so many predictions per image and class). At most
-    100 predictions per image and class count, the most confident ones."""
+#: Sizes by area in pixels, from and to, both included.
+SIZES = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
+
+
+def coco_summary(pred: DataFrame, gt: DataFrame, side: float = 640.0) -> DataFrame:
+    """The class-aware summary over ten overlaps, 12 numbers: ap (mean of 101-point APs over overlaps and classes with true
+    boxes), ap50, ap75, ap_small, ap_medium, ap_large, ar1, ar10, ar100 (mean over both of the recall with so many
+    predictions per image and class), ar_small, ar_medium, ar_large. At most 100 predictions per image and class count, the
+    most confident ones. Sizes are in pixels of images of img_w by img_h (columns on both sides), or of
+    `side` by `side`.
+
+    For a size, true boxes of other sizes are ignored: they are taken last and count for nothing, nor do the predictions
+    that take them, nor predictions of other sizes that take none. A size without true boxes has -1. Of equal overlaps
+    the box listed last is taken.
+    """
     top = F.row_number().over(W.partitionBy("img", "cls").orderBy(F.desc("conf"), "pred_idx"))
-    ranked = pred.withColumn("place", top).filter(F.col("place") <= max(DEPTHS))
-    matches = greedy_match(ranked, gt, TEN, keys=("img", "cls"))
-    n = gt.groupBy("cls").agg(F.count("*").alias("n_gt"))
-    keys = ("threshold", "cls")
+    if "img_w" not in gt.columns:
+        pred, gt = (x.withColumn("img_w", F.lit(side)).withColumn("img_h", F.lit(side)) for x in (pred, gt))
+    area = F.col("w") * F.col("img_w") * (F.col("h") * F.col("img_h"))
+    sized = lambda df: df.withColumn("outside", F.explode(F.array(*[F.struct(F.lit(s).alias("size"), ((area < low) | (area > high)).alias("ignored")) for s, (low, high) in SIZES.items()]))).select("*", "outside.size", "outside.ignored").drop("outside")
+    ranked = sized(pred.withColumn("place", top).filter(F.col("place") <= max(DEPTHS)))
+    truth, own = sized(gt), ("img", "cls", "size")
+    matches = greedy_match(ranked.drop("ignored"), truth, TEN, keys=own, last_of_ties=True)
+    taken = truth.filter("ignored").select(*own, "gt_idx", F.lit(True).alias("of_ignored"))
+    rows = matches.join(ranked.select(*own, "pred_idx", "place", F.col("ignored").alias("odd")), [*own, "pred_idx"]).join(taken, [*own, "gt_idx"], "left")
+    counted = stored(rows.filter(F.col("of_ignored").isNull() & ~(F.col("gt_idx").isNull() & F.col("odd"))))
+    n = truth.filter("not ignored").groupBy("cls", "size").agg(F.count("*").alias("n_gt"))
+    keys = ("threshold", "cls", "size")
     classes = n.withColumn("threshold", F.explode(F.array(*map(F.lit, TEN))))
-    ap = ap_points(pr_curve(matches, n.select("cls", "n_gt").join(matches.select(*keys).distinct(), "cls"), keys=keys), 101, keys=keys)
-    hits = matches.filter("gt_idx is not null").join(ranked.select("img", "cls", "pred_idx", "place"), ["img", "cls", "pred_idx"])
-    found = hits.groupBy(*keys).agg(*[F.count_if(F.col("place") <= d).alias(f"hit{d}") for d in DEPTHS])
+    ap = ap_points(pr_curve(counted, classes, keys=keys), 101, keys=keys)
+    found = counted.filter("gt_idx is not null").groupBy(*keys).agg(*[F.count_if(F.col("place") <= d).alias(f"hit{d}") for d in DEPTHS])
     rows = classes.join(ap, list(keys), "left").join(found, list(keys), "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
-    at = lambda t: F.avg(F.when(F.col("threshold") == t, F.col("ap")))
-    return rows.agg(F.avg("ap").alias("ap"), at(0.5).alias("ap50"), at(0.75).alias("ap75"), *[F.avg(F.coalesce(f"hit{d}", F.lit(0)) / F.col("n_gt")).alias(f"ar{d}") for d in DEPTHS])
+    mean = lambda what, size, extra=F.lit(True): F.coalesce(F.avg(F.when((F.col("size") == size) & extra, what)), F.lit(-1.0))
+    recall = lambda d: F.coalesce(f"hit{d}", F.lit(0)) / F.col("n_gt")
+    at = lambda t: F.col("threshold") == t
+    return rows.agg(
+        mean(F.col("ap"), "all").alias("ap"), mean(F.col("ap"), "all", at(0.5)).alias("ap50"), mean(F.col("ap"), "all", at(0.75)).alias("ap75"), *[mean(F.col("ap"), s).alias(f"ap_{s}") for s in ("small", "medium", "large")],
+        *[mean(recall(d), "all").alias(f"ar{d}") for d in DEPTHS], *[mean(recall(100), s).alias(f"ar_{s}") for s in ("small", "medium", "large")],
+    )
 
 
 def model_stats(results: DataFrame) -> DataFrame:

@@ -12,19 +12,12 @@ from granary.operators import events as E
 from granary.plans.queries import FUSE, ORACLE, PG, POINTS, QUERIES, RUNS, STAR, _points, both, query, runs
 from granary.plans.views import BOX_SQL, EVENT_SQL, boxes, detector, events, greedy_sql, iou_sql, table
 from granary.sources import labels, registry, sinks
-from granary.storage import shared_dir
+from granary.storage import fresh
 from granary.streaming import tracking
 
 __all__ = ["ORACLE", "QUERIES"]
 
 
-def fresh(spark, name: str) -> str:
-    """A folder of its own in the shared one."""
-    import uuid
-
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # --- metrics over ten overlaps ----------------------------------------------------------------------------------------
 
 TEN_KEYS = {t: f"m{int(round(t * 100))}" for t in metrics.TEN}
@@ -38,18 +31,28 @@ def _all_ten(cols: str) -> str:
     return " union all ".join(f"select {t}::double as threshold, {cols} from {n}" for t, n in TEN_KEYS.items())
 
 
+SIZED = "z as (select * from (values ('all', 0, 1e10), ('small', 0, 1024), ('medium', 1024, 9216), ('large', 9216, 1e10)) v(size, lo, hi))"
+OUT = "(w * (100 + 50 * (img % 3)) * (h * (100 + 50 * (img % 3))) < lo or w * (100 + 50 * (img % 3)) * (h * (100 + 50 * (img % 3))) > hi)"
+
+
 @query(
-    f"""with recursive {BOX_SQL}, {PG}, {_ten('img, cls')}, m as ({_all_ten('img, cls, pred_idx, conf, gt_idx')}), n as (select cls, count(*) as n_gt from g group by 1),
-v as (select m.*, n_gt, row_number() over o as rank, sum((gt_idx is not null)::int) over o as tp from m join n using (cls) window o as (partition by threshold, m.cls order by conf desc, img, pred_idx)),
-k as (select threshold, cls, floor(tp / n_gt * 100 + 1e-9) as k, max(tp / rank) as top from v group by all),
-a as (select threshold, cls, sum((select coalesce(max(top), 0) from k where k.threshold = c.threshold and k.cls = c.cls and k.k >= j)) / 101 as ap from (select distinct threshold, cls from v) c, range(0, 101) j(j) group by all),
-pl as (select img, cls, pred_idx, row_number() over (partition by img, cls order by conf desc, pred_idx) as place from p),
-h as (select threshold, cls, count(*) filter (place <= 1) as h1, count(*) filter (place <= 10) as h10, count(*) filter (place <= 100) as h100 from m join pl using (img, cls, pred_idx) where gt_idx is not null group by all),
-r as (select t.threshold, n.cls, n_gt, coalesce(ap, 0) as ap, coalesce(h1, 0) as h1, coalesce(h10, 0) as h10, coalesce(h100, 0) as h100 from n cross join (select distinct threshold from m) t left join a on a.threshold = t.threshold and a.cls = n.cls left join h on h.threshold = t.threshold and h.cls = n.cls)
-select round(avg(ap), 9) as ap, round(avg(ap) filter (threshold = 0.5::double), 9) as ap50, round(avg(ap) filter (threshold = 0.75::double), 9) as ap75, round(avg(h1 / n_gt), 9) as ar1, round(avg(h10 / n_gt), 9) as ar10, round(avg(h100 / n_gt), 9) as ar100 from r"""
+    f"""with recursive {BOX_SQL}, {PG}, {SIZED}, g0 as (select g.*, size, {OUT} as ig from g, z), pl as (select *, row_number() over (partition by img, cls order by conf desc, pred_idx) as place from p), p0 as (select pl.*, size, {OUT} as odd from pl, z where place <= 100),
+{', '.join(greedy_sql(n, "p0", "g0", t, "conf desc, pred_idx", "img, cls, size", f"g.ig, {iou_sql('p', 'g')} desc, g.gt_idx desc") for t, n in TEN_KEYS.items())}, m0 as ({_all_ten('img, cls, size, pred_idx, conf, gt_idx')}),
+m as (select m0.*, p0.place from m0 join p0 using (img, cls, size, pred_idx) left join g0 on g0.img = m0.img and g0.cls = m0.cls and g0.size = m0.size and g0.gt_idx = m0.gt_idx where not coalesce(g0.ig, false) and not (m0.gt_idx is null and p0.odd)),
+n as (select cls, size, count(*) as n_gt from g0 where not ig group by 1, 2),
+v as (select m.*, n_gt, row_number() over o as rank, sum((gt_idx is not null)::int) over o as tp from m join n using (cls, size) window o as (partition by threshold, m.cls, m.size order by conf desc, img, pred_idx)),
+k as (select threshold, cls, size, floor(tp / n_gt * 100 + 1e-9) as k, max(tp / rank) as top from v group by all),
+a as (select threshold, cls, size, sum((select coalesce(max(top), 0) from k where k.threshold = c.threshold and k.cls = c.cls and k.size = c.size and k.k >= j)) / 101 as ap from (select distinct threshold, cls, size from v) c, range(0, 101) j(j) group by all),
+h as (select threshold, cls, size, count(*) filter (place <= 1) as h1, count(*) filter (place <= 10) as h10, count(*) as h100 from m where gt_idx is not null group by all),
+r as (select t.threshold, n.cls, n.size, n_gt, coalesce(ap, 0) as ap, coalesce(h1, 0) as h1, coalesce(h10, 0) as h10, coalesce(h100, 0) as h100 from n cross join (select distinct threshold from m0) t left join a on a.threshold = t.threshold and a.cls = n.cls and a.size = n.size left join h on h.threshold = t.threshold and h.cls = n.cls and h.size = n.size)
+select {', '.join(f"round(coalesce(avg({what}) filter (size = '{size}'{more}), -1), 9) as {name}" for name, what, size, more in (
+    ('ap', 'ap', 'all', ''), ('ap50', 'ap', 'all', ' and threshold = 0.5::double'), ('ap75', 'ap', 'all', ' and threshold = 0.75::double'), *((f'ap_{s}', 'ap', s, '') for s in ('small', 'medium', 'large')),
+    ('ar1', 'h1 / n_gt', 'all', ''), ('ar10', 'h10 / n_gt', 'all', ''), ('ar100', 'h100 / n_gt', 'all', ''), *((f'ar_{s}', 'h100 / n_gt', s, '') for s in ('small', 'medium', 'large'))))} from r"""
 )
 def coco_summary(spark, d):
-    p, g = both(spark, d)
+    """Images of 100, 150 and 200 pixels a side, so that boxes of all sizes are there."""
+    side = 100 + 50 * (F.col("img") % 3)
+    p, g = (x.withColumn("img_w", side).withColumn("img_h", side) for x in both(spark, d))
     out = metrics.coco_summary(p, g)
     return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
 
@@ -268,11 +271,11 @@ def label_alias(spark, d):
     return table(spark, d, "events").select("event_id", X.class_index(said, NAMES, ALIASES).alias("cls"))
 
 
-@query("with s as (select doc_id, case doc_id % 4 when 0 then 'gh_' when 1 then 'kg_' when 2 then 'rf_' else '' end || coalesce(source, '') as slug, lower(left(text, 200)) as t from documents), x as (select doc_id, slug, list_filter([case when contains(t, 'the') then 'english' end, case when contains(t, 'une') or contains(t, 'les') then 'french' end], lambda x: x is not null) as f from s) select doc_id, case left(slug, 3) when 'gh_' then 'github' when 'kg_' then 'kaggle' when 'rf_' then 'roboflow' else 'huggingface' end as origin, case when len(f) > 0 then array_to_string(f, ',') else 'Unclassified' end as tags from x")
+@query("with s as (select doc_id, case doc_id % 4 when 0 then 'gh_' when 1 then 'kg_' when 2 then 'rf_' else '' end || coalesce(source, '') as slug, lower(coalesce(text, '')) as t from documents), x as (select doc_id, slug, list_filter([case when contains(t, 'the') then 'english' end, case when contains(t, 'une') or contains(t, 'les') then 'french' end], lambda x: x is not null) as f from s) select doc_id, case left(slug, 3) when 'gh_' then 'github' when 'kg_' then 'kaggle' when 'rf_' then 'roboflow' else 'huggingface' end as origin, case when len(f) > 0 then array_to_string(f, ',') else 'Unclassified' end as tags from x")
 def slug_classify(spark, d):
     n = F.col("doc_id") % 4
     slug = F.concat(F.when(n == 0, "gh_").when(n == 1, "kg_").when(n == 2, "rf_").otherwise(""), F.coalesce("source", F.lit("")))
-    tags = X.tags(F.left("text", F.lit(200)), {"english": ("the",), "french": ("une", "les")})
+    tags = X.tags(F.coalesce("text", F.lit("")), {"english": ("the",), "french": ("une", "les")})
     return table(spark, d, "documents").select("doc_id", X.slug_source(slug).alias("origin"), F.array_join(tags, ",").alias("tags"))
 
 
@@ -337,18 +340,20 @@ def pattern_points(spark, d):
 
 # --- readers and writers ----------------------------------------------------------------------------------------------
 
-IMAGES = "i as (select 'im' || s_suppkey as img, 640 + s_suppkey % 5 * 10 as width, 480 as height, s_suppkey from supplier), ib as (select 'im' || l_suppkey as img, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 as box_idx, (l_partkey % 12)::int as cls, (l_partkey % 40 + 30) / 1e2 as cx, (l_orderkey % 40 + 30) / 1e2 as cy, 0.2::double + l_quantity / 1e2 as w, 0.3::double + 4 * l_tax as h, 1 - 5 * l_discount as conf from lineitem where l_suppkey % 10 <> 3)"
+IMAGES = "i as (select 'im' || s_suppkey as img, 640 + s_suppkey % 5 * 10 as width, 480 as height, s_suppkey from supplier union all select 'em' || s_suppkey, 640, 480, s_suppkey from supplier where s_suppkey % 10 = 3), ib as (select 'im' || l_suppkey as img, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 as box_idx, (l_partkey % 12)::int as cls, (l_partkey % 40 + 30) / 1e2 as cx, (l_orderkey % 40 + 30) / 1e2 as cy, 0.2::double + l_quantity / 1e2 as w, 0.3::double + 4 * l_tax as h, 1 - 5 * l_discount as conf from lineitem)"
 
 
 def _image_boxes(spark, d):
-    """Images by supplier, a tenth of them without boxes; all line items of the others as their boxes."""
+    """Images by supplier, with all its line items as boxes, and for every tenth one more image, without boxes."""
     n = F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")) - 1
-    b = table(spark, d, "lineitem").filter("l_suppkey % 10 <> 3").select(
+    b = table(spark, d, "lineitem").select(
         F.concat(F.lit("im"), "l_suppkey").alias("img"), n.cast("long").alias("box_idx"), (F.col("l_partkey") % 12).cast("int").alias("cls"), ((F.col("l_partkey") % 40 + 30) / F.lit(100.0)).alias("cx"),
         ((F.col("l_orderkey") % 40 + 30) / F.lit(100.0)).alias("cy"), (F.lit(0.2) + F.col("l_quantity") / 100.0).alias("w"), (F.lit(0.3) + 4 * F.col("l_tax")).alias("h"), (1 - 5 * F.col("l_discount")).alias("conf"),
     )
     k = F.col("s_suppkey")
-    return b, table(spark, d, "supplier").select(F.concat(F.lit("im"), k).alias("img"), (640 + k % 5 * 10).alias("width"), F.lit(480).alias("height"))
+    s = table(spark, d, "supplier")
+    own = s.select(F.concat(F.lit("im"), k).alias("img"), (640 + k % 5 * 10).alias("width"), F.lit(480).alias("height"))
+    return b, own.unionByName(s.filter(k % 10 == 3).select(F.concat(F.lit("em"), k).alias("img"), F.lit(640).cast(own.schema["width"].dataType).alias("width"), F.lit(480).alias("height")))
 
 
 @query(f"with {IMAGES} select img, box_idx::int as box_idx, cls, round(cx, 4) as cx, round(cy, 4) as cy, round(w, 4) as w, round(h, 4) as h, 0.9::double as conf from ib")
@@ -601,10 +606,9 @@ def first_of_window(spark, d):
     return E.first_of_window(events(spark, d), "6 hours", 3).select("event_id")
 
 
-@query(f"with {EVENT_SQL}, m as (select *, map([chr(97 + k % 3), 'b'], [k, 40]) as params, lag(map([chr(97 + k % 3), 'b'], [k, 40])) over (partition by user_id order by ts, event_id) as old from ev where k % 3 <> 1), x as (select event_id, user_id, unnest(map_keys(params)) as param, params, old from m) select event_id, user_id, param, params[param]::int as value, old[param]::int as old_value from x where params[param] is distinct from old[param]")
+@query(f"with {EVENT_SQL}, m as (select *, map([chr(97 + k % 3 * 2), 'b'], [k, 40]) as params, lag(map([chr(97 + k % 3 * 2), 'b'], [k, 40])) over (partition by user_id order by ts, event_id) as old from ev), x as (select event_id, user_id, unnest(map_keys(params)) as param, params, old from m) select event_id, user_id, param, params[param]::int as value, old[param]::int as old_value from x where params[param] is distinct from old[param]")
 def param_change_log(spark, d):
-    e = events(spark, d).filter("k % 3 <> 1")
-    rows = e.withColumn("params", F.create_map(F.char(97 + F.col("k") % 3), F.col("k"), F.lit("b"), F.lit(40)))
+    rows = events(spark, d).withColumn("params", F.create_map(F.char(97 + F.col("k") % 3 * 2), F.col("k"), F.lit("b"), F.lit(40)))
     return E.param_changes(rows, ("user_id",)).select("event_id", "user_id", "param", "value", "old_value")
 
 

@@ -16,6 +16,8 @@ ORACLE: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def register(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"{f.__name__} is registered already")
         QUERIES[f.__name__] = f
         if sql:
             ORACLE[f.__name__] = sql
@@ -170,12 +172,21 @@ def box_quality(spark, d):
     return metrics.box_quality(boxes(spark, d).filter("role = 0"), images)
 
 
-@query()
+DRAWN = "select r, d, (u::hugeint * n) >> 52 as place from (select r, 2 * j + h as d, ('0x' || substr(md5('1|' || r || '|' || j), 1 + 16 * h, 13))::ubigint as u from range(1, 1001) x(r), range(0, (select (count(*) + 1) // 2 from k)) y(j), range(0, 2) z(h)), (select count(*) as n from k) where d < n"
+
+
+@query(
+    f"""{GREEDY}, mi as (select img, count(gt_idx) as tp, count(*) - count(gt_idx) as fp from m group by 1), gi as (select img, count(*) as n from g group by 1),
+k as (select coalesce(tp, 0) as tp, coalesce(fp, 0) as fp, coalesce(n, 0) - coalesce(tp, 0) as fn, row_number() over (order by coalesce(tp, 0), coalesce(fp, 0), coalesce(n, 0) - coalesce(tp, 0)) - 1 as place from mi full join gi on mi.img = gi.img),
+c as (select r, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn from ({DRAWN}) join k using (place) group by r), pr as (select *, {PRF} from c), f as (select {F1} from pr)
+select round(avg(f1), 9) as mean, round(stddev_pop(f1), 9) as std, round(quantile_cont(f1, 0.025), 9) as lo, round(quantile_cont(f1, 0.975), 9) as hi from f"""
+)
 def bootstrap_ci(spark, d):
     m, g = matched(spark, d)
     per = g.groupBy("img").agg(F.count("*").alias("n")).join(m.groupBy("img").agg(F.count("gt_idx").alias("tp"), F.count_if(F.col("gt_idx").isNull()).alias("fp")), "img", "full")
     per = per.select("img", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fp")], (F.coalesce("n", F.lit(0)) - F.coalesce("tp", F.lit(0))).alias("fn"))
-    return metrics.bootstrap(per, rounds=200)
+    out = metrics.bootstrap(per, rounds=1000)
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
 
 
 # --- fusion ----------------------------------------------------------------------------------------------------------
@@ -277,22 +288,17 @@ def _merge(spark, d):
     ds = spark.createDataFrame([(k, k, "none" if k == 4 else "yolo", False, k == 3) for k in range(5)], "dataset int, ds_ord int, annotation string, never_train boolean, garbage boolean")
     held = spark.createDataFrame([(7,)], "stem long")
     maps = spark.createDataFrame([(k, c, c) for k in range(5) for c in range(4)], "dataset int, src_cls int, dst_cls int")
-    return corpus.merge_datasets(images, b, ds, held, maps)
+    return corpus.merge_reasons(images, b, ds, held, maps)
 
 
 @query(f"{MERGE} select reason, count(*) as n from r group by 1")
 def merge_counters(spark, d):
-    return _merge(spark, d)[1]
+    return corpus.merge_counters(_merge(spark, d))
 
 
 @query(f"{MERGE} select ds::int as dataset, img, case when (row_number() over (partition by ds order by img) - 1) % 10 = 0 then 'valid' else 'train' end as split from r where reason = 'kept'")
 def val_split_10th(spark, d):
-    return _merge(spark, d)[0]
-
-
-@query(f"with {BOX_SQL}, c as (select cls, count(*) as instances, count(distinct img) as files from box where cls < 3 or img % 40 = 0 group by 1) select cls, instances, files, least(10, ((4000 - instances) / greatest(instances / files * files, 1e0))::decimal(18, 6)::double // 1 + 1)::int as copies from c where instances < 4000")
-def oversample_plan(spark, d):
-    return corpus.oversample_plan(boxes(spark, d).filter("cls < 3 or img % 40 = 0"), target=4000)
+    return corpus.merged(_merge(spark, d))
 
 
 @query(f"with {BOX_SQL}, c as (select cls, count(*) as instances, count(distinct img) as files from box group by 1), t as (select max(instances) as target from c) select cls, instances, files, least(10, ((target - instances) / greatest(instances / files * files, 1e0))::decimal(18, 6)::double // 1 + 1)::int as copies from c, t where instances < target")

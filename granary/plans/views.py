@@ -56,14 +56,15 @@ def iou_sql(a: str, b: str) -> str:
     return f"case when {union} > 0 then {i} / {union} else 0e0 end"
 
 
-def greedy_sql(name: str, pred: str, gt: str, threshold: float, order: str, keys: str = "img") -> str:
+def greedy_sql(name: str, pred: str, gt: str, threshold: float, order: str, keys: str = "img", best: str | None = None) -> str:
     """CTEs that end in `name`(keys, pred_idx, conf, gt_idx): greedy matching as a recursion over the predictions of an
-    image in order."""
+    image in order; `best` orders the boxes that one may take."""
+    best = best or f"{iou_sql('p', 'g')} desc, g.gt_idx"
     ks = keys.split(", ")
     on = lambda a, b: " and ".join(f"{a}.{k} = {b}.{k}" for k in ks)
     pk = lambda t: ", ".join(f"{t}.{k}" for k in ks)
     return f"""{name}_p as (select *, row_number() over (partition by {keys} order by {order}) as n from {pred}),
-{name}_c as (select {pk('p')}, p.n, list(g.gt_idx order by {iou_sql('p', 'g')} desc, g.gt_idx) as l from {name}_p p join {gt} g on {on('p', 'g')} and {iou_sql('p', 'g')} >= {threshold} group by {pk('p')}, p.n),
+{name}_c as (select {pk('p')}, p.n, list(g.gt_idx order by {best}) as l from {name}_p p join {gt} g on {on('p', 'g')} and {iou_sql('p', 'g')} >= {threshold} group by {pk('p')}, p.n),
 {name}_q as (select p.*, coalesce(c.l, []) as l from {name}_p p left join {name}_c c on {on('c', 'p')} and c.n = p.n),
 {name}_r as (
   select {keys}, n, pred_idx, conf, l[1] as gt_idx, case when l[1] is null then [] else [l[1]] end as used from {name}_q where n = 1

@@ -27,13 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is written there goes as stored tables do."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((weakref.ref(spark), path))
+    return path
+
+
 def stored(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors, and is
     computed once however often it is used. The files go when the driver's process ends, or by `forget`."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/granary-{uuid.uuid4().hex}"
+    path = fresh(spark, "granary")
     (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
-    _written.append((weakref.ref(spark), path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,11 +11,10 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.geometry import distance
-
 # --- tracker ---------------------------------------------------------------------------------------------------------
 
 
@@ -265,18 +264,26 @@ def new_and_lost(tracks: DataFrame, max_age: float = 10.0) -> DataFrame:
     return tracks.groupBy("key", "track_id").agg(F.min("t").alias("new_at"), (F.max("t") + max_age).alias("lost_at"))
 
 
-def dwell(positions: DataFrame, radius: float, timeout: float) -> DataFrame:
-    """First time that each (key, id) has stayed within the radius of where it came to rest, for the timeout: key, id,
-    fire_at. Leaving the radius starts anew; a fold over each target's positions."""
-    item = F.struct("t", "x", "y")
-    lists = positions.groupBy("key", "id").agg(F.sort_array(F.collect_list(item)).alias("all"))
-    none = F.lit(None).cast("double")
-    start = F.struct(none.alias("t"), none.alias("x"), none.alias("y"), none.alias("fire"))
-
-    def step(acc, p):
-        leave = acc["t"].isNull() | (distance(acc["x"], acc["y"], p["x"], p["y"]) > radius)
-        t, x, y = (F.when(leave, p[c]).otherwise(acc[c]) for c in ("t", "x", "y"))
-        fire = F.coalesce(acc["fire"], F.when(~leave & (p["t"] - acc["t"] >= timeout), p["t"]))
-        return F.struct(t.alias("t"), x.alias("x"), y.alias("y"), fire.alias("fire"))
-
-    return lists.select("key", "id", F.aggregate("all", start, step)["fire"].alias("fire_at")).filter("fire_at is not null")
+def dwell(positions: DataFrame, radius: float, timeout: float, by: tuple[str, ...] = ("key", "id")) -> DataFrame:
+    """First time that each target (by) has stayed within the radius of where it came to rest, for the timeout: by, fire_at.
+    Leaving the radius starts anew. positions: by, t (seconds), x, y. A target's rows come to one task in time order and are
+    read as they come; only where and when it came to rest is held."""
+    rows = positions.select(*by, *[F.col(c).cast("double").alias(c) for c in ("t", "x", "y")]).repartition(*by).sortWithinPartitions(*by, "t", "x", "y")
+    n, schema = len(by), ", ".join([*[f"`{c}` {positions.schema[c].dataType.simpleString()}" for c in by], "fire_at double"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fired, t0, x0, y0 = None, False, 0.0, 0.0, 0.0
+        for batch in batches:
+            take, when = [], []
+            keys = zip(*(batch.column(k).to_pylist() for k in range(n)), strict=True)
+            for r, (own, t, x, y) in enumerate(zip(keys, *(batch.column(c).to_pylist() for c in ("t", "x", "y")), strict=True)):
+                if own != key or math.hypot(x - x0, y - y0) > radius:
+                    fired = fired and own == key
+                    key, t0, x0, y0 = own, t, x, y
+                elif not fired and t - t0 >= timeout:
+                    fired = True
+                    take.append(r)
+                    when.append(t)
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(take, pa.int64())) for c in batch.columns[:n]], pa.array(when, pa.float64())], names=[*by, "fire_at"])
+
+    return rows.mapInArrow(work, schema)

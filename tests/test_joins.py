@@ -1,6 +1,9 @@
+import hashlib
 import math
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +91,113 @@ def test_summary_of_a_perfect_detector(spark):
     assert r.ap == pytest.approx(1) and r.ap75 == pytest.approx(1) and r.ar1 == pytest.approx(0.5) and r.ar100 == pytest.approx(1)
 
 
+def summary_by_hand(pred, gt, side):
+    """The twelve numbers from the rules of the usual evaluation: ignored truths are matched last and count for nothing."""
+
+    def iou(a, b):
+        ax, ay, bx, by = a[0] - a[2] / 2, a[1] - a[3] / 2, b[0] - b[2] / 2, b[1] - b[3] / 2
+        i = max(0.0, min(ax + a[2], bx + b[2]) - max(ax, bx)) * max(0.0, min(ay + a[3], by + b[3]) - max(ay, by))
+        return i / (a[2] * a[3] + b[2] * b[3] - i)
+
+    out, classes = {}, sorted({g[2] for g in gt})
+    for size, (low, high) in metrics.SIZES.items():
+        odd = lambda b: not low <= b[2] * side * b[3] * side <= high
+        aps, recalls = [], {1: [], 10: [], 100: []}
+        for cls in classes:
+            n = sum(not odd(g[3:]) for g in gt if g[2] == cls)
+            if not n:
+                continue
+            for t in metrics.TEN:
+                marks = []
+                for img in {g[0] for g in gt} | {p[0] for p in pred}:
+                    truths = sorted([(odd(g[3:]), g[1], g[3:]) for g in gt if g[0] == img and g[2] == cls], key=lambda x: x[:2])
+                    free = set(range(len(truths)))
+                    for place, p in enumerate(sorted((p for p in pred if p[0] == img and p[2] == cls), key=lambda p: (-p[7], p[1]))[:100]):
+                        best = None
+                        for k, (ig, _, box) in enumerate(truths):
+                            o = iou(p[3:7], box)
+                            if k in free and o >= t and not (best is not None and not truths[best[1]][0] and ig) and (best is None or o >= best[0]):
+                                best = (o, k)
+                        if best is not None:
+                            free.remove(best[1])
+                        if not (truths[best[1]][0] if best is not None else odd(p[3:7])):
+                            marks.append((-p[7], img, p[1], best is not None, place))
+                marks.sort()
+                tp, curve = 0, []
+                for k, m in enumerate(marks, 1):
+                    tp += m[3]
+                    curve.append((tp / n, tp / k))
+                aps.append((t, sum(max((y for x, y in curve if x >= r / 100 - 1e-9), default=0.0) for r in range(101)) / 101))
+                for d in recalls:
+                    recalls[d].append(sum(m[3] and m[4] < d for m in marks) / n)
+        mean = lambda v: sum(v) / len(v) if v else -1.0
+        if size == "all":
+            out |= {"ap": mean([a for _, a in aps]), "ap50": mean([a for t, a in aps if t == 0.5]), "ap75": mean([a for t, a in aps if t == 0.75])} | {f"ar{d}": mean(v) for d, v in recalls.items()}
+        else:
+            out |= {f"ap_{size}": mean([a for _, a in aps]), f"ar_{size}": mean(recalls[100])}
+    return out
+
+
+@pytest.mark.parametrize("side", [60.0, 200.0, 400.0])
+def test_summary_by_size(spark, side):
+    rng = random.Random(int(side))
+    gt, pred = [], []
+    for img in range(6):
+        for k in range(rng.randrange(1, 9)):
+            gt.append((img, k, rng.randrange(3), rng.uniform(0.2, 0.8), rng.uniform(0.2, 0.8), rng.uniform(0.05, 0.5), rng.uniform(0.05, 0.5)))
+        own = [g for g in gt if g[0] == img]
+        for k in range(rng.randrange(14)):
+            g = rng.choice(own)
+            pred.append((img, k, g[2], *[v * rng.uniform(0.85, 1.15) for v in g[3:]], rng.randrange(10) / 10))
+    p = spark.createDataFrame(pred, "img int, pred_idx int, cls int, cx double, cy double, w double, h double, conf double")
+    g = spark.createDataFrame(gt, "img int, gt_idx int, cls int, cx double, cy double, w double, h double")
+    assert metrics.coco_summary(p, g, side).first().asDict() == pytest.approx(summary_by_hand(pred, gt, side))
+
+
+def test_bootstrap_draws_as_many_as_there_are(spark):
+    rows = [(k, k % 4, k % 3, (k * 7) % 5) for k in range(301)]
+    df = spark.createDataFrame(rows, "img int, tp int, fp int, fn int")
+    got = metrics.bootstrap(df, rounds=40, seed=3).first()
+    kinds, f1 = sorted((r[1], r[2], r[3]) for r in rows), []
+    for n in range(1, 41):
+        drawn = [kinds[int(hashlib.md5(f"3|{n}|{k // 2}".encode()).hexdigest()[16 * (k % 2) :][:13], 16) * 301 >> 52] for k in range(301)]
+        tp, fp, fn = (sum(c) for c in zip(*drawn, strict=True))
+        f1.append(2 * tp / (2 * tp + fp + fn))
+    assert got.mean == pytest.approx(sum(f1) / 40) and got.std == pytest.approx(np.std(f1)) and got.lo == pytest.approx(np.quantile(f1, 0.025)) and got.hi == pytest.approx(np.quantile(f1, 0.975))
+    split = metrics.bootstrap(df, rounds=400, exact=False).first()
+    assert split.mean == pytest.approx(got.mean, abs=0.01) and split.std == pytest.approx(got.std, rel=0.5)
+    once = metrics.bootstrap(df, rounds=40, faithful=True).first()
+    assert once.std < got.std and metrics.bootstrap(df.limit(0), rounds=5).first().mean == 0
+
+
+def test_nearest_bears_an_outlier(spark):
+    """20 000 points and one far away: the pairs looked at are about as many as without it."""
+    rng = random.Random(1)
+    points = [(n, rng.uniform(0, 1000), rng.uniform(0, 1000)) for n in range(20_000)]
+    queries = [(n, rng.uniform(0, 1000), rng.uniform(0, 1000)) for n in range(500)]
+    took = []
+    for far in ((500.0, 500.0), (1e7, 1e7), (1e7, 1e7)):
+        q, p = frames(spark, queries, [*points[:-1], (20_000, *far)])
+        began = time.time()
+        got = joins.nearest(q, p, 5).collect()
+        took.append(time.time() - began)
+        assert len(got) == 2500
+    assert min(took[1:]) < 3 * took[0] + 5
+    near = {(r.qid, r.pid) for r in got}
+    assert all({(n, i) for i, _ in own} <= near for n, own in brute(queries[:10], [*points[:-1], (20_000, 1e7, 1e7)], 5).items())
+
+
+def test_similar_tracks_equal_all_pairs(spark):
+    rng = random.Random(2)
+    rows = [(n, rng.uniform(-60, 60), rng.uniform(-60, 60)) for n in range(150)] + [(900, 0.0, 0.0), (901, -50.0, 0.0), (902, -50.0, -1e-9)]
+    t, m = spark.createDataFrame(rows[:100] + rows[-3:], "id int, vx double, vy double"), spark.createDataFrame(rows[60:], "id int, vx double, vy double")
+    for cosine, gap in ((0.85, 15.0), (-0.5, 4.0), (0.999, 100.0)):
+        size = lambda r: math.hypot(r[1], r[2])
+        like = lambda a, b, c=cosine, g=gap: a[0] != b[0] and size(a) > 0 and size(b) > 0 and abs(size(a) - size(b)) < g and (a[1] * b[1] + a[2] * b[2]) / (size(a) * size(b)) > c
+        want = {a[0] for a in rows[:100] + rows[-3:] if any(like(a, b) for b in rows[60:])}
+        assert {r.id for r in joins.similar_tracks(t, m, cosine, gap).collect()} == want
+
+
 def test_yaml_names(spark):
     texts = ["names: [a, 'b c']", 'nc: 2\nnames:\n- x\n- "y"\n', "names:\n  0: x\n  1: y z\nval: v", "train: a", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
