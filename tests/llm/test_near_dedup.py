@@ -41,9 +41,11 @@ def group(rng, n, size, edits):
         yield " ".join(w)
 
 
-@pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
-def test_equals_brute_force(spark, words, percent, monkeypatch):
-    monkeypatch.setattr(N, "BLOCK", 16)  # so that buckets are cut into several blocks
+@pytest.mark.parametrize(("words", "percent", "few"), [(3, 85, 32), (5, 80, 2)])
+def test_equals_brute_force(spark, words, percent, few, monkeypatch):
+    """Also where most shingles that members meet by have too many holders to list pairs, cut into several blocks."""
+    monkeypatch.setattr(N, "FEW", few)
+    monkeypatch.setattr(N, "BLOCK", 4 if few == 2 else 16)
     rng = random.Random(9)
     texts = [*group(rng, 60, 150, 14), *group(rng, 40, 40, 3), *group(rng, 20, 300, 25), "a b", "a b", "A  b", "a", "", None, "\x0b"]
     texts += [" ".join(f"u{rng.randrange(10**6)}" for _ in range(30)) + " shared line of words that many have in common" for _ in range(40)]
@@ -54,6 +56,33 @@ def test_equals_brute_force(spark, words, percent, monkeypatch):
     assert got == brute(rows, words, percent)
 
 
+def test_prefixes_of_linked_sets_meet():
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 9, N.SLOTS)
+    for percent in (80, 85, 100):
+        for _ in range(300):
+            n = int(rng.integers(1, 60))
+            x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.93], rng.integers(0, 2**63, int(rng.integers(0, 6)), dtype=np.uint64)]))
+            if len(y) and N.linked(x, y, percent):
+                assert len(np.intersect1d(N.prefix(x, counts, percent), N.prefix(y, counts, percent)))
+
+
+def test_half_alike_documents_do_not_meet(spark):
+    """A template of 60 words with 60 words of its own in each of 400 documents, and some near copies: the first share
+    many buckets, but none of their rarest shingles, so hardly any pair is looked at."""
+    rng = random.Random(11)
+    stock = [f"s{k}" for k in range(60)]
+    texts = [" ".join(stock + [f"o{rng.randrange(10**7)}" for _ in range(60)]) for _ in range(400)]
+    texts += [t + " more" for t in texts[:30]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(df, 5, 80).collect()}
+    assert got == {d: (len(sets(t, 5)), d - 400 if d >= 400 else d) for d, t in enumerate(texts)}
+    own = spark.createDataFrame([(k, k, bytearray(N.Shingler(5)(t).tobytes())) for k, t in enumerate(texts[:400])], "rep long, comp long, set binary")
+    counts = spark.sparkContext.broadcast(N.slot_counts(own))
+    assert N.prefixes(own, counts, 80).groupBy("key").count().filter("count > 1").count() < 20
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_repeated_ids_link_through_each_of_their_texts(spark, parts):
     """Brute force on repeated ids: each row has its own set; rows of one id are in one component."""
