@@ -54,9 +54,11 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     texts under one id, those stay whose id names their group."""
     found = near_dedup.near_duplicates(docs, words=5, percent=80).filter("kept")
     found = found.groupBy(F.col("doc_id").alias("__k_id"), F.col("th").alias("__k_th")).agg(F.count("*").alias("__k_n"))
-    rows = docs.withColumn("__k_text", F.hash("text")).join(found, F.col("doc_id").eqNullSafe(F.col("__k_id")) & (F.col("__k_text") == F.col("__k_th")))
-    once = rows.filter("__k_n = 1 or doc_id is null").select(*docs.columns)
-    again = rows.filter("__k_n > 1 and doc_id is not null").dropDuplicates(["doc_id", "__k_text"]).select(*docs.columns)
+    found = stored(found)
+    on = [F.col("doc_id").eqNullSafe(F.col("__k_id")), F.xxhash64("text") == F.col("__k_th")]
+    single = (F.col("__k_n") == 1) | F.col("__k_id").isNull()
+    once = docs.join(found.filter(single), on, "left_semi")
+    again = docs.withColumn("__k_text", F.xxhash64("text")).join(found.filter(~single), on).dropDuplicates(["doc_id", "__k_text"]).select(*docs.columns)
     return once.unionByName(again)
 
 
