@@ -82,9 +82,28 @@ def hash_split(rows: DataFrame, id_col: str, shares: Sequence[tuple[str, float]]
     return numbered(ranked, ["__all"], ["__h", id_col], "__nth").withColumn("split", split).drop("__h", "__nth", "__all")
 
 
+def _lot(id_col: str, seed: int) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
+
+
 def sample_n(rows: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """n rows without replacement, by hash: a bounded heap in each task, no shuffle of all rows."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(n)
+    return rows.orderBy(_lot(id_col, seed), id_col).limit(n)
+
+
+def sample_each(rows: DataFrame, by: Sequence[str], id_col: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows of each group without replacement, by hash. A group's first rows are found within parts of it before they meet,
+    so a large group is no burden."""
+    lot, part = F.struct(_lot(id_col, seed), F.col(id_col)), F.pmod(F.xxhash64(id_col), F.lit(64))
+    own = rows.withColumn("__lot", lot).withColumn("__part", part)
+    for keys in ((*by, "__part"), by):
+        own = own.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy("__lot"))).filter(F.col("__n") <= n)
+    return own.drop("__lot", "__part", "__n")
+
+
+def new_texts(new: DataFrame, known: DataFrame, text: str, order: str) -> DataFrame:
+    """Rows of `new` whose exact text is not in `known`, the first of each text; null texts are none."""
+    return first_wins(new.filter(F.col(text).isNotNull()), text, (order,)).join(known.select(text), text, "left_anti")
 
 
 def replay_size(n_new: Column | int, share: float) -> Column:

@@ -102,3 +102,11 @@ def latest_family(models: DataFrame, name: str = "name") -> DataFrame:
 def distinct_first(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Distinct keys with the place of their first row."""
     return rows.groupBy(key).agg(F.min(order).alias("first_at"))
+
+
+def tool_usage(log: DataFrame, meta: Sequence[str] = ()) -> DataFrame:
+    """Per tool of a log (tool, seconds): calls, seconds, and its share of all calls but those of meta tools (null for them)."""
+    per = log.groupBy("tool").agg(F.count("*").alias("calls"), F.sum("seconds").alias("seconds"))
+    counts = ~F.col("tool").isin(*meta) if meta else F.lit(True)
+    whole = per.agg(F.sum(F.when(counts, F.col("calls"))).alias("__all"))
+    return per.crossJoin(F.broadcast(whole)).select("tool", "calls", "seconds", F.when(counts, F.col("calls") / F.col("__all")).alias("share"))  # one row

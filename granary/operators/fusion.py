@@ -55,6 +55,11 @@ def fuse(first: DataFrame, second: DataFrame, strategy: str, match_iou: float =
     return weighted.unionByName(extra)
 
 
+def source_counts(fused: DataFrame) -> DataFrame:
+    """How many boxes of a fusion came from each detector: src, n."""
+    return fused.groupBy("src").agg(F.count("*").alias("n"))
+
+
 def fuse_two_stage(first: DataFrame, broad: DataFrame, precise: DataFrame, match_iou: float = 0.3, filter_iou: float = 0.2) -> DataFrame:
     """Supplement with a broad detector, then keep what a precise one confirms."""
     from pyspark.sql import Window as W

@@ -37,6 +37,33 @@ def evaluate(matches: DataFrame, gt: DataFrame, faithful_empty: bool = False) ->
     return rows.select("threshold", "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
+def evaluate_or_zero(matches: DataFrame, gt: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """`evaluate`, with a row where there are no matches: without predictions or without true boxes all is 0 but fn, the
+    number of true boxes; false positives are not counted then."""
+    total = gt.agg(F.count("*").alias("n_gt"))
+    counts = matches.filter(F.col("threshold") == threshold).agg(F.count("gt_idx").alias("tp"), F.count_if(F.col("gt_idx").isNull()).alias("fp"))
+    rows = counts.crossJoin(F.broadcast(total))  # one row each
+    fp = F.when(F.col("n_gt") > 0, F.col("fp")).otherwise(F.lit(0))
+    rows = rows.select(F.lit(float(threshold)).alias("threshold"), "tp", fp.alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn"))
+    return rows.select("*", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
+
+
+def collapsed(boxes: DataFrame, negative: Sequence[int] = ()) -> DataFrame:
+    """Boxes of one class, 0; those of negative classes are left out before."""
+    rows = boxes.filter(~F.col("cls").isin(*negative)) if negative else boxes
+    return rows.withColumn("cls", F.lit(0))
+
+
+def confident(boxes: DataFrame, least: float) -> DataFrame:
+    return boxes.filter(F.col("conf") >= least)
+
+
+def class_counts(boxes: DataFrame, names: DataFrame) -> DataFrame:
+    """Per class of `names` (cls, name): boxes and images, 0 where there are none. Boxes of other classes are left out."""
+    per = boxes.groupBy("cls").agg(F.count("*").alias("boxes"), F.count_distinct("img").alias("images"))
+    return names.join(per, "cls", "left").select("cls", "name", F.coalesce("boxes", F.lit(0)).alias("boxes"), F.coalesce("images", F.lit(0)).alias("images"))
+
+
 def evaluate_by_class(matches: DataFrame, gt: DataFrame, keys: Sequence[str] = ("img",)) -> DataFrame:
     """Overall (cls null) and per true class: n_gt, tp, fn, recall. A hit counts for the class of the box that was found,
     whatever class was predicted."""

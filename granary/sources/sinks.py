@@ -25,7 +25,7 @@ def write_yolo(boxes: DataFrame, path: str, images: DataFrame | None = None) ->
 
 
 def write_texts(rows: DataFrame, path: str, suffix: str) -> None:
-    """One file <img><suffix> for each row (img, text). Tasks write the files of their own rows; a task that runs again
+    """One file <img><suffix> for each row (img, which may name folders, and text). Tasks write the files of their own rows; a task that runs again
     writes the same files once more."""
 
     def work(part: Iterator) -> None:
@@ -33,7 +33,12 @@ def write_texts(rows: DataFrame, path: str, suffix: str) -> None:
 
         system, root = fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
         system.create_dir(root, recursive=True)
+        made = {""}
         for row in part:
+            folder = row["img"].rpartition("/")[0]
+            if folder not in made:
+                system.create_dir(f"{root.rstrip('/')}/{folder}", recursive=True)
+                made.add(folder)
             with system.open_output_stream(f"{root.rstrip('/')}/{row['img']}{suffix}") as out:
                 out.write(row["text"].encode())
 
