@@ -73,13 +73,14 @@ def evaluate_by_class(matches: DataFrame, gt: DataFrame, keys: Sequence[str] = (
     return out.select("cls", "n_gt", "tp", (F.col("n_gt") - F.col("tp")).alias("fn"), ratio(F.col("tp"), F.col("n_gt")).alias("recall"))
 
 
-def pr_curve(matches: DataFrame, n_gt: DataFrame, keys: Sequence[str] = (), ordinal: Sequence[str] = ("img", "pred_idx")) -> DataFrame:
+def pr_curve(matches: DataFrame, n_gt: DataFrame, keys: Sequence[str] = (), ordinal: Sequence[str] = ("img", "pred_idx"), written: bool = False) -> DataFrame:
     """Running precision and recall along the ranking by confidence, ties by `ordinal`.
 
     The ranking is global. It is cut into runs of one confidence (with `keys`), whose sums are cumulated over the few
     distinct confidences; inside a run rows are numbered by themselves. So no window sees all rows: the largest
-    partition is the largest set of predictions that tie.
+    partition is the largest set of predictions that tie. Matches are written once for both (written: they are already).
     """
+    matches = matches if written else stored(matches)
     runs = matches.groupBy(*keys, "conf").agg(F.count("*").alias("rows"), F.count("gt_idx").alias("hits"))
     before = W.partitionBy(*keys).orderBy(F.desc("conf")).rowsBetween(W.unboundedPreceding, -1)
     runs = runs.select(*keys, "conf", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("hits").over(before), F.lit(0)).alias("hits_before"))
@@ -262,7 +263,7 @@ def coco_summary(pred: DataFrame, gt: DataFrame, side: float = 640.0) -> DataFra
     n = truth.filter("not ignored").groupBy("cls", "size").agg(F.count("*").alias("n_gt"))
     keys = ("threshold", "cls", "size")
     classes = n.withColumn("threshold", F.explode(F.array(*map(F.lit, TEN))))
-    ap = ap_points(pr_curve(counted, classes, keys=keys), 101, keys=keys)
+    ap = ap_points(pr_curve(counted, classes, keys=keys, written=True), 101, keys=keys)
     found = counted.filter("gt_idx is not null").groupBy(*keys).agg(*[F.count_if(F.col("place") <= d).alias(f"hit{d}") for d in DEPTHS])
     rows = classes.join(ap, list(keys), "left").join(found, list(keys), "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
     mean = lambda what, size, extra=F.lit(True): F.coalesce(F.avg(F.when((F.col("size") == size) & extra, what)), F.lit(-1.0))

@@ -76,11 +76,12 @@ def result_tree(spark, d):
 
 @query("with s as (select 's' || s_suppkey as slug, case when s_suppkey % 3 = 0 then 'downloaded' else 'candidate' end as status, s_suppkey % 50 as images from supplier), f as (select 's' || s_suppkey as slug, 'downloaded' as status, s_suppkey % 7 as local_images from supplier where s_suppkey % 4 = 0 union all select 'x' || s_suppkey, 'downloaded', 1 from supplier where s_suppkey % 9 = 0) select coalesce(s.slug, f.slug) as slug, coalesce(f.status, s.status) as status, s.images::bigint as images, f.local_images::bigint as local_images from s full join f using (slug)")
 def registry_merge(spark, d):
-    """A registry file read, entries found on disk merged in, a snapshot written and read back."""
+    """Registry files of up to 100 entries read, entries found on disk merged in, a snapshot written and read back."""
     s, k = table(spark, d, "supplier"), F.col("s_suppkey")
     entry = F.struct(F.when(k % 3 == 0, "downloaded").otherwise("candidate").alias("status"), (k % 50).alias("images"))
     path = fresh(spark, "registry")
-    s.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("s"), k), entry))).alias("datasets"))).alias("value")).coalesce(1).write.text(path)
+    doc = F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("s"), k), entry))).alias("datasets")))
+    sinks.write_texts(s.groupBy(F.floor(k / 100).alias("n")).agg(doc.alias("text")).select(F.col("n").cast("string").alias("img"), "text"), path, ".json")
     found = s.filter(k % 4 == 0).select(F.concat(F.lit("s"), k).alias("slug"), F.lit("downloaded").alias("status"), (k % 7).cast("long").alias("local_images"))
     found = found.unionByName(s.filter(k % 9 == 0).select(F.concat(F.lit("x"), k).alias("slug"), F.lit("downloaded").alias("status"), F.lit(1).cast("long").alias("local_images")))
     at = registry.snapshot(registry.merged(registry.read(spark, path), found), fresh(spark, "snapshots"), 1)
@@ -99,12 +100,12 @@ def last_metrics(spark, d):
 
 @query("select (s_suppkey % 640)::double as camera_x, (s_suppkey % 480)::double as camera_y, (s_suppkey * 7 % 4096)::int as laser_x, (s_suppkey * 11 % 4096)::int as laser_y from supplier")
 def calibration_points(spark, d):
-    """Both layouts of calibration files, by nation."""
+    """Both layouts of calibration files, of up to 100 points."""
     path, k = fresh(spark, "calibration"), F.col("s_suppkey")
     point = F.struct((k % 640).cast("double").alias("camera_x"), (k % 480).cast("double").alias("camera_y"), (k * 7 % 4096).alias("laser_x"), (k * 11 % 4096).alias("laser_y"))
-    rows = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.collect_list(point).alias("p"))
-    doc = F.when(F.col("s_nationkey") % 2 == 0, F.to_json(F.struct(F.col("p").alias("points")))).otherwise(F.to_json(F.struct(F.col("p").alias("calibration_points"))))
-    sinks.write_texts(rows.select(F.col("s_nationkey").cast("string").alias("img"), doc.alias("text")), path, ".json")
+    rows = table(spark, d, "supplier").groupBy(F.floor(k / 100).alias("n")).agg(F.collect_list(point).alias("p"))
+    doc = F.when(F.col("n") % 2 == 0, F.to_json(F.struct(F.col("p").alias("points")))).otherwise(F.to_json(F.struct(F.col("p").alias("calibration_points"))))
+    sinks.write_texts(rows.select(F.col("n").cast("string").alias("img"), doc.alias("text")), path, ".json")
     return registry.calibration(spark, path)
 
 
