@@ -101,17 +101,17 @@ def matrix(symbols: tuple[Symbol, ...]) -> dict[tuple[int, int], Weight]:
     return {(i, j): w for i in range(len(GRAMMAR)) for j, w in shortest(symbols, i).items()}
 
 
-def follow(labels: str, state: int, roles: list[str], texts: list[str]) -> tuple[list[str], int]:
-    """The turns `role:text` that the edits leave, and the grammar state after them. A new role is the one that the
-    grammar takes: in each state it takes one of user and assistant."""
+def follow(labels: str, state: int, roles: list[str], texts: list[str]) -> tuple[list[tuple[str, str]], int]:
+    """The turns (role, text) that the edits leave, and the grammar state after them. A new role is the one that the grammar
+    takes: in each state it takes one of user and assistant."""
     out, at = [], 0
     for label in labels:
         if label == "K":
-            out.append(f"{roles[at]}:{texts[at]}")
+            out.append((roles[at], texts[at]))
             state = GRAMMAR[state][roles[at][:1]]
         elif label in "RI":
             role = next(r for r in GRAMMAR[state] if r in ROLES)
-            out.append(f"{ROLES[role]}:{texts[at] if label == 'R' else ''}")
+            out.append((ROLES[role], texts[at] if label == "R" else ""))
             state = GRAMMAR[state][role]
         at += label != "I"
     return out, state
@@ -242,31 +242,31 @@ def chosen(blocks: DataFrame) -> DataFrame:
 
 
 def pieces(blocks: DataFrame) -> DataFrame:
-    """What a block's chosen path leaves of its turns: `piece` (newline-joined `role:text`), `left` (their number) and the path's labels."""
+    """What a block's chosen path leaves of its turns: `kept` (an array of role and text), the path's labels and cost."""
     columns = [c for c in blocks.columns if c not in ("roles", "texts", "ways", "way")]
+    turn = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 100):
-            left, joined, labels, cost = [], [], [], []
+            kept, labels, cost = [], [], []
             for roles, texts, ways, way in zip(*(batch.column(c).to_pylist() for c in ("roles", "texts", "ways", "way")), strict=True):
-                kept, _ = follow(ways[way]["labels"], ways[way]["i"], roles, texts)
-                left.append(len(kept))
-                joined.append("\n".join(kept))
+                own, _ = follow(ways[way]["labels"], ways[way]["i"], roles, texts)
+                kept.append([{"role": r, "text": t} for r, t in own])
                 labels.append(ways[way]["labels"])
                 cost.append(ways[way]["cost"])
-            cols = [batch.column(c) for c in columns] + [pa.array(left, pa.int64()), pa.array(joined, pa.string()), pa.array(labels, pa.string()), pa.array(cost, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*columns, "left", "piece", "labels", "cost"])
+            cols = [batch.column(c) for c in columns] + [pa.array(kept, turn), pa.array(labels, pa.string()), pa.array(cost, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*columns, "kept", "labels", "cost"])
 
-    more = "left long, piece string, labels string, cost long"
     ddl = ", ".join(f"{c} {blocks.schema[c].dataType.simpleString()}" for c in columns)
-    return blocks.mapInArrow(work, f"{ddl}, {more}")
+    return blocks.mapInArrow(work, f"{ddl}, kept array<struct<role:string,text:string>>, labels string, cost long")
 
 
 RESULT = "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
 
 
-def joined(parts: DataFrame) -> DataFrame:
-    """RESULT of pieces that come sorted by conversation and block; a conversation is hashed piece by piece."""
+def summary(parts: DataFrame) -> DataFrame:
+    """RESULT of what `repair` gives. A conversation's pieces come to one task in order and are hashed one by one."""
+    parts = parts.repartition(shuffle_partitions(parts.sparkSession), "conv_id").sortWithinPartitions("conv_id", "block")
     schema = arrow_of(RESULT)
 
     class Conversation:
@@ -283,9 +283,9 @@ def joined(parts: DataFrame) -> DataFrame:
                 self.row["illegal"] += 1
             self.tail = r["tail"]
             self.audit.append(r["labels"])
-            if r["left"]:
-                self.hash.update((("\n" if self.left else "") + r["piece"]).encode("utf-8", "surrogatepass"))
-                self.left += r["left"]
+            for turn in r["kept"]:
+                self.hash.update(f"{chr(10) * self.left}{turn['role']}:{turn['text']}".encode("utf-8", "surrogatepass"))
+                self.left = 1
             if r["turns"]:
                 self.turns += r["turns"] - (self.turn == r["first_turn"])
                 self.turn = r["last_turn"]
@@ -330,8 +330,8 @@ def with_faults(rows: DataFrame) -> DataFrame:
 
 
 def repair(rows: DataFrame) -> DataFrame:
-    """The cheapest repair of each conversation of `rows` (conv_id, turn, role, text, n: how many equal rows there are):
-    conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256.
+    """The cheapest repair of each conversation of `rows` (conv_id, turn, role, text, n: how many equal rows there are), in
+    pieces of a block of turns each: conv_id, block (in order), kept (the repaired turns), labels and cost of its edits, and counts.
 
     Turns go by turn (nulls first), then role, then text; equal rows are adjacent and repeat each other. A null conv_id is
     a conversation. Roles of any kind may occur: those that begin with neither s, u nor a can't be kept. A conversation
@@ -341,15 +341,19 @@ def repair(rows: DataFrame) -> DataFrame:
     parts = shuffle_partitions(rows.sparkSession)
     order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")]
     blocks = stored(cut(with_faults(rows).repartitionByRange(parts, *order).sortWithinPartitions(*order)))
-    ways = stored(chosen(blocks))
-    kept = pieces(blocks.join(ways, "block"))
-    return joined(kept.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "block"))
+    return pieces(blocks.join(stored(chosen(blocks)), "block"))
+
+
+def repaired_turns(parts: DataFrame) -> DataFrame:
+    """The turns of what `repair` gives: conv_id, block and place (their order), role, text."""
+    rows = parts.select("conv_id", "block", F.posexplode("kept").alias("place", "t"))
+    return rows.select("conv_id", "block", "place", "t.role", "t.text")
 
 
 def damaged_and_repaired(conversations: DataFrame) -> DataFrame:
     """Every conv_id of `conversations` with the repair of its rows after damage; zeros, an empty audit and the empty
     string's hash if no row is left. An id may be null; nulls elsewhere are as `damaged` says."""
-    found = repair(damaged(conversations)).withColumnRenamed("conv_id", "__c")
+    found = summary(repair(damaged(conversations))).withColumnRenamed("conv_id", "__c")
     ids = conversations.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
     rows = ids.join(found, F.col("conv_id").eqNullSafe(F.col("__c")), "left").drop("__c")
     numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", *COUNTS, "cost")]

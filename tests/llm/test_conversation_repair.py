@@ -138,14 +138,17 @@ def test_a_hot_conversation_lies_in_many_blocks(spark):
     rows = [(7, k, rng.choice(["user", "assistant", "system"]), rng.choice([f"text {k}.", f"cut {k}"])) for k in range(3000)]
     rows += [(7, 3000, "user", "again.")] * 1000 + [(8, 0, "user", "q?"), (8, 1, "assistant", "a.")]
     df = spark.createDataFrame(rows, ROWS).repartition(6)
-    got = result(R.repair(df.withColumn("n", R.F.lit(1).cast("long"))))
+    parts = R.repair(df.withColumn("n", R.F.lit(1).cast("long")))
+    got = result(R.summary(parts))
     turns = [(r, t) for c, _, r, t in rows if c == 7]
     kinds = faults(turns)
     symbols = tuple((r[:1], k in ("blank", "duplicate"), k == "truncated") for (r, _), k in zip(turns, kinds, strict=True))
     cost, audit = min(w for j, w in R.shortest(symbols, R.START).items() if j in R.FINAL)
     kept, _ = R.follow(audit, R.START, [r for r, _ in turns], [t for _, t in turns])
     illegal = sum(a[0][:1] + b[0][:1] not in R.LEGAL for a, b in itertools.pairwise(turns))
-    want = (0, 0, 999, kinds.count("truncated"), illegal, cost, audit, hashlib.sha256("\n".join(kept).encode()).hexdigest())
+    want = (0, 0, 999, kinds.count("truncated"), illegal, cost, audit, hashlib.sha256("\n".join(f"{r}:{t}" for r, t in kept).encode()).hexdigest())
+    said = [(r.role, r.text) for r in R.repaired_turns(parts).filter("conv_id = 7").orderBy("block", "place").collect()]
+    assert said == kept and parts.filter("conv_id = 7").count() > 10
     assert got[7] == want and got[8] == (0, 0, 0, 0, 0, 0, "KK", hashlib.sha256(b"user:q?\nassistant:a.").hexdigest())
 
 
