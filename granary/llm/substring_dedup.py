@@ -96,9 +96,12 @@ class Words:
         self.lines = lines[self.starts[1:] - 1] - lines[last]
         ends, clauses = ((kind & flag) > 0 for flag in (ENDS, CLAUSES))
         closes = (kind & CLOSES) > 0
-        # Marks reach over closing quotes and brackets: a closing one is what the last other character is.
-        own = np.maximum.accumulate(np.where(closes & ~ends, -1, np.arange(len(cps))))
-        ends = (own >= 0) & ends[np.maximum(own, 0)]
+        # Marks reach over closing quotes and brackets: a row of these is an end if what it follows is one.
+        row = np.flatnonzero(closes & ~ends)
+        if len(row):
+            new = np.append(True, np.diff(row) > 1)
+            first = row[new]
+            ends[row] = ((first > 0) & ends[first - 1])[np.cumsum(new) - 1]
         together = spread(self.hashes[:-1] * np.uint64(3) + self.hashes[1:]) % np.uint64(PLACES) == 0
         self.cuts = ends[last] | clauses[last] | together
         size = len(self.hashes)

@@ -1,5 +1,6 @@
 import random
 import textwrap
+import time
 
 from granary.llm import substring_dedup as S
 
@@ -158,3 +159,13 @@ def test_a_sentence_of_forty_words(spark):
     rng = random.Random(14)
     left = shared_inside(spark, ("One start. ", ". One end."), ("Another start. ", ". Another end."), plain(rng, 45))
     assert left == "Another start. Another end."
+
+
+def test_a_mark_reaches_over_many_closing_quotes_in_linear_time():
+    took = []
+    for n in (20_000, 320_000):
+        began = time.time()
+        words = S.Words("one ab." + '"' * n + " cd" + ")" * n + " ef")
+        took.append(time.time() - began)
+        assert words.cuts.tolist()[1] and len(words.starts) == 4
+    assert took[1] < 40 * took[0] + 1
