@@ -33,7 +33,7 @@ BREAKS, UPPER, LOWER = b".,;:!?\n\x0b\x0c\r", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"a
 #: On UTF-8, where none of these is part of another character: breaks become line feeds, tabs spaces.
 TABLE = bytes.maketrans(BREAKS + UPPER + b"\t", b"\n" * len(BREAKS) + LOWER + b" ")
 #: Words told apart in a worker before its memory is cleared, and bytes that are read at once.
-KNOWN, BYTES = 400_000, 4_000_000
+KNOWN, BYTES = 150_000, 2_000_000
 
 
 class Numbers(dict):
