@@ -20,7 +20,7 @@ __all__ = ["ORACLE", "QUERIES"]
 
 
 @query(f"with recursive {BOX_SQL}, p as (select img, idx as pred_idx, 0 as cls, conf, cx, cy, w, h from box where role = 0 and cls < 8 and conf >= 0.7), g as (select img, idx as gt_idx, 0 as cls, cx, cy, w, h from box where role = 1 and cls < 8), {greedy_sql('m', 'p', 'g', 0.5, 'conf desc, pred_idx', 'img, cls')}, c as (select count(gt_idx) as tp, count(*) - count(gt_idx) as fp, (select count(*) from g) - count(gt_idx) as fn from m), r as (select *, {PRF} from c) select 0.5::double as threshold, *, {F1} from r")
-def eval_weeds_binary(spark, d):
+def eval_binary_confident(spark, d):
     """All classes but the negative ones as one, confident predictions alone."""
     p, g = (metrics.collapsed(x, negative=(8, 9, 10, 11)) for x in both(spark, d))
     return metrics.evaluate(matching.greedy_match(metrics.confident(p, 0.7), g, keys=("img", "cls")), g)
