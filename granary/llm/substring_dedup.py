@@ -53,6 +53,10 @@ def spread(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Hashes of characters, 0 for white space.
+LETTER = np.where(KIND & WHITE, np.uint64(0), spread(np.arange(1, 0x10001, dtype=np.uint64)))
+
+
 class Powers:
     """Powers of a number, as many as were asked for so far."""
 
@@ -76,8 +80,11 @@ class Words:
         if len(low) != len(text):  # a few letters are longer in lower case
             low = "".join(c.lower()[0] for c in text)
         cps = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
-        kind = KIND[np.minimum(cps, 0xFFFF)]
-        kind[cps >= 0x20000] |= WORDS_OF_ONE
+        plain = np.minimum(cps, 0xFFFF)
+        kind, letter = KIND[plain], LETTER[plain]
+        if len(cps) and cps.max() > 0xFFFF:
+            kind[cps >= 0x20000] |= WORDS_OF_ONE
+            letter[cps > 0xFFFF] = spread(cps[cps > 0xFFFF].astype(np.uint64) + np.uint64(1))
         white, bare = (kind & WHITE) > 0, (kind & WORDS_OF_ONE) > 0
         begins = ~white
         begins[1:] &= white[:-1] | bare[1:] | bare[:-1]
@@ -88,11 +95,10 @@ class Words:
             end = self.starts[a + 100_000] if a + 100_000 < len(self.starts) else len(cps)
             part = slice(first[0], end)
             place = np.arange(first[0], end) - np.repeat(first, np.diff(np.append(first, end)))
-            letters = np.where(white[part], np.uint64(0), spread(cps[part].astype(np.uint64) + np.uint64(1)))
-            self.hashes[a : a + 100_000] = spread(np.add.reduceat(letters * UP(int(place.max()) + 1)[place], first - first[0]))
+            self.hashes[a : a + 100_000] = spread(np.add.reduceat(letter[part] * UP(int(place.max()) + 1)[place], first - first[0]))
         # Before each word but the first: the last character that is not white space, and the line ends since.
-        last = np.maximum.accumulate(np.where(white, 0, np.arange(len(cps))))[self.starts[1:] - 1]
-        lines = np.cumsum(cps == 10)
+        last = np.maximum.accumulate(np.where(white, 0, np.arange(len(cps), dtype=np.int32)))[self.starts[1:] - 1]
+        lines = np.cumsum(cps == 10, dtype=np.int32)
         self.lines = lines[self.starts[1:] - 1] - lines[last]
         ends, clauses = ((kind & flag) > 0 for flag in (ENDS, CLAUSES))
         closes = (kind & CLOSES) > 0
