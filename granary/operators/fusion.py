@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.operators.matching import BOX, greedy_match, iou_pairs, star_cluster
+from granary.operators.matching import BOX, any_met, chosen, iou_pairs, meetings, ordered, star_cluster
 
 
 def as_pred(boxes: DataFrame) -> DataFrame:
@@ -21,12 +21,6 @@ def as_gt(boxes: DataFrame) -> DataFrame:
     return boxes.withColumnRenamed("box_idx", "gt_idx")
 
 
-def pair_up(first: DataFrame, second: DataFrame, match_iou: float) -> DataFrame:
-    """Greedy one-to-one pairs in the first detector's file order: img, box_idx, other_idx (null if none)."""
-    got = greedy_match(as_pred(first), as_gt(second), (match_iou,), by_confidence=False)
-    return got.select("img", F.col("pred_idx").alias("box_idx"), F.col("gt_idx").alias("other_idx"))
-
-
 def fuse(first: DataFrame, second: DataFrame, strategy: str, match_iou: float = 0.3, second_conf: float = 0.0) -> DataFrame:
     """supplement: all of the first, and unmatched boxes of the second with at least second_conf.
     filter: boxes of the first that the second confirms.
@@ -35,24 +29,38 @@ def fuse(first: DataFrame, second: DataFrame, strategy: str, match_iou: float =
     give nothing.
     Returns img, src (first or second), box_idx, cls, the box and conf.
     """
-    cols = ["cls", *BOX]
-    pairs = pair_up(first, second, match_iou)
-    mine = first.join(pairs, ["img", "box_idx"])
-    own = mine.select("img", F.lit("first").alias("src"), "box_idx", *cols, "conf", "other_idx")
-    if strategy == "filter":
-        return own.filter("other_idx is not null").drop("other_idx")
-    taken = pairs.filter("other_idx is not null").select("img", F.col("other_idx").alias("box_idx"))
-    rest = second.join(taken, ["img", "box_idx"], "left_anti").filter(F.col("conf") >= second_conf)
-    extra = rest.select("img", F.lit("second").alias("src"), "box_idx", *cols, "conf")
-    if strategy == "supplement":
-        return own.drop("other_idx").unionByName(extra)
-    if strategy != "weighted":
+    if strategy not in ("supplement", "filter", "weighted"):
         raise ValueError(f"unknown strategy {strategy}")
-    both = own.join(second.select("img").distinct().withColumn("__has", F.lit(True)), "img", "left")
-    conf = F.when(F.col("__has").isNull(), F.col("conf")).when(F.col("other_idx").isNotNull(), F.least(F.lit(1.0), 0.7 * F.col("conf") + 0.3)).otherwise(0.9 * F.col("conf"))
-    weighted = both.select("img", "src", "box_idx", *cols, conf.alias("conf"))
-    extra = extra.join(first.select("img").distinct(), "img", "left_semi").withColumn("conf", 0.5 * F.col("conf"))
-    return weighted.unionByName(extra)
+    return _fused(first, second, strategy, match_iou, second_conf)
+
+
+def _fused(first: DataFrame, second: DataFrame, strategy: str, match_iou: float, second_conf: float, carry: Sequence[str] = ()) -> DataFrame:
+    """`fuse`, with columns of the first to carry (strategy filter). Greedy one-to-one pairs in the first detector's file
+    order; an image is one row throughout, so neither side is joined by single boxes."""
+    cols, more = ["cls", *BOX, "conf"], list(carry)
+    met = meetings(as_pred(first), as_gt(second), match_iou, by_confidence=False, carry=[*cols, *more], gt_carry=cols, how="left" if strategy == "filter" else "full")
+    wanted = lambda p: F.struct(p["pred_idx"].alias("pred_idx"), *[p[f"p_{c}"].alias(c) for c in (*cols, *more)], ordered(p).alias("cands"))
+    met = met.select("img", F.transform("preds", wanted).alias("preds"), "gts")
+    gid, idx = second.schema["box_idx"].dataType.simpleString(), first.schema["box_idx"].dataType.simpleString()
+    kinds = "".join(f",{c}:{first.schema[c].dataType.simpleString()}" for c in (*cols, *more))
+    row = lambda p, got: F.struct(p["pred_idx"].alias("box_idx"), *[p[c].alias(c) for c in (*cols, *more)], got.alias("other_idx"))
+    none = F.transform("preds", lambda p: row(p, F.lit(None).cast(gid)))
+    pairs = F.when(any_met(F.col("preds")), chosen(F.col("preds"), match_iou, gid, lambda p, got: row(p, got["gt_idx"]), f"array<struct<box_idx:{idx}{kinds},other_idx:{gid}>>")).otherwise(none)
+    met = met.select("img", pairs.alias("pairs"), "gts")
+    hit = lambda p: p["other_idx"].isNotNull()
+    if strategy == "filter":
+        rows = met.select("img", F.explode(F.filter("pairs", hit)).alias("p"))
+        return rows.select("img", F.lit("first").alias("src"), "p.box_idx", *[F.col(f"p.{c}").alias(c) for c in (*cols, *more)])
+    taken = F.transform("pairs", lambda p: p["other_idx"])
+    rest = F.filter("gts", lambda g: (g["g_conf"] >= second_conf) & ~F.coalesce(F.array_contains(taken, g["gt_idx"]), F.lit(False)))
+    own_conf, rest_conf = lambda p: p["conf"], lambda g: g["g_conf"]
+    if strategy == "weighted":
+        own_conf = lambda p: F.when(F.col("gts").isNull(), p["conf"]).when(hit(p), F.least(F.lit(1.0), 0.7 * p["conf"] + 0.3)).otherwise(0.9 * p["conf"])
+        rest, rest_conf = F.when(F.col("pairs").isNotNull(), rest), lambda g: 0.5 * g["g_conf"]
+    out = lambda src, i, b, conf, at="": F.struct(F.lit(src).alias("src"), i.alias("box_idx"), *[b[f"{at}{c}"].alias(c) for c in ("cls", *BOX)], conf.alias("conf"))
+    mine, others = F.transform("pairs", lambda p: out("first", p["box_idx"], p, own_conf(p))), F.transform(rest, lambda g: out("second", g["gt_idx"], g, rest_conf(g), "g_"))
+    rows = met.select("img", F.explode(F.when(mine.isNull(), others).when(others.isNull(), mine).otherwise(F.concat(mine, others))).alias("b"))
+    return rows.select("img", "b.src", "b.box_idx", "b.cls", *[F.col(f"b.{c}").alias(c) for c in (*BOX, "conf")])
 
 
 def source_counts(fused: DataFrame) -> DataFrame:
@@ -67,8 +75,8 @@ def fuse_two_stage(first: DataFrame, broad: DataFrame, precise: DataFrame, match
     some = fuse(first, broad, "supplement", match_iou)
     order = W.partitionBy("img").orderBy("src", "box_idx")
     some = some.withColumn("old_idx", F.col("box_idx")).withColumn("box_idx", F.row_number().over(order) - 1)
-    kept = fuse(some.drop("src", "old_idx"), precise, "filter", filter_iou).select("img", "box_idx")
-    return some.join(kept, ["img", "box_idx"]).select("img", "src", F.col("old_idx").alias("box_idx"), "cls", *BOX, "conf")
+    kept = _fused(some.withColumnRenamed("src", "__src"), precise, "filter", filter_iou, 0.0, carry=("__src", "old_idx"))
+    return kept.select("img", F.col("__src").alias("src"), F.col("old_idx").alias("box_idx"), "cls", *BOX, "conf")
 
 
 def fuse_rich(first: DataFrame, second: DataFrame, threshold: float = 0.3) -> DataFrame:

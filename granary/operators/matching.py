@@ -9,14 +9,15 @@ must agree, by default the image alone; with the class among them, matching is c
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.geometry import box_columns, iou
+from granary.functions.geometry import box_columns, corners, iou, iou_corners
 
 BOX = ("cx", "cy", "w", "h")
+CORNERS = ("x1", "y1", "x2", "y2")
 
 
 def iou_pairs(pred: DataFrame, gt: DataFrame, threshold: float, keys: Sequence[str] = ("img",), strict: bool = False, carry: Sequence[str] = ()) -> DataFrame:
@@ -30,6 +31,46 @@ def iou_pairs(pred: DataFrame, gt: DataFrame, threshold: float, keys: Sequence[s
     return joined.select(*keys, "pred_idx", "conf", "gt_idx", overlap.alias("iou"), *carry)
 
 
+def meetings(pred: DataFrame, gt: DataFrame, least: float, keys: Sequence[str] = ("img",), by_confidence: bool = True, carry: Sequence[str] = (), gt_carry: Sequence[str] = (), how: str = "left") -> DataFrame:
+    """A row per group of keys: preds, in the order in which they choose, each with pred_idx, conf, the columns `carry` and
+    cands (gt_idx, gt_carry and iou of the boxes that it overlaps by at least `least`), and gts (gt_idx and gt_carry; null if
+    there are none). how: full keeps groups without predictions as well, with preds null.
+
+    Both sides are brought together by the keys alone, as arrays, so what is partitioned by them already stays where it is,
+    and nothing is joined by single boxes afterwards."""
+    corner = [c.alias(n) for c, n in zip(_corners(), CORNERS, strict=True)]
+    rank = -F.col("conf") if by_confidence else F.lit(0.0)
+    p = pred.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(rank.alias("r"), "pred_idx", "conf", *corner, *[F.col(c).alias(f"p_{c}") for c in carry]))).alias("preds"))
+    g = gt.groupBy(*keys).agg(F.collect_list(F.struct("gt_idx", *corner, *[F.col(c).alias(f"g_{c}") for c in gt_carry])).alias("gts"))
+    of = lambda x: tuple(x[c] for c in CORNERS)
+    more = [f"g_{c}" for c in gt_carry]
+
+    def met(p: Column) -> Column:
+        every = F.transform(F.coalesce("gts", F.array().cast(g.schema["gts"].dataType)), lambda b: F.struct(b["gt_idx"].alias("gt_idx"), iou_corners(of(p), of(b)).alias("iou"), *[b[c].alias(c) for c in more]))
+        return F.struct(p["pred_idx"].alias("pred_idx"), p["conf"].alias("conf"), *[p[f"p_{c}"].alias(f"p_{c}") for c in carry], F.filter(every, lambda c: c["iou"] >= least).alias("cands"))
+
+    return p.join(g, list(keys), how).select(*keys, F.transform("preds", met).alias("preds"), F.transform("gts", lambda b: F.struct(b["gt_idx"].alias("gt_idx"), *[b[c].alias(c) for c in more])).alias("gts"))
+
+
+def chosen(preds: Column, threshold: float, idx: str, result: Callable[[Column, Column], Column], empty: str) -> Column:
+    """result(prediction, box or null) for each of preds in turn: a prediction takes the first of its cands (gt_idx, iou) that
+    is still free and overlaps it by at least the threshold. idx: the type of gt_idx; empty: that of the array of results."""
+    start = F.struct(F.array().cast(f"array<{idx}>").alias("used"), F.array().cast(empty).alias("out"))
+
+    def take(acc: Column, p: Column) -> Column:
+        got = F.get(F.filter(p["cands"], lambda c: (c["iou"] >= threshold) & ~F.array_contains(acc["used"], c["gt_idx"])), F.lit(0))
+        used = F.when(got.isNull(), acc["used"]).otherwise(F.concat(acc["used"], F.array(got["gt_idx"])))
+        return F.struct(used.alias("used"), F.concat(acc["out"], F.array(result(p, got))).alias("out"))
+
+    return F.aggregate(preds, start, take)["out"]
+
+
+def ordered(p: Column, last_of_ties: bool = False, ignored: Callable[[Column], Column] | None = None) -> Column:
+    """The cands of a prediction in the order in which it wants them: gt_idx and iou."""
+    wish = lambda c: F.struct((ignored(c) if ignored else F.lit(False)).alias("g"), (-c["iou"]).alias("o"), (-c["gt_idx"] if last_of_ties else c["gt_idx"]).alias("t"), c["gt_idx"].alias("gt_idx"), c["iou"].alias("iou"))
+    return F.sort_array(F.transform(p["cands"], wish))
+
+
 def greedy_match(
     pred: DataFrame, gt: DataFrame, thresholds: Sequence[float] = (0.5,), keys: Sequence[str] = ("img",), by_confidence: bool = True, last_of_ties: bool = False
 ) -> DataFrame:
@@ -38,33 +79,27 @@ def greedy_match(
     Predictions go by falling confidence, ties by pred_idx (by_confidence=False: by pred_idx alone); each takes the free
     box that it overlaps most, ties to the smaller gt_idx (last_of_ties: the larger), if that is at least the threshold.
     If gt has a column `ignored`, boxes with it are taken only by predictions that no other free box is overlapped by enough.
-    The overlap join runs once, at the lowest threshold, for all thresholds.
+    Overlaps are worked out once, down to the lowest threshold, for all thresholds; where no box meets another, nothing is
+    folded.
     """
-    steps = sorted(set(thresholds))
-    pairs = iou_pairs(pred, gt, steps[0], keys, carry=("ignored",) if "ignored" in gt.columns else ())
-    last = F.col("ignored") if "ignored" in gt.columns else F.lit(False)
-    order = F.struct(last.alias("g"), (-F.col("iou")).alias("o"), (-F.col("gt_idx") if last_of_ties else F.col("gt_idx")).alias("t"), "gt_idx", "iou")
-    cands = pairs.groupBy(*keys, "pred_idx").agg(F.sort_array(F.collect_list(order)).alias("cands"))
-    rank = -F.col("conf") if by_confidence else F.lit(0.0)
-    entry = F.struct(rank.alias("r"), F.col("pred_idx"), F.col("conf"), F.coalesce("cands", F.array().cast(cands.schema["cands"].dataType)).alias("cands"))
-    images = pred.select(*keys, "pred_idx", "conf").join(cands, [*keys, "pred_idx"], "left").groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("preds"))
-    idx = pred.schema["pred_idx"].dataType.simpleString()
+    steps, has = sorted(set(thresholds)), "ignored" in gt.columns
+    met = meetings(pred, gt, steps[0], keys, by_confidence, gt_carry=("ignored",) if has else ())
+    wanted = lambda p: F.struct(p["pred_idx"].alias("pred_idx"), p["conf"].cast("double").alias("conf"), ordered(p, last_of_ties, (lambda c: c["g_ignored"]) if has else None).alias("cands"))
+    met = met.select(*keys, F.transform("preds", wanted).alias("preds"))
     gid = gt.schema["gt_idx"].dataType.simpleString()
+    kind = f"array<struct<threshold:double,pred_idx:{pred.schema['pred_idx'].dataType.simpleString()},conf:double,gt_idx:{gid}>>"
 
     def fold(threshold: float) -> Column:
-        start = F.struct(F.array().cast(f"array<{gid}>").alias("used"), F.array().cast(f"array<struct<pred_idx:{idx},conf:double,gt_idx:{gid}>>").alias("out"))
+        row = lambda p, got: F.struct(F.lit(float(threshold)).alias("threshold"), p["pred_idx"].alias("pred_idx"), p["conf"].alias("conf"), got.alias("gt_idx"))
+        none = F.transform("preds", lambda p: row(p, F.lit(None).cast(gid)))
+        return F.when(any_met(F.col("preds")), chosen(F.col("preds"), threshold, gid, lambda p, got: row(p, got["gt_idx"]), kind)).otherwise(none)
 
-        def take(acc: Column, p: Column) -> Column:
-            free = F.filter(p["cands"], lambda c: (c["iou"] >= threshold) & ~F.array_contains(acc["used"], c["gt_idx"]))
-            got = F.get(free, F.lit(0))["gt_idx"]
-            used = F.when(got.isNull(), acc["used"]).otherwise(F.concat(acc["used"], F.array(got)))
-            row = F.struct(p["pred_idx"].alias("pred_idx"), p["conf"].cast("double").alias("conf"), got.alias("gt_idx"))
-            return F.struct(used.alias("used"), F.concat(acc["out"], F.array(row)).alias("out"))
+    rows = met.select(*keys, F.explode(F.concat(*[fold(t) for t in steps])).alias("m"))
+    return rows.select(*keys, "m.pred_idx", "m.conf", "m.threshold", "m.gt_idx")
 
-        return F.transform(F.aggregate("preds", start, take)["out"], lambda m: F.struct(F.lit(float(threshold)).alias("threshold"), m["pred_idx"].alias("pred_idx"), m["conf"].alias("conf"), m["gt_idx"].alias("gt_idx")))
 
-    rows = images.select(*keys, F.explode(F.concat(*[fold(t) for t in steps])).alias("m"))
-    return rows.select(*keys, "m.pred_idx", "m.conf", "m.threshold", "m.gt_idx")
+def any_met(preds: Column) -> Column:
+    return F.exists(preds, lambda p: F.size(p["cands"]) > 0)
 
 
 def _pair_iou(a: Column, b: Column) -> Column:
@@ -123,8 +158,6 @@ def weighted_boxes_fusion(boxes: DataFrame, threshold: float = 0.55, skip: float
     xy = ("x1", "y1", "x2", "y2")
 
     def overlap(s: Column, b: Column) -> Column:
-        from granary.functions.geometry import iou_corners
-
         return iou_corners(tuple(s[k] / s["c"] for k in xy), tuple(b[k] for k in xy))
 
     def add(acc: Column, b: Column) -> Column:
@@ -147,6 +180,4 @@ def weighted_boxes_fusion(boxes: DataFrame, threshold: float = 0.55, skip: float
 
 
 def _corners() -> tuple[Column, ...]:
-    from granary.functions.geometry import corners
-
     return corners(box_columns())

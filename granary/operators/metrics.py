@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
-from granary.operators.matching import greedy_match, iou_pairs
+from granary.operators.matching import any_met, chosen, iou_pairs, meetings, ordered
 from granary.storage import stored
 
 
@@ -115,7 +116,11 @@ def ap_points(curve: DataFrame, points: int, keys: Sequence[str] = ()) -> DataFr
     last = points - 1
     # The recalls that a row counts for: all up to its own; a row is kept for the highest, then carried down.
     reach = F.floor(F.col("recall") * last + 1e-9).cast("int")
-    tops = curve.groupBy(*keys, reach.alias("k")).agg(F.max("precision").alias("top"))
+    return _area_of_tops(curve.groupBy(*keys, reach.alias("k")).agg(F.max("precision").alias("top")), points, keys)
+
+
+def _area_of_tops(tops: DataFrame, points: int, keys: Sequence[str]) -> DataFrame:
+    """Mean over `points` recalls of the largest precision there or later, from keys, k and top."""
     below = W.partitionBy(*keys).orderBy("k").rowsBetween(0, W.unboundedFollowing)
     prior = F.lag("k", 1, -1).over(W.partitionBy(*keys).orderBy("k"))
     env = tops.withColumn("best", F.max("top").over(below)).withColumn("steps", F.col("k") - prior)
@@ -135,9 +140,12 @@ def map_over_thresholds(ap: DataFrame) -> DataFrame:
 
 def complementarity(found_a: DataFrame, found_b: DataFrame, gt: DataFrame, keys: Sequence[str] = ("img",)) -> DataFrame:
     """Overall (cls null) and per class: true boxes found by both, by one alone, by none, and the share that b rescues."""
-    on = [*keys, "gt_idx"]
-    rows = gt.select(*on, "cls").join(found_a.select(*on, F.lit(True).alias("a")).distinct(), on, "left").join(found_b.select(*on, F.lit(True).alias("b")).distinct(), on, "left")
-    a, b = F.col("a").isNotNull(), F.col("b").isNotNull()
+    # Per group of keys as arrays, which stay where the keys have put them; a join by single boxes would send all of them again.
+    lists = gt.groupBy(*keys).agg(F.collect_list(F.struct("gt_idx", "cls")).alias("g"))
+    for found, name in ((found_a, "in_a"), (found_b, "in_b")):
+        lists = lists.join(found.groupBy(*keys).agg(F.collect_set("gt_idx").alias(name)), list(keys), "left")
+    rows = lists.select("in_a", "in_b", F.explode("g").alias("g")).select("g.cls", *[F.coalesce(F.array_contains(c, F.col("g.gt_idx")), F.lit(False)).alias(c) for c in ("in_a", "in_b")])
+    a, b = F.col("in_a"), F.col("in_b")
     out = rows.groupingSets([[], [F.col("cls")]], "cls").agg(
         F.count("*").alias("total"), F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("a_only"), F.count_if(~a & b).alias("b_only"), F.count_if(~a & ~b).alias("neither")
     )
@@ -238,6 +246,109 @@ DEPTHS = (1, 10, 100)
 SIZES = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
 
 
+#: What is marked of a prediction: a bit for each overlap of each size.
+BITS = [(t, s) for s in SIZES for t in TEN]
+
+
+def _summary_marks(pred: DataFrame, gt: DataFrame) -> DataFrame:
+    """A row per prediction that counts (the 100 most confident ones of an image and class): cls, conf, img, pred_idx, place,
+    and in bits, as BITS has them, hits (it takes a true box of that size) and counted (it is a hit or a false positive).
+    Matching is per image and class, for all overlaps and sizes at once, and folded only where boxes meet."""
+    met = meetings(pred, gt, TEN[0], ("img", "cls"), carry=("area",), gt_carry=("area",))
+    met = met.select("img", "cls", F.slice("preds", 1, max(DEPTHS)).alias("preds"))
+    gid = gt.schema["gt_idx"].dataType.simpleString()
+    out = lambda a, size: (a < SIZES[size][0]) | (a > SIZES[size][1])
+    bits = lambda on: sum((F.when(c, F.lit(1 << k)).otherwise(F.lit(0)) for k, c in on), F.lit(0)).cast("long")
+
+    def wish(p: Column) -> Column:
+        sized = {s: F.transform(ordered(p, True, lambda c, s=s: out(c["g_area"], s)), lambda c: F.struct(c["gt_idx"].alias("gt_idx"), c["iou"].alias("iou"), c["g"].alias("g"))) for s in SIZES}
+        return F.struct(*[v.alias(s) for s, v in sized.items()], F.size(p["cands"]).alias("n"))
+
+    # 0: takes nothing, 1: a box of that size, 2: an ignored one.
+    code = lambda p, got: F.when(got.isNull(), 0).when(got["g"], 2).otherwise(1)
+    wishes = met.select("img", "cls", "preds", F.when(any_met(F.col("preds")), F.transform("preds", wish)).alias("wishes"))
+    of_size = lambda s: F.transform("wishes", lambda w: F.struct(w[s].alias("cands")))
+    codes = F.array(*[chosen(of_size(s), t, gid, code, "array<int>") for t, s in BITS])
+    rows = wishes.select("img", "cls", "preds", F.when(F.col("wishes").isNotNull(), codes).alias("codes"))
+    rows = rows.select("img", "cls", "codes", F.posexplode("preds").alias("at", "p")).select("img", "cls", "at", "codes", "p.pred_idx", F.col("p.conf").cast("double").alias("conf"), F.col("p.p_area").alias("area"))
+    of = F.transform("codes", lambda c: F.get(c, F.col("at")))
+    rows = rows.select("cls", "conf", "img", "pred_idx", (F.col("at") + 1).alias("place"), "area", F.when(F.col("codes").isNotNull(), of).alias("of"))
+    own = F.coalesce(bits((k, ~out(F.col("area"), s)) for k, (_, s) in enumerate(BITS)), F.lit(0))
+    put = lambda which: F.aggregate(F.sequence(F.lit(0), F.lit(len(BITS) - 1)), F.lit(0).cast("long"), lambda acc, k: F.when(F.get("of", k) == which, acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))).otherwise(acc))
+    rows = rows.select("cls", "conf", "img", "pred_idx", "place", own.alias("own"), *[F.when(F.col("of").isNotNull(), put(k)).otherwise(0).alias(n) for k, n in ((1, "hits"), (2, "lost"))])
+    return rows.select("cls", "conf", "img", "pred_idx", "place", "hits", F.col("own").bitwiseOR(F.col("hits")).bitwiseAND(F.bitwise_not("lost")).alias("counted"))
+
+
+def _summary_curves(marks: DataFrame, n: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of marks, ranked by confidence, ties by img and pred_idx: the largest precision at each hundredth of recall (threshold,
+    cls, size, k, top), and hits among the first 1, 10 and 100 (hit1, ...). n: cls, size and n_gt.
+
+    The ranking is cut into ranges, written once, whose sums are found first; each range is then read in order, all overlaps
+    and sizes at once. A prediction is one row throughout. The driver gets 40 sums of each class in each range; ranges follow
+    the classes, so these are as many as ranges and classes together."""
+    order = ("cls", F.desc("conf"), "img", "pred_idx")
+    spread = stored(marks.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    name = f"cls {marks.schema['cls'].dataType.simpleString()}"
+    shifts, sizes = np.arange(len(BITS)), list(SIZES)
+    depths = [f"hit{d}" for d in DEPTHS]
+
+    def table(batch: pa.RecordBatch, column: str) -> np.ndarray:
+        return (batch.column(column).to_numpy()[:, None] >> shifts) & 1
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits, counted, place = table(batch, "hits"), table(batch, "counted"), batch.column("place").to_numpy()
+            part, cls = batch.column("part").to_numpy(), batch.column("cls")
+            codes, kinds = cls.dictionary_encode().indices.to_numpy(), cls.dictionary_encode().dictionary
+            for p in np.unique(part):
+                for c in np.unique(codes[part == p]):
+                    own = (part == p) & (codes == c)
+                    sums = [counted[own].sum(0), hits[own].sum(0), *[hits[own & (place <= d)].sum(0) for d in DEPTHS]]
+                    rows = [pa.array([int(p)] * len(BITS), pa.int32()), kinds.take(pa.array([int(c)] * len(BITS))), pa.array(shifts, pa.int32()), *[pa.array(v, pa.int64()) for v in sums]]
+                    yield pa.RecordBatch.from_arrays(rows, names=["part", "cls", "bit", "counted", "hits", *depths])
+
+    sums = spread.filter("cls is not null").mapInArrow(summed, f"part int, {name}, bit int, counted long, hits long, {', '.join(f'{d} long' for d in depths)}")
+    sums = stored(sums.groupBy("part", "cls", "bit").agg(*[F.sum(c).alias(c) for c in ("counted", "hits", *depths)]))
+    totals = {(r["cls"], r["size"]): r["n_gt"] for r in n.collect()}
+    before, running = {}, {}
+    for r in sums.select("part", "cls", "bit", "counted", "hits").orderBy("part").toLocalIterator():
+        at = running.setdefault(r["cls"], np.zeros((2, len(BITS)), np.int64))
+        before.setdefault((r["part"], r["cls"]), np.zeros((2, len(BITS)), np.int64))[:, r["bit"]] = at[:, r["bit"]]
+        at[:, r["bit"]] += (r["counted"], r["hits"])
+    of_class = {c: np.array([totals.get((c, s), 0) for _, s in BITS]) for c in {c for c, _ in totals}}
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, tops = {}, {}
+        for batch in batches:
+            hits, counted, part = table(batch, "hits"), table(batch, "counted"), batch.column("part").to_numpy()
+            cls = batch.column("cls").to_pylist()
+            if not cls:
+                continue
+            cuts = [0, *[k for k in range(1, len(cls)) if cls[k] != cls[k - 1] or part[k] != part[k - 1]], len(cls)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                key = (int(part[low]), cls[low])
+                if cls[low] not in of_class:
+                    continue
+                at = state[key] if key in state else before[key]
+                rank, tp = at[0] + np.cumsum(counted[low:high], 0), at[1] + np.cumsum(hits[low:high], 0)
+                state = {key: np.stack([rank[-1], tp[-1]])}
+                total, best = of_class[cls[low]], tops.setdefault(cls[low], np.full((len(BITS), 102), -1.0))
+                r, b = np.nonzero(hits[low:high] & (total > 0))
+                reach = np.floor(tp[r, b] / total[b] * 100 + 1e-9).astype(np.int64)
+                np.maximum.at(best, (b, reach), tp[r, b] / rank[r, b])
+        for c, best in tops.items():
+            b, k = np.nonzero(best >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array([TEN[x % len(TEN)] for x in b], pa.float64()), pa.array([c] * len(b), kind), pa.array([sizes[x // len(TEN)] for x in b], pa.string()), pa.array(k, pa.int32()), pa.array(best[b, k], pa.float64())], names=["threshold", "cls", "size", "k", "top"])
+
+    kind = to_arrow_type(marks.schema["cls"].dataType)
+    ordered_rows = spread.filter("cls is not null").repartition("part").sortWithinPartitions("part", *order)
+    tops = ordered_rows.mapInArrow(ranked, f"threshold double, {name}, size string, k int, top double")
+    tops = tops.groupBy("threshold", "cls", "size", "k").agg(F.max("top").alias("top"))
+    bit = F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(s).alias("size")) for t, s in BITS])[F.col("bit")].alias("b")
+    found = sums.groupBy("cls", "bit").agg(*[F.sum(d).alias(d) for d in depths]).select("cls", bit, *depths)
+    return tops, found.select("b.threshold", "cls", "b.size", *depths)
+
+
 def coco_summary(pred: DataFrame, gt: DataFrame, side: float = 640.0) -> DataFrame:
     """The class-aware summary over ten overlaps, 12 numbers: ap (mean of 101-point APs over overlaps and classes with true
     boxes), ap50, ap75, ap_small, ap_medium, ap_large, ar1, ar10, ar100 (mean over both of the recall with so many
@@ -249,22 +360,18 @@ def coco_summary(pred: DataFrame, gt: DataFrame, side: float = 640.0) -> DataFra
     that take them, nor predictions of other sizes that take none. A size without true boxes has -1. Of equal overlaps
     the box listed last is taken.
     """
-    top = F.row_number().over(W.partitionBy("img", "cls").orderBy(F.desc("conf"), "pred_idx"))
     if "img_w" not in gt.columns:
         pred, gt = (x.withColumn("img_w", F.lit(side)).withColumn("img_h", F.lit(side)) for x in (pred, gt))
     area = F.col("w") * F.col("img_w") * (F.col("h") * F.col("img_h"))
-    sized = lambda df: df.withColumn("outside", F.explode(F.array(*[F.struct(F.lit(s).alias("size"), ((area < low) | (area > high)).alias("ignored")) for s, (low, high) in SIZES.items()]))).select("*", "outside.size", "outside.ignored").drop("outside")
-    ranked = sized(pred.withColumn("place", top).filter(F.col("place") <= max(DEPTHS)))
-    truth, own = sized(gt), ("img", "cls", "size")
-    matches = greedy_match(ranked.drop("ignored"), truth, TEN, keys=own, last_of_ties=True)
-    taken = truth.filter("ignored").select(*own, "gt_idx", F.lit(True).alias("of_ignored"))
-    rows = matches.join(ranked.select(*own, "pred_idx", "place", F.col("ignored").alias("odd")), [*own, "pred_idx"]).join(taken, [*own, "gt_idx"], "left")
-    counted = stored(rows.filter(F.col("of_ignored").isNull() & ~(F.col("gt_idx").isNull() & F.col("odd"))))
-    n = truth.filter("not ignored").groupBy("cls", "size").agg(F.count("*").alias("n_gt"))
+    pred, gt = pred.withColumn("area", area), gt.withColumn("area", area)
+    marks = _summary_marks(pred, gt)
+    per = gt.groupBy("cls").agg(*[F.count_if((F.col("area") >= low) & (F.col("area") <= high)).alias(s) for s, (low, high) in SIZES.items()])
+    n = per.select("cls", F.explode(F.array(*[F.struct(F.lit(s).alias("size"), F.col(s).alias("n_gt")) for s in SIZES])).alias("n")).select("cls", "n.*").filter("n_gt > 0")
+    n = stored(n)  # a few rows a class
     keys = ("threshold", "cls", "size")
+    tops, found = _summary_curves(marks, n)
     classes = n.withColumn("threshold", F.explode(F.array(*map(F.lit, TEN))))
-    ap = ap_points(pr_curve(counted, classes, keys=keys, written=True), 101, keys=keys)
-    found = counted.filter("gt_idx is not null").groupBy(*keys).agg(*[F.count_if(F.col("place") <= d).alias(f"hit{d}") for d in DEPTHS])
+    ap = _area_of_tops(tops, 101, keys)
     rows = classes.join(ap, list(keys), "left").join(found, list(keys), "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
     mean = lambda what, size, extra=F.lit(True): F.coalesce(F.avg(F.when((F.col("size") == size) & extra, what)), F.lit(-1.0))
     recall = lambda d: F.coalesce(f"hit{d}", F.lit(0)) / F.col("n_gt")
