@@ -65,11 +65,13 @@ def nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     """The k nearest points (pid, px, py) of each query (qid, qx, qy): qid, pid, dist, rank; ties to the smaller pid. Rows
     with a null among these columns take no part; qids are unique.
 
-    Exact. Points are filed in a tree of grids that splits where they are dense, however uneven they lie. Queries go down
-    the tree together: of the cells that a query still looks into, the counts of those that lie wholly within a distance tell
-    how far the k-th neighbour can be at most, and cells beyond that are left. What remains, a few cells of few points
-    each, meets by equal cells, so neither a product of both sides nor a list of all points is made. Of points in one
-    place the k smallest ids are enough. A query far outside the frame looks into the cells along one side of it.
+    Exact. Points are filed in a tree of grids that splits where they are dense, however uneven they lie. Queries of one
+    place are asked once, and places of one cell go down the tree together, as the box around them (a place outside the
+    frame by itself): of the cells that a box still looks into, the counts of those that lie wholly within a distance of
+    all of it tell how far a k-th neighbour can be at most, and cells beyond that are left. A box's points, those of a
+    few cells of few points each, then meet each of its places as one row. So neither a product of both sides nor a
+    list of all points is made, and what travels is a row per query and one per place and level, whatever is looked into. Of points
+    in one place the k smallest ids are enough. A place far outside the frame looks into the cells along one side of it.
     """
     points, queries = points.dropna(subset=["pid", "px", "py"]), queries.dropna(subset=["qid", "qx", "qy"])
     frame = points.agg(F.min("px").cast("double").alias("x0"), F.min("py").cast("double").alias("y0"), F.max("px").cast("double").alias("x1"), F.max("py").cast("double").alias("y1")).first()
@@ -83,31 +85,55 @@ def nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     tree = _tree(own, (x0, y0, side), max(32, 2 * k))
     levels = [r["level"] for r in tree.select("level").distinct().collect()]
 
-    parts = tree.select((F.col("level") - 1).alias("level"), F.floor(F.col("gx") / FAN).alias("gx"), F.floor(F.col("gy") / FAN).alias("gy"), F.struct("gx", "gy", "n", "heavy").alias("part"))
     q = queries.select("qid", F.col("qx").cast("double").alias("qx"), F.col("qy").cast("double").alias("qy"))
-    looks = q.crossJoin(F.broadcast(tree.filter("level = 0").select("level", "gx", "gy", "n", "heavy")))  # one row
-    within = W.partitionBy("qid").orderBy("far").rangeBetween(W.unboundedPreceding, 0)
+    places = _boxed(q.select("qx", "qy").distinct(), tree, (x0, y0, side), max(levels))
+    boxes = places.groupBy("box").agg(F.min("qx").alias("bx0"), F.max("qx").alias("bx1"), F.min("qy").alias("by0"), F.max("qy").alias("by1"))
+    held = [c for c in boxes.columns if c != "box"]
+
+    parts = tree.select((F.col("level") - 1).alias("level"), F.floor(F.col("gx") / FAN).alias("gx"), F.floor(F.col("gy") / FAN).alias("gy"), F.struct("gx", "gy", "n", "heavy").alias("part"))
+    looks = boxes.crossJoin(F.broadcast(tree.filter("level = 0").select("level", "gx", "gy", "n", "heavy")))  # one row
+    within = W.partitionBy("box").orderBy("far").rangeBetween(W.unboundedPreceding, 0)
     for level in range(max(levels)):
         below = parts.filter(F.col("level") == level)
         down = looks.filter(F.col("heavy") & (F.col("level") == level)).drop("n", "heavy")
         down = down.join(F.broadcast(below) if level == 0 else below, ["level", "gx", "gy"])  # at most FAN^2 rows below the first
-        down = down.select("qid", "qx", "qy", (F.col("level") + 1).alias("level"), "part.*")
+        down = down.select("box", *held, (F.col("level") + 1).alias("level"), "part.*")
         looks = down.unionByName(looks.filter(~F.col("heavy")).select(*down.columns))
         width = side / F.pow(F.lit(float(FAN)), F.col("level"))
         low_x, low_y = x0 + F.col("gx") * width, y0 + F.col("gy") * width
-        away = lambda c, low, w=width: F.greatest(F.lit(0.0), low - F.col(c), F.col(c) - low - w)
-        most = lambda c, low, w=width: F.greatest(F.abs(F.col(c) - low), F.abs(F.col(c) - low - w))
-        looks = looks.withColumn("near", F.sqrt(F.pow(away("qx", low_x), 2) + F.pow(away("qy", low_y), 2))).withColumn("far", F.sqrt(F.pow(most("qx", low_x), 2) + F.pow(most("qy", low_y), 2)))
+        away = lambda c, low, w=width: F.greatest(F.lit(0.0), low - F.col(f"{c}1"), F.col(f"{c}0") - low - w)
+        most = lambda c, low, w=width: F.greatest(F.abs(F.col(f"{c}1") - low), F.abs(low + w - F.col(f"{c}0")))
+        looks = looks.withColumn("near", F.sqrt(F.pow(away("bx", low_x), 2) + F.pow(away("by", low_y), 2))).withColumn("far", F.sqrt(F.pow(most("bx", low_x), 2) + F.pow(most("by", low_y), 2)))
         looks = looks.withColumn("upto", F.sum("n").over(within))
-        looks = looks.withColumn("bound", F.min(F.when(F.col("upto") >= k, F.col("far"))).over(W.partitionBy("qid")))
+        looks = looks.withColumn("bound", F.min(F.when(F.col("upto") >= k, F.col("far"))).over(W.partitionBy("box")))
         # A trifle more, for cells' edges are rounded.
         looks = looks.filter(F.col("bound").isNull() | (F.col("near") <= F.col("bound") * (1 + 1e-9) + side * 1e-9)).drop("near", "far", "upto", "bound")
         looks = stored(looks) if level % 3 == 2 else looks
     filed = _cells(own, x0, y0, side, 0, max(levels)).join(tree.filter(~F.col("heavy")).select("level", "gx", "gy"), ["level", "gx", "gy"], "left_semi")
-    pairs = looks.select("qid", "qx", "qy", "level", "gx", "gy").join(filed, ["level", "gx", "gy"])
-    d = distance(F.col("qx"), F.col("qy"), F.col("px"), F.col("py"))
-    pairs = pairs.select("qid", "pid", d.alias("dist")).withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("dist", "pid")))
-    return pairs.filter(F.col("rank") <= k)
+    # A box's points: its few cells of few points. Written, so their size on disk decides how they reach the places.
+    held_points = stored(looks.select("box", "level", "gx", "gy").join(filed, ["level", "gx", "gy"]).groupBy("box").agg(F.collect_list(F.struct("pid", "px", "py")).alias("pts")))
+    d = lambda p: distance(F.col("qx"), F.col("qy"), p["px"], p["py"])
+    best = F.slice(F.sort_array(F.transform("pts", lambda p: F.struct(d(p).alias("dist"), p["pid"].alias("pid")))), 1, k)
+    found = places.join(held_points, "box").select("qx", "qy", best.alias("best"))
+    rows = q.join(found, ["qx", "qy"]).select("qid", F.posexplode("best").alias("at", "b"))
+    return rows.select("qid", "b.pid", "b.dist", (F.col("at") + 1).alias("rank"))
+
+
+def _boxed(places: DataFrame, tree: DataFrame, frame: tuple[float, float, float], deepest: int) -> DataFrame:
+    """Places (qx, qy) with the box they belong to: the cell below the deepest heavy one that holds them, or themselves if
+    they are outside the frame."""
+    x0, y0, side = frame
+    inside = F.col("qx").between(x0, x0 + side) & F.col("qy").between(y0, y0 + side)
+    heavy = tree.filter("heavy").select("level", "gx", "gy", F.lit(True).alias("full"))
+    at = _cells(places.filter(inside).select("qx", "qy", F.col("qx").alias("px"), F.col("qy").alias("py")), x0, y0, side, 0, deepest + 1)
+    at = at.join(heavy, ["level", "gx", "gy"], "left")
+    last = F.coalesce(F.max(F.when(F.col("full"), F.col("level"))), F.lit(-1)) + 1
+    cells = at.groupBy("qx", "qy").agg(last.alias("last"), F.collect_list(F.struct("level", "gx", "gy")).alias("cells"))
+    cell = F.filter("cells", lambda c: c["level"] == F.col("last"))[0]
+    name = lambda *parts: F.concat_ws(" ", *[p.cast("string") for p in parts])
+    boxed = cells.select("qx", "qy", name(cell["level"], cell["gx"], cell["gy"]).alias("box"))
+    # Two numbers, where a cell has three.
+    return stored(boxed.unionByName(places.filter(~inside).select("qx", "qy", name(F.col("qx"), F.col("qy")).alias("box"))))
 
 
 def inverse_distance(neighbours: DataFrame, values: DataFrame, columns: Sequence[str], top: int = 4095, truncate: bool = True) -> DataFrame:

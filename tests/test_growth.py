@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from granary.operators import fusion, matching, metrics
+from granary.operators import fusion, joins, matching, metrics
 
 BOXES = "cls int, cx double, cy double, w double, h double"
 
@@ -35,3 +35,37 @@ def test_summary_keeps_one_row_a_prediction(spark):
     area = F.col("w") * 640 * (F.col("h") * 640)
     marks = metrics._summary_marks(pred.withColumn("area", area), gt.withColumn("area", area))
     assert marks.count() == 80 and marks.filter("hits <> 0").count() > 0
+
+
+def test_draws_are_those_of_md5():
+    """Blocks of numbers give what md5 gives one by one, at ends and in between."""
+    for seed, number, n in ((1, 7, 45_001), (123, 1000, 20_001)):
+        got = [int(v) for part in metrics.md5_draws(seed, number, n) for v in part]
+        digests = [hashlib.md5(f"{seed}|{number}|{k}".encode()).hexdigest() for k in range((n + 1) // 2)]
+        assert got == [int(d[h : h + 13], 16) for d in digests for h in (0, 16)][:n]
+
+
+def test_queries_of_one_place_are_asked_once(spark):
+    q = spark.range(4000).select(F.col("id").alias("qid"), (F.col("id") % 3 * 10).cast("double").alias("qx"), F.lit(5.0).alias("qy"))
+    p = spark.range(300).select(F.col("id").alias("pid"), (F.col("id") % 20).cast("double").alias("px"), F.floor(F.col("id") / 20).cast("double").alias("py"))
+    points = [(r.pid, r.px, r.py) for r in p.collect()]
+    want = {x: sorted((((x - px) ** 2 + (5.0 - py) ** 2) ** 0.5, pid) for pid, px, py in points)[:4] for x in (0.0, 10.0, 20.0)}
+    rows = joins.nearest(q, p, 4).collect()
+    assert len(rows) == 16_000 and all((r.dist, r.pid) == want[float(r.qid % 3 * 10)][r.rank - 1] for r in rows)
+    own = joins._tree(p, (0.0, 0.0, 19.0), 32)
+    assert joins._boxed(q.select("qx", "qy").distinct(), own, (0.0, 0.0, 19.0), own.agg(F.max("level")).first()[0]).count() == 3
+
+
+def test_fits_need_no_frame_for_each_key(spark):
+    """Rows of many keys, across batches, give what the step gives; nulls in the key take no part."""
+    from granary.streaming import tracking
+
+    rng = random.Random(3)
+    rows = [(k, rng.choice([1, 2, 3, None]), float(k) / 7, rng.uniform(0, 90), rng.uniform(0, 90)) for k in range(300)]
+    out = tracking.batch(spark.createDataFrame(rows, "event_id long, key long, t double, x double, y double"), "fit")
+    assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    want, states = {}, {}
+    for e, key, t, x, y in rows:
+        if key is not None:
+            want[e] = tracking.fit_step(states.setdefault(key, {}), t, x, y)
+    assert {r.event_id: {c: r[c] for c in want[r.event_id]} for r in out.collect()} == want
