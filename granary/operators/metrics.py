@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -173,8 +174,61 @@ def first_hits(pred: DataFrame, gt: DataFrame, threshold: float = 0.5, keys: Seq
     return pairs.groupBy(*keys, "pred_idx").agg(F.min("gt_idx").alias("gt_idx")).select(*keys, "gt_idx").distinct()
 
 
-#: Draws of a round that are made at once.
-DRAWS = 65_536
+#: Numbers of a round whose md5 is worked out at once: they share all digits but the last four.
+BLOCK = 10_000
+
+_SHIFTS = np.array([[7, 12, 17, 22], [5, 9, 14, 20], [4, 11, 16, 23], [6, 10, 15, 21]])
+_SINES = [int(abs(math.sin(k + 1)) * 2**32) for k in range(64)]
+_TAILS = np.array([f"{k:04d}".encode() for k in range(BLOCK)]).view(np.uint8).reshape(BLOCK, 4).astype(np.uint32)
+
+
+def md5_block(head: str) -> np.ndarray:
+    """The md5 of head + 0000 to head + 9999, as two big-endian 64-bit numbers each; head has at most 51 characters. Words
+    that all share stay single numbers; only those with the last digits are columns."""
+    text = head.encode()
+    whole = text + b"0000\x80" + bytes(51 - len(text)) + (8 * (len(text) + 4)).to_bytes(8, "little")
+    words: list = list(np.frombuffer(whole, "<u4"))
+    for k in range(4):
+        at, shift = divmod(len(text) + k, 4)
+        words[at] = words[at] + ((_TAILS[:, k] - np.uint32(48)) << np.uint32(8 * shift))
+    a, b, c, d = start = [np.full(BLOCK, v, np.uint32) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    f, low = np.empty(BLOCK, np.uint32), np.empty(BLOCK, np.uint32)
+    for k in range(64):
+        turn, own = k // 16, (k, 5 * k + 1, 3 * k + 5, 7 * k)[k // 16] % 16
+        if turn == 0:
+            np.bitwise_xor(c, d, out=f), np.bitwise_and(f, b, out=f), np.bitwise_xor(f, d, out=f)
+        elif turn == 1:
+            np.bitwise_xor(b, c, out=f), np.bitwise_and(f, d, out=f), np.bitwise_xor(f, c, out=f)
+        elif turn == 2:
+            np.bitwise_xor(b, c, out=f), np.bitwise_xor(f, d, out=f)
+        else:
+            np.invert(d, out=f), np.bitwise_or(f, b, out=f), np.bitwise_xor(f, c, out=f)
+        word = words[own]
+        f += a
+        if isinstance(word, np.ndarray):
+            f += word
+            f += np.uint32(_SINES[k])
+        else:
+            f += np.uint32((int(word) + _SINES[k]) & 0xFFFFFFFF)
+        by = int(_SHIFTS[turn, k % 4])
+        np.right_shift(f, np.uint32(32 - by), out=low), np.left_shift(f, np.uint32(by), out=f)
+        f |= low
+        new = f + b
+        a, b, c, d = d, new, b, c
+    out = np.stack([x + y for x, y in zip((a, b, c, d), start, strict=True)], axis=1).astype("<u4")
+    return out.view(np.uint8).view(">u8").astype(np.uint64)
+
+
+def md5_draws(seed: int, number: int, n: int) -> Iterator[np.ndarray]:
+    """The first n draws of a round, of 52 bits each, two from every md5(seed|round|k), some at once."""
+    head, halves = f"{seed}|{number}|", (n + 1) // 2
+    for at in range(0, halves, BLOCK):
+        if at and len(head) + len(str(at)) <= 55:
+            digits = md5_block(f"{head}{at // BLOCK}").ravel()
+        else:
+            text = "".join(hashlib.md5(f"{head}{k}".encode()).hexdigest() for k in range(at, min(halves, at + BLOCK)))
+            digits = np.frombuffer(bytes.fromhex(text), ">u8").astype(np.uint64)
+        yield digits[: n - 2 * at] >> np.uint64(12)
 
 
 def bootstrap(per_image: DataFrame, rounds: int = 1000, seed: int = 1, faithful: bool = False, exact: bool = True) -> DataFrame:
@@ -197,23 +251,29 @@ def bootstrap(per_image: DataFrame, rounds: int = 1000, seed: int = 1, faithful:
     if faithful and not exact:
         raise ValueError("images that count once must be drawn one by one")
     n, upto = int(size.sum()), np.cumsum(size)
+    # A draw u of 52 bits is image u * n >> 52, so a kind that ends at image e ends at the first u with u * n >= e << 52.
+    ends = np.array([-(-(int(e) << 52) // n) for e in upto], np.uint64)
+    split = np.zeros(1 << 13, bool)
+    split[(ends[:-1] >> np.uint64(39)).astype(np.int64)] = True
+    table = np.searchsorted(ends, np.arange(len(split), dtype=np.uint64) << np.uint64(39), side="right")
 
     def drawn(number: int) -> np.ndarray:
         """How many images of each kind the round has."""
         if not exact or not n:
             return np.random.default_rng([seed, number]).multinomial(n, size / n) if n else size
         held, seen = np.zeros(len(size), np.int64), np.zeros(n if faithful else 0, bool)
-        for at in range(0, n, DRAWS):
-            many = min(DRAWS, n - at)
-            digits = "".join(hashlib.md5(f"{seed}|{number}|{k}".encode()).hexdigest() for k in range(at // 2, (at + many + 1) // 2))
-            parts = np.frombuffer(bytes.fromhex(digits), ">u8")[:many] >> np.uint64(12)
+        heads = np.zeros(len(split), np.int64)
+        for parts in md5_draws(seed, number, n):
+            if not faithful:
+                # Most draws are told by their first bits; only those in a part that a kind ends in are looked up.
+                first = (parts >> np.uint64(39)).astype(np.int64)
+                heads += np.bincount(first, minlength=len(split))
+                held += np.bincount(np.searchsorted(ends, parts[split[first]], side="right"), minlength=len(size))
+                continue
             # Of 52 bits times n, what is above 52 bits; in two halves, as the product may pass 64.
             high, low = (parts >> np.uint64(26)) * np.uint64(n), (parts & np.uint64(2**26 - 1)) * np.uint64(n)
-            place = ((high + (low >> np.uint64(26))) >> np.uint64(26)).astype(np.int64)
-            if faithful:
-                seen[place] = True
-            else:
-                held += np.bincount(np.searchsorted(upto, place, side="right"), minlength=len(size))
+            seen[((high + (low >> np.uint64(26))) >> np.uint64(26)).astype(np.int64)] = True
+        np.add.at(held, table[~split], heads[~split])
         return np.diff(np.concatenate([[0], np.cumsum(seen)[upto - 1]])) if faithful else held
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
