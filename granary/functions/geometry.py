@@ -203,6 +203,9 @@ def pattern(kind: Column, cx: Column, cy: Column, size: int = 80, density: float
 
 def fill_frame(points: Column, total: int = 1000) -> Column:
     """Each point max(1, total // n) times, then the last again up to `total`; cut to `total`; empty stays empty."""
-    times = F.greatest(F.lit(1), F.floor(F.lit(total) / F.size(points))).cast("int")
-    spread = F.slice(F.flatten(F.transform(points, lambda p: F.array_repeat(p, times))), 1, total)
-    return F.when(F.size(points) > 0, F.concat(spread, F.array_repeat(F.element_at(points, -1), F.lit(total) - F.size(spread)))).otherwise(points)
+    times = lambda p: F.greatest(F.lit(1), F.floor(F.lit(total) / F.size(p))).cast("int")
+    spread = lambda p: F.slice(F.flatten(F.transform(p, lambda x: F.array_repeat(x, times(p)))), 1, total)
+    rest = lambda p, n: F.array_repeat(F.element_at(p, -1), F.lit(total) - n)
+    filled = lambda p: F.when(F.size(p) > 0, F.concat(spread(p), rest(p, F.least(F.lit(total), F.size(p) * times(p))))).otherwise(p)
+    # Within a lambda `points` is worked out once, however costly and however often it is named.
+    return F.get(F.transform(F.array(points), filled), F.lit(0))

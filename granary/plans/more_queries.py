@@ -333,7 +333,9 @@ def linear_fallback(spark, d):
 def pattern_points(spark, d):
     k = F.col("s_suppkey")
     kind = F.when(k % 3 == 0, "cross").when(k % 3 == 1, "zigzag").otherwise("dot")
-    rows = table(spark, d, "supplier").select("s_suppkey", G.pattern(kind, k % 4000, k * 7 % 4000).alias("p"))
+    # A row's pattern is much work, and a small file is one task: rows are dealt first.
+    dealt = table(spark, d, "supplier").select("s_suppkey").repartition(4 * spark.sparkContext.defaultParallelism, "s_suppkey")
+    rows = dealt.select("s_suppkey", G.pattern(kind, k % 4000, k * 7 % 4000).alias("p"))
     out = rows.select("s_suppkey", F.size(G.fill_frame(F.col("p"))).alias("filled"), F.explode("p").alias("p")).groupBy("s_suppkey", "filled")
     return out.agg(F.count("*").alias("points"), F.sum("p.x").alias("sx"), F.sum("p.y").alias("sy"), F.min("p.x").alias("lx"), F.max("p.y").alias("hy"))
 

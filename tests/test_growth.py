@@ -69,3 +69,11 @@ def test_fits_need_no_frame_for_each_key(spark):
         if key is not None:
             want[e] = tracking.fit_step(states.setdefault(key, {}), t, x, y)
     assert {r.event_id: {c: r[c] for c in want[r.event_id]} for r in out.collect()} == want
+
+
+def test_patterns_are_dealt_to_tasks(spark, tmp_path):
+    from granary.plans.more_queries import pattern_points
+
+    spark.range(40).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    plan = pattern_points(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and pattern_points(spark, str(tmp_path)).count() == 40
