@@ -111,17 +111,18 @@ def consensus(boxes: DataFrame, precision: DataFrame | None = None, min_votes: i
     that are present in the image, if fewer). The representative is the member of the detector with the largest
     precision (relation src, precision; unknown is 0), the first of equal ones; without precisions, the seed.
     """
-    members = star_cluster(boxes, threshold, carry=("src",))
+    present = lambda all_: F.size(F.array_distinct(F.filter(F.transform(all_, lambda b: b["src"]), lambda src: src.isNotNull())))
+    members = star_cluster(boxes, threshold, carry=("src",), of_all={"present": present} if capped else None)
+    group = ["img", "seed_idx", *(["present"] if capped else [])]
+    votes = F.count_distinct("src").alias("votes")
     if precision is None:
-        members = members.withColumn("quality", F.lit(0.0))
+        out = members.groupBy(*group).agg(votes).withColumn("box_idx", F.col("seed_idx"))  # the seed is the first of its cluster
     else:
         members = members.join(precision.select("src", F.col("precision").alias("quality")), "src", "left").withColumn("quality", F.coalesce("quality", F.lit(0.0)))
-    order = F.struct("quality", (-F.col("box_idx")).alias("o"))
-    out = members.groupBy("img", "seed_idx").agg(F.count_distinct("src").alias("votes"), F.max_by("box_idx", order).alias("box_idx"))
+        out = members.groupBy(*group).agg(votes, F.max_by("box_idx", F.struct("quality", (-F.col("box_idx")).alias("o"))).alias("box_idx"))
     if not capped:
         return out.filter(F.col("votes") >= min_votes)
-    present = boxes.groupBy("img").agg(F.count_distinct("src").alias("present"))
-    return out.join(present, "img").filter(F.col("votes") >= F.least(F.lit(min_votes), F.greatest("present", F.lit(1)))).drop("present")
+    return out.filter(F.col("votes") >= F.least(F.lit(min_votes), F.greatest("present", F.lit(1)))).drop("present")
 
 
 def merge_labels(old: DataFrame, new: DataFrame, first_new: int = 8) -> DataFrame:

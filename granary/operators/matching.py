@@ -102,18 +102,17 @@ def any_met(preds: Column) -> Column:
     return F.exists(preds, lambda p: F.size(p["cands"]) > 0)
 
 
-def _pair_iou(a: Column, b: Column) -> Column:
-    return iou(tuple(a[c] for c in BOX), tuple(b[c] for c in BOX))
-
-
-def star_cluster(boxes: DataFrame, threshold: float, keys: Sequence[str] = ("img",), order: Sequence[Column] | None = None, carry: Sequence[str] = ()) -> DataFrame:
+def star_cluster(
+    boxes: DataFrame, threshold: float, keys: Sequence[str] = ("img",), order: Sequence[Column] | None = None, carry: Sequence[str] = (), of_all: dict[str, Callable[[Column], Column]] | None = None
+) -> DataFrame:
     """Seeded clusters: in order (box_idx unless `order` is given), the first free box seeds a cluster and takes every
     later free box that overlaps it by at least the threshold. Clusters are stars around their seed, not components.
 
-    Returns keys, box_idx, seed_idx and the columns `carry`.
+    Returns keys, box_idx, seed_idx, the columns `carry`, and those of `of_all`, each worked out from the array of all boxes
+    with the same keys.
     """
     ranks = [o.alias(f"o{k}") for k, o in enumerate(order or [])]
-    item = F.struct(*ranks, "box_idx", *BOX, *carry)
+    item = F.struct(*ranks, "box_idx", *[c.alias(n) for c, n in zip(_corners(), CORNERS, strict=True)], *carry)
     lists = boxes.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("boxes"))
     kind = lists.schema["boxes"].dataType.elementType.simpleString()
     idx = boxes.schema["box_idx"].dataType.simpleString()
@@ -121,13 +120,14 @@ def star_cluster(boxes: DataFrame, threshold: float, keys: Sequence[str] = ("img
 
     def place(acc: Column, b: Column) -> Column:
         # Seeds are in order, so the first that overlaps is the one that would have taken this box.
-        seed = F.get(F.filter(acc["seeds"], lambda s: _pair_iou(s, b) >= threshold), F.lit(0))
+        seed = F.get(F.filter(acc["seeds"], lambda s: iou_corners(tuple(s[c] for c in CORNERS), tuple(b[c] for c in CORNERS)) >= threshold), F.lit(0))
         seeds = F.when(seed.isNull(), F.concat(acc["seeds"], F.array(b))).otherwise(acc["seeds"])
         row = F.struct(b.alias("box"), F.coalesce(seed["box_idx"], b["box_idx"]).alias("seed_idx"))
         return F.struct(seeds.alias("seeds"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-    rows = lists.select(*keys, F.explode(F.aggregate("boxes", start, place)["out"]).alias("m"))
-    return rows.select(*keys, "m.box.box_idx", "m.seed_idx", *[F.col(f"m.box.{c}").alias(c) for c in carry])
+    whole = {name: f(F.col("boxes")).alias(name) for name, f in (of_all or {}).items()}
+    rows = lists.select(*keys, *whole.values(), F.explode(F.aggregate("boxes", start, place)["out"]).alias("m"))
+    return rows.select(*keys, "m.box.box_idx", "m.seed_idx", *[F.col(f"m.box.{c}").alias(c) for c in carry], *whole)
 
 
 def nms(boxes: DataFrame, threshold: float, keys: Sequence[str] = ("img",), most: int | None = 100) -> DataFrame:
