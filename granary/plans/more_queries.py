@@ -392,7 +392,7 @@ def coco_round_trip(spark, d):
     docs = ids.join(ann.select("image_id", a).groupBy("image_id").agg(F.collect_list("a").alias("annotations")), F.col("id") == F.col("image_id"))
     docs = docs.select(F.array(F.struct("id", "file_name", F.col("width").cast("int").alias("width"), "height")).alias("images"), "annotations")
     path = fresh(spark, "coco")
-    docs.select(F.to_json(F.struct("*")).alias("value")).repartition(4).write.text(path)
+    docs.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
     schema = "images array<struct<id:bigint,file_name:string,width:int,height:int>>, annotations array<struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>,area:double,iscrowd:int>>"
     read = spark.read.schema(schema).json(path)
     im, an = read.select(F.inline("images")), read.select(F.inline("annotations"))
