@@ -23,8 +23,9 @@ def yolo(spark: SparkSession, path: str, default_conf: float = 0.9, source: str
     their order. Columns of BOX_SCHEMA, and src if `source` is given."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True).select(path_stem(F.col("_metadata.file_path")).alias("img"), "value")
     rows = files.select("img", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    p = F.split(F.trim("line"), r"\s+")
-    num = [F.try_element_at(p, F.lit(k + 1)).try_cast("double") for k in range(6)]
+    # A column of its own, which no filter below can be moved across: a line is split once.
+    rows = rows.select("img", "line_no", F.explode(F.array(F.split(F.trim("line"), r"\s+"))).alias("parts"))
+    num = [F.try_element_at("parts", F.lit(k + 1)).try_cast("double") for k in range(6)]
     rows = rows.select("img", F.col("line_no").alias("box_idx"), num[0].cast("int").alias("cls"), num[1].alias("cx"), num[2].alias("cy"), num[3].alias("w"), num[4].alias("h"), F.coalesce(num[5], F.lit(default_conf)).alias("conf"))
     rows = rows.dropna(subset=["cls", "cx", "cy", "w", "h"])
     if sane:
@@ -101,6 +102,8 @@ def voc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _spread(rows: DataFrame) -> DataFrame:
+    # Exploded, so that the filter does not work the box out a second time.
+    rows = rows.select(*[c for c in rows.columns if c != "b"], F.explode(F.array("b")).alias("b"))
     return rows.filter("b is not null").select(*[c for c in rows.columns if c != "b"], *[F.col("b")[k].alias(c) for k, c in enumerate(("cx", "cy", "w", "h"))])
 
 
