@@ -77,3 +77,38 @@ def test_patterns_are_dealt_to_tasks(spark, tmp_path):
     spark.range(40).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
     plan = pattern_points(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and pattern_points(spark, str(tmp_path)).count() == 40
+
+
+def test_votes_need_one_shuffle(spark):
+    """Detectors that are present are counted with the clusters, not from the boxes once more."""
+    b = boxes(spark, "box_idx").withColumn("src", F.col("cls"))
+    out = fusion.consensus(b)
+    assert exchanges(out) == 1 and out.filter("box_idx <> seed_idx").count() == 0
+
+
+def test_fusion_and_agreement_go_by_image(spark):
+    """Boxes that are at their image's place are not sent again by single boxes."""
+    a, b, c = (boxes(spark, "box_idx", n) for n in (60, 64, 68))
+    assert exchanges(fusion.fuse_two_stage(a, b, c)) <= 4
+    gt = b.withColumnRenamed("box_idx", "gt_idx")
+    found = [matching.greedy_match(x.withColumnRenamed("box_idx", "pred_idx"), gt, (0.3,)).filter("gt_idx is not null") for x in (a, c)]
+    assert exchanges(metrics.complementarity(*found, gt)) <= 8
+
+
+def test_lines_are_split_once(spark, tmp_path):
+    from granary.sources import labels
+
+    (tmp_path / "a.txt").write_text("1 0.5 0.5 0.2 0.2\nx\n2 0.5 0.5 1.5 0.2")
+    read = labels.yolo(spark, str(tmp_path), sane=True)
+    assert [(r.cls, r.box_idx) for r in read.collect()] == [(1, 0)]
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("split(trim(") == 1
+
+
+def test_coco_documents_are_not_put_in_four_files(spark, monkeypatch):
+    from granary.plans.more_queries import coco_round_trip
+
+    frame, real = type(spark.range(1)), type(spark.range(1)).repartition
+    seen = []
+    monkeypatch.setattr(frame, "repartition", lambda self, *by: (seen.append(by), real(self, *by))[1])
+    coco_round_trip(spark, "/root/testdata/sf0.001")
+    assert (4,) not in seen
