@@ -1,7 +1,8 @@
 """Set-valued operators on the boxes of one image: greedy matching, seeded clusters, suppression, weighted fusion.
 
 The rules depend on order, so each is a fold over a sorted array. One shuffle on the image brings its boxes together;
-everything else is a JVM expression. An image's boxes are bounded by the detector, so arrays stay small.
+everything else is a JVM expression, but for `matched_bits`, which matches many images at once in numpy. An image's boxes are
+bounded by the detector, so arrays stay small.
 
 Relations: gt(img, gt_idx, cls, cx, cy, w, h), pred(img, pred_idx, cls, cx, cy, w, h, conf). `keys` names the columns that
 must agree, by default the image alone; with the class among them, matching is class-aware.
@@ -9,10 +10,13 @@ must agree, by default the image alone; with the class among them, matching is c
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from granary.functions.geometry import box_columns, corners, iou, iou_corners
 
@@ -102,6 +106,112 @@ def any_met(preds: Column) -> Column:
     return F.exists(preds, lambda p: F.size(p["cands"]) > 0)
 
 
+#: Pairs of boxes whose overlaps are worked out at once in a task.
+PAIRS = 1_000_000
+
+
+def _met_pairs(image: np.ndarray, preds: np.ndarray, truths: np.ndarray, box: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of predictions and true boxes of one image that overlap by at least `least`, and the overlaps, in the order of
+    operations that `iou_corners` has. image: numbers from 0 that do not fall; preds and truths: places in order."""
+    x1, y1, x2, y2 = box
+    many = np.bincount(image[truths], minlength=image[-1] + 1)
+    start, each = np.cumsum(many) - many, many[image[preds]]
+    upto = np.cumsum(each)
+    found, low = [], 0
+    while low < len(preds):
+        done = upto[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(upto, done + PAIRS, side="right")))
+        n = each[low:high]
+        p = np.repeat(preds[low:high], n)
+        nth = np.arange(len(p)) - np.repeat(upto[low:high] - n - done, n)
+        t = truths[np.repeat(start[image[preds[low:high]]], n) + nth]
+        # As in SQL, a number that is none is the largest.
+        iw = np.maximum(0.0, np.fmin(x2[p], x2[t]) - np.maximum(x1[p], x1[t]))
+        ih = np.maximum(0.0, np.fmin(y2[p], y2[t]) - np.maximum(y1[p], y1[t]))
+        inter = iw * ih
+        union = (x2[p] - x1[p]) * (y2[p] - y1[p]) + (x2[t] - x1[t]) * (y2[t] - y1[t]) - inter
+        iou = np.where(union <= 0, 0.0, inter / np.where(union == 0, 1.0, union))
+        on = ~(iou < least)
+        found.append((p[on], t[on], iou[on]))
+        low = high
+    return tuple(np.concatenate(v) for v in zip(*found, strict=True)) if found else (preds[:0], truths[:0], np.empty(0))
+
+
+def _bits(image: np.ndarray, idx: np.ndarray, truth: np.ndarray, asked: np.ndarray, box: np.ndarray, thresholds: Sequence[float]) -> np.ndarray:
+    """The rounds in which each box is matched. Predictions stand in the order in which they choose; the nth ones of all images
+    choose at once, as an image's boxes are its own."""
+    bits = np.zeros(len(image), np.int64)
+    p, t, iou = _met_pairs(image, np.flatnonzero(~truth & (asked != 0)), np.flatnonzero(truth & (asked != 0)), box, min(thresholds))
+    order = np.lexsort((idx[t], np.where(np.isnan(iou), -np.inf, -iou), p))
+    p, t, iou = p[order], t[order], iou[order]
+    for k, least in enumerate(thresholds):
+        on = ((asked[p] >> k) & 1 == 1) & ~(iou < least)
+        pk, tk = p[on], t[on]
+        if not len(pk):
+            continue
+        head = np.r_[True, pk[1:] != pk[:-1]]
+        own = image[pk[head]]
+        at = np.arange(len(own))
+        nth = (at - np.maximum.accumulate(np.where(np.r_[True, own[1:] != own[:-1]], at, 0)))[np.cumsum(head) - 1]
+        turn = np.argsort(nth, kind="stable")
+        pk, tk, used, low = pk[turn], tk[turn], np.zeros(len(image), bool), 0
+        for high in np.cumsum(np.bincount(nth)):
+            free = ~used[tk[low:high]]
+            pf, tf = pk[low:high][free], tk[low:high][free]
+            first = np.r_[True, pf[1:] != pf[:-1]][: len(pf)]
+            used[tf[first]] = True
+            bits[pf[first]] |= 1 << k
+            bits[tf[first]] |= 1 << k
+            low = high
+    return bits
+
+
+def matched_bits(boxes: DataFrame, rounds: Sequence[tuple[Column | None, float]], keys: Sequence[str] = ("img",), carry: Sequence[str] = (), truths: bool = False) -> DataFrame:
+    """`greedy_match` in several rounds at once, of predictions and true boxes that are rows of one relation (role 0 and 1; idx, a
+    whole number): a row per prediction (truths: per true box) with keys, idx, the columns `carry` and bits, whose bit k tells
+    that it is matched in round k. A round is a condition on predictions (None: all) and a threshold above 0; at most 62.
+
+    Boxes go once to the place of their keys, and stay if they are there; true boxes are not sent for each round, nor are rows
+    multiplied by rounds. Sorted rows are read as Arrow, some thousand images at once; an image that a batch cuts waits for its
+    rest. Null keys meet nothing, nor do boxes with a null."""
+    if not 0 < len(rounds) < 63 or min(t for _, t in rounds) <= 0:
+        raise ValueError("1 to 62 rounds with thresholds above 0")
+    thresholds = [float(t) for _, t in rounds]
+    whole = " and ".join(f"`{c}` is not null" for c in (*keys, *BOX))
+    takes = sum((F.when(F.lit(True) if on is None else on, F.lit(1 << k)).otherwise(F.lit(0)) for k, (on, _) in enumerate(rounds)), F.lit(0)).cast("long")
+    order = (F.col("conf").desc_nulls_last(), F.col("idx"))
+    keep = list(dict.fromkeys((*keys, "idx", *carry)))
+    corner = [F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"__{n}") for c, n in zip(_corners(), CORNERS, strict=True)]
+    asked = F.when(F.expr(whole), F.when(F.col("role") == 1, F.lit(1).cast("long")).otherwise(takes)).otherwise(F.lit(0).cast("long"))
+    rows = boxes.filter("role in (0, 1)").select("*", asked.alias("__asked"), F.row_number().over(W.partitionBy(*keys).orderBy(*order)).alias("__nth"))
+    rows = rows.sortWithinPartitions(*keys, *order)  # they are so by the window
+    rows = rows.select(*keep, (F.col("role") == 1).alias("__truth"), "__asked", "__nth", *corner)
+
+    def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = pa.Table.from_batches(parts).combine_chunks() if parts else None
+        if not some:
+            return
+        truth = some.column("__truth").to_numpy()
+        image = np.cumsum(some.column("__nth").to_numpy() == 1) - 1
+        box = [some.column(f"__{n}").to_numpy() for n in CORNERS]
+        bits = _bits(image, some.column("idx").to_numpy(), truth, some.column("__asked").to_numpy(), box, thresholds)
+        yield from some.select(keep).append_column("bits", pa.array(bits)).filter(pa.array(truth == truths)).to_batches()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            first = np.flatnonzero(batch.column("__nth").to_numpy() == 1)
+            cut = int(first[-1]) if len(first) else 0
+            if len(first):
+                yield from done([*waiting, batch.slice(0, cut)])
+                waiting = []
+            waiting.append(batch.slice(cut))
+        yield from done(waiting)
+
+    kinds = {f.name: f.dataType.simpleString() for f in boxes.schema}
+    return rows.mapInArrow(work, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "bits long"]))
+
+
 def star_cluster(
     boxes: DataFrame, threshold: float, keys: Sequence[str] = ("img",), order: Sequence[Column] | None = None, carry: Sequence[str] = (), of_all: dict[str, Callable[[Column], Column]] | None = None
 ) -> DataFrame:

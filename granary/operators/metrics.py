@@ -139,6 +139,86 @@ def map_over_thresholds(ap: DataFrame) -> DataFrame:
     return ap.agg(F.avg(F.round("ap", 4)).alias("map"))
 
 
+def ap_of_marks(marks: DataFrame, n_gt: DataFrame, thresholds: Sequence[float], ordinal: Sequence[str] = ("img", "idx")) -> DataFrame:
+    """`ap_all_points` at several thresholds at once (threshold, ap), of predictions with bits, whose bit k tells a hit at
+    threshold k, ranked by confidence, ties by `ordinal`. n_gt: one row. A threshold without hits has no row.
+
+    A prediction is one row throughout, and past the ranking only hits are kept. The ranking is cut into sorted ranges; a hit is
+    written with its place in the range, and the driver gets, of each range, its rows, and its hits and largest precision for
+    each threshold. A range is then read backwards, from the largest precision of those after it."""
+    order = (F.col("conf").desc_nulls_last(), *map(F.col, ordinal))
+    kept = ["part", "place", "bits"]
+
+    def hits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hits with their place from 1, and after them a row without bits, whose place is the number of rows."""
+        seen, part = 0, None
+        for batch in batches:
+            if batch.num_rows:
+                part, bits = batch.column("part")[0].as_py(), batch.column("bits").to_numpy()
+                at = np.flatnonzero(bits)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part, np.int32)), pa.array(seen + at + 1), pa.array(bits[at])], names=kept)
+                seen += len(bits)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seen], pa.int64()), pa.array([0], pa.int64())], names=kept)
+
+    # Written before they are ranked: bounds of ranges come from a sample, and matching should not be done for it again.
+    marks = stored(marks.select("conf", *ordinal, "bits"))
+    ranked = marks.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "bits")
+    hits = stored(ranked.mapInArrow(hits_of, "part int, place long, bits long"))
+    bit = lambda k: F.shiftright("bits", k).bitwiseAND(F.lit(1))
+    sums = hits.groupBy("part").agg(F.max("place").alias("rows"), F.array(*[F.sum(bit(k)) for k in range(len(thresholds))]).alias("hits"))
+    bounds, rows, tp = {}, 0, np.zeros(len(thresholds), np.int64)  # rows before a range, hits up to its end
+    for r in sums.orderBy("part").collect():
+        tp = tp + np.array(r["hits"], np.int64)
+        bounds[r["part"]] = rows, tp
+        rows += r["rows"]
+
+    def precisions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Part, threshold's number, and precision at its hits from the last one back, batch by batch."""
+        part, rows, tp = None, 0, np.zeros(len(thresholds), np.int64)
+        for batch in batches:
+            parts, place, bits = (batch.column(c).to_numpy() for c in kept)
+            cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1), len(parts)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if low == high:
+                    continue
+                if parts[low] != part:
+                    part = int(parts[low])
+                    rows, tp = bounds[part][0], bounds[part][1].copy()
+                for k in range(len(thresholds)):
+                    at = place[low:high][(bits[low:high] >> k) & 1 == 1]
+                    if len(at):
+                        yield part, k, (tp[k] - np.arange(len(at))) / (rows + at)
+                        tp[k] -= len(at)
+
+    backwards = hits.filter("bits <> 0").repartition("part").sortWithinPartitions("part", F.desc("place"))
+
+    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top: dict[tuple[int, int], float] = {}
+        for part, k, p in precisions(batches):
+            top[part, k] = max(top.get((part, k), 0.0), float(p.max()))
+        yield pa.RecordBatch.from_pylist([{"part": part, "k": k, "top": v} for (part, k), v in top.items()], pa.schema([("part", pa.int32()), ("k", pa.int32()), ("top", pa.float64())]))
+
+    later, top = {}, np.zeros(len(thresholds))
+    found = {(r["part"], r["k"]): r["top"] for r in backwards.mapInArrow(largest, "part int, k int, top double").collect()}
+    for part in sorted(bounds, reverse=True):
+        later[part] = top
+        top = np.maximum(top, [found.get((part, k), 0.0) for k in range(len(thresholds))])
+
+    def areas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, best, at = np.zeros(len(thresholds)), np.zeros(len(thresholds)), None
+        for part, k, p in precisions(batches):
+            if part != at:
+                best, at = later[part].copy(), part
+            env = np.maximum(np.maximum.accumulate(p), best[k])
+            sums[k], best[k] = sums[k] + env.sum(), env[-1]
+        k = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(thresholds, float)[k]), pa.array(sums[k])], names=["threshold", "area"])
+
+    area = backwards.mapInArrow(areas, "threshold double, area double").groupBy("threshold").agg(F.sum("area").alias("area"))
+    return area.crossJoin(F.broadcast(n_gt)).select("threshold", ratio(F.col("area"), F.col("n_gt")).alias("ap"))
+
+
 def complementarity(found_a: DataFrame, found_b: DataFrame, gt: DataFrame, keys: Sequence[str] = ("img",)) -> DataFrame:
     """Overall (cls null) and per class: true boxes found by both, by one alone, by none, and the share that b rescues."""
     # Per group of keys as arrays, which stay where the keys have put them; a join by single boxes would send all of them again.

@@ -10,7 +10,7 @@ from granary.functions import text as X
 from granary.operators import corpus, experiments, fusion, joins, matching, metrics
 from granary.operators import events as E
 from granary.plans.queries import FUSE, ORACLE, PG, POINTS, QUERIES, RUNS, STAR, _points, both, query, runs
-from granary.plans.views import BOX_SQL, EVENT_SQL, boxes, detector, events, greedy_sql, iou_sql, table
+from granary.plans.views import BOX_SQL, EVENT_SQL, boxes, detector, events, greedy_sql, iou_sql, table, true_boxes
 from granary.sources import labels, registry, sinks
 from granary.storage import fresh
 from granary.streaming import tracking
@@ -64,10 +64,9 @@ e as (select *, max(tp / rank) over (partition by threshold order by rank rows b
 select round(avg(round(ap, 4)), 6) as map from a"""
 )
 def map_coco(spark, d):
-    p, g = both(spark, d)
-    m = matching.greedy_match(p, g, metrics.TEN)
-    n = g.agg(F.count("*").alias("n_gt")).withColumn("threshold", F.explode(F.array(*map(F.lit, metrics.TEN))))
-    ap = metrics.ap_all_points(metrics.pr_curve(m, n, keys=("threshold",)), keys=("threshold",))
+    b = boxes(spark, d)
+    marks = matching.matched_bits(b, [(None, t) for t in metrics.TEN], carry=("conf",))
+    ap = metrics.ap_of_marks(marks, true_boxes(b).agg(F.count("*").alias("n_gt")), metrics.TEN)
     return metrics.map_over_thresholds(ap).select(F.round("map", 6).alias("map"))
 
 

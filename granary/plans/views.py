@@ -13,10 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """img, idx, role (1 true box, 0 prediction), src, cls, conf, cx, cy, w, h from line items; several per order."""
-    t = table(spark, sf_dir, "lineitem")
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    # Numbered before anything is worked out: the shuffle has the table's columns alone, and boxes are then known to lie by img.
+    t = table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(order))
     return t.select(
-        F.col("l_orderkey").alias("img"), (F.row_number().over(order) - 1).cast("long").alias("idx"), (F.col("l_linenumber") % 2).cast("int").alias("role"), (F.col("l_suppkey") % 7).cast("int").alias("src"),
+        F.col("l_orderkey").alias("img"), (F.col("n") - 1).cast("long").alias("idx"), (F.col("l_linenumber") % 2).cast("int").alias("role"), (F.col("l_suppkey") % 7).cast("int").alias("src"),
         (F.col("l_partkey") % 12).cast("int").alias("cls"), (1 - 5 * F.col("l_discount")).alias("conf"), ((F.col("l_partkey") % 40 + 30) / F.lit(100.0)).alias("cx"), ((F.col("l_suppkey") % 40 + 30) / F.lit(100.0)).alias("cy"),
         (F.lit(0.2) + F.col("l_quantity") / 100.0).alias("w"), (F.lit(0.3) + 4 * F.col("l_tax")).alias("h"),
     )

@@ -112,3 +112,21 @@ def test_coco_documents_are_not_put_in_four_files(spark, monkeypatch):
     monkeypatch.setattr(frame, "repartition", lambda self, *by: (seen.append(by), real(self, *by))[1])
     coco_round_trip(spark, "/root/testdata/sf0.001")
     assert (4,) not in seen
+
+
+def test_mean_ap_keeps_one_row_a_prediction(spark, monkeypatch):
+    """Ten overlaps are bits of a prediction's row, and boxes are sent once."""
+    from granary.plans import more_queries
+    from granary.plans.views import boxes as view
+
+    d, real, written = "/root/testdata/sf0.001", metrics.stored, []
+
+    def kept(df, *more):
+        out = real(df, *more)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(metrics, "stored", kept)
+    assert more_queries.map_coco(spark, d).count() == 1
+    assert written and max(written) <= view(spark, d).filter("role = 0").count()
+    assert exchanges(matching.matched_bits(view(spark, d), [(None, t) for t in metrics.TEN])) == 1

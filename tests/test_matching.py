@@ -103,3 +103,47 @@ def test_flip_is_its_own_inverse(spark):
     once = hflip_xyxy(tuple(F.col(c) for c in "abcd"))
     r = df.select(*[F.round(x, 9) for x in hflip_xyxy(once)]).first()
     assert tuple(r) == (0.1, 0.2, 0.4, 0.6)
+
+
+def _mixed(spark, n=900, seed=5):
+    """Boxes of both roles, up to some twenty in an image, with ties in all that orders them, and a few nulls."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n):
+        img, box = rng.choice([0, *range(90)]) if k % 50 else None, [rng.choice([0.4, 0.45, 0.5]), rng.choice([0.4, 0.45, 0.5]), rng.choice([0.2, 0.3]), rng.choice([0.2, 0.25])]
+        if k % 40 == 7:
+            box[k % 4] = None
+        rows.append((img, k, k * 7 % 2, k % 5, *box, rng.randrange(5) / 5))
+    return spark.createDataFrame(rows, "img int, idx long, role int, src int, cx double, cy double, w double, h double, conf double")
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_rounds_at_once_are_those_one_by_one(spark, monkeypatch, batch):
+    b = _mixed(spark)
+    gt, pred = b.filter("role = 1").withColumnRenamed("idx", "gt_idx"), b.filter("role = 0").withColumnRenamed("idx", "pred_idx")
+    rounds = [(None, 0.5), (F.col("src") < 2, 0.3), (F.col("src") >= 2, 0.3), (None, 0.9)]
+    if batch == 3:
+        monkeypatch.setattr(matching, "PAIRS", 4)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        hits = {r.idx: r.bits for r in matching.matched_bits(b, rounds).collect()}
+        found = {r.idx: (r.src, r.bits) for r in matching.matched_bits(b, rounds, carry=("src",), truths=True).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert set(hits) == {r.pred_idx for r in pred.collect()} and {k: s for k, (s, _) in found.items()} == {r.gt_idx: r.src for r in gt.collect()}
+    for k, (on, t) in enumerate(rounds):
+        want = matching.greedy_match(pred if on is None else pred.filter(on), gt, (t,)).filter("gt_idx is not null").collect()
+        assert want and {i for i, v in hits.items() if v >> k & 1} == {r.pred_idx for r in want}
+        assert {i for i, (_, v) in found.items() if v >> k & 1} == {r.gt_idx for r in want}
+
+
+def test_aps_of_marks_are_those_of_curves(spark):
+    b, steps = _mixed(spark), (0.3, 0.5, 0.9, 1.0)
+    gt, pred = b.filter("role = 1").withColumnRenamed("idx", "gt_idx"), b.filter("role = 0").withColumnRenamed("idx", "pred_idx")
+    n = gt.agg(F.count("*").alias("n_gt"))
+    got = {r.threshold: r.ap for r in metrics.ap_of_marks(matching.matched_bits(b, [(None, t) for t in steps], carry=("conf",)), n, steps).collect()}
+    for t in steps:
+        want = metrics.ap_all_points(metrics.pr_curve(matching.greedy_match(pred, gt, (t,)), n)).first().ap
+        assert (t not in got) if want is None else abs(got[t] - want) < 1e-12
+    assert metrics.ap_of_marks(matching.matched_bits(b.filter("role = 1"), [(None, 0.5)], carry=("conf",)), n, (0.5,)).count() == 0
