@@ -219,6 +219,12 @@ def ap_of_marks(marks: DataFrame, n_gt: DataFrame, thresholds: Sequence[float],
     return area.crossJoin(F.broadcast(n_gt)).select("threshold", ratio(F.col("area"), F.col("n_gt")).alias("ap"))
 
 
+def complementarity_of_bits(found: DataFrame) -> DataFrame:
+    """`complementarity` of true boxes with cls and bits, whose bits 0 and 1 tell that a and b found them."""
+    a, b = (F.col("bits").bitwiseAND(F.lit(1 << k)) != 0 for k in (0, 1))
+    return _agreement(found.select("cls", a.alias("in_a"), b.alias("in_b")))
+
+
 def complementarity(found_a: DataFrame, found_b: DataFrame, gt: DataFrame, keys: Sequence[str] = ("img",)) -> DataFrame:
     """Overall (cls null) and per class: true boxes found by both, by one alone, by none, and the share that b rescues."""
     # Per group of keys as arrays, which stay where the keys have put them; a join by single boxes would send all of them again.
@@ -226,6 +232,10 @@ def complementarity(found_a: DataFrame, found_b: DataFrame, gt: DataFrame, keys:
     for found, name in ((found_a, "in_a"), (found_b, "in_b")):
         lists = lists.join(found.groupBy(*keys).agg(F.collect_set("gt_idx").alias(name)), list(keys), "left")
     rows = lists.select("in_a", "in_b", F.explode("g").alias("g")).select("g.cls", *[F.coalesce(F.array_contains(c, F.col("g.gt_idx")), F.lit(False)).alias(c) for c in ("in_a", "in_b")])
+    return _agreement(rows)
+
+
+def _agreement(rows: DataFrame) -> DataFrame:
     a, b = F.col("in_a"), F.col("in_b")
     out = rows.groupingSets([[], [F.col("cls")]], "cls").agg(
         F.count("*").alias("total"), F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("a_only"), F.count_if(~a & b).alias("b_only"), F.count_if(~a & ~b).alias("neither")

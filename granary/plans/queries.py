@@ -160,10 +160,8 @@ from x group by grouping sets ((), (cls))"""
 
 @query(_comp_sql())
 def complementarity(spark, d):
-    b = boxes(spark, d)
-    g = true_boxes(b)
-    found = [matching.greedy_match(predicted(b.filter(F.col("src").isin(*s))), g, (0.3,)).filter("gt_idx is not null") for s in ((0, 1, 2), (3, 4, 5, 6))]
-    return metrics.complementarity(*found, g)
+    rounds = [(F.col("src").isin(*s), 0.3) for s in ((0, 1, 2), (3, 4, 5, 6))]
+    return metrics.complementarity_of_bits(matching.matched_bits(boxes(spark, d), rounds, carry=("cls",), truths=True))
 
 
 @query(f"with {BOX_SQL}, c as (select o_orderkey as img, count(box.img) as n from orders left join box on o_orderkey = img and role = 0 group by 1) select avg(n) as mean_boxes, max(n) as max_boxes, count(*) filter (n = 0) as empty_images, (select avg(w * h) from box where role = 0) as mean_area, (select median(w * h) from box where role = 0) as median_area from c")

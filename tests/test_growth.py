@@ -130,3 +130,14 @@ def test_mean_ap_keeps_one_row_a_prediction(spark, monkeypatch):
     assert more_queries.map_coco(spark, d).count() == 1
     assert written and max(written) <= view(spark, d).filter("role = 0").count()
     assert exchanges(matching.matched_bits(view(spark, d), [(None, t) for t in metrics.TEN])) == 1
+
+
+def test_boxes_are_sent_once_for_two_detectors(spark):
+    """One shuffle brings an image's boxes together, and one adds up; the view says where its rows lie."""
+    from granary.plans.queries import QUERIES
+    from granary.plans.views import boxes as view
+    from granary.plans.views import true_boxes
+
+    d = "/root/testdata/sf0.001"
+    assert exchanges(true_boxes(view(spark, d)).groupBy("img").agg(F.max("gt_idx"))) == 1
+    assert exchanges(QUERIES["complementarity"](spark, d)) <= 2
